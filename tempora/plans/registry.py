@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tempora.plans import metric_queries
+from tempora.plans import metric_queries, summary_queries
 
-_MODULES = [metric_queries]
+_MODULES = [metric_queries, summary_queries]
 QUERIES = {name: f for module in _MODULES for name, f in module.Q.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

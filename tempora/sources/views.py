@@ -63,7 +63,7 @@ def workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.alias("start_time_utc"),
         F.col("o_orderpriority").alias("sport"),
         (F.coalesce("minutes", F.lit(0.0)) * 60).alias("duration_sec"),
-        F.when(key % 11 != 0, F.floor(F.col("o_totalprice") / 10).cast("double")).alias("distance_m"),
+        F.when(key % 11 != 0, (F.floor(F.col("o_totalprice") / 100) * 10).cast("double")).alias("distance_m"),
         F.when(key % 5 != 0, (key % 700).cast("double")).alias("elevation_gain_m"),
         F.when(key % 3 != 0, (key % 41) * 0.5 - 10).alias("decoupling_pct"),
         F.when(key % 13 != 0, (100 + key % 80).cast("double")).alias("hr_avg_bpm"),
@@ -118,7 +118,7 @@ WORKOUTS_SQL = f"""zones AS (SELECT l_orderkey, sum(l_quantity) AS minutes, {_HR
 workouts AS (
   SELECT o_orderkey AS workout_id, o_custkey AS athlete_id, o_orderdate + to_hours(o_orderkey % 24) AS start_time_utc, o_orderpriority AS sport,
     coalesce(minutes, 0.0) * 60 AS duration_sec,
-    CASE WHEN o_orderkey % 11 <> 0 THEN floor(o_totalprice / 10) END AS distance_m,
+    CASE WHEN o_orderkey % 11 <> 0 THEN floor(o_totalprice / 100) * 10 END AS distance_m,
     CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 700)::DOUBLE END AS elevation_gain_m,
     CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 41) * 0.5::DOUBLE - 10 END AS decoupling_pct,
     CASE WHEN o_orderkey % 13 <> 0 THEN (100 + o_orderkey % 80)::DOUBLE END AS hr_avg_bpm,

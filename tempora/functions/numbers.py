@@ -33,7 +33,7 @@ def scaled(value: Column, exponent: Column, only_negative: bool = False) -> Colu
 
 def minutes(minutes_: Column, hours: Column) -> Column:
     """Whole minutes, from minutes or else hours."""
-    return F.when(minutes_.isNotNull(), F.bround(minutes_.try_cast("double"))).otherwise(F.bround(hours.try_cast("double") * 60)).cast("int")
+    return F.when(minutes_.isNotNull(), F.bround(minutes_.try_cast("double"))).otherwise(F.bround(hours.try_cast("double") * 60)).try_cast("int")
 
 
 def threshold_hr(lthr: Column, max_hr: Column) -> Column:

@@ -104,7 +104,7 @@ def sport_from_sub(sport: Column, sub_sport: Column) -> Column:
 
 def estimated_calories(sport: Column, seconds: Column) -> Column:
     """15 a minute for runs, 10 for the rest, in whole numbers."""
-    return (seconds / 60 * F.when(F.lower(sport).contains("run"), 15).otherwise(10)).cast("int")
+    return (seconds / 60 * F.when(F.lower(sport).contains("run"), 15).otherwise(10)).try_cast("int")
 
 
 def workout_id(start: Column, sport: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tempora.operators.sequence import bridge_gaps, centered_sum, difference, ordered, peak_means, runs, trailing_mean
@@ -39,7 +39,10 @@ from tempora.params import (
 KEY, TIME = "workout_id", "elapsed_sec"
 POWER, HR = "power_watts", "heart_rate_bpm"
 CHANNELS = [POWER, HR, "cadence_rpm", "speed_mps", "distance_m", "elevation_m", "temperature_c", "respiration_rate_brpm", "lr_balance_pct"]
-BY_TIME = ordered(KEY, TIME)
+
+
+def by_time() -> WindowSpec:
+    return ordered(KEY, TIME)
 
 
 def with_channels(records: DataFrame) -> DataFrame:
@@ -92,7 +95,7 @@ def _fourth_root_mean(smooth: Column) -> Column:
 
 def normalized_power(records: DataFrame, rows: int = NP_ROWS) -> DataFrame:
     own = records.where(F.col(POWER).isNotNull()).select(KEY, TIME, POWER)
-    smooth = own.select(KEY, trailing_mean(F.col(POWER), BY_TIME, rows).alias("_smooth"))
+    smooth = own.select(KEY, trailing_mean(F.col(POWER), by_time(), rows).alias("_smooth"))
     return smooth.groupBy(KEY).agg(_fourth_root_mean(F.col("_smooth")).alias("normalized_power"))
 
 
@@ -146,7 +149,7 @@ def variability(records: DataFrame) -> DataFrame:
 
 def durability(records: DataFrame) -> DataFrame:
     """Slope of power over time, and the change from the first quarter of rows to the last one per second."""
-    w, whole = BY_TIME, Window.partitionBy(KEY)
+    w, whole = by_time(), Window.partitionBy(KEY)
     longest = F.max(TIME).over(whole)
     own = records.withColumn("_d", longest).where(F.col(POWER).isNotNull() & F.col(TIME).isNotNull())
     placed = own.select(KEY, TIME, POWER, "_d", F.row_number().over(w).alias("_rn"), F.count("*").over(whole).alias("_n"))
@@ -176,7 +179,7 @@ def efficiency(records: DataFrame, seconds: int = EFFICIENCY_SECONDS, rows: int
     ).where((F.col("_n") >= rows) & (F.col("_d") >= seconds))
     mid = F.floor(F.col("_n") / 2)
     p = numbered.where(F.col(POWER).isNotNull() & (F.col("_p") <= F.col("_n"))).withColumn("_late", F.col("_p") > mid)
-    smooth = p.select(KEY, "_late", trailing_mean(F.col(POWER), BY_TIME, NP_ROWS).alias("_all"), trailing_mean(F.col(POWER), ordered([KEY, "_late"], TIME), NP_ROWS).alias("_half"))
+    smooth = p.select(KEY, "_late", trailing_mean(F.col(POWER), by_time(), NP_ROWS).alias("_all"), trailing_mean(F.col(POWER), ordered([KEY, "_late"], TIME), NP_ROWS).alias("_half"))
     power = smooth.groupBy(KEY).agg(
         _fourth_root_mean(F.col("_all")).alias("np"),
         _fourth_root_mean(F.when(~F.col("_late"), F.col("_half"))).alias("np1"),
@@ -195,19 +198,24 @@ def efficiency(records: DataFrame, seconds: int = EFFICIENCY_SECONDS, rows: int
 def hr_power_lag(records: DataFrame, reach: int = LAG_ROWS) -> DataFrame:
     """The shift of heart rate, in rows from -reach to reach, that correlates best with power; the first of equal ones.
 
-    All shifts come from one sorted pass: each is a lag of the same window and a correlation of the same aggregate. A
-    shift of lag pairs power of a row with the heart rate lag rows before it. Null below 10 rows or where a row with
-    power has no heart rate."""
+    A shift of lag pairs power of a row with the heart rate lag rows before it. All shifts come from one sorted window;
+    they become rows only inside the task, where their sums per workout and shift are kept. Null below 10 rows, where a
+    row with power has no heart rate, or where no shift has a correlation."""
+    whole = Window.partitionBy(KEY)
     own = records.where(F.col(POWER).isNotNull() & F.col(TIME).isNotNull()).select(KEY, TIME, POWER, HR)
-    shifts = list(range(-reach, reach + 1))
-    moved = own.select(KEY, POWER, HR, *[F.lag(HR, n).over(BY_TIME).alias(f"_s{i}") for i, n in enumerate(shifts)])
-    fits = moved.groupBy(KEY).agg(F.count("*").alias("_n"), F.count(HR).alias("_h"), *[F.corr(POWER, f"_s{i}").alias(f"_c{i}") for i in range(len(shifts))])
-    scored = F.array_compact(F.array(*[F.when(~F.isnan(f"_c{i}"), F.struct(F.col(f"_c{i}").alias("c"), F.lit(-n).alias("first"))) for i, n in enumerate(shifts)]))
-    return fits.select(KEY, F.when((F.col("_n") >= 10) & (F.col("_n") == F.col("_h")), -F.array_max(scored)["first"]).alias("hr_power_lag_sec"))
+    fit = own.withColumn("_ok", (F.count("*").over(whole) >= 10) & (F.count(HR).over(whole) == F.count("*").over(whole)))
+    # of row n the heart rates from row n - reach to n + reach, as far as there are rows
+    near = F.collect_list(HR).over(by_time().rowsBetween(-reach, reach))
+    moved = fit.where("_ok").select(KEY, POWER, F.row_number().over(by_time()).alias("_rn"), near.alias("_near"))
+    pairs = moved.select(KEY, POWER, F.least(F.col("_rn") - 1, F.lit(reach)).alias("_before"), F.posexplode("_near").alias("_i", "_hr")).withColumn("_lag", F.col("_before") - F.col("_i"))
+    c = F.try_divide(F.covar_pop(POWER, "_hr"), F.stddev_pop(POWER) * F.stddev_pop("_hr"))
+    scored = pairs.groupBy(KEY, "_lag").agg(c.alias("_c")).where("_c is not null")
+    best = scored.groupBy(KEY).agg(F.max_by("_lag", F.struct("_c", -F.col("_lag"))).alias("hr_power_lag_sec"))
+    return records.select(KEY).distinct().join(best, KEY, "left")
 
 
 def elevation(records: DataFrame) -> DataFrame:
-    own = records.where(F.col("elevation_m").isNotNull()).select(KEY, difference(F.col("elevation_m"), BY_TIME).alias("_step"))
+    own = records.where(F.col("elevation_m").isNotNull()).select(KEY, difference(F.col("elevation_m"), by_time()).alias("_step"))
     total = lambda c: F.round(F.when(F.count("*") >= 2, F.sum(c)), 1)
     return own.groupBy(KEY).agg(total(F.greatest("_step", F.lit(0.0))).alias("elevation_gain_m"), total(F.greatest(-F.col("_step"), F.lit(0.0))).alias("elevation_loss_m"))
 
@@ -272,7 +280,7 @@ def intervals(records: DataFrame, ftp: Value, share: float = INTERVAL_SHARE, row
     """Efforts of at least `rows` rows at share * ftp or more, with the slope of heart rate in the rows after each."""
     agg = [F.min(TIME).alias("_s"), F.max(TIME).alias("_e"), F.round(F.avg(POWER), 1).alias("avg_power"), F.round(F.max(POWER), 1).alias("peak_power")]
     found = runs(records.select(KEY, TIME, POWER), F.col(POWER) >= share * col(ftp), KEY, TIME, agg, rows)
-    numbered = records.select(KEY, HR, (F.row_number().over(BY_TIME) - 1).alias("_rn"), F.count("*").over(Window.partitionBy(KEY)).alias("_n"))
+    numbered = records.select(KEY, HR, (F.row_number().over(by_time()) - 1).alias("_rn"), F.count("*").over(Window.partitionBy(KEY)).alias("_n"))
     after = found.select(KEY, "run_end", F.explode(F.sequence(F.col("run_end") + 1, F.col("run_end") + recovery)).alias("_rn")).join(numbered, [KEY, "_rn"])
     # a heart rate that is missing leaves no slope, as would a single row
     slope = after.groupBy(KEY, "run_end").agg(F.when((F.count("*") >= 2) & (F.count(HR) == F.count("*")), F.round(F.regr_slope(F.col(HR), F.col("_rn")), 4)).alias("recovery_hr_slope"))
@@ -282,10 +290,10 @@ def intervals(records: DataFrame, ftp: Value, share: float = INTERVAL_SHARE, row
 
 def grades(records: DataFrame, window: int = CLIMB_WINDOW) -> DataFrame:
     """Adds grade: rise over distance of the steps around the step from this row to the next; null where there is none."""
-    step = lambda c: F.lead(c).over(BY_TIME) - F.col(c)
-    steps = records.withColumn("_dd", step("distance_m")).withColumn("_de", step("elevation_m")).withColumn("_more", F.lead(TIME).over(BY_TIME).isNotNull())
+    step = lambda c: F.lead(c).over(by_time()) - F.col(c)
+    steps = records.withColumn("_dd", step("distance_m")).withColumn("_de", step("elevation_m")).withColumn("_more", F.lead(TIME).over(by_time()).isNotNull())
     inner = steps.where("_more")
-    sums = inner.withColumn("_sd", centered_sum(F.col("_dd"), BY_TIME, window, 3)).withColumn("_se", centered_sum(F.col("_de"), BY_TIME, window, 3))
+    sums = inner.withColumn("_sd", centered_sum(F.col("_dd"), by_time(), window, 3)).withColumn("_se", centered_sum(F.col("_de"), by_time(), window, 3))
     return sums.withColumn("grade", F.when(F.col("_sd") > 0, F.col("_se") / F.col("_sd"))).drop("_dd", "_de", "_more", "_sd", "_se")
 
 

@@ -434,11 +434,11 @@ def j19_effective_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", lookup.only_effective(F.col("o_totalprice"), dated, F.lit("1998-01-01").cast("date")).alias("baseline"))
 
 
-_BEATS = """b AS (SELECT l_orderkey, l_linenumber, row_number() OVER w AS position, 0.5::DOUBLE + l_quantity / 100 AS rr, sum(0.5::DOUBLE + l_quantity / 100) OVER (w ROWS UNBOUNDED PRECEDING) AS at FROM lineitem WHERE l_orderkey % 7 = 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)),
+_BEATS = """b AS (SELECT l_orderkey, l_linenumber, row_number() OVER w AS position, 0.5::DOUBLE + l_quantity / 100 AS rr, sum(0.5::DOUBLE + l_quantity / 100) OVER (w ROWS UNBOUNDED PRECEDING) AS done FROM lineitem WHERE l_orderkey % 7 = 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)),
 r AS (SELECT o_orderkey, unnest(range(0, 6))::DOUBLE AS elapsed_sec FROM orders WHERE o_orderkey % 7 = 0)"""
 
 
-@query(f"WITH {_BEATS} SELECT r.o_orderkey AS workout_id, elapsed_sec, count(rr) AS beats, round(coalesce(sum(rr), 0), 4) AS total FROM r LEFT JOIN b ON l_orderkey = o_orderkey AND floor(at) = elapsed_sec GROUP BY ALL")
+@query(f"WITH {_BEATS} SELECT r.o_orderkey AS workout_id, elapsed_sec, count(rr) AS beats, round(coalesce(sum(rr), 0), 4) AS total FROM r LEFT JOIN b ON l_orderkey = o_orderkey AND floor(done) = elapsed_sec GROUP BY ALL")
 def j12_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     beats = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("workout_id"), F.lit(1).alias("message"), F.row_number().over(order).alias("position"), (0.5 + F.col("l_quantity") / 100).alias("rr"), F.lit(0.0).alias("start_sec"))

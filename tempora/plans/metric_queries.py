@@ -283,18 +283,18 @@ def a30_distance_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {USER_RECORDS_SQL} SELECT workout_id, elapsed_sec, last_value(power_watts IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS power_watts FROM records")
 def w13_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records_by_user(spark, sf_dir).select(m.KEY, m.TIME, s.forward_fill(F.col("power_watts"), m.BY_TIME).alias("power_watts"))
+    return records_by_user(spark, sf_dir).select(m.KEY, m.TIME, s.forward_fill(F.col("power_watts"), m.by_time()).alias("power_watts"))
 
 
 @query(f"WITH {USER_RECORDS_SQL}, p AS (SELECT * FROM records WHERE power_watts IS NOT NULL) SELECT workout_id, elapsed_sec, round(CASE WHEN count(*) OVER w = 30 THEN avg(power_watts) OVER w END, 6) AS mean_30 FROM p WINDOW w AS ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
 def w1_trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = records_by_user(spark, sf_dir).where("power_watts is not null")
-    return own.select(m.KEY, m.TIME, F.round(s.trailing_mean(F.col("power_watts"), m.BY_TIME, 30), 6).alias("mean_30"))
+    return own.select(m.KEY, m.TIME, F.round(s.trailing_mean(F.col("power_watts"), m.by_time(), 30), 6).alias("mean_30"))
 
 
 @query(f"WITH {USER_RECORDS_SQL} SELECT workout_id, elapsed_sec, ntile AS quarter FROM (SELECT workout_id, elapsed_sec, CASE WHEN rn <= n // 4 THEN 1 WHEN rn > n - n // 4 THEN 4 END AS ntile FROM (SELECT workout_id, elapsed_sec, row_number() OVER ({_W}) AS rn, count(*) OVER (PARTITION BY workout_id) AS n FROM records))")
 def w4_outer_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, rn = F.count("*").over(Window.partitionBy(m.KEY)), F.row_number().over(m.BY_TIME)
+    n, rn = F.count("*").over(Window.partitionBy(m.KEY)), F.row_number().over(m.by_time())
     own = records_by_user(spark, sf_dir).select(m.KEY, m.TIME, n.alias("n"), rn.alias("rn"))
     quarter = F.floor(F.col("n") / 4)
     return own.select(m.KEY, m.TIME, F.when(F.col("rn") <= quarter, 1).when(F.col("rn") > F.col("n") - quarter, 4).alias("quarter"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: A mean above this is the sum of several draws of at most this mean each.
 _STEP = 16.0
 #: Counts at which the inverse stops: beyond them a draw of mean _STEP has less than 1e-15 of its weight.
@@ -34,35 +36,41 @@ def thresholds(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(_MOST)), first, add, lambda acc: acc["c"])
 
 
-def rates(docs: DataFrame, weights: dict[str, float], rest: float, size: float) -> DataFrame:
-    """Per source its rows and mean repetitions: target share times `size` times all rows, over its rows.
+def rates(docs: DataFrame, weights: dict[str, float], rest: float, size: float) -> tuple[DataFrame, int]:
+    """A table of sources, each with its rows and mean repetitions (target share times `size` times all rows, over its
+    rows), and how many sources there are.
 
     Sources without a weight share `rest` equally; a null source is a source. Weights are normalised over the sources
-    that exist, so absent ones leave no gap."""
-    counts = docs.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("_rows"))
+    that exist, so absent ones leave no gap; if all are zero, nothing is repeated."""
+    if rest < 0 or size < 0 or any(w < 0 for w in weights.values()):
+        raise ValueError("weights, rest and size must not be negative")
+    counts = materialize(docs.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("_rows")), "sources")
     given = F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, float(w))]) if weights else None
-    weight = given[F.col("_source")] if weights else F.lit(None).cast("double")
-    w = counts.withColumn("_w", weight)
-    total = w.agg(F.sum("_rows").alias("_all"), F.count_if(F.col("_w").isNull()).alias("_free"), F.coalesce(F.sum("_w"), F.lit(0.0)).alias("_given"))
-    share = F.coalesce(F.col("_w"), F.lit(float(rest)) / F.col("_free"))
-    whole = F.col("_given") + F.when(F.col("_free") > 0, F.lit(float(rest))).otherwise(0.0)
-    return w.join(F.broadcast(total)).withColumn("_mean", share / whole * float(size) * F.col("_all") / F.col("_rows")).select("_source", "_rows", "_mean")
+    table = counts.withColumn("_w", given[F.col("_source")] if weights else F.lit(None).cast("double"))
+    rows, sources, free, sure = table.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count("*"), F.count_if(F.col("_w").isNull()), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
+    whole = sure + (float(rest) if free else 0.0)
+    share = F.coalesce("_w", F.lit(float(rest) / free)) if free else F.col("_w")
+    mean = share / F.lit(whole) * F.lit(float(size)) * F.lit(rows) / F.col("_rows") if whole else F.lit(0.0)
+    return table.select("_source", "_rows", mean.alias("_mean")), sources
 
 
 def mix(docs: DataFrame, weights: dict[str, float], rest: float, size: float = 1.0, seed: int = 9) -> DataFrame:
     """All columns of docs, and copy (1, 2, ...), shuffle_key: each row as often as it is drawn, in hashed order.
 
     Rows of equal doc_id draw alike. A weight of zero drops its source, as the target asks; no documents give no rows.
-    Helper columns start with an underscore and are not returned."""
-    table = rates(docs, weights, rest, size)
-    few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    Columns of docs named copy or shuffle_key give way to these; all others are returned as they are, whatever their
+    names."""
+    table, sources = rates(docs, weights, rest, size)
     table = table.withColumn("_draws", F.greatest(F.lit(1), F.ceil(F.col("_mean") / _STEP)).cast("int"))
     table = table.withColumn("_cdf", thresholds(F.col("_mean") / F.col("_draws"))).select("_source", "_draws", "_cdf")
-    joined = docs.join(F.broadcast(table) if few else table, docs["source"].eqNullSafe(table["_source"]))
+    columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"))
+    joined = whole.join(F.broadcast(table) if sources <= BROADCAST_SOURCES else table, F.col("_doc.source").eqNullSafe(F.col("_source")))
     # a uniform number is hashed once per draw: it is bound before the filter that compares it
-    draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda k: uniform(seed, docs["doc_id"], k))
+    draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda k: uniform(seed, F.col("_doc.doc_id"), k))
     count = F.aggregate("_u", F.lit(0), lambda acc, u: acc + F.size(F.filter("_cdf", lambda c: c <= u)))
-    drawn = joined.withColumn("_u", draws).withColumn("_n", count).where("_n > 0").select(*[docs[c] for c in docs.columns], "_n")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.col("copy").cast("string"))))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    drawn = joined.withColumn("_u", draws).withColumn("_n", count).where("_n > 0").select("_doc", "_n")
+    copies = drawn.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    order = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
+    out = copies.select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns], "copy", order.alias("shuffle_key"))
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -24,9 +24,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each SimHash group stays, that of the smallest doc_id; rows of one doc_id count as one document."""
     found = simhash.near_duplicates(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(materialize(first, "kept"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    single = kept.where("_rows = 1").select(docs.columns)
-    repeated = kept.where("_rows > 1").select(docs.columns)
+    ids = materialize(first, "kept")
+    kept, own = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"])), [docs[c] for c in docs.columns]
+    single, repeated = kept.where(ids["_rows"] == 1).select(own), kept.where(ids["_rows"] > 1).select(own)
     return single.union(repeated.dropDuplicates(["doc_id"]))
 
 

@@ -18,7 +18,7 @@ BLOCK = 1 << 20  # ids in a block
 _UNIT = 20  # an order's probabilities are in 1 / 2**20, weights in 1 / 256
 _TOTAL = 28
 _SLOTS1, _SLOTS2 = 16, 18
-_HEADER = struct.Struct("<4sIIIII")
+_HEADER = struct.Struct("<4sIIIIII")
 _MAGIC = b"CMX1"
 U = np.uint64
 
@@ -141,14 +141,16 @@ def _encode_block(ids: np.ndarray) -> bytes:
     lengths = (used - 1).astype("<u2").tobytes()
     body = zlib.compress(lengths, 1)
     check = zlib.crc32(ids.astype("<u4").tobytes())
-    return _HEADER.pack(_MAGIC, n, alphabet, check, len(body), len(payload)) + body + payload
+    return _HEADER.pack(_MAGIC, n, alphabet, check, zlib.crc32(body + payload), len(body), len(payload)) + body + payload
 
 
 def _decode_block(data: memoryview) -> tuple[np.ndarray, int]:
-    magic, n, alphabet, check, m, size = _HEADER.unpack_from(data)
+    magic, n, alphabet, check, stored, m, size = _HEADER.unpack_from(data)
     if magic != _MAGIC:
         raise ValueError("not a block of token ids")
     at = _HEADER.size
+    if zlib.crc32(data[at : at + m + size]) != stored:
+        raise ValueError("a block's bytes are damaged")
     used = np.frombuffer(zlib.decompress(data[at : at + m]), "<u2").astype(np.int64)
     words = np.frombuffer(data[at + m : at + m + size], "<u4").astype(U)
     lanes = max(1, -(-n // STEPS))

@@ -1,8 +1,8 @@
 """Operator 2: sharding by sampled splitters, with shards of nearly equal bytes.
 
 Records are ordered by (hash of the text, row number). A size-weighted sample of a bounded expected size gives quantile
-boundaries that cut this order into many more ranges than shards; ranges start with a group of equal texts unless the
-group alone is larger than a range. The exact bytes of every range are counted, overfull ranges are subdivided by
+boundaries that cut this order into many more ranges than shards; a group of equal texts stays in one range unless it
+alone has half a shard's bytes. The exact bytes of every range are counted, overfull ranges are subdivided by
 samples of their own, and whole ranges go to shards, largest first to the emptiest. Texts are never shuffled."""
 
 from __future__ import annotations
@@ -42,14 +42,15 @@ def _position(splits: np.ndarray):
 
 
 def _draw(rows: DataFrame, total: int, expected: int, turn: int) -> pd.DataFrame:
-    """key, row, weight: each record by a chance in proportion to its size, about `expected` in all."""
+    """key, row, weight (in bytes that it stands for): each record by a chance in proportion to its size, about
+    `expected` in all."""
     chance = F.col("size") * F.lit(expected / max(1, total))
     drawn = rows.where((F.pmod(F.xxhash64("key", "row", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)) < chance)
-    return drawn.select("key", "row", F.greatest(chance, F.lit(1.0)).alias("weight")).toPandas().sort_values(["key", "row"], ignore_index=True)
+    return drawn.select("key", "row", F.greatest(F.col("size").cast("double"), F.lit(max(1, total) / expected)).alias("weight")).toPandas().sort_values(["key", "row"], ignore_index=True)
 
 
-def _quantiles(sample: pd.DataFrame, parts: int) -> list[tuple[int, int]]:
-    """Up to parts - 1 boundaries; at the start of a group of equal texts unless it has a part's weight."""
+def _quantiles(sample: pd.DataFrame, parts: int, divisible: float) -> list[tuple[int, int]]:
+    """Up to parts - 1 boundaries; at the start of a group of equal texts unless it has `divisible` bytes."""
     if not len(sample) or parts < 2:
         return []
     w = sample["weight"].to_numpy()
@@ -59,7 +60,7 @@ def _quantiles(sample: pd.DataFrame, parts: int) -> list[tuple[int, int]]:
     out = []
     for k in np.unique(np.minimum(at, len(sample) - 1)):
         key, row = int(sample["key"][k]), int(sample["row"][k])
-        out.append((key, row) if heavy[key] > share else (key, -1))
+        out.append((key, row) if heavy[key] > divisible else (key, -1))
     return out
 
 
@@ -76,13 +77,14 @@ def assign(sizes: dict[int, int], shards: int) -> dict[int, int]:
 def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 48, sample: int = 60_000, rounds: int = 4, bucket_rows: int = 50_000) -> DataFrame:
     """Every row of docs (doc_id, text) to a shard: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard).
 
-    Null texts have no bytes; repeated rows and ties are told apart by row number; no documents give no rows. The sample
+    Equal texts share a shard, unless their group has half a shard's bytes or more: such a hot group is divided, as
+    sizes come first. Null texts have no bytes; repeated rows and ties are told apart by row number; no documents give no rows. The sample
     and the ranges are bounded by parameters, whatever the number of documents."""
     rows = materialize(records(docs), "records")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     wanted = shards * ranges_per_shard
-    most = 1.5 * total / wanted
-    splits = sorted(set(_quantiles(_draw(rows, total, sample, 0), wanted)))
+    most, divisible = 1.5 * total / wanted, total / shards / 2
+    splits = sorted(set(_quantiles(_draw(rows, total, sample, 0), wanted, divisible)))
     for turn in range(1, rounds + 1):
         at = _position(np.array(splits or np.zeros((0, 2)), np.int64).reshape(-1, 2))
         placed = rows.withColumn("part", at("key", "row"))
@@ -93,7 +95,7 @@ def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 48, sample:
         chosen = placed.where(F.col("part").isin(list(over)))
         drawn = _draw(chosen, sum(over.values()), min(sample, 200 * len(over) + 1000), turn)
         drawn["part"] = _part_of(drawn, splits)
-        more = {q for p, own in drawn.groupby("part") for q in _quantiles(own.reset_index(drop=True), int(-(-over.get(p, 0) // (total / wanted))))}
+        more = {q for p, own in drawn.groupby("part") for q in _quantiles(own.reset_index(drop=True), int(-(-over.get(p, 0) // (total / wanted))), divisible)}
         grown = sorted(set(splits) | more)
         if len(grown) == len(splits):
             break

@@ -95,28 +95,28 @@ def field_summary(fields: DataFrame, keys: list[str], samples: int = 3) -> DataF
 
 
 def key_presence(payloads: DataFrame, kind: str, payload: str) -> DataFrame:
-    """kind, key, ratio: the share of a kind's payloads (JSON text) that have a key, 0 where none does."""
+    """kind, key, ratio, kinds: the share of a kind's payloads (JSON text) that have a key, where any has it; and how
+    many kinds there are."""
     sizes = payloads.groupBy(kind).agg(F.count("*").alias("_n"))
-    own = payloads.select(kind, F.explode(F.json_object_keys(payload)).alias("key"))
+    own = payloads.select(kind, F.explode(F.array_distinct(F.json_object_keys(payload))).alias("key"))
     found = own.groupBy(kind, "key").agg(F.count("*").alias("_has"))
-    grid = sizes.join(F.broadcast(found.select("key").distinct().limit(KEYS)))
-    return grid.join(found, [kind, "key"], "left").select(kind, "key", (F.coalesce("_has", F.lit(0)) / F.col("_n")).alias("ratio"))
-
-
-#: Different keys that a payload profile reports at most: it is a report for people.
-KEYS = 5000
+    return found.join(sizes, kind).select(kind, "key", (F.col("_has") / F.col("_n")).alias("ratio"), F.lit(sizes.count()).alias("kinds"))
 
 
 def discriminating_keys(presence: DataFrame, top: int = 20) -> DataFrame:
-    """The keys whose presence differs most between kinds: key, ratio_variance."""
-    by_key = presence.groupBy("key").agg(F.round(F.var_samp("ratio"), 6).alias("ratio_variance"), F.min("ratio").alias("_lo"), F.max("ratio").alias("_hi"))
-    return by_key.where("_lo <> _hi").select("key", "ratio_variance").orderBy(F.desc("ratio_variance"), "key").limit(top)
+    """The keys whose presence differs most between kinds, as a report of `top` rows: key, ratio_variance.
+
+    A kind without the key counts as 0: it adds nothing to the sums, so kinds and keys are never paired off."""
+    r, n = F.col("ratio"), F.first("kinds")
+    least = F.when(F.count("*") < n, 0.0).otherwise(F.min(r))
+    variance = F.when(n > 1, (F.sum(r * r) - F.sum(r) * F.sum(r) / n) / (n - 1))
+    by_key = presence.groupBy("key").agg(F.round(variance, 6).alias("ratio_variance"), (least != F.max(r)).alias("_differs"))
+    return by_key.where("_differs").select("key", "ratio_variance").orderBy(F.desc("ratio_variance"), "key").limit(top)
 
 
 def unique_keys(presence: DataFrame, kind: str) -> DataFrame:
     """Keys that only one kind has."""
-    has = presence.where("ratio > 0")
-    return has.groupBy("key").agg(F.count("*").alias("_n"), F.min(kind).alias(kind)).where("_n = 1").select("key", kind)
+    return presence.groupBy("key").agg(F.count("*").alias("_n"), F.min(kind).alias(kind)).where("_n = 1").select("key", kind)
 
 
 def environment(gps: Column, indoor: Column, sub_sport: Column, name: Column) -> Column:

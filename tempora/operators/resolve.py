@@ -16,8 +16,10 @@ UNRANKED = 1 << 20
 
 def rank_of(source: Column, order: list[str]) -> Column:
     """Place of a source in the order, from 0; sources outside come last."""
-    tests = reduce(lambda acc, s: acc.when(source == s[1], s[0]), list(enumerate(order))[1:], F.when(source == order[0], 0))
-    return tests.otherwise(UNRANKED)
+    rank = F.lit(UNRANKED)
+    for place, name in reversed(list(enumerate(order))):
+        rank = F.when(source == name, place).otherwise(rank)
+    return rank
 
 
 def by_precedence(rows: DataFrame, by: list[str], metrics: list[str], order: dict[str, list[str]], default: list[str]) -> DataFrame:

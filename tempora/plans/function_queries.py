@@ -490,7 +490,7 @@ def t8_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = _landed(spark, sf_dir), _shared(spark, "state")
     stream = landing.landing_stream(spark, source, _LANDED, 2)
     landing.ingest(stream, f"{target}/table", f"{target}/checkpoint", ["user_id"], "event_id").awaitTermination()
-    return landing.current_table(spark, f"{target}/table").select("user_id", "event_id", "value")
+    return landing.current_table(spark, f"{target}/table", ["user_id"], "event_id", stream.schema).select("user_id", "event_id", "value")
 
 
 def _streamed(spark: SparkSession, made: DataFrame, mode: str = "append") -> DataFrame:

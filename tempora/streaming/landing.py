@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tempora.sources.ledger import upsert
+from tempora.sources.ledger import latest
 
 
 def landing_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -34,39 +35,33 @@ def sessions(stream: DataFrame, time: str, by: str, gap: str, late: str) -> Data
 
 
 def upsert_batch(path: str, keys: list[str], version: str, adapt: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer: the table under path holds the newest row of each key after every batch.
+    """A foreachBatch writer: each batch leaves its newest row of each key in a folder of its own.
 
-    Each batch writes a new generation folder named by its id, so a batch that runs again writes the same rows to the same
-    place, and the one before it is still whole if a write breaks off."""
+    Nothing that is stored is read or rewritten, so a batch costs what it brings; a batch that runs again replaces its own
+    folder. Readers take the newest row of each key (`current_table`), and `compact` bounds what they have to read."""
 
     def write(batch: DataFrame, number: int) -> None:
         new = adapt(batch) if adapt else batch
-        old = previous(batch.sparkSession, path, number, new.schema)
-        upsert(old, new, keys, version).write.mode("overwrite").parquet(f"{path}/generation={number}")
+        latest(new, keys, [F.col(version)]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
-def _generations(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the whole generations below a path that Spark's file systems can list."""
-    jvm, folder = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    own = [s.getPath() for s in fs.listStatus(folder)]
-    return sorted(int(p.getName().split("=")[1]) for p in own if p.getName().startswith("generation=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+def current_table(spark: SparkSession, path: str, keys: list[str], version: str, schema: StructType) -> DataFrame:
+    """The newest row of each key over all batches; of equal versions that of the later batch."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    return latest(rows, keys, [F.col(version), F.col("batch")]).drop("batch")
 
 
-def previous(spark: SparkSession, path: str, number: int, schema) -> DataFrame:
-    before = [g for g in _generations(spark, path) if g < number]
-    return spark.read.schema(schema).parquet(f"{path}/generation={before[-1]}") if before else spark.createDataFrame([], schema)
-
-
-def current_table(spark: SparkSession, path: str) -> DataFrame | None:
-    found = _generations(spark, path)
-    return spark.read.parquet(f"{path}/generation={found[-1]}") if found else None
+def compact(spark: SparkSession, path: str, target: str, keys: list[str], version: str, schema: StructType) -> None:
+    """The current table as the first batch of a new path; the next stream run writes there, with a new checkpoint."""
+    current_table(spark, path, keys, version, schema).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], version: str, adapt: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Start a run that takes what has landed, upserts it and ends: a scheduled micro-batch job."""
+    """Start a run that takes what has landed, upserts it and ends: a scheduled micro-batch job.
+
+    The table exists, empty, even before anything lands."""
+    schema = (adapt(stream) if adapt else stream).schema
+    stream.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
     return stream.writeStream.foreachBatch(upsert_batch(path, keys, version, adapt)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -323,8 +323,12 @@ def basic_stats(records: DataFrame) -> DataFrame:
 
 
 def workout_metrics(records: DataFrame, params: AthleteParams) -> DataFrame:
-    """One wide row per workout. Records are dealt by workout once; params.ftp must be a number or the same in a workout."""
-    own = with_channels(records).repartition(KEY)
+    """One wide row per workout; params.ftp must be a number or the same in a workout.
+
+    Records are scanned, dealt by workout and sorted by time once, and kept so (in memory, else on the executors' disks;
+    lost parts are made again) for all families, which then need no scan, shuffle or sort of their own. Whoever has used
+    the result may free them by `spark.catalog.clearCache()`."""
+    own = with_channels(records).select(KEY, TIME, *CHANNELS).repartition(KEY).sortWithinPartitions(KEY, TIME).persist()
     stats = channel_stats(own).join(normalized_power(own), KEY, "left")
     parts = [load(stats, params.ftp), data_quality(own), zone_seconds(own, params), variability(own), durability(own), surges(own, params.ftp), efficiency(own), hr_power_lag(own), elevation(own)]
     peaks = peak_power(own)

@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _channels(events: DataFrame, workout: str) -> DataFrame:
-    own = Window.partitionBy(workout).orderBy("ts", "event_id")
+    # named before it is windowed, so that windows and joins by workout find the rows dealt as they need them
+    events = events.withColumn("workout_id", F.col(workout).cast("string"))
+    own = Window.partitionBy("workout_id").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("double")
     speed = 2.0 + (F.col("event_id") % 7) * 0.5
     return events.select(
-        F.col(workout).cast("string").alias("workout_id"),
+        "workout_id",
         (F.row_number().over(own) - 1).cast("double").alias("elapsed_sec"),
         F.col("ts").alias("timestamp_utc"),
         "event_id",

@@ -111,6 +111,25 @@ def test_pipeline_stages(spark):
     assert sorted(map(tuple, p.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(map(tuple, packed.drop("sequence_id", "offset").collect()))
 
 
+@tables
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_take_odd_documents(spark, empty):
+    import corpus_pipeline as p
+
+    rows = [] if empty else [(1, None, None, None, None, 1), (2, "", "en", "src0", 0, 1), (None, "no id", "en", None, 5, 1), (3, "word " * 20_000, "de", "src1", 100_000, 1), (3, "word " * 20_000, "de", "src1", 100_000, 1), (4, "tie", "", "", None, 1), (5, "tie", "", "", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id long")
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert out.columns == docs.columns or name == "pack", name
+        assert not empty or not got
+        if name == "quality":
+            assert {r.doc_id for r in got} <= {1, 2, 3, 4, 5, None}
+        if name == "simhash":
+            assert len(got) <= len({(r.doc_id, r.text) for r in docs.collect()})
+        docs = docs if empty else spark.createDataFrame(got, out.schema)
+
+
 @tables
 def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     import corpus_pipeline as p

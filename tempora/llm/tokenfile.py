@@ -64,8 +64,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, keeps_space: bool,
             return row
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.encode(text) + end
+            for key, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist())):
+                ids += end
                 if held and size + len(ids) > 4 * ids_per_file:
                     yield flush()
                 keys.append(key)

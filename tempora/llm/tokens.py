@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -12,6 +13,11 @@ _PLAIN = re.compile("[!-~¡-¬®-įĲ-ž]+")
 #: Words joined by spaces, each plain, perhaps after a line end.
 _PLAIN_WORDS = re.compile(f"(?: \n?{_PLAIN.pattern})*")
 
+#: Words in one call of the library: long calls take it more time a word.
+_TOGETHER = 64
+#: Characters of texts whose words are looked up together.
+_GROUP = 1 << 20
+
 
 class Encoder:
     """encode(text) -> ids as little-endian uint32 bytes, equal to the library's ids of the whole text.
@@ -27,6 +33,10 @@ class Encoder:
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         #: ids of each word; None: the whole text has to go to the library
         self.words: dict[str, bytes | None] = {"": None if keeps_space else b""}
+        if keeps_space:  # ids whose token starts with a space or line end, as only the first of a word does
+            vocabulary = self.lib.get_vocab(with_added_tokens=True)
+            self.first = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+            self.first[[i for t, i in vocabulary.items() if t[:1] in ("Ġ", "Ċ")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -37,44 +47,77 @@ class Encoder:
             odd = [w for w in words if not _PLAIN.fullmatch(w[1:] if self.keeps_space and w[:1] == "\n" else w)]
             self.words.update(dict.fromkeys(odd))
             words = [w for w in words if w not in self.words]
-            joined = " " + " ".join(words)
-        if not words:
-            return
+        for at in range(0, len(words), _TOGETHER):
+            self._learn_plain(words[at : at + _TOGETHER])
+
+    def _learn_plain(self, words: list[str]) -> None:
+        joined = " " + " ".join(words)
         long = np.fromiter(map(len, words), np.int64, len(words)) + 1
         if "\n" in joined:  # it stands before its word instead of the space
             long -= np.fromiter((w[0] == "\n" for w in words), np.int64, len(words))
             joined = joined.replace(" \n", "\n")
         got = self.lib.encode(joined, add_special_tokens=False)
-        at = np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(got)), np.cumsum(np.r_[0, long])).tolist()
-        data = np.array(got.ids, "<u4").tobytes()
+        ids = np.array(got.ids, "<u4")
+        at = np.append(np.flatnonzero(self.first[ids]), len(ids)) if self.keeps_space else ()
+        if len(at) != len(words) + 1:
+            at = np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(got)), np.cumsum(np.r_[0, long]))
+        at, data = at.tolist(), ids.tobytes()
         self.words.update(zip(words, [data[4 * i : 4 * j] for i, j in zip(at, at[1:])]))
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.keeps_space:
-            words = text.replace("\n", " \n").split(" ")
-            first = words.pop(0)
-            if not _PLAIN.fullmatch(first):
-                return self.whole(text)
-        else:
-            first, words = "", text.replace("\n", " ").split(" ")
+    def _split(self, text: str) -> tuple[str, list[str]]:
+        """What stands before the first blank, and the blank-separated words after it."""
+        if not self.keeps_space:
+            return "", text.replace("\n", " ").split(" ")
+        words = text.replace("\n", " \n").split(" ")
+        return words.pop(0), words
+
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order. Words of about _GROUP characters of texts are looked up together."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= _GROUP:
+                yield from self._encode_group(group)
+                group, size = [], 0
+        yield from self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
+        """Texts of known words are joined at once; the unknown words of the others are learnt in one go."""
         known = self.words
+        if len(known) > self.limit:
+            known.clear()
+            known[""] = None if self.keeps_space else b""
+        out: list[bytes | None] = []
+        later: dict[int, tuple[str, list[str]]] = {}
+        fresh: set[str] = set()
+        for k, text in enumerate(texts):
+            first, rest = self._split(text)
+            if self.keeps_space and (not text or not _PLAIN.fullmatch(first)):
+                out.append(self.whole(text) if text else b"")
+                continue
+            try:
+                out.append(self._joined(text, first, rest))
+            except KeyError:
+                out.append(None)
+                later[k] = first, rest
+                fresh.update(set(rest).difference(known))
+        if fresh:
+            self._learn(list(fresh))
+        for k, (first, rest) in later.items():
+            out[k] = self._joined(texts[k], first, rest)
+        yield from out
+
+    def _joined(self, text: str, first: str, rest: list[str]) -> bytes:
         try:
-            ids = b"".join(map(known.__getitem__, words))
+            ids = b"".join(map(self.words.__getitem__, rest))
         except TypeError:  # a word that isn't plain
             return self.whole(text)
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-                known[""] = None if self.keeps_space else b""
-            self._learn([w for w in dict.fromkeys(words) if w not in known])
-            try:
-                ids = b"".join(map(known.__getitem__, words))
-            except TypeError:
-                return self.whole(text)
         return self.whole(first) + ids if first else ids
 
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_many([text]))
+
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 

@@ -103,7 +103,7 @@ def m5_ftp_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderkey % 300 <> 0").select("o_orderkey", ftp.alias("ftp"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 155.0 ELSE 165.0 END ELSE 190.0 END AS reference, CASE WHEN o_orderkey % 2 = 0 THEN 'coggan' ELSE 'karvonen' END AS model FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 155.0 ELSE 165.0 END ELSE 190.0 END::DOUBLE AS reference, CASE WHEN o_orderkey % 2 = 0 THEN 'coggan' ELSE 'karvonen' END AS model FROM orders")
 def m24_hr_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     basis = F.when(k % 2 == 0, "LTHR").otherwise("HRR")
@@ -193,7 +193,7 @@ def x3_enrichment_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.filled_from(rows, index, "workout_id", ["enrichment"])
 
 
-@query("SELECT c_custkey AS athlete_id, unnest(generate_series(DATE '2026-01-01', DATE '2026-01-03', INTERVAL 1 DAY))::DATE AS effective_date, 161.0 AS lthr_bpm FROM customer")
+@query("SELECT c_custkey AS athlete_id, unnest(generate_series(DATE '2026-01-01', DATE '2026-01-03', INTERVAL 1 DAY))::DATE AS effective_date, 161.0::DOUBLE AS lthr_bpm FROM customer")
 def x4_daily_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composites.daily_baseline("2026-01-01", "2026-01-03", 161.0, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("athlete_id")))
 

@@ -381,7 +381,7 @@ def k4_merge_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.merge(old, new, ["c_custkey"]).select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment")
 
 
-@query("SELECT user_id, max_by(event_id, ts) AS event_id, 321.0 AS value FROM events GROUP BY user_id")
+@query("SELECT user_id, max_by(event_id, ts) AS event_id, 321.0::DOUBLE AS value FROM events GROUP BY user_id")
 def k5_change_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     return ledger.change_metric(e, ["user_id"], ["ts", "event_id"], "value", F.lit(321.0)).select("user_id", "event_id", "value")

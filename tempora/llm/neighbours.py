@@ -3,7 +3,9 @@
 Equal directions form one class. Classes start with a few neighbours from random-hyperplane buckets; then, round by
 round, the neighbours of a class are compared with one another and better ones enter their lists. Pairs of the threshold
 are edges, confirmed in double precision, and edges make components. Lists of fixed length saturate in dense groups, so
-within a component every list is enlarged to the whole component: members within half the threshold's angle of the
+the edges are more than the lists' pairs: every bucket and every local join gives a spanning forest of all its links,
+and components whose saturated lists could meet, by the angle of their pivots and their radii, are compared in tiles.
+Within a component every list is enlarged to the whole component: members within half the threshold's angle of the
 component's pivot link with one another by the triangle inequality and are only counted, the others are compared with
 all members in tiles. Recall is audited on a bounded sample of classes against all; if it is short, longer lists and
 more buckets follow."""
@@ -18,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, batch, components, materialize, small_batches
+from .common import arrow, batch, components, materialize, merge_labels, small_batches
 
 #: Rows of a bucket or tile that one numpy comparison takes at most (about).
 GROUP, TILE = 256, 512
 #: Classes whose links the audit counts by brute force.
 AUDITED = 1024
-_CANDIDATES = "u long, w long, s double"
+#: near says whether the pair may enter u's list; the others only connect.
+_CANDIDATES = "u long, w long, s double, near boolean"
+#: Single precision differs from double by less than this.
+SLACK = 1e-4
 _LOG = logging.getLogger(__name__)
 
 
@@ -83,8 +88,16 @@ def _lists(column: pa.Array) -> Iterator[pa.Array]:
         yield column[k].values
 
 
-def _start(keep: int):
-    """Per bucket the `keep` nearest of each member within it."""
+def _forest(s: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, that connect what the links in a square of similarities connect; those in doubt are all given."""
+    i, j = np.nonzero(np.triu(s >= threshold - SLACK, 1))
+    sure = s[i, j] >= threshold + SLACK
+    a, b = merge_labels(np.arange(len(s)), i[sure], j[sure])
+    return np.r_[a, i[~sure]], np.r_[b, j[~sure]]
+
+
+def _start(keep: int, threshold: float):
+    """Per bucket the `keep` nearest of each member within it, and a forest of its links."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,34 +109,42 @@ def _start(keep: int):
                 s = v @ v.T
                 np.fill_diagonal(s, -2)
                 near = np.argpartition(-s, min(keep, n - 1) - 1, 1)[:, : min(keep, n - 1)]
-                yield batch({"u": np.repeat(ids, near.shape[1]), "w": ids[near].ravel(), "s": np.take_along_axis(s, near, 1).ravel().astype(np.float64)}, arrow(_CANDIDATES))
+                i, j = _forest(s, threshold)
+                u, w = np.r_[np.repeat(ids, near.shape[1]), ids[i]], np.r_[ids[near].ravel(), ids[j]]
+                yield batch({"u": u, "w": w, "s": np.r_[np.take_along_axis(s, near, 1).ravel(), s[i, j]].astype(np.float64), "near": np.arange(len(u)) < near.size}, arrow(_CANDIDATES))
 
     return rows
 
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per list of neighbours: pairs (u, w) within it where w is nearer to u than the last of u's list, and not in it."""
+def _local_join(threshold: float):
+    """Per list of neighbours: pairs (u, w) within it where w is nearer to u than the last of u's list, and not in it; and
+    a forest of its links."""
     schema = arrow(_CANDIDATES)
-    for b in batches:
-        got: list[tuple] = []
-        for members in _lists(b.column("members")):
-            if len(members) < 2:
-                continue
-            ids, last, v = members.field("m").to_numpy(), members.field("last").to_numpy(), _matrix(members.field("v"), "<f4")
-            s = v @ v.T
-            better = s > last[:, None]
-            np.fill_diagonal(better, False)
-            i, j = np.nonzero(better)
-            if not len(i):
-                continue
-            had = _matrix(members.field("near"), "<i8")
-            new = ~(had[i] == ids[j][:, None]).any(1)
-            i, j = i[new], j[new]
-            got.append((ids[i], ids[j], s[i, j].astype(np.float64)))
-        if got:
-            u, w, s = (np.concatenate(c) for c in zip(*got))
-            _, first = np.unique(np.stack([u, w]), axis=1, return_index=True)
-            yield batch({"u": u[first], "w": w[first], "s": s[first]}, schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got: list[tuple] = []
+            for members in _lists(b.column("members")):
+                if len(members) < 2:
+                    continue
+                ids, last, v = members.field("m").to_numpy(), members.field("last").to_numpy(), _matrix(members.field("v"), "<f4")
+                s = v @ v.T
+                better = s > last[:, None]
+                np.fill_diagonal(better, False)
+                i, j = np.nonzero(better)
+                had = _matrix(members.field("near"), "<i8")
+                new = ~(had[i] == ids[j][:, None]).any(1)
+                fi, fj = _forest(s, threshold)
+                unlisted = ~(had[fi] == ids[fj][:, None]).any(1) & ~(had[fj] == ids[fi][:, None]).any(1)
+                for x, y, near in ((i[new], j[new], True), (fi[unlisted], fj[unlisted], False)):
+                    if len(x):
+                        got.append((ids[x], ids[y], s[x, y].astype(np.float64), np.full(len(x), near)))
+            if got:
+                u, w, s, near = (np.concatenate(c) for c in zip(*got))
+                _, first = np.unique(np.stack([u, w, near]), axis=1, return_index=True)
+                yield batch({"u": u[first], "w": w[first], "s": s[first], "near": near[first]}, schema)
+
+    return rows
 
 
 def _pack_near(k: int):
@@ -147,16 +168,21 @@ def _nearest(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), "w"))), 1, k).alias("near"))
 
 
-def graph(classes: DataFrame, n: int, k: int, tables: int, rounds: int, seed: int) -> DataFrame:
-    """The neighbour graph of classes (cid, unit): u, near."""
+def _links(candidates: DataFrame, threshold: float) -> DataFrame:
+    return candidates.where(F.col("s") >= threshold - SLACK).select(F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b"))
+
+
+def graph(classes: DataFrame, n: int, k: int, tables: int, rounds: int, seed: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The neighbour graph of classes (cid, unit): u, near; and pairs (a, b) to confirm: all that were met and connect."""
     bits = int(np.clip(np.ceil(np.log2(max(1, n) / 64)), 0, 40))
     keyed = classes.select("cid", "unit").mapInArrow(_buckets(tables, bits, seed), "t int, dims int, code long, cid long, v binary")
     keyed = materialize(keyed, "buckets")
     key = ["t", "dims", "code"]
     large = keyed.groupBy(*key).count().where(F.col("count") > 2 * GROUP)
     split = keyed.join(large, key, "left").withColumn("part", F.pmod(F.xxhash64("cid", "t"), F.coalesce(F.ceil(F.col("count") / GROUP), F.lit(1))))
-    found = split.groupBy(*key, "part").agg(F.collect_list(F.struct("cid", "v")).alias("members")).select("members").mapInArrow(_start(max(2, k // 2)), _CANDIDATES)
-    lists = materialize(_nearest(found, k), "graph")
+    found = split.groupBy(*key, "part").agg(F.collect_list(F.struct("cid", "v")).alias("members")).select("members").mapInArrow(_start(max(2, k // 2), threshold), _CANDIDATES)
+    found = materialize(found, "candidates")
+    lists, met = materialize(_nearest(found.where("near"), k), "graph"), _links(found, threshold)
     v = keyed.where("t = 0").select(F.col("cid").alias("m"), "v")
     for _ in range(rounds):
         forward = lists.select("u", F.explode("near.w").alias("w"))
@@ -167,18 +193,19 @@ def graph(classes: DataFrame, n: int, k: int, tables: int, rounds: int, seed: in
         all_lists = forward.select(F.col("u").alias("p"), zero, F.col("w").alias("m")).union(lists.select(F.col("u").alias("p"), zero, F.col("u").alias("m"))).union(backward).distinct()
         about = lists.select("u", "near").mapInArrow(_pack_near(k), "u long, near binary, last double").withColumnRenamed("u", "m").join(v, "m")
         joined = all_lists.join(about, "m").groupBy("p", "part").agg(F.collect_list(F.struct("m", "last", "near", "v")).alias("members"))
-        new = materialize(joined.select("members").mapInArrow(_local_join, _CANDIDATES), "candidates")
+        new = materialize(joined.select("members").mapInArrow(_local_join(threshold), _CANDIDATES), "candidates")
+        met = met.union(_links(new, threshold))
+        new = new.where("near").drop("near")
         known = lists.select("u", F.explode("near").alias("x")).select("u", F.col("x.w").alias("w"), (-F.col("x.d")).alias("s"))
         lists = materialize(_nearest(known.union(new), k), "graph")
         if new.count() < 0.002 * n * k:
             break
-    return lists
+    return lists, met
 
 
-def threshold_edges(lists: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of the graph whose cosine in double precision reaches the threshold."""
-    near = lists.select("u", F.explode("near").alias("x")).where(F.col("x.d") <= 1e-4 - threshold)
-    pairs = near.select(F.least("u", "x.w").alias("a"), F.greatest("u", "x.w").alias("b")).distinct()
+def threshold_edges(met: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of those met whose cosine in double precision reaches the threshold."""
+    pairs = met.distinct()
     a, b = (classes.select(F.col("cid").alias(c), F.col("unit").alias(f"unit_{c}")) for c in "ab")
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +216,69 @@ def threshold_edges(lists: DataFrame, classes: DataFrame, threshold: float) -> D
     return pairs.join(a, "a").join(b, "b").select("a", "b", "unit_a", "unit_b").mapInArrow(confirmed, "a long, b long")
 
 
+def _angles(column: str):
+    """Adds the angle between unit and pivot to the columns (component, cid, unit, pivot), in this order."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            angle = [np.arccos(np.clip(np.frombuffer(x, "<f8") @ np.frombuffer(y, "<f8"), -1, 1)) for x, y in zip(b.column("unit").to_pylist(), b.column("pivot").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(angle, pa.float64())], names=[*b.schema.names, column])
+
+    return rows
+
+
+def _meeting(threshold: float):
+    """Pairs (a, b), a < b, of the balls of two tiles that are near enough for a link between them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for one, other in zip(_lists(t.column("one")), _lists(t.column("other"))):
+                x, y = one.field("component").to_numpy(), other.field("component").to_numpy()
+                angle = np.arccos(np.clip(_matrix(one.field("pivot")) @ _matrix(other.field("pivot")).T, -1, 1))
+                reach = one.field("radius").to_numpy()[:, None] + other.field("radius").to_numpy() + np.arccos(threshold) + 1e-6
+                i, j = np.nonzero((angle <= reach) & (x[:, None] != y))
+                yield batch({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j])}, arrow("a long, b long"))
+
+    return rows
+
+
+def _bridge(threshold: float):
+    """One link (a, b) of the members of two tiles, if there is any: each lies in one component."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for one, other in zip(_lists(t.column("one")), _lists(t.column("other"))):
+                s = _matrix(one.field("unit")) @ _matrix(other.field("unit")).T
+                i, j = np.unravel_index(s.argmax(), s.shape)
+                if s[i, j] >= threshold:
+                    yield batch({"a": [one.field("cid")[int(i)].as_py()], "b": [other.field("cid")[int(j)].as_py()]}, arrow("a long, b long"))
+
+    return rows
+
+
+def bridges(lists: DataFrame, classes: DataFrame, found: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links (a, b) between components that full lists can hide: both ends have k nearer links of their own.
+
+    A link to a class whose list still ends below the threshold is in that list. So only classes of saturated lists are
+    compared, and of these only the components whose balls about their pivots come within the threshold's angle."""
+    full = lists.where((F.size("near") >= k) & (F.element_at("near", -1)["d"] <= SLACK - threshold)).select(F.col("u").alias("cid"))
+    pivots = classes.select(F.col("cid").alias("component"), F.col("unit").alias("pivot"))
+    members = classes.select("cid", "unit").join(full, "cid").join(found.select(F.col("id").alias("cid"), "component"), "cid").join(pivots, "component")
+    members = members.select("component", "cid", "unit", "pivot").mapInArrow(_angles("angle"), "component long, cid long, unit binary, pivot binary, angle double")
+    members = materialize(members, "saturated")
+    balls = members.groupBy("component").agg(F.first("pivot").alias("pivot"), F.max("angle").alias("radius"), F.count("*").alias("size")).withColumn("dims", F.length("pivot"))
+    balls = materialize(balls, "balls")
+    count = balls.groupBy("dims").agg(F.ceil(F.count("*") / (2 * TILE)).alias("n"))
+    dealt = balls.join(count, "dims").groupBy("dims", "n", F.pmod(F.xxhash64("component"), "n").alias("i")).agg(F.collect_list(F.struct("component", "pivot", "radius")).alias("one"))
+    later = dealt.select("dims", F.col("i").alias("j"), F.col("one").alias("other"))
+    near = dealt.withColumn("j", F.explode(F.sequence("i", F.col("n") - 1))).join(later, ["dims", "j"])
+    near = materialize(near.select("one", "other").mapInArrow(_meeting(threshold), "a long, b long").distinct(), "meeting")
+    tiled = members.join(balls.select("component", F.ceil(F.col("size") / TILE).alias("n")), "component")
+    tiles = tiled.groupBy("component", F.pmod(F.xxhash64("cid"), "n").alias("tile")).agg(F.collect_list(F.struct("cid", "unit")).alias("members"))
+    one, other = (tiles.select(F.col("component").alias(c), F.col("members").alias(name)) for c, name in (("a", "one"), ("b", "other")))
+    return near.join(one, "a").join(other, "b").select("one", "other").mapInArrow(_bridge(threshold), "a long, b long")
+
+
 def _radius(threshold: float):
     """Whether a member lies surely within half the threshold's angle of its component's pivot."""
     within = np.arccos(threshold) / 2 - 1e-6
@@ -277,8 +367,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 8, tabl
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     for attempt in range(1, attempts + 1):
-        lists = graph(classes, n, k, tables, rounds, attempt)
-        found = components(threshold_edges(lists, classes, threshold), "near")
+        lists, met = graph(classes, n, k, tables, rounds, attempt, threshold)
+        edges = materialize(threshold_edges(met, classes, threshold), "edges")
+        found = components(edges, "near")
+        hidden = materialize(bridges(lists, classes, found, k, threshold), "bridges")
+        if not hidden.isEmpty():
+            found = components(edges.union(hidden), "near")
         linked = materialize(enlarge(classes, found, threshold), "links")
         got = recall(classes, linked.select("cid", "links"), threshold)
         _LOG.info("recall %.4f with lists of %d and %d tables", got, k, tables)

@@ -55,6 +55,38 @@ def test_links_and_components(spark, monkeypatch, k, tile):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+def adjacent_groups(seed=3, m=40, d=24):
+    """Two groups of m different vectors, above 0.97 within and about 0.92 across; and loose vectors around them."""
+    rng = np.random.default_rng(seed)
+    centre = np.zeros((2, d))
+    centre[0, 0], centre[1, 0], centre[1, 1] = 1, np.cos(0.37), np.sin(0.37)
+    group = np.repeat(centre, m, 0) + rng.normal(scale=0.012, size=(2 * m, d))
+    return [(i, v.tolist()) for i, v in enumerate(np.r_[group, rng.normal(size=(100, d))].astype(np.float32))]
+
+
+def test_links_across_dense_groups(spark):
+    rows = adjacent_groups()
+    want = brute_links(rows, 0.9)
+    assert next(w for w in want if w[0] == 40)[2] == 0  # one component
+    got = neighbours.near_duplicates(table(spark, rows), 0.9).collect()
+    assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got], key=str) == want
+
+
+@pytest.mark.parametrize("tile", [512, 8])
+def test_bridges_between_saturated_components(spark, monkeypatch, tile):
+    monkeypatch.setattr(neighbours, "TILE", tile)
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in adjacent_groups()[:80]}
+    unit[80] = -unit[0]
+    ids = [*range(0, 81)]
+    group = {i: [j for j in ids if j // 40 == i // 40 and j != i] for i in ids}
+    near = lambda i: sorted((-float(unit[i] @ unit[j]), j) for j in group[i])[:8]
+    lists = spark.createDataFrame([(i, near(i)) for i in ids], "u long, near array<struct<d: double, w: long>>")
+    classes = spark.createDataFrame([(i, bytearray(unit[i].tobytes())) for i in ids], "cid long, unit binary")
+    found = spark.createDataFrame([(i, i // 40 * 40) for i in ids], "id long, component long")
+    got = neighbours.bridges(lists, classes, found, 8, 0.9).collect()
+    assert got and all(r.a < 40 <= r.b < 80 and unit[r.a] @ unit[r.b] >= 0.9 for r in got)
+
+
 def test_no_vectors(spark):
     assert neighbours.near_duplicates(table(spark, [])).count() == 0
     assert topk.search(table(spark, []), F.lit(True)).count() == 0

@@ -7,8 +7,10 @@ the edges are more than the lists' pairs: every bucket and every local join give
 and components whose saturated lists could meet, by the angle of their pivots and their radii, are compared in tiles.
 Within a component every list is enlarged to the whole component: members within half the threshold's angle of the
 component's pivot link with one another by the triangle inequality and are only counted, the others are compared with
-all members in tiles. Recall is audited on a bounded sample of classes against all; if it is short, longer lists and
-more buckets follow."""
+all members in tiles. The number of tables grows with that of classes, so that a lone pair at the threshold shares a
+bucket with the chance asked for; parts of a large bucket are compared with one another. Recall is audited on a bounded
+sample of classes against all, as the share of linked classes whose count is complete, small groups on their own; if it
+is short, longer lists and more buckets add to what is found, and after the last attempt the job fails."""
 
 from __future__ import annotations
 
@@ -116,6 +118,60 @@ def _start(keep: int, threshold: float):
     return rows
 
 
+def _core(threshold: float):
+    """Whether a member links surely with all that lie as near to its bucket's pivot, as far as single precision tells."""
+    within = np.cos(np.arccos(threshold) / 2) + SLACK
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [np.frombuffer(x, "<f4") @ np.frombuffer(y, "<f4") >= within for x, y in zip(b.column("v").to_pylist(), b.column("pivot").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(near, bool))], names=[*b.schema.names, "core"])
+
+    return rows
+
+
+def _start_across(keep: int, threshold: float):
+    """As _start, for the members of two parts of a bucket: each one's nearest in the other part, and a forest of links."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one, other in zip(_lists(b.column("one")), _lists(b.column("other"))):
+                x, y = one.field("cid").to_numpy(), other.field("cid").to_numpy()
+                s = _matrix(one.field("v"), "<f4") @ _matrix(other.field("v"), "<f4").T
+                i, j = np.nonzero(s >= threshold - SLACK)
+                sure = s[i, j] >= threshold + SLACK
+                fi, fj = merge_labels(np.arange(len(x) + len(y)), i[sure], len(x) + j[sure])
+                got = [(x[np.r_[fi, i[~sure]]], y[np.r_[fj - len(x), j[~sure]]], s[np.r_[fi, i[~sure]], np.r_[fj - len(x), j[~sure]]], False)]
+                for u, w, to in ((x, y, s), (y, x, s.T)):
+                    m = min(keep, len(w))
+                    near = np.argpartition(-to, m - 1, 1)[:, :m]
+                    got.append((np.repeat(u, m), w[near].ravel(), np.take_along_axis(to, near, 1).ravel(), True))
+                u, w, s = (np.concatenate([g[k] for g in got]) for k in range(3))
+                yield batch({"u": u, "w": w, "s": s.astype(np.float64), "near": np.repeat([g[3] for g in got], [len(g[0]) for g in got])}, arrow(_CANDIDATES))
+
+    return rows
+
+
+def _large_buckets(keyed: DataFrame, large: DataFrame, key: list[str], keep: int, threshold: float) -> DataFrame:
+    """Candidates of the buckets in `large`: their parts within themselves and, in tiles, with one another.
+
+    Members within half the threshold's angle of the bucket's pivot all link: each is paired with the pivot, and their
+    parts aren't compared with one another, so that a dense group costs no square of its size."""
+    pivots = keyed.join(large, key, "left_semi").groupBy(*key).agg(F.min_by(F.struct("cid", "v"), F.xxhash64("cid", "t")).alias("p"))
+    members = keyed.join(pivots, key).select(*key, "cid", "v", F.col("p.cid").alias("pivot_cid"), F.col("p.v").alias("pivot"))
+    members = materialize(members.mapInArrow(_core(threshold), "t int, dims int, code long, cid long, v binary, pivot_cid long, pivot binary, core boolean").drop("pivot"), "large")
+    stars = members.where("core and cid <> pivot_cid").select(F.col("cid").alias("u"), F.col("pivot_cid").alias("w"), F.lit(1.0).alias("s"), F.lit(False).alias("near"))
+    count = members.groupBy(*key, "core").agg(F.ceil(F.count("*") / GROUP).alias("n"))
+    parts = members.join(count, [*key, "core"]).groupBy(*key, "core", F.pmod(F.xxhash64("cid", "t"), "n").alias("part")).agg(F.collect_list(F.struct("cid", "v")).alias("members"))
+    parts = materialize(parts, "parts")
+    within = parts.select("members").mapInArrow(_start(keep, threshold), _CANDIDATES)
+    one = parts.where("not core").select(*key, F.col("part").alias("i"), F.col("members").alias("one"))
+    others = parts.select(*key, "core", "part").withColumnsRenamed({"part": "j"})
+    pairs = one.select(*key, "i").join(others, key).where("core or i < j").join(one, [*key, "i"])
+    across = pairs.join(parts.select(*key, "core", F.col("part").alias("j"), F.col("members").alias("other")), [*key, "core", "j"])
+    return within.union(stars).union(across.select("one", "other").mapInArrow(_start_across(keep, threshold), _CANDIDATES))
+
+
 def _local_join(threshold: float):
     """Per list of neighbours: pairs (u, w) within it where w is nearer to u than the last of u's list, and not in it; and
     a forest of its links."""
@@ -172,15 +228,27 @@ def _links(candidates: DataFrame, threshold: float) -> DataFrame:
     return candidates.where(F.col("s") >= threshold - SLACK).select(F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b"))
 
 
+def plane_bits(n: int) -> int:
+    """Hyperplanes a table, so that a bucket has about 64 of n classes."""
+    return int(np.clip(np.ceil(np.log2(max(1, n) / 64)), 0, 40))
+
+
+def enough_tables(n: int, threshold: float, target: float) -> int:
+    """Tables in which a pair at the threshold shares one bucket at least with the chance `target`."""
+    together = (1 - np.arccos(threshold) / np.pi) ** plane_bits(n)
+    return 1 if together >= 1 else int(np.ceil(np.log1p(-target) / np.log1p(-together)))
+
+
 def graph(classes: DataFrame, n: int, k: int, tables: int, rounds: int, seed: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The neighbour graph of classes (cid, unit): u, near; and pairs (a, b) to confirm: all that were met and connect."""
-    bits = int(np.clip(np.ceil(np.log2(max(1, n) / 64)), 0, 40))
+    bits = plane_bits(n)
     keyed = classes.select("cid", "unit").mapInArrow(_buckets(tables, bits, seed), "t int, dims int, code long, cid long, v binary")
     keyed = materialize(keyed, "buckets")
     key = ["t", "dims", "code"]
     large = keyed.groupBy(*key).count().where(F.col("count") > 2 * GROUP)
-    split = keyed.join(large, key, "left").withColumn("part", F.pmod(F.xxhash64("cid", "t"), F.coalesce(F.ceil(F.col("count") / GROUP), F.lit(1))))
-    found = split.groupBy(*key, "part").agg(F.collect_list(F.struct("cid", "v")).alias("members")).select("members").mapInArrow(_start(max(2, k // 2), threshold), _CANDIDATES)
+    keep = max(2, k // 2)
+    whole = keyed.join(large, key, "left_anti").groupBy(*key).agg(F.collect_list(F.struct("cid", "v")).alias("members"))
+    found = whole.select("members").mapInArrow(_start(keep, threshold), _CANDIDATES).union(_large_buckets(keyed, large, key, keep, threshold))
     found = materialize(found, "candidates")
     lists, met = materialize(_nearest(found.where("near"), k), "graph"), _links(found, threshold)
     v = keyed.where("t = 0").select(F.col("cid").alias("m"), "v")
@@ -325,8 +393,10 @@ def enlarge(classes: DataFrame, found: DataFrame, threshold: float) -> DataFrame
     return own.select("component", "cid", (inner + F.coalesce("outer_links", F.lit(0))).cast("long").alias("links"))
 
 
-def recall(classes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDITED) -> float:
-    """Found over true links of the sampled classes (those of the smallest hashes of their ids), each against all classes."""
+def recall(classes: DataFrame, links: DataFrame, threshold: float, k: int = 8, sample: int = AUDITED) -> float:
+    """Share of the sampled classes (those of the smallest hashes of their ids) that link with others and whose links are
+    all counted, by comparison with all classes: the lesser of the shares among those that link with at most k other
+    classes and among the rest, so that dense groups don't hide what small ones lack."""
     chosen = classes.select("cid", "unit").orderBy(F.xxhash64("cid"), "cid").limit(sample).toPandas()  # `sample` vectors
     ids, units = chosen["cid"].to_numpy(np.int64), [bytes(u) for u in chosen["unit"]]
     asked = classes.sparkSession.sparkContext.broadcast((ids, units))
@@ -335,7 +405,7 @@ def recall(classes: DataFrame, links: DataFrame, threshold: float, sample: int =
         ids, units = asked.value
         lengths = np.array([len(u) for u in units])
         matrices = {d: (np.flatnonzero(lengths == d), np.frombuffer(b"".join(u for u in units if len(u) == d), "<f8").reshape(int((lengths == d).sum()), -1)) for d in np.unique(lengths)}
-        total = np.zeros(len(ids), np.int64)
+        total, others = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for b in batches:
             own, copies = b.column("unit").to_pylist(), b.column("copies").to_numpy()
             dims = np.array([len(u) for u in own])
@@ -343,13 +413,16 @@ def recall(classes: DataFrame, links: DataFrame, threshold: float, sample: int =
                 if d in matrices:
                     at = np.flatnonzero(dims == d)
                     x = np.frombuffer(b"".join(own[k] for k in at), "<f8").reshape(len(at), -1)
-                    total[matrices[d][0]] += (matrices[d][1] @ x.T >= threshold) @ copies[at]
-        yield batch({"cid": ids, "links": total}, arrow("cid long, links long"))
+                    linked = matrices[d][1] @ x.T >= threshold
+                    total[matrices[d][0]] += linked @ copies[at]
+                    others[matrices[d][0]] += linked.sum(1)
+        yield batch({"cid": ids, "links": total, "others": others}, arrow("cid long, links long, others long"))
 
-    true = classes.select("unit", "copies").mapInArrow(count, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("true"))
-    both = true.join(classes.select("cid", "copies"), "cid").join(links, "cid", "left")
-    least, all_ = both.agg(F.sum(F.least(F.coalesce("links", F.lit(0)) + F.col("copies"), "true") - F.col("copies")), F.sum(F.col("true") - F.col("copies"))).first()
-    return 1.0 if not all_ else float(least / all_)
+    true = classes.select("unit", "copies").mapInArrow(count, "cid long, links long, others long").groupBy("cid").agg(F.sum("links").alias("true"), (F.sum("others") - 1).alias("others"))
+    both = true.join(classes.select("cid", "copies"), "cid").join(links, "cid", "left").where("others > 0")
+    complete = F.coalesce("links", F.lit(0)) + F.col("copies") >= F.col("true")
+    shares = both.groupBy((F.col("others") <= k).alias("small")).agg(F.avg(complete.cast("double")).alias("share")).collect()  # two rows
+    return min((float(r["share"]) for r in shares), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 8, tables: int = 8, rounds: int = 3, target: float = 0.995, attempts: int = 3) -> DataFrame:
@@ -359,28 +432,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 8, tabl
     vec_id reachable by links, kept says whether that is the row's own. Vectors that are null, empty or zero, or hold
     null, NaN or infinite components, link with nothing, nor do vectors of different lengths. Rows of a null vec_id link
     but never name a component, and aren't kept; repeated rows link with each other; no rows give no rows. Other columns
-    are ignored."""
+    are ignored. More tables than `tables` are taken where a pair at the threshold needs them; RuntimeError if the audit
+    stays below `target`."""
     spark = vectors.sparkSession
     small_batches(spark)
     rows = materialize(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_units, "vec_id long, unit binary"), "units")
     classes = rows.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    n = classes.count()
+    n, known, lengths = classes.count(), None, k
+    tables = max(tables, enough_tables(n, threshold, target))
     for attempt in range(1, attempts + 1):
         lists, met = graph(classes, n, k, tables, rounds, attempt, threshold)
-        edges = materialize(threshold_edges(met, classes, threshold), "edges")
+        edges = threshold_edges(met, classes, threshold)
+        edges = known = materialize(edges if known is None else edges.union(known).distinct(), "edges")
         found = components(edges, "near")
         hidden = materialize(bridges(lists, classes, found, k, threshold), "bridges")
         if not hidden.isEmpty():
-            found = components(edges.union(hidden), "near")
+            known = edges.union(hidden)
+            found = components(known, "near")
         linked = materialize(enlarge(classes, found, threshold), "links")
-        got = recall(classes, linked.select("cid", "links"), threshold)
+        got = recall(classes, linked.select("cid", "links"), threshold, lengths)
         _LOG.info("recall %.4f with lists of %d and %d tables", got, k, tables)
         if got >= target:
             break
         k, tables = 2 * k, 2 * tables
     else:
-        _LOG.warning("near-duplicate recall %.4f is below %.4f after %d attempts", got, target, attempts)
+        raise RuntimeError(f"near-duplicate recall {got:.4f} is below {target:.4f} after {attempts} attempts")
     named = classes.select("unit", "least", "copies", "cid").join(linked, "cid", "left")
     least = named.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
     named = named.join(least, "component", "left").select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id"))

@@ -87,6 +87,49 @@ def test_bridges_between_saturated_components(spark, monkeypatch, tile):
     assert got and all(r.a < 40 <= r.b < 80 and unit[r.a] @ unit[r.b] >= 0.9 for r in got)
 
 
+def test_audit_counts_small_groups_on_their_own(spark):
+    """A dense group has nearly all links; the pairs beside it are all missed."""
+    rng = np.random.default_rng(4)
+    group = rng.normal(size=16) + rng.normal(scale=0.02, size=(200, 16))
+    loose = rng.normal(size=(20, 16))
+    x = np.r_[group, loose, loose + rng.normal(scale=0.02, size=(20, 16))]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(i, 1, bytearray(v.tobytes())) for i, v in enumerate(x)], "cid long, copies long, unit binary")
+    true = (x @ x.T >= 0.9).sum(1) - 1
+    links = lambda kept: spark.createDataFrame([(i, int(true[i])) for i in range(len(x)) if kept(i)], "cid long, links long")
+    assert neighbours.recall(classes, links(lambda i: True), 0.9) == 1
+    assert neighbours.recall(classes, links(lambda i: i < 200), 0.9) == 0
+    assert neighbours.recall(classes, links(lambda i: i >= 100), 0.9) < 0.6
+
+
+def test_short_recall_fails(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "recall", lambda *_: 0.5)
+    with pytest.raises(RuntimeError):
+        neighbours.near_duplicates(table(spark, odd_vectors()), 0.9, attempts=1)
+
+
+def test_tables_grow_with_classes():
+    p = 1 - np.arccos(0.9) / np.pi
+    for n in (10, 10_000, 1_000_000, 10_000_000):
+        assert 1 - (1 - p ** neighbours.plane_bits(n)) ** neighbours.enough_tables(n, 0.9, 0.995) >= 0.995 - 1e-12
+
+
+def test_parts_of_a_large_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "GROUP", 6)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 16))
+    x[30:45] = x[:15] + rng.normal(scale=0.05, size=(15, 16))  # lone pairs
+    x[45:] = x[44] + rng.normal(scale=0.03, size=(15, 16))  # a dense group
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "cid long, unit binary")
+    lists = neighbours.graph(classes, 60, 8, 1, 0, 1, 0.9)[0].collect()
+    near = {r.u: {y.w for y in r.near} for r in lists}
+    assert all(i + 30 in near[i] and i in near[i + 30] for i in range(14))
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    got = neighbours.near_duplicates(table(spark, rows), 0.9, tables=1, rounds=0, attempts=1).collect()
+    assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got], key=str) == brute_links(rows, 0.9)
+
+
 def test_no_vectors(spark):
     assert neighbours.near_duplicates(table(spark, [])).count() == 0
     assert topk.search(table(spark, []), F.lit(True)).count() == 0

@@ -5,7 +5,7 @@ as Parquet and read again for the next; all but the last give the columns of doc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import mixing, packing, quality, simhash
@@ -13,21 +13,32 @@ from tempora.llm.common import materialize, table
 from tempora.llm.queries import MIX_REST, MIX_SEED, MIX_SIZE, MIX_WEIGHTS, PACK_END, PACK_SIZE, tokenizer
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """doc_id, text and _key of each row; and the key as an expression on docs.
+
+    doc_id and key identify a row for these stages, however often it is read again: what they decide follows from the
+    text, and rows of one doc_id and one text are the same document. A null text has a key of its own."""
+    key = F.unhex(F.coalesce(F.md5(docs["text"].cast("binary")), F.lit("")))
+    return docs.select(docs["doc_id"], docs["text"], key.alias("_key")), key
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. Rows of one doc_id (null is one) stay if any of them is accepted."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.max("predicted").alias("_best")).where("_best = 0")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti")
+    """Documents that the classifier rejects go, each row by its own text, whatever its doc_id."""
+    rows, key = keyed(docs)
+    judged = quality.classify(rows, table(spark, sf_dir, "labels"), key="_key")
+    rejected = judged.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.max("predicted").alias("_best")).where("_best = 0")
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]) & (key == rejected["_key"]), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the smallest doc_id; rows of one doc_id count as one document."""
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    """One row of each SimHash group stays, that of the smallest doc_id (null is the last) and then of the least MD5."""
+    rows, key = keyed(docs)
+    found = simhash.near_duplicates(rows, key="_key").groupBy("component", F.col("doc_id").alias("_id"), "_key").agg(F.count("*").alias("_rows"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key", "_rows")).alias("_first")).select("_first.*")
     ids = materialize(first, "kept")
-    kept, own = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"])), [docs[c] for c in docs.columns]
+    kept, own = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]) & (key == ids["_key"])), [docs[c] for c in docs.columns]
     single, repeated = kept.where(ids["_rows"] == 1).select(own), kept.where(ids["_rows"] > 1).select(own)
-    return single.union(repeated.dropDuplicates(["doc_id"]))
+    return single.union(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,8 +157,9 @@ class Network:
         return self
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and pooled features of every whole text, as a table in the shared folder."""
+def features(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id and pooled features of every whole text, and the binary column `key` if named, as a table in the shared folder."""
+    carried = [key] if key else []
     small_batches(docs.sparkSession)
     vectors = word_vectors(docs)
     vectors = docs.sparkSession.sparkContext.broadcast(np.hstack([vectors, vectors * vectors]))  # BUCKETS x 2 DIMS floats, 8 MB
@@ -166,9 +167,10 @@ def features(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([pool(t, vectors.value) for t in b.column(1).to_pylist()], np.float32).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *b.columns[2:]], names=["doc_id", "x", *carried])
 
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, x binary"), "features")
+    schema = ", ".join(["doc_id long", "x binary", *[f"{c} binary" for c in carried]])
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).mapInArrow(rows, schema), "features")
 
 
 def held_out(key) -> F.Column:
@@ -184,18 +186,20 @@ def train(feats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Networ
     return Network().fit(x, got["quality"].to_numpy(np.int64))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str | None = None) -> DataFrame:
     """Score every row of docs (doc_id, text): doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
     Labels (doc_id, quality) with a null part are skipped; rows of a held-out doc_id never reach the training. A null or
-    empty text scores as a text without words. Without usable labels every score is 0.5. Repeated rows score alike."""
-    feats = features(docs)
+    empty text scores as a text without words. Without usable labels every score is 0.5. Repeated rows score alike.
+    With `key`, a binary column of docs, this is returned too."""
+    carried = [key] if key else []
+    feats = features(docs, key)
     net = docs.sparkSession.sparkContext.broadcast(train(feats, labels))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.value.score(x), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.value.score(x), pa.float64()), *b.columns[2:]], names=["doc_id", "score", *carried])
 
-    scored = feats.mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = feats.mapInArrow(score, ", ".join(["doc_id long", "score double", *[f"{c} binary" for c in carried]]))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carried)

@@ -39,8 +39,8 @@ def _fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long) of every whole text.
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, key: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long) of every whole text, and the binary column `key` if named.
 
     Words are what stands between ASCII white space, A-Z lower-cased; a null text has none, and no words mean zero."""
     small_batches(docs.sparkSession)
@@ -57,9 +57,10 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
                 else:
                     shingles = map(b" ".join, zip(*(w[k:] for k in range(words))))
                 hashes.append(np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_fingerprints(hashes).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_fingerprints(hashes).view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long")
+    carried = [key] if key else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).mapInArrow(rows, ", ".join(["doc_id long", "fp long", *[f"{c} binary" for c in carried]]))
 
 
 def _groups(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,18 +131,19 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, tile_rows: int = 65_536)
     return spread.mapInArrow(compare, "a long, b long").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, key: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fp, component_id (smallest doc_id reachable by links, itself included).
 
     Texts of equal fingerprints count once in the comparison. Rows of null doc_id take part and never name a component
-    that has other doc_ids; repeated rows are repeated; no documents give no rows."""
-    marked = materialize(fingerprints(docs, words), "fingerprints")
+    that has other doc_ids; repeated rows are repeated; no documents give no rows. With `key`, a binary column of docs, this
+    and component are returned too: component differs where groups differ, whatever their doc_ids."""
+    marked = materialize(fingerprints(docs, words, key=key), "fingerprints")
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(fingerprint_links(fps.select("fp"), radius), "simhash")
     joined = fps.join(found, fps["fp"] == found["id"], "left").select("fp", "least", F.coalesce("component", "fp").alias("_c"))
     named = joined.groupBy("_c").agg(F.min("least").alias("component_id"))
-    names = materialize(joined.select("fp", "_c").join(named, "_c").select("fp", "component_id"), "names")
-    return marked.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = materialize(joined.select("fp", "_c").join(named, "_c").select("fp", "component_id", F.col("_c").alias("component")), "names")
+    return marked.join(names, "fp").select("doc_id", "fp", "component_id", *(["component", key] if key else []))
 
 
 def hex64(fp: str) -> F.Column:

@@ -140,6 +140,31 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert sorted(got, key=str) == [1, 5, None]
 
 
+@tables
+def test_near_duplicate_stage_decides_by_row(spark):
+    import corpus_pipeline as p
+
+    near, others = "one two three four", [f"{w} text of its own {w} {w}" for w in ("blue", "green", "red", "white")]
+    rows = [(3, near), (7, near), (7, others[0]), (8, others[1]), (8, others[2]), (None, others[3]), (None, "again a different one"), (None, near), (None, None)]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in p.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([r for r in rows if r not in [(7, near), (None, near)]], key=str)
+
+
+@tables
+def test_quality_stage_decides_by_row(spark):
+    import corpus_pipeline as p
+    from tempora.llm import quality
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).join(docs.select("doc_id", "text"), "doc_id").orderBy("score").collect()
+    bad, good = scores[0].text, scores[-1].text
+    assert scores[0].predicted == 0 and scores[-1].predicted == 1
+    more = spark.createDataFrame([(i, t, None, "odd", None) for i in (None, 10**6) for t in (bad, good)], docs.schema)
+    got = p.drop_low_quality(spark, docs.union(more), SF).where("source = 'odd'").collect()
+    assert sorted([(r.doc_id, r.text) for r in got], key=str) == sorted([(None, good), (10**6, good)], key=str)
+
+
 @tables
 def test_sql(spark):
     duckdb = pytest.importorskip("duckdb")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, put together to batches of about `size` bytes."""
+    held, had = [], 0
+    for b in batches:
+        held.append(b)
+        had += b.nbytes
+        if had >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, had = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, spread: Column, buckets: int) -> DataFrame:
     """Add `name`: gapless ranks from 0 in each group, without one task per group.
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import rangecoder
 from .common import arrow, batch, materialize, scratch, small_batches, write_bytes
-from .tokens import crc, encoder
+from .tokens import crc, encoded
 
 MAGIC = b"TIDF0001"
 END_ID = 2
@@ -51,8 +51,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, keeps_space: bool,
     small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(tokenizer, keeps_space), TaskContext.get()
-        end, schema = np.array([end_id], "<u4").tobytes(), arrow(_MANIFEST)
+        task, schema = TaskContext.get(), arrow(_MANIFEST)
         keys, held, size, seq = [], [], 0, 0
 
         def flush():
@@ -63,9 +62,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, keeps_space: bool,
             keys, held, size, seq = [], [], 0, seq + 1
             return row
 
-        for b in batches:
-            for key, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist())):
-                ids += end
+        for group, texts in encoded(batches, tokenizer, keeps_space, end_id):
+            for key, ids in zip(group, texts):
                 if held and size + len(ids) > 4 * ids_per_file:
                     yield flush()
                 keys.append(key)

@@ -1,122 +1,118 @@
-"""Exact token ids of whole texts by the tokenizers library, with repeated words taken from a bounded cache."""
+"""Exact token ids of whole texts by the tokenizers library, each different word of a group of texts encoded once."""
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Texts of only these characters take the cached path: no combining marks, rare spaces or letters of changing length.
-_PLAIN = re.compile("[!-~¡-¬®-įĲ-ž]+")
-#: Words joined by spaces, each plain, perhaps after a line end.
-_PLAIN_WORDS = re.compile(f"(?: \n?{_PLAIN.pattern})*")
+from .common import grouped
 
+#: Characters of texts that are taken apart: no combining marks, no rare spaces, no letters of changing length.
+_PLAIN = "[!-~¡-¬®-įĲ-ž]"
+#: Letters, perhaps after a blank or line end, and the marks after them. No apostrophe, which may join letters.
+_LETTERS_MARKS = r"^(?P<w>[ \n]?\pL+)(?P<t>[!-&(-/:-@\[-`{-~]*)$"
 #: Words in one call of the library: long calls take it more time a word.
 _TOGETHER = 64
-#: Characters of texts whose words are looked up together.
-_GROUP = 1 << 20
+#: Bytes of texts whose words are looked up together.
+GROUP_BYTES = 16 << 20
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The segments (starts, lengths) of flat, in the order of at, one after another."""
+    own = lengths[at]
+    place = np.repeat(starts[at] - (np.cumsum(own) - own), own)
+    return flat[place + np.arange(len(place))]
 
 
 class Encoder:
-    """encode(text) -> ids as little-endian uint32 bytes, equal to the library's ids of the whole text.
+    """encode(texts) -> ids equal to the library's ids of each whole text.
 
     Both vocabularies split a text before each space that follows a non-space, so a text's ids are those of its
-    blank-separated words one after another. Words are encoded by the library, many in one call, and cached (at most
-    `limit`); a text with other characters or with white space next to white space goes to the library whole."""
+    blank-separated words one after another; a word of letters and marks after them splits once more. So the different
+    words of many texts are found by Arrow, encoded by the library, many in one call, and put together by numpy. A text
+    with other characters, with the string of an added token or, where spaces count, with white space at its ends or
+    next to white space goes to the library whole. Nothing is kept from one call to the next."""
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 900_000):
+    def __init__(self, path: str, keeps_space: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.lib, self.keeps_space, self.limit = Tokenizer.from_file(path), keeps_space, limit
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
-        #: ids of each word; None: the whole text has to go to the library
-        self.words: dict[str, bytes | None] = {"": None if keeps_space else b""}
-        if keeps_space:  # ids whose token starts with a space or line end, as only the first of a word does
-            vocabulary = self.lib.get_vocab(with_added_tokens=True)
-            self.first = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
-            self.first[[i for t, i in vocabulary.items() if t[:1] in ("Ġ", "Ċ")]] = True
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        joined = " " + " ".join(words)
-        if not _PLAIN_WORDS.fullmatch(joined):
-            odd = [w for w in words if not _PLAIN.fullmatch(w[1:] if self.keeps_space and w[:1] == "\n" else w)]
-            self.words.update(dict.fromkeys(odd))
-            words = [w for w in words if w not in self.words]
-        for at in range(0, len(words), _TOGETHER):
-            self._learn_plain(words[at : at + _TOGETHER])
-
-    def _learn_plain(self, words: list[str]) -> None:
-        joined = " " + " ".join(words)
-        long = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        if "\n" in joined:  # it stands before its word instead of the space
-            long -= np.fromiter((w[0] == "\n" for w in words), np.int64, len(words))
-            joined = joined.replace(" \n", "\n")
-        got = self.lib.encode(joined, add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        at = np.append(np.flatnonzero(self.first[ids]), len(ids)) if self.keeps_space else ()
-        if len(at) != len(words) + 1:
-            at = np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(got)), np.cumsum(np.r_[0, long]))
-        at, data = at.tolist(), ids.tobytes()
-        self.words.update(zip(words, [data[4 * i : 4 * j] for i, j in zip(at, at[1:])]))
-
-    def _split(self, text: str) -> tuple[str, list[str]]:
-        """What stands before the first blank, and the blank-separated words after it."""
-        if not self.keeps_space:
-            return "", text.replace("\n", " ").split(" ")
-        words = text.replace("\n", " \n").split(" ")
-        return words.pop(0), words
-
-    def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text, in order. Words of about _GROUP characters of texts are looked up together."""
-        group, size = [], 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= _GROUP:
-                yield from self._encode_group(group)
-                group, size = [], 0
-        yield from self._encode_group(group)
-
-    def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
-        """Texts of known words are joined at once; the unknown words of the others are learnt in one go."""
-        known = self.words
-        if len(known) > self.limit:
-            known.clear()
-            known[""] = None if self.keeps_space else b""
-        out: list[bytes | None] = []
-        later: dict[int, tuple[str, list[str]]] = {}
-        fresh: set[str] = set()
-        for k, text in enumerate(texts):
-            first, rest = self._split(text)
-            if self.keeps_space and (not text or not _PLAIN.fullmatch(first)):
-                out.append(self.whole(text) if text else b"")
-                continue
-            try:
-                out.append(self._joined(text, first, rest))
-            except KeyError:
-                out.append(None)
-                later[k] = first, rest
-                fresh.update(set(rest).difference(known))
-        if fresh:
-            self._learn(list(fresh))
-        for k, (first, rest) in later.items():
-            out[k] = self._joined(texts[k], first, rest)
-        yield from out
-
-    def _joined(self, text: str, first: str, rest: list[str]) -> bytes:
-        try:
-            ids = b"".join(map(self.words.__getitem__, rest))
-        except TypeError:  # a word that isn't plain
-            return self.whole(text)
-        return self.whole(first) + ids if first else ids
-
-    def encode(self, text: str | None) -> bytes:
-        return next(self.encode_many([text]))
+        self.lib, self.keeps_space = Tokenizer.from_file(path), keeps_space
+        self.lowers = "Lowercase" in repr(self.lib.normalizer)
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.plain = f"^{_PLAIN}+(?:[ \n]{_PLAIN}+)*$" if keeps_space else f"^(?:[ \n]|{_PLAIN})*$"
+        # tokens that only the first place of a word can have (space kept), or only the last
+        vocabulary = self.lib.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t[:1] in ("Ġ", "Ċ") if keeps_space else t[-4:] == "</w>")]] = True
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another (a null text has none), and where each one's begin, and the end."""
+        texts = texts.fill_null("")
+        plain = pc.match_substring_regex(texts, self.plain)
+        for content in self.added:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, content)))
+        parts: list[np.ndarray | None] = [None] * len(texts)
+        plain = plain.to_numpy(zero_copy_only=False)
+        ids, ends = self._apart(texts.filter(pa.array(plain)))
+        for k, lo, hi in zip(np.flatnonzero(plain).tolist(), ends.tolist(), ends[1:].tolist()):
+            parts[k] = ids[lo:hi]
+        odd = np.flatnonzero(~plain)
+        for k, own in zip(odd.tolist(), self.whole(texts.take(pa.array(odd)).to_pylist())):
+            parts[k] = own
+        lengths = np.array([len(p) for p in parts], np.int64)
+        return np.concatenate([np.zeros(0, "<u4"), *parts]), np.r_[0, np.cumsum(lengths)]
+
+    def _apart(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.keeps_space:  # each word but a text's first has the white space before it
+            words = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n"), "\x00")
+        else:
+            words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found = words.flatten().dictionary_encode()
+        flat, starts, lengths = self._learn(found.dictionary)
+        at = found.indices.to_numpy()
+        ends = np.r_[0, np.cumsum(lengths[at])]
+        first = np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy())]
+        return _gather(flat, starts, lengths, at), ends[first]
+
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different words: flat, starts, lengths."""
+        split = pc.extract_regex(words, _LETTERS_MARKS)
+        matched = split.is_valid()
+        letters, tails = pc.struct_field(split, "w"), pc.struct_field(split, "t")
+        letters = pc.if_else(matched, pc.utf8_lower(letters) if self.lowers else letters, words).dictionary_encode()
+        tails = pc.fill_null(tails, "").dictionary_encode()
+        together = pc.match_substring_regex(letters.dictionary, "^[ \n]" if self.keeps_space else r"^\pL+$").to_numpy(zero_copy_only=False)
+        joined = self._joined(letters.dictionary.filter(pa.array(together)))
+        single = self.whole(letters.dictionary.filter(pa.array(~together)).to_pylist()) + self.whole(tails.dictionary.to_pylist())
+        n_joined, n_alone = int(together.sum()), int((~together).sum())
+        flat = np.concatenate([joined[0], *single, np.zeros(0, "<u4")])
+        lengths = np.r_[joined[1], [len(x) for x in single]].astype(np.int64)
+        place = np.empty(len(together), np.int64)
+        place[together], place[~together] = np.arange(n_joined), n_joined + np.arange(n_alone)
+        starts = np.cumsum(lengths) - lengths
+        both = np.stack([place[letters.indices.to_numpy()], n_joined + n_alone + tails.indices.to_numpy()], 1)
+        own = lengths[both].sum(1)
+        return _gather(flat, starts, lengths, both.ravel()), np.cumsum(own) - own, own
+
+    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of words that begin (space kept) or end with one token of `edge` each and hold no other."""
+        n = len(words)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(0, n, _TOGETHER), n].astype(np.int32)), words)
+        ids = np.concatenate([np.zeros(0, "<u4"), *self.whole(pc.binary_join(lists, "" if self.keeps_space else " ").to_pylist())])
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != n:
+            alone = self.whole(words.to_pylist())
+            return np.concatenate([np.zeros(0, "<u4"), *alone]), np.array([len(x) for x in alone], np.int64)
+        return ids, np.diff(np.append(at, len(ids)) if self.keeps_space else np.append(-1, at))
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -129,5 +125,13 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return _ENCODERS[path, keeps_space]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], path: str, keeps_space: bool, end_id: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Per group of rows (key, text, ...): the keys, and each text's ids and end_id as little-endian uint32 bytes."""
+    enc, end = encoder(path, keeps_space), np.array([end_id], "<u4").tobytes()
+    for rows in grouped(batches, GROUP_BYTES):
+        ids, ends = enc.encode(rows.column(1))
+        yield rows.column(0).to_pylist(), [ids[lo:hi].tobytes() + end for lo, hi in zip(ends.tolist(), ends[1:].tolist())]
+
+
 def crc(data) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -124,19 +125,35 @@ def test_url_rules(spark, monkeypatch, limit):
     assert len(none) == len(urls) and {(r.rule, r.verdict) for r in none} == {(None, "block")}
 
 
-@pytest.mark.parametrize("name,keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_cached_encoder_equals_the_library(name, keeps):
+def plain_ids(name):
+    """text -> ids as bytes, by the library as it is."""
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokenizer(name))
-    lib.encode_special_tokens = True
-    own = tokens.Encoder(tokenizer(name), keeps, limit=50)
-    texts = [t or "" for t in TEXTS] + ["it's don't we'll", "a\n\nb", "x.\ny", "ÀÉ ßẞ İ", "1,234.5 (x) -y", "\n start", "end \n"]
-    for t in texts + texts[::-1]:
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+    return lambda t: np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+
 
+SPECIAL = ["a b <|endoftext|> c", "<|startoftext|>", "x<|startoftext|>y <|endoftext|>", "a <|endoftext|", "<|ENDOFTEXT|> b"]
+MIXED = ["it's don't we'll", "a\n\nb", "x.\ny", "ÀÉ ßẞ İ", "1,234.5 (x) -y", "\n start", "end \n", "Word word WORD word, Word!?", "\u0149x ß² ½ a", "nul\x00 byte", "l'été d'une", "a\n,b ,c\n'd", "\n", "n\no p\nq"]
 
-@pytest.mark.parametrize("ids", [[], [0], [5] * 10_000, list(range(3000)), "random", "text"])
+
+@pytest.mark.parametrize("name,keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_equals_the_library(monkeypatch, name, keeps):
+    plain, own = plain_ids(name), tokens.Encoder(tokenizer(name), keeps)
+    rng = np.random.default_rng(8)
+    marks = list("aBcé ß1.,'\n-¿ ")
+    drawn = ["".join(rng.choice(marks, int(n))) for n in rng.integers(0, 40, 2000)]
+    texts = [*TEXTS, *SPECIAL, *MIXED, *drawn]
+    for together in (64, 3):
+        monkeypatch.setattr(tokens, "_TOGETHER", together)
+        ids, ends = own.encode(pa.array(texts, pa.string()))
+        for t, lo, hi in zip(texts, ends, ends[1:]):
+            assert ids[lo:hi].tobytes() == plain(t), t
+    assert plain(SPECIAL[0]) == np.array({True: [64, 275, 220, 50256, 269]}.get(keeps) or own.lib.encode(SPECIAL[0], add_special_tokens=False).ids, "<u4").tobytes()
+    assert [x.tolist() for x in own.encode(pa.array([], pa.string()))] == [[], [0]]
+
+
+@pytest.mark.parametrize("ids", [[], [0], [5] * 10_000, list(range(3000)), [2**32 - 1, 0, 2**19, 7] * 900, "random", "text"])
 def test_range_coder_round_trip(ids):
     rng = np.random.default_rng(2)
     if ids == "random":
@@ -163,12 +180,12 @@ def test_blocks_are_independent(monkeypatch):
 
 
 def test_token_files(spark):
-    lib_ids = tokens.Encoder(tokenizer("byte_bpe_50k.json"), True)
-    ids = [*range(len(TEXTS)), None, 5]
-    texts = [*TEXTS, "null id", TEXTS[5]]
-    got = tokenfile.token_files(odd(spark), tokenizer("byte_bpe_50k.json")).collect()
+    plain = plain_ids("byte_bpe_50k.json")
+    ids = [*range(len(TEXTS + SPECIAL)), None, 5]
+    texts = [*TEXTS, *SPECIAL, "null id", TEXTS[5]]
+    got = tokenfile.token_files(docs(spark, texts, ids), tokenizer("byte_bpe_50k.json")).collect()
     end = np.array([2], "<u4").tobytes()
-    parts = {(i, zlib.crc32(lib_ids.whole(t or "") + end), len(lib_ids.whole(t or "")) // 4 + 1) for i, t in zip(ids, texts)}
+    parts = {(i, zlib.crc32(plain(t) + end), len(plain(t)) // 4 + 1) for i, t in zip(ids, texts)}
     assert {(r.doc_id, r.ids_crc32, r.n_tokens) for r in got} == parts and len(got) == len(ids)
     start = 0
     for r in sorted(got, key=lambda r: r.start):
@@ -180,14 +197,14 @@ def test_token_files(spark):
 
 @pytest.mark.parametrize("size,small,groups", [(2048, 384, 1024), (64, 16, 5)])
 def test_packing(spark, size, small, groups):
-    enc = tokens.Encoder(tokenizer("word_bpe_49k.json"), False)
+    plain = plain_ids("word_bpe_49k.json")
     rng = np.random.default_rng(3)
-    texts = TEXTS + [" ".join(rng.choice(["a", "cat", "dog", "house", "tree"], int(n))) for n in rng.integers(0, 150, 400)]
+    texts = TEXTS + SPECIAL + [" ".join(rng.choice(["a", "cat", "dog", "house", "tree"], int(n))) for n in rng.integers(0, 150, 400)]
     df = docs(spark, [*texts, "null id", texts[5]], [*range(len(texts)), None, 5])
     got = packing.pack(df, tokenizer("word_bpe_49k.json"), size=size, small=small, groups=groups).collect()
     want = []
     for i, t in [*enumerate(texts), (None, "null id"), (5, texts[5])]:
-        ids = enc.whole(t or "") + bytes(4)
+        ids = plain(t) + bytes(4)
         n = len(ids) // 4
         want += [(i, p, s, min(size, n - s), zlib.crc32(ids[4 * s : 4 * (s + size)])) for p, s in enumerate(range(0, n, size))]
     assert sorted([(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got], key=str) == sorted(want, key=str)

@@ -8,19 +8,23 @@ into a score; its temperature is fitted on labelled rows kept from the training.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, batch, materialize, small_batches
+from .common import arrow, batch, grouped, small_batches
 
 BUCKETS, DIMS, ACTIVE, WINDOW = 1 << 15, 32, 2, 2
 FEATURES = 2 * DIMS + 2
 #: Labelled rows used at most; a fixed bound, so that training costs the same at every size.
 TRAIN_ROWS = 30_000
+#: Bytes of texts whose words are looked up together.
+GROUP_BYTES = 16 << 20
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _SUMS = ", ".join(f"v{k} long" for k in range(DIMS))
 
@@ -31,25 +35,27 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIMS, (BUCKETS, ACTIVE)), rng.choice([-1.0, 1.0], (BUCKETS, ACTIVE))
 
 
-class _Buckets(dict):
-    """What stands between blanks -> the buckets of its words, by a hash that is the same in every process; bounded."""
-
-    def __missing__(self, blank: str) -> bytes:
-        import xxhash
-
-        b = np.array([xxhash.xxh32_intdigest(w) % BUCKETS for w in _WORD.findall(blank)], np.int32).tobytes()
-        if len(self) < 700_000:
-            self[blank] = b
-        return b
-
-
-_BUCKETS = _Buckets()
-
-
-def buckets_of(text: str | None) -> tuple[np.ndarray, int]:
-    """The buckets of a text's words, and how many different things stand between blanks."""
-    parts = (text or "").split()
-    return np.frombuffer(b"".join(map(_BUCKETS.__getitem__, parts)), np.int32), len(set(parts)) / max(1, len(parts))
+def buckets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of all texts' words, where each text's begin (and the end), and per text the share of different things
+    among those between blanks. What stands between blanks is looked up once for all texts; nothing is kept."""
+    import xxhash
+
+    lists = pc.utf8_split_whitespace(texts.fill_null(""))
+    counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    known = [np.array([xxhash.xxh32_intdigest(w) % BUCKETS for w in _WORD.findall(blank)], np.int32) for blank in found.dictionary.to_pylist()]
+    lengths, at = np.array([len(k) for k in known], np.int64), found.indices.to_numpy().astype(np.int64)
+    starts = np.cumsum(lengths) - lengths
+    ends, first = np.r_[0, np.cumsum(lengths[at])], np.r_[0, np.cumsum(counts)]
+    place = np.repeat(starts[at] - ends[:-1], lengths[at])
+    words = np.concatenate([np.zeros(0, np.int32), *known])[place + np.arange(len(place))]
+    different = np.unique(np.repeat(np.arange(len(counts)), counts) * (len(known) + 1) + at) // (len(known) + 1)
+    # Arrow gives an empty first or last part where a text begins or ends with blanks, and one for an empty text: no thing
+    empty = np.zeros(len(known), np.int64)
+    empty[[k for k, blank in enumerate(found.dictionary.to_pylist()) if not blank]] = 1
+    blanks = np.bincount(np.repeat(np.arange(len(counts)), counts), empty[at], len(counts)).astype(np.int64)
+    n, kinds = counts - blanks, np.bincount(different, minlength=len(counts)) - (blanks > 0)
+    return words, ends[first], kinds / np.maximum(1, n)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,27 +63,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     places, signs = np.vstack([places, np.zeros((1, ACTIVE), np.int64)]), np.vstack([signs, np.zeros((1, ACTIVE))])
     total, seen = np.zeros((BUCKETS + 1) * DIMS), np.zeros(BUCKETS + 1, bool)
-    between = np.full(WINDOW, BUCKETS)  # no word: keeps texts apart
-    held, size = [], 0
-
-    def add() -> None:
-        words = np.concatenate(held).astype(np.int64)
-        seen[words] = True
-        for k in range(1, WINDOW + 1):
-            for to, of in ((words[k:], words[:-k]), (words[:-k], words[k:])):
-                for j in range(ACTIVE):
-                    total[:] += np.bincount(to * DIMS + places[of, j], signs[of, j], len(total))
-
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            words, _ = buckets_of(text)
-            held += [words, between]
-            size += len(words)
-            if size > 2_000_000:
-                add()
-                held, size = [], 0
-    if size:
-        add()
+    for b in grouped(batches, GROUP_BYTES):
+        own, ends, _ = buckets_of(b.column(0))
+        n = len(ends) - 1
+        words = np.full(len(own) + WINDOW * n, BUCKETS)  # no word between texts: it keeps them apart
+        words[np.arange(len(own)) + WINDOW * np.repeat(np.arange(n), np.diff(ends))] = own
+        seen[own] = True
+        for lo in range(0, len(words), 1 << 20):
+            part = words[lo : lo + (1 << 20) + WINDOW]
+            for k in range(1, WINDOW + 1):
+                left, right = part[: min(1 << 20, len(part) - k)], part[k : k + (1 << 20)]
+                for to, of in ((right, left), (left, right)):
+                    for j in range(ACTIVE):
+                        total += np.bincount(to * DIMS + places[of, j], signs[of, j], len(total))
     rows = np.flatnonzero(seen[:BUCKETS])
     got = total.reshape(-1, DIMS)[rows].astype(np.int64)
     yield batch({"bucket": rows, **{f"v{k}": got[:, k] for k in range(DIMS)}}, arrow(f"bucket long, {_SUMS}"))
@@ -96,14 +94,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (own + around / np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pool(text: str | None, vectors: np.ndarray) -> np.ndarray:
-    """The means of a text's word vectors and of their squares (vectors has both), the share of different words, the log length."""
-    at, variety = buckets_of(text)
-    out, n = np.zeros(FEATURES, np.float32), len(at)
-    if n:
-        for lo in range(0, n, 4096):
-            out[: 2 * DIMS] += vectors[at[lo : lo + 4096]].sum(0) / np.float32(n)
-        out[-2], out[-1] = variety, np.log1p(n) / 10
+def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """Per text the means of its word vectors and of their squares (vectors has both), the share of different words, the
+    log length; zeros for a text without words."""
+    words, ends, variety = buckets_of(texts)
+    out = np.zeros((len(texts), FEATURES), np.float32)
+    for k, (lo, hi) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+        if hi > lo:
+            for at in range(lo, hi, 4096):
+                out[k, : 2 * DIMS] += vectors[words[at : min(hi, at + 4096)]].sum(0) / np.float32(hi - lo)
+            out[k, -2], out[k, -1] = variety[k], np.log1p(hi - lo) / 10
     return out
 
 
@@ -157,49 +157,47 @@ class Network:
         return self
 
 
-def features(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """doc_id and pooled features of every whole text, and the binary column `key` if named, as a table in the shared folder."""
-    carried = [key] if key else []
-    small_batches(docs.sparkSession)
-    vectors = word_vectors(docs)
-    vectors = docs.sparkSession.sparkContext.broadcast(np.hstack([vectors, vectors * vectors]))  # BUCKETS x 2 DIMS floats, 8 MB
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([pool(t, vectors.value) for t in b.column(1).to_pylist()], np.float32).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *b.columns[2:]], names=["doc_id", "x", *carried])
-
-    schema = ", ".join(["doc_id long", "x binary", *[f"{c} binary" for c in carried]])
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).mapInArrow(rows, schema), "features")
-
-
 def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(feats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, vectors: Broadcast, rows: int = TRAIN_ROWS) -> Network:
     """Fit on at most `rows` labelled rows that aren't held out: those of the smallest hashes of doc_id."""
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    got = feats.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).select("x", "quality").toPandas()
+
+    @F.arrow_udf("binary")
+    def pooled(texts: pa.Array) -> pa.Array:
+        return pa.array([x.tobytes() for x in pool(texts, vectors.value)], pa.binary())
+
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", pooled("text").alias("x"))
+    got = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "x", "quality").limit(rows).select("x", "quality").toPandas()
     x = np.array([np.frombuffer(b, np.float32) for b in got["x"]]).reshape(-1, FEATURES)
     return Network().fit(x, got["quality"].to_numpy(np.int64))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str | None = None) -> DataFrame:
-    """Score every row of docs (doc_id, text): doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
+def scorer(docs: DataFrame, labels: DataFrame) -> Callable[[Column], Column]:
+    """Learn from all texts of docs (doc_id, text) and the labels (doc_id, quality); give the score as a function of a text column.
+
+    A label with a null part is skipped; rows of a held-out doc_id never reach the training. A null or empty text scores as
+    a text without words. Without usable labels every score is 0.5. Only a text decides: equal texts score alike."""
+    small_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
+    vectors = word_vectors(docs)
+    vectors = context.broadcast(np.hstack([vectors, vectors * vectors]))  # BUCKETS x 2 DIMS floats, 8 MB
+    net = context.broadcast(train(docs, labels, vectors))
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(net.value.score(pool(texts, vectors.value)), pa.float64())
 
-    Labels (doc_id, quality) with a null part are skipped; rows of a held-out doc_id never reach the training. A null or
-    empty text scores as a text without words. Without usable labels every score is 0.5. Repeated rows score alike.
-    With `key`, a binary column of docs, this is returned too."""
-    carried = [key] if key else []
-    feats = features(docs, key)
-    net = docs.sparkSession.sparkContext.broadcast(train(feats, labels))
+    return score
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.value.score(x), pa.float64()), *b.columns[2:]], names=["doc_id", "score", *carried])
 
-    scored = feats.mapInArrow(score, ", ".join(["doc_id long", "score double", *[f"{c} binary" for c in carried]]))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carried)
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Score every row of docs (doc_id, text): doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
+
+    Nulls and missing labels as in `scorer`; other columns are ignored; no documents give no rows."""
+    score = scorer(docs, labels)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score("text").alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

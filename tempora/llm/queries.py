@@ -10,6 +10,8 @@ from .common import table
 
 SHARDS = 40
 QUERY_EVERY, TOP = 50, 5
+#: A document of at least this score is predicted to be good.
+KEPT_SCORE = 0.3
 #: host, path, verdict
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Target shares of sources; the others share REST equally.
@@ -24,7 +26,7 @@ def tokenizer(name: str) -> str:
 
 
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), KEPT_SCORE)
 
 
 def sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import mixing, packing, quality, simhash
 from tempora.llm.common import materialize, table
-from tempora.llm.queries import MIX_REST, MIX_SEED, MIX_SIZE, MIX_WEIGHTS, PACK_END, PACK_SIZE, tokenizer
+from tempora.llm.queries import KEPT_SCORE, MIX_REST, MIX_SEED, MIX_SIZE, MIX_WEIGHTS, PACK_END, PACK_SIZE, tokenizer
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, Column]:
@@ -24,10 +24,8 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, Column]:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go, each row by its own text, whatever its doc_id."""
-    rows, key = keyed(docs)
-    judged = quality.classify(rows, table(spark, sf_dir, "labels"), key="_key")
-    rejected = judged.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.max("predicted").alias("_best")).where("_best = 0")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]) & (key == rejected["_key"]), "left_anti")
+    score = quality.scorer(docs, table(spark, sf_dir, "labels"))
+    return docs.where(score(docs["text"]) >= KEPT_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = simhash.near_duplicates(rows, key="_key").groupBy("component", F.col("doc_id").alias("_id"), "_key").agg(F.count("*").alias("_rows"))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key", "_rows")).alias("_first")).select("_first.*")
     ids = materialize(first, "kept")
-    kept, own = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]) & (key == ids["_key"])), [docs[c] for c in docs.columns]
+    # hashed, not sorted: the side of texts passes by the small side
+    kept, own = docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["_id"]) & (key == ids["_key"])), [docs[c] for c in docs.columns]
     single, repeated = kept.where(ids["_rows"] == 1).select(own), kept.where(ids["_rows"] > 1).select(own)
     return single.union(repeated.dropDuplicates(["doc_id", "text"]))
 

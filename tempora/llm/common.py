@@ -6,9 +6,12 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,45 +51,44 @@ def write_bytes(uri: str, data: bytes) -> None:
     store.move(f"{path}.part", path)
 
 
-def conf(spark: SparkSession, key: str, default: str) -> str:
-    return spark.conf.get(key, default)
+def slices(texts: pa.Array, size: int) -> list[pa.Array]:
+    """Texts in parts of about `size` bytes (a text is never cut); one empty part for no texts."""
+    part = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return [texts.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded by bytes, so that batches of very long texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
-def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The rows of batches, put together to batches of about `size` bytes."""
+def grouped(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of about `size` bytes of the text column, so that work on one is bounded."""
     held, had = [], 0
     for b in batches:
-        held.append(b)
-        had += b.nbytes
-        if had >= size:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, had = [], 0
+        at = 0
+        for part in slices(b.column(column), size):
+            held.append(b.slice(at, len(part)))
+            at, had = at + len(part), had + part.nbytes
+            if had >= size:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, had = [], 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, spread: Column, buckets: int) -> DataFrame:
-    """Add `name`: gapless ranks from 0 in each group, without one task per group.
-
-    Rows of a group are dealt to `buckets` sub-groups by `spread`; ranks run within each, and counts of the
-    sub-groups before it are added. Any order among the rows of a group is legal, `order` holds within a sub-group."""
-    b = df.withColumn("_b", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
-    counts = b.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_b2"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy(*group, "_b").orderBy(*order)
-    out = b.withColumn("_r", F.row_number().over(own) - 1)
-    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_b") == F.col("_b2")]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return out.join(base, on).withColumn(name, (F.col("_r") + F.col("_base")).cast("long")).drop("_b", "_b2", "_r", "_base", "_c", *[f"_g{i}" for i in range(len(group))])
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, spread: Column) -> DataFrame:
+    """Add `name`: gapless ranks from 0 in each of a few thousand groups at most, without one task per group.
+
+    The rows of a group are dealt by `spread` to as many sub-groups as the root of their number, so that neither a
+    sub-group nor the list of them is large; ranks run within each, and counts of the sub-groups before it are added.
+    Any order among the rows of a group is legal, `order` holds within a sub-group."""
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    same = lambda own: reduce(and_, [F.col(g).eqNullSafe(own[f"_g{i}"]) for i, g in enumerate(group)])
+    sizes = df.groupBy(*keys).agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("_n"))
+    b = df.join(F.broadcast(sizes), same(sizes)).withColumn("_b", F.pmod(F.xxhash64(spread), F.col("_n"))).drop("_n", *[f"_g{i}" for i in range(len(group))])
+    counts = b.groupBy(*keys, F.col("_b").alias("_b2")).agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    out = b.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_b").orderBy(*order)) - 1)
+    out = out.join(base, same(base) & (F.col("_b") == F.col("_b2")))
+    return out.withColumn(name, (F.col("_r") + F.col("_base")).cast("long")).drop("_b", "_b2", "_r", "_base", *[f"_g{i}" for i in range(len(group))])
 
 
 def merge_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, batch, components, materialize, merge_labels, small_batches
+from .common import arrow, batch, components, materialize, merge_labels
 
 #: Rows of a bucket or tile that one numpy comparison takes at most (about).
 GROUP, TILE = 256, 512
@@ -435,7 +435,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 8, tabl
     are ignored. More tables than `tables` are taken where a pair at the threshold needs them; RuntimeError if the audit
     stays below `target`."""
     spark = vectors.sparkSession
-    small_batches(spark)
     rows = materialize(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_units, "vec_id long, unit binary"), "units")
     classes = rows.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")

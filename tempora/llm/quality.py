@@ -8,7 +8,8 @@ into a score; its temperature is fitted on labelled rows kept from the training.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, batch, grouped, small_batches
+from .common import arrow, batch, grouped, slices
 
 BUCKETS, DIMS, ACTIVE, WINDOW = 1 << 15, 32, 2, 2
 FEATURES = 2 * DIMS + 2
@@ -26,6 +27,7 @@ TRAIN_ROWS = 30_000
 #: Bytes of texts whose words are looked up together.
 GROUP_BYTES = 16 << 20
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+_LETTERS_MARKS = r"^(?P<w>\pL+)(?P<t>[!-/:-@\[-^`{-~]*)$"
 _SUMS = ", ".join(f"v{k} long" for k in range(DIMS))
 
 
@@ -35,27 +37,43 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIMS, (BUCKETS, ACTIVE)), rng.choice([-1.0, 1.0], (BUCKETS, ACTIVE))
 
 
-def buckets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The buckets of all texts' words, where each text's begin (and the end), and per text the share of different things
-    among those between blanks. What stands between blanks is looked up once for all texts; nothing is kept."""
-    import xxhash
-
+def buckets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of all texts' words; where each text's begin, and the end; and of what stands between blanks a number
+    for each different thing, and where each text's begin. A thing is looked up once for all texts; nothing is kept."""
     lists = pc.utf8_split_whitespace(texts.fill_null(""))
-    counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
     found = lists.flatten().dictionary_encode()
-    known = [np.array([xxhash.xxh32_intdigest(w) % BUCKETS for w in _WORD.findall(blank)], np.int32) for blank in found.dictionary.to_pylist()]
-    lengths, at = np.array([len(k) for k in known], np.int64), found.indices.to_numpy().astype(np.int64)
+    known, lengths = _hashed(found.dictionary)
+    at = found.indices.to_numpy().astype(np.int64)
+    own = lengths[at]
+    ends, first = np.r_[0, np.cumsum(own)], np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))]
+    place = np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], own)
+    return known[place + np.arange(len(place))], ends[first], at, first
+
+
+def _hashed(things: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the words of each thing, one after another, and how many each has. Letters with marks after them
+    are two words; other things are taken apart one by one."""
+    split = pc.extract_regex(things, _LETTERS_MARKS)
+    simple = split.is_valid().to_numpy(zero_copy_only=False)
+    two = split.filter(pa.array(simple))
+    tails = pc.struct_field(two, "t").dictionary_encode()
+    marked = pc.greater(pc.binary_length(pc.struct_field(two, "t")), 0).to_numpy(zero_copy_only=False)
+    odd = list(map(_WORD.findall, things.filter(pa.array(~simple)).to_pylist()))
+    lengths = np.empty(len(things), np.int64)
+    lengths[simple], lengths[~simple] = 1 + marked, np.fromiter(map(len, odd), np.int64, len(odd))
     starts = np.cumsum(lengths) - lengths
-    ends, first = np.r_[0, np.cumsum(lengths[at])], np.r_[0, np.cumsum(counts)]
-    place = np.repeat(starts[at] - ends[:-1], lengths[at])
-    words = np.concatenate([np.zeros(0, np.int32), *known])[place + np.arange(len(place))]
-    different = np.unique(np.repeat(np.arange(len(counts)), counts) * (len(known) + 1) + at) // (len(known) + 1)
-    # Arrow gives an empty first or last part where a text begins or ends with blanks, and one for an empty text: no thing
-    empty = np.zeros(len(known), np.int64)
-    empty[[k for k, blank in enumerate(found.dictionary.to_pylist()) if not blank]] = 1
-    blanks = np.bincount(np.repeat(np.arange(len(counts)), counts), empty[at], len(counts)).astype(np.int64)
-    n, kinds = counts - blanks, np.bincount(different, minlength=len(counts)) - (blanks > 0)
-    return words, ends[first], kinds / np.maximum(1, n)
+    known = np.empty(int(lengths.sum()), np.int32)
+    known[starts[simple]] = _buckets(pc.struct_field(two, "w").to_pylist())
+    known[starts[simple][marked] + 1] = _buckets(tails.dictionary.to_pylist())[tails.indices.to_numpy()[marked]]
+    rest = lengths[~simple]
+    known[np.repeat(starts[~simple] - (np.cumsum(rest) - rest), rest) + np.arange(rest.sum())] = _buckets(chain.from_iterable(odd))
+    return known, lengths
+
+
+def _buckets(words: Iterable[str]) -> np.ndarray:
+    from xxhash import xxh32_intdigest
+
+    return (np.fromiter(map(xxh32_intdigest, words), np.uint32) % np.uint32(BUCKETS)).astype(np.int32)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +81,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     places, signs = np.vstack([places, np.zeros((1, ACTIVE), np.int64)]), np.vstack([signs, np.zeros((1, ACTIVE))])
     total, seen = np.zeros((BUCKETS + 1) * DIMS), np.zeros(BUCKETS + 1, bool)
-    for b in grouped(batches, GROUP_BYTES):
-        own, ends, _ = buckets_of(b.column(0))
+    for b in grouped(batches, 0, GROUP_BYTES):
+        own, ends, _, _ = buckets_of(b.column(0))
         n = len(ends) - 1
         words = np.full(len(own) + WINDOW * n, BUCKETS)  # no word between texts: it keeps them apart
         words[np.arange(len(own)) + WINDOW * np.repeat(np.arange(n), np.diff(ends))] = own
@@ -95,15 +113,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Per text the means of its word vectors and of their squares (vectors has both), the share of different words, the
-    log length; zeros for a text without words."""
-    words, ends, variety = buckets_of(texts)
+    """Per text the means of its word vectors and of their squares (vectors has both), the share of different things
+    between blanks, the log length; zeros for a text without words."""
+    words, ends, things, first = buckets_of(texts)
     out = np.zeros((len(texts), FEATURES), np.float32)
-    for k, (lo, hi) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
-        if hi > lo:
-            for at in range(lo, hi, 4096):
-                out[k, : 2 * DIMS] += vectors[words[at : min(hi, at + 4096)]].sum(0) / np.float32(hi - lo)
-            out[k, -2], out[k, -1] = variety[k], np.log1p(hi - lo) / 10
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        lo, hi = int(ends[k]), int(ends[k + 1])
+        for at in range(lo, hi, 4096):
+            out[k, : 2 * DIMS] += vectors[words[at : min(hi, at + 4096)]].sum(0) / np.float32(hi - lo)
+        own = np.sort(things[first[k] : first[k + 1]])
+        out[k, -2], out[k, -1] = (1 + np.count_nonzero(np.diff(own))) / len(own), np.log1p(hi - lo) / 10
     return out
 
 
@@ -168,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: Broadcast, rows: int = TR
 
     @F.arrow_udf("binary")
     def pooled(texts: pa.Array) -> pa.Array:
-        return pa.array([x.tobytes() for x in pool(texts, vectors.value)], pa.binary())
+        return pa.array([x.tobytes() for part in slices(texts, GROUP_BYTES) for x in pool(part, vectors.value)], pa.binary())
 
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", pooled("text").alias("x"))
     got = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "x", "quality").limit(rows).select("x", "quality").toPandas()
@@ -181,7 +200,6 @@ def scorer(docs: DataFrame, labels: DataFrame) -> Callable[[Column], Column]:
 
     A label with a null part is skipped; rows of a held-out doc_id never reach the training. A null or empty text scores as
     a text without words. Without usable labels every score is 0.5. Only a text decides: equal texts score alike."""
-    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     vectors = word_vectors(docs)
     vectors = context.broadcast(np.hstack([vectors, vectors * vectors]))  # BUCKETS x 2 DIMS floats, 8 MB
@@ -189,7 +207,7 @@ def scorer(docs: DataFrame, labels: DataFrame) -> Callable[[Column], Column]:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(net.value.score(pool(texts, vectors.value)), pa.float64())
+        return pa.array(np.concatenate([net.value.score(pool(part, vectors.value)) for part in slices(texts, GROUP_BYTES)]), pa.float64())
 
     return score
 

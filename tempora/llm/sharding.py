@@ -74,7 +74,7 @@ def assign(sizes: dict[int, int], shards: int) -> dict[int, int]:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 48, sample: int = 60_000, rounds: int = 4, bucket_rows: int = 50_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 48, sample: int = 60_000, rounds: int = 4) -> DataFrame:
     """Every row of docs (doc_id, text) to a shard: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard).
 
     Equal texts share a shard, unless their group has half a shard's bytes or more: such a hot group is divided, as
@@ -110,7 +110,7 @@ def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 48, sample:
         return pd.Series(table[part.to_numpy(np.int64)])
 
     put = placed.withColumn("shard", to_shard("part")).select("doc_id", "size", "text_crc32", "shard", "key", "row")
-    return ranked(put, ["shard"], [F.col("key"), F.col("row")], "slot", F.struct("key", "row"), max(1, -(-n // (shards * bucket_rows)))).select("doc_id", "size", "text_crc32", "shard", "slot")
+    return ranked(put, ["shard"], [F.col("key"), F.col("row")], "slot", F.col("row")).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def _part_of(drawn: pd.DataFrame, splits: list[tuple[int, int]]) -> np.ndarray:

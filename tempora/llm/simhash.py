@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, batch, components, materialize, merge_labels, small_batches
+from .common import arrow, batch, components, grouped, materialize, merge_labels
 
+#: Bytes of texts whose fingerprints are taken together.
+GROUP_BYTES = 8 << 20
 _LOW = np.uint64(0x0101010101010101)
 
 
@@ -43,12 +45,11 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, key: str | Non
     """doc_id, fp (the fingerprint's 64 bits as a signed long) of every whole text, and the binary column `key` if named.
 
     Words are what stands between ASCII white space, A-Z lower-cased; a null text has none, and no words mean zero."""
-    small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for b in batches:
+        for b in grouped(batches, 1, GROUP_BYTES):
             hashes = []
             for text in b.column(1).to_pylist():
                 w = (text or "").encode().lower().split()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import arrow, batch, materialize, scratch, small_batches, write_bytes
+from .common import arrow, batch, materialize, scratch, write_bytes
 from .tokens import crc, encoded
 
 MAGIC = b"TIDF0001"
@@ -48,7 +48,6 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, keeps_space: bool,
 
     A null or empty text has only the end id; repeated rows are repeated documents; other columns are ignored. A task
     that is run again writes files of other names, and the manifest names only those of the tasks that counted."""
-    small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, schema = TaskContext.get(), arrow(_MANIFEST)

@@ -128,7 +128,7 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, keeps_space: bool, end_id: int) -> Iterator[tuple[list, list[bytes]]]:
     """Per group of rows (key, text, ...): the keys, and each text's ids and end_id as little-endian uint32 bytes."""
     enc, end = encoder(path, keeps_space), np.array([end_id], "<u4").tobytes()
-    for rows in grouped(batches, GROUP_BYTES):
+    for rows in grouped(batches, 1, GROUP_BYTES):
         ids, ends = enc.encode(rows.column(1))
         yield rows.column(0).to_pylist(), [ids[lo:hi].tobytes() + end for lo, hi in zip(ends.tolist(), ends[1:].tolist())]
 

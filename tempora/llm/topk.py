@@ -1,11 +1,12 @@
 """Operator 6: exact top-k inner products by no-random-access aggregation over sorted lists.
 
-Vectors become integers and are packed into blocks of bounded size, queries likewise. For a block of vectors every
-dimension is a list sorted by value; a query reads each list from the end its sign favours, a stretch of entries at a
-time. What it has read of a vector gives a lower bound of its score (unread parts at their list's minimum) and an upper
-bound (unread parts at the value read last). Reading ends when neither an unread vector nor a read one outside the
-candidates can reach the k-th lower bound; the candidates' scores are then resolved exactly. Blocks' top k are merged by
-Spark. Each block meets each block of queries once; no pair of single rows is ever a row."""
+Vectors become whole numbers and are dealt to blocks of bounded size, queries likewise. For a block of vectors every
+dimension is a sorted list; all queries of a block read each list from the end their sign favours, a stretch at a time.
+What is read of a vector gives a lower bound of its score (unread parts at their list's end) and an upper bound (unread
+parts at the value read last). The bar of a query is its k-th score so far, at first its k-th lower bound: reading stops
+when few enough vectors, read or not, can still reach it, and those scores are resolved exactly. A task carries its
+queries' bars from block to block, and a first block that all queries read gives every task a bar to begin with. Each
+block meets each block of queries once, by an equi-join; no pair of single rows is ever a row."""
 
 from __future__ import annotations
 
@@ -18,105 +19,153 @@ from pyspark.sql import functions as F
 
 from .common import arrow, batch, materialize
 
-#: Scaled components are held to this, so that sums of up to 2**9 products fit 64 bits.
-LARGEST = 1 << 26
-#: Share of each list that is read between two looks at the bounds.
-STRETCH = 1 / 8
+#: Shares of each list that are read at a look at the bounds.
+LOOKS = (1 / 4, 1 / 2, 5 / 8, 3 / 4, 1)
+#: Components from here on are refused: bounds of their products could overflow a double.
+LARGEST = 1e150
 _BLOCK = "block long, n long, dims long, ids binary, known binary, rows binary, x binary"
 _FOUND = "query_row long, query_id long, vec_id long, row long, score long"
+_LONG = 1 << 63
 
 
-def _integers(lists: pa.Array, scale: float) -> np.ndarray:
-    """floor(scale * x) of every vector; shorter ones are filled with zeros."""
+def _numbers(lists: pa.Array, scale: float) -> np.ndarray:
+    """floor(scale * x) of every vector, as doubles that hold these whole numbers exactly; shorter ones end in zeros."""
     lengths = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int32)
-    inside = np.arange(out.shape[1])[None, :] < lengths[:, None]
-    out[inside] = np.clip(np.floor(scale * flat), -LARGEST, LARGEST)
+    flat = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    if np.abs(flat).max(initial=0) > LARGEST:
+        raise ValueError(f"components above {LARGEST} have no inner product here")
+    out = np.zeros((len(lengths), int(lengths.max(initial=0))))
+    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = flat
     return out
 
 
-def blocks(vectors: DataFrame, scale: float, rows: int) -> DataFrame:
-    """vectors (row, vec_id, embedding) of finite components, packed into blocks of at most `rows`."""
+def blocks(vectors: DataFrame, count: int, scale: float) -> DataFrame:
+    """vectors (row, vec_id, embedding) of finite components, dealt to `count` blocks by their row."""
+    members = vectors.groupBy(F.pmod(F.xxhash64("row"), F.lit(count)).alias("block")).agg(F.collect_list(F.struct("row", "vec_id", "embedding")).alias("members"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(_BLOCK)
-        from pyspark import TaskContext
-
-        first, seq = TaskContext.get().partitionId() << 32, 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                b = whole.slice(at, rows)
-                ids = b.column("vec_id")
-                x = _integers(b.column("embedding"), scale)
-                yield batch({"block": [first + seq], "n": [len(x)], "dims": [x.shape[1]], "ids": [ids.fill_null(0).to_numpy().astype("<i8").tobytes()], "known": [ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], "rows": [b.column("row").to_numpy().astype("<i8").tobytes()], "x": [x.astype("<i4").tobytes()]}, schema)
-                seq += 1
-
-    return vectors.select("row", "vec_id", "embedding").mapInArrow(packed, _BLOCK)
-
-
-class _Lists:
-    """The sorted lists of one block: per dimension its rows by ascending value, and each row's rank."""
-
-    def __init__(self, x: np.ndarray):
-        self.x, (self.n, self.dims) = x, x.shape
-        self.order = np.ascontiguousarray(np.argsort(x.T, axis=1, kind="stable"))
-        self.value = np.take_along_axis(x.T, self.order, 1).astype(np.float64)
-        self.rank = np.empty_like(self.order)
-        np.put_along_axis(self.rank, self.order, np.arange(self.n)[None, :], 1)
-
-    def candidates(self, q: np.ndarray, k: int, skip: int) -> np.ndarray:
-        """Rows among which are the k of the highest scores of q, all ties of the last one included, without row skip."""
-        used = np.flatnonzero(q)
-        if not len(used) or self.n <= k + 1:
-            return np.flatnonzero(np.arange(self.n) != skip)
-        w = q[used].astype(np.float64)
-        up = w > 0
-        ends = self.value[used][:, [0, -1]] * w[:, None]
-        least = ends.min(1)  # what an unread part has at least
-        gain = np.zeros(self.n)
-        depth, step = 0, max(1, int(self.n * STRETCH))
-        while depth < self.n:
-            to = min(self.n, depth + step)
-            for sign, dims in ((True, used[up]), (False, used[~up])):
-                if len(dims):
-                    a, b = (self.n - to, self.n - depth) if sign else (depth, to)
-                    gained = self.value[dims, a:b] * q[dims, None] - least[up == sign][:, None]
-                    gain += np.bincount(self.order[dims, a:b].ravel(), gained.ravel(), self.n)
-            depth = to
-            now = np.where(up, self.value[used, self.n - depth], self.value[used, depth - 1]) * w
-            low = least.sum() + gain
-            if skip >= 0:
-                low[skip] = -np.inf
-            bar = np.partition(low, self.n - k)[self.n - k]
-            if depth < self.n and now.sum() >= bar:
-                continue  # an unread vector may still qualify
-            ranks = self.rank[used]
-            read = np.where(up[:, None], ranks >= self.n - depth, ranks < depth)
-            high = low + (now - least) @ ~read
-            may = np.flatnonzero(high >= bar)
-            if len(may) <= max(4 * k, self.n // 64) or depth == self.n:
-                return may
-        raise AssertionError("lists end with a return")
-
-
-def _best(lists: _Lists, ids: np.ndarray, known: np.ndarray, rows: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and exact scores of a block's k best for q, by score, then vec_id (null last), then row."""
-    skip = np.flatnonzero(rows == own)
-    at = lists.candidates(q, k, int(skip[0]) if len(skip) else -1)
-    score = lists.x[at].astype(np.int64) @ q.astype(np.int64)
-    pick = np.lexsort((rows[at], ids[at], ~known[at], -score))[:k]
-    return at[pick], score[pick]
-
-
-def search(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0, block_rows: int = 4096, query_rows: int = 512) -> DataFrame:
+        for b in batches:
+            for k in range(b.num_rows):
+                own = b.column("members")[k].values
+                ids, x = own.field("vec_id"), _numbers(own.field("embedding"), scale)
+                yield batch({"block": [b.column("block")[k].as_py()], "n": [len(x)], "dims": [x.shape[1]], "ids": [ids.fill_null(0).to_numpy().astype("<i8").tobytes()], "known": [ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], "rows": [own.field("row").to_numpy().astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()]}, schema)
+
+    return members.mapInArrow(packed, _BLOCK)
+
+
+class Block:
+    """One row of `blocks`: vectors, and per dimension its list of values in ascending order."""
+
+    def __init__(self, row: dict):
+        self.x = np.frombuffer(row["x"], "<f8").reshape(row["n"], row["dims"])
+        self.ids, self.rows = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["rows"], "<i8")
+        self.known = np.frombuffer(row["known"], np.uint8) == 1
+
+    def widened(self, dims: int) -> np.ndarray:
+        """Its vectors with at least `dims` components."""
+        n, d = self.x.shape
+        return self.x if d >= dims else np.hstack([self.x, np.zeros((n, dims - d))])
+
+
+def candidates(x: np.ndarray, q: np.ndarray, bar: np.ndarray, skip: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) that hold all whose product reaches the query's bar and, of these, the k best of each query.
+
+    bar is raised to the k-th lower bound where it is -inf. skip[i] is the vector that query i may not have, or -1."""
+    n, d = x.shape
+    values = np.sort(x, axis=0)
+    low_end, high_end = values[0], values[-1]
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    slack = (np.abs(q) @ np.maximum(np.abs(low_end), np.abs(high_end))) * (d + 4) * 2.0**-51  # sums of doubles err by less
+    active = np.flatnonzero(up @ high_end + down @ low_end + slack >= bar)  # nothing read yet
+    got_q, got_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for share in LOOKS:
+        if not len(active):
+            break
+        read = max(1, int(n * share))
+        from_top, from_bottom = values[n - read], values[read - 1]
+        a, b = up[active], down[active]
+        high = a @ np.maximum(x, from_top).T + b @ np.minimum(x, from_bottom).T
+        own = np.flatnonzero(skip[active] >= 0)
+        high[own, skip[active][own]] = -np.inf
+        open_ = np.flatnonzero(np.isneginf(bar[active]))
+        if len(open_) and n > k + 1:
+            low = a[open_] @ np.where(x >= from_top, x, low_end).T + b[open_] @ np.where(x <= from_bottom, x, high_end).T
+            low[np.isneginf(high[open_])] = -np.inf
+            least = np.partition(low, n - k, axis=1)[:, n - k] - slack[active][open_]
+        else:
+            least = bar[active][open_]
+        reach = bar[active].copy()
+        reach[open_] = least
+        may = (high >= (reach - slack[active])[:, None]) & (high > -np.inf)
+        done = (may.sum(1) <= max(4 * k, n // 64)) | (read == n)
+        i, j = np.nonzero(may[done])
+        got_q.append(active[done][i])
+        got_x.append(j)
+        active = active[~done]
+    return np.concatenate(got_q), np.concatenate(got_x)
+
+
+def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Row-wise inner products as longs; what is below them counts as the least long, what is above is an error."""
+    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1]) < 2.0**53:
+        return np.einsum("ij,ij->i", x, q).astype(np.int64)
+    sums = [sum(int(s) * int(t) for s, t in zip(u, v)) for u, v in zip(x.tolist(), q.tolist())]
+    if max(sums, default=0) >= _LONG:
+        raise ValueError(f"an inner product of {max(sums)} is beyond a long")
+    return np.array([max(s, -_LONG) for s in sums], np.int64)
+
+
+class Best:
+    """The best k of each query of a block of queries, among the blocks met so far."""
+
+    def __init__(self, queries: Block, k: int, bar: np.ndarray):
+        self.queries, self.k, self.bar = queries, k, bar
+        none = np.zeros(0, np.int64)
+        self.at, self.score, self.ids, self.rows, self.known = none, none, none, none, none == 1
+
+    def meet(self, block: Block) -> None:
+        dims = max(1, block.x.shape[1], self.queries.x.shape[1])
+        x, q = block.widened(dims), self.queries.widened(dims)
+        order = np.argsort(block.rows)
+        place = np.minimum(np.searchsorted(block.rows[order], self.queries.rows), len(order) - 1)
+        skip = np.where(block.rows[order][place] == self.queries.rows, order[place], -1)
+        i, j = candidates(x, q, self.bar, skip, self.k)
+        scores = [_exact(x[j[lo : lo + 65_536]], q[i[lo : lo + 65_536]]) for lo in range(0, len(i), 65_536)]
+        self.add(i, np.concatenate([np.zeros(0, np.int64), *scores]), block.ids[j], block.rows[j], block.known[j])
+
+    def add(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray, known: np.ndarray) -> None:
+        """Keep each query's k best by score, then vec_id (null last), then row; its k-th score is its bar."""
+        at, score, ids, rows, known = (np.r_[had, new] for had, new in ((self.at, at), (self.score, score), (self.ids, ids), (self.rows, rows), (self.known, known)))
+        order = np.lexsort((rows, ids, ~known, ~score, at))  # ~score is -score - 1, which no long overflows
+        own = at[order]
+        first = np.searchsorted(own, own, "left")
+        keep = order[np.arange(len(own)) - first < self.k]
+        self.at, self.score, self.ids, self.rows, self.known = at[keep], score[keep], ids[keep], rows[keep], known[keep]
+        last = np.flatnonzero(np.bincount(self.at, minlength=len(self.bar)) == self.k)
+        if len(last):
+            kth = self.score[np.searchsorted(self.at, last, "right") - 1]
+            self.bar[last] = np.maximum(self.bar[last], np.nextafter(kth.astype(np.float64), -np.inf))
+
+    def found(self) -> pa.RecordBatch:
+        if (self.score == -_LONG).any():
+            raise ValueError("an inner product is below a long")
+        queries = self.queries
+        return batch({"query_row": queries.rows[self.at], "query_id": queries.ids[self.at], "vec_id": pa.array(self.ids, pa.int64(), mask=~self.known), "row": self.rows, "score": self.score}, arrow(_FOUND))
+
+
+def search(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0, block_rows: int = 4096, query_rows: int = 512, chunk_blocks: int = 8, tasks: int = 20_000) -> DataFrame:
     """The k highest integer inner products of each query row of vectors (vec_id, embedding): query_id, rank, vec_id, score.
 
-    `query` is a condition on vectors' columns that marks the queries. Components are floor(scale * x), held to LARGEST.
+    `query` is a condition on vectors' columns that marks the queries. Components are floor(scale * x), products and sums
+    exact at any size; a score among the k highest that a long can't hold, or a component above LARGEST, is a ValueError.
     Vectors that are null or hold null, NaN or infinite components take no part; an empty vector, or a missing last
     component, counts as zeros. A row is never its own match, but rows of equal vec_id or equal vectors match each
     other; equal scores rank by smaller vec_id, null vec_ids last. With fewer than k other rows all are returned; no
-    queries give no rows. Other columns are ignored."""
+    queries give no rows. Other columns are ignored.
+
+    A block holds about block_rows vectors or query_rows queries. Blocks of vectors form chunks of about chunk_blocks, and
+    a task compares one block of queries with one chunk (or several, beyond `tasks`)."""
     spark = vectors.sparkSession
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(query, F.lit(False)).alias("is_query")).where(finite)
@@ -124,37 +173,43 @@ def search(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0,
     n, n_queries = own.agg(F.count("*"), F.count_if("is_query")).first()
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(block_rows, query_rows)))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
-    try:
-        data = materialize(blocks(own.repartition(-(-n // block_rows)), scale, block_rows), "blocks")
-        asked = materialize(blocks(own.where("is_query").repartition(-(-n_queries // query_rows)), scale, query_rows), "queries")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
-    # which blocks of queries there are: one number for query_rows rows
-    numbers = asked.agg(F.array_sort(F.collect_list("block")).alias("to"))
-    pairs = data.select("block").crossJoin(F.broadcast(numbers)).select("block", F.explode("to").alias("q_block"))
-    met = pairs.join(data, "block").join(asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns]), "q_block")
-    spread = met.repartition(F.xxhash64("block", "q_block"))
+    n_blocks, n_asked = -(-n // block_rows), -(-n_queries // query_rows)
+    chunks = -(-n_blocks // chunk_blocks)
+    data = materialize(blocks(own, n_blocks, scale), "blocks")
+    asked = blocks(own.where("is_query"), n_asked, scale)
+    first = spark.sparkContext.broadcast(data.orderBy("block").first().asDict())  # one block
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's bar after the first block."""
+        block = Block(first.value)
+        for b in batches:
+            bars = []
+            for row in b.to_pylist():
+                best = Best(Block(row), k, np.full(row["n"], -np.inf))
+                best.meet(block)
+                bars.append(best.bar.tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bars, pa.binary())], names=[*b.schema.names, "bar"])
+
+    asked = materialize(asked.mapInArrow(start, f"{_BLOCK}, bar binary"), "queries")
+    # every block of queries goes to every chunk, every block of vectors to every block of queries: one task's work is a key
+    at = lambda stop: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stop - 1).cast("long")))
+    left = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], at(chunks).alias("_chunk"))
+    right = data.withColumn("_chunk", F.pmod(F.xxhash64("block"), F.lit(chunks))).withColumn("_to", at(n_asked))
+    parts = min(tasks, chunks * n_asked)
+    met = right.repartition(parts, "_to", "_chunk").join(left.repartition(parts, "q_block", "_chunk").hint("shuffle_hash"), (right["_to"] == left["q_block"]) & (right["_chunk"] == left["_chunk"]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow(_FOUND)
+        best: dict[int, Best] = {}  # k entries a query of the task
         for b in batches:
-            for r in range(b.num_rows):
-                get = lambda c, kind: np.frombuffer(b.column(c)[r].as_py(), kind)  # noqa: B023, E731
-                (n, d), (qn, qd) = (tuple(b.column(f"{p}{c}")[r].as_py() for c in ("n", "dims")) for p in ("", "q_"))
-                dims = max(1, d, qd)
-                x, q = np.zeros((n, dims), np.int32), np.zeros((qn, dims), np.int32)
-                x[:, :d], q[:, :qd] = get("x", "<i4").reshape(n, d), get("q_x", "<i4").reshape(qn, qd)
-                ids, known, rows = get("ids", "<i8"), get("known", np.uint8) == 1, get("rows", "<i8")
-                lists, out = _Lists(x), []
-                for query_row, query_id, v in zip(get("q_rows", "<i8").tolist(), get("q_ids", "<i8").tolist(), q):
-                    at, score = _best(lists, ids, known, rows, v, query_row, k)
-                    out.append((np.full(len(at), query_row), np.full(len(at), query_id), at, score))
-                query_row, query_id, at, score = (np.concatenate(c).astype(np.int64) for c in zip(*out))
-                yield batch({"query_row": query_row, "query_id": query_id, "vec_id": pa.array(ids[at], pa.int64(), mask=~known[at]), "row": rows[at], "score": score}, schema)
-
-    found = spread.mapInArrow(compare, _FOUND)
+            for k_ in range(b.num_rows):
+                row = b.slice(k_, 1).to_pylist()[0]
+                asks = row["q_block"]
+                if asks not in best:
+                    best[asks] = Best(Block({c[2:]: v for c, v in row.items() if c[:2] == "q_"}), k, np.frombuffer(row["q_bar"], np.float64).copy())
+                best[asks].meet(Block(row))
+        for one in best.values():
+            yield one.found()
+
+    found = met.select(*data.columns, *[c for c in left.columns if c != "_chunk"]).mapInArrow(compare, _FOUND)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

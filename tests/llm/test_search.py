@@ -1,5 +1,9 @@
 """Operators 4 and 6 against brute force, with odd vectors."""
 
+import math
+from fractions import Fraction
+from operator import mul
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -137,31 +141,59 @@ def test_no_vectors(spark):
     assert sorted(map(tuple, alone)) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-@pytest.mark.parametrize("block_rows,query_rows,k", [(4096, 512, 5), (16, 7, 5), (1, 1, 2), (40, 50, 1000)])
-def test_top_products(spark, block_rows, query_rows, k):
-    rows = odd_vectors(2, 90)
-    got = {}
-    for r in topk.search(table(spark, rows), F.col("vec_id") % 10 == 0, k, block_rows=block_rows, query_rows=query_rows).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    ints = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if usable(v, True)]
+def brute_top(rows, k, is_query):
+    ints = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows if usable(v, True)]
     d = max(len(v) for _, v in ints)
-    ints = [(i, np.pad(v, (0, d - len(v)))) for i, v in ints]
+    ints = [(i, v + [0] * (d - len(v))) for i, v in ints]
     want = {}
     for q, (qid, qv) in enumerate(ints):
-        if qid is not None and qid % 10 == 0:
-            best = sorted((-int(qv @ v), i is None, i or 0) for p, (i, v) in enumerate(ints) if p != q)[:k]
+        if qid is not None and is_query(qid):
+            best = sorted((-sum(map(mul, qv, v)), i is None, i or 0) for p, (i, v) in enumerate(ints) if p != q)[:k]
             want.setdefault(qid, []).extend((n, None if none else i, -s) for n, (s, none, i) in enumerate(best, 1))
-    key = lambda x: (x[0], str(x[1]), x[2])
-    assert {q: sorted(v, key=key) for q, v in got.items()} == {q: sorted(v, key=key) for q, v in want.items()}
+    return {q: sorted(v, key=str) for q, v in want.items()}
+
+
+def found_top(df, condition, k, **sizes):
+    got = {}
+    for r in topk.search(df, condition, k, **sizes).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(v, key=str) for q, v in got.items()}
+
+
+@pytest.mark.parametrize("block_rows,query_rows,k,chunk", [(4096, 512, 5, 8), (16, 7, 5, 2), (1, 4, 2, 40), (40, 50, 1000, 1)])
+def test_top_products(spark, block_rows, query_rows, k, chunk):
+    rows = odd_vectors(2, 90)
+    got = found_top(table(spark, rows), F.col("vec_id") % 10 == 0, k, block_rows=block_rows, query_rows=query_rows, chunk_blocks=chunk, tasks=6)
+    assert got == brute_top(rows, k, lambda i: i % 10 == 0)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_top_products_of_large_components(spark, kind):
+    """Products far above 2**53, whose order single steps decide; a score beyond a long is an error."""
+    rows = [(1, [1e6, 1.0]), (2, [2e6, 1.0]), (3, [2e6, 1.0 + 2**-8]), (4, [2e6, 1.0]), (5, [-1e6, 3.0]), (6, [0.0, 2.0**20])]
+    rows += [(i, [2e6 - i, float(i)]) for i in range(7, 40)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    for sizes in ({}, {"block_rows": 4, "query_rows": 3, "chunk_blocks": 2}):
+        assert found_top(df, F.lit(True), 5, **sizes) == brute_top(rows, 5, lambda i: True)
+    assert {r.score for r in topk.search(df.where("vec_id < 3"), F.lit(True)).collect()} == {131072000000065536}
+    far = spark.createDataFrame([(1, [1e9]), (2, [1e9])], f"vec_id long, embedding array<{kind}>")
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.search(far, F.lit(True)).collect()
 
 
 def test_bounds_stop_early_without_losing_any():
     rng = np.random.default_rng(3)
-    x = rng.integers(-40, 40, (3000, 16)).astype(np.int32)
+    x = rng.integers(-40, 40, (3000, 16)).astype(np.float64)
     x[:, 0] = rng.permutation(3000)  # one list decides
-    lists = topk._Lists(x)
-    q = np.array([50] + [1] * 15)
-    some = lists.candidates(q, 5, 7)
-    score = x.astype(np.int64) @ q
-    score[7] = -(1 << 60)
-    assert set(np.argsort(-score)[:5]) <= set(some) and len(some) < 1500 and 7 not in some
+    q = np.array([[50.0] + [1.0] * 15, [-50.0] + [1.0] * 15, [0.0] * 16])
+    for bar in (-np.inf, 1e5):
+        i, j = topk.candidates(x, q, np.full(3, bar), np.array([7, -1, 3]), 5)
+        for row in range(2):
+            score = x @ q[row]
+            score[7 if row == 0 else 3000 :][:1] = -(1 << 60)
+            best = [v for v in np.argsort(-score)[:5] if score[v] >= bar]
+            assert set(best) <= set(j[i == row].tolist())
+            assert (i == row).sum() < 1500 and not (row == 0 and 7 in j[i == row])
+        assert ((i == 2).sum() == 2999) == (bar < 0)
+    i, j = topk.candidates(x, q, np.full(3, 1e9), np.full(3, -1), 5)
+    assert not len(i)

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tempora.functions.dates import daypart
 
 # Words that mean indoors; activity names as they stand in file names, and what they are called.
 INDOOR_WORDS = ["zwift", "peloton", "indoor", "trainer", "stationary"]
-ACTIVITY_ALIASES = {
-    "indoor cycling": "Indoor Cycle", "outdoor cycling": "Outdoor Cycle", "indoor cycle": "Indoor Cycle", "outdoor cycle": "Outdoor Cycle",
-    "indoor walking": "Indoor Walk", "outdoor walking": "Outdoor Walk", "indoor walk": "Indoor Walk", "outdoor walk": "Outdoor Walk",
-    "indoor running": "Indoor Run", "outdoor running": "Outdoor Run", "indoor run": "Indoor Run", "outdoor run": "Outdoor Run",
-    "trail running": "Trail Run", "trail run": "Trail Run", "functional strength training": "Functional Strength Training",
-    "traditional strength training": "Traditional Strength Training", "core training": "Core Training", "stationary bike": "Stationary Bike",
-    "open water swimming": "Open Water Swimming", "swimming": "Swimming", "hiking": "Hiking", "yoga": "Yoga", "pilates": "Pilates",
-    "flexibility": "Flexibility", "rowing": "Rowing", "elliptical": "Elliptical",
+ACTIVITIES = [
+    "Functional Strength Training", "Traditional Strength Training", "Core Training", "Indoor Cycle", "Outdoor Cycle", "Stationary Bike",
+    "Outdoor Run", "Indoor Run", "Trail Run", "Outdoor Walk", "Indoor Walk", "Hiking", "Racewalking",
+    "Tennis", "Basketball", "Soccer", "Football", "Baseball", "Volleyball", "Martial Arts", "Boxing",
+    "Yoga", "Pilates", "Flexibility", "Tai Chi", "Barre", "HIIT", "CrossFit", "Rowing", "Swimming", "Open Water Swimming",
+    "Cooldown", "Stretching", "Meditation", "Other", "Dance", "Elliptical", "Stair Climbing", "Kickboxing", "Disc Golf", "Gymnastics", "Handball",
+    "Lacrosse", "Pickleball", "Skiing", "Snowboarding", "Skateboarding", "Surfing", "Wheelchair Walk", "Wheelchair Run",
+]
+ACTIVITY_ALIASES = {a.lower(): a for a in ACTIVITIES} | {
+    "indoor cycling": "Indoor Cycle", "outdoor cycling": "Outdoor Cycle", "indoor walking": "Indoor Walk", "outdoor walking": "Outdoor Walk",
+    "indoor running": "Indoor Run", "outdoor running": "Outdoor Run", "trail running": "Trail Run",
 }
 #: Sport and sub-sport of a device file, and the activity; a null sub-sport is the sport's default.
 SPORT_TYPES = [
@@ -76,9 +79,9 @@ def device_source(name: Column, model: Column) -> Column:
 
 
 def activity_from_name(name: Column) -> Column:
-    """The activity whose name is part of a title; rides and walks by their longer forms first."""
+    """The activity whose name is part of a title; the longest that fits, and never the catch-all."""
     even = F.lower(F.regexp_replace(name, "-", " "))
-    order = sorted(ACTIVITY_ALIASES, key=lambda a: (-len(a), a))
+    order = sorted((a for a, activity in ACTIVITY_ALIASES.items() if activity != "Other"), key=lambda a: (-len(a), a))
     return F.coalesce(*[F.when(even.contains(a), ACTIVITY_ALIASES[a]) for a in order])
 
 
@@ -109,8 +112,3 @@ def estimated_calories(sport: Column, seconds: Column) -> Column:
 
 def workout_id(start: Column, sport: Column) -> Column:
     return F.sha1(F.concat_ws("#", start, F.lower(F.trim(sport))))
-
-
-def dimension_of(df: DataFrame, pairs: list[tuple], schema: str) -> DataFrame:
-    """A small fixed table in the session of df."""
-    return df.sparkSession.createDataFrame(pairs, schema)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import zoneinfo
+from collections import defaultdict
+from datetime import datetime, timedelta, timezone
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Candidate zones, the first that fits wins (fixed order: one large city for each common offset, with and without
-#: summer time).
-ZONES = [
-    "UTC", "Europe/London", "Europe/Paris", "Europe/Athens", "Europe/Moscow", "Asia/Dubai", "Asia/Karachi", "Asia/Kolkata", "Asia/Dhaka", "Asia/Bangkok",
-    "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney", "Australia/Brisbane", "Pacific/Auckland", "Atlantic/Azores", "America/Sao_Paulo", "America/Halifax",
-    "America/New_York", "America/Chicago", "America/Denver", "America/Phoenix", "America/Los_Angeles", "America/Anchorage", "Pacific/Honolulu", "Asia/Kathmandu",
-    "Australia/Adelaide", "Australia/Darwin", "America/St_Johns", "Asia/Tehran", "Asia/Kabul", "Asia/Yangon",
+#: Fixed order of preference: the first of these that fits wins, then the rest by name.
+MAJOR_CITIES = [
+    "America/New_York", "America/Toronto", "America/Montreal", "America/Chicago", "America/Mexico_City", "America/Winnipeg", "America/Denver", "America/Edmonton",
+    "America/Los_Angeles", "America/Vancouver", "America/Anchorage", "Pacific/Honolulu", "Europe/London", "Europe/Paris", "Europe/Berlin", "Europe/Madrid",
+    "Europe/Rome", "Europe/Amsterdam", "Asia/Tokyo", "Asia/Shanghai", "Asia/Hong_Kong", "Asia/Singapore", "Asia/Dubai", "Asia/Seoul", "Asia/Taipei",
+    "Australia/Sydney", "Australia/Melbourne", "Pacific/Auckland", "America/Sao_Paulo", "America/Buenos_Aires", "America/Santiago", "Africa/Cairo", "Africa/Johannesburg",
 ]
 
 
@@ -20,7 +24,41 @@ def offset_at(instant: Column, zone: Column | str) -> Column:
     return ((F.unix_timestamp(F.from_utc_timestamp(instant, zone)) - F.unix_timestamp(instant)) / 60).cast("int")
 
 
+@cache
+def candidates_by_offset(first: int = 1995, last: int = 2035) -> dict[int, list[tuple[str, bool]]]:
+    """Minutes -> the zones that ever have this offset, in order of preference, each with whether it ever has summer time.
+
+    From the time zone database of the driver, in these years. Zones that agree all the time count once, by the first of them; zones that
+    name no place come last."""
+    named = sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith("Etc/"))
+    rest = sorted(set(zoneinfo.available_timezones()) - set(named) - {"localtime", "Factory", "posixrules"})
+    known = [z for z in MAJOR_CITIES if z in named]
+    order = known + sorted(set(named) - set(known), key=lambda z: (z.count("/"), z)) + rest
+    days = [datetime(y, m, d, tzinfo=timezone.utc) for y in range(first, last + 1) for m in range(1, 13) for d in (1, 15)]
+    seen, out = set(), defaultdict(list)
+    for zone in order:
+        own = zoneinfo.ZoneInfo(zone)
+        offsets = tuple(own.utcoffset(day) // timedelta(minutes=1) for day in days)
+        if (zone in rest, offsets) not in seen:
+            seen.add((zone in rest, offsets))
+            for offset in set(offsets):
+                out[offset].append((zone, len(set(offsets)) > 1 and zone not in rest))
+    return dict(out)
+
+
 def zone_for(instant: Column, offset: Column, home: Column, candidates: list[str] | None = None) -> Column:
-    """The home zone where it has that offset then, else the first candidate that has; null for none."""
-    fits = [F.when(offset_at(instant, z) == offset, z) for z in candidates or ZONES]
-    return F.coalesce(F.when(offset_at(instant, home) == offset, home), *fits)
+    """The home zone where it has that offset then, else the first candidate that has; null for none.
+
+    Without a list, candidates are all zones of the database: those with summer time in that year first, among them (and
+    among the others) the MAJOR_CITIES in order, then by depth of the name and by name."""
+    at_home = F.when(offset_at(instant, home) == offset, home)
+    if candidates:
+        return F.coalesce(at_home, *[F.when(offset_at(instant, z) == offset, z) for z in candidates])
+    noon = lambda month: F.make_timestamp(F.year(instant), F.lit(month), F.lit(15), F.lit(12), F.lit(0), F.lit(0))
+    choice = None
+    for minutes, zones in sorted(candidates_by_offset().items()):
+        fits = lambda z: offset_at(instant, z) == offset
+        summer = [F.when(fits(z) & (offset_at(noon(1), z) != offset_at(noon(7), z)), z) for z, varies in zones if varies]
+        best = F.coalesce(*summer, *[F.when(fits(z), z) for z, _ in zones])
+        choice = F.when(offset == minutes, best) if choice is None else choice.when(offset == minutes, best)
+    return F.coalesce(at_home, choice)

@@ -19,6 +19,7 @@ from tempora.params import (
     CLIMB_ROWS,
     CLIMB_WINDOW,
     CURVE_SECONDS,
+    DEFAULT_HR_REST,
     EFFICIENCY_ROWS,
     EFFICIENCY_SECONDS,
     HR_ZONES,
@@ -229,8 +230,9 @@ def hr_reference(params: AthleteParams, sport: Column | None = None, observed: C
 
 
 def hr_zone_bounds(reference: Column, basis: Value = "HRmax", rest: Value = None) -> list[tuple[Column, Column]]:
-    """Low and high of five zones, cut to whole beats. HRR spans from rest to the reference by the HRmax shares."""
-    basis, rest = col(basis), col(rest).cast("double")
+    """Low and high of five zones, cut to whole beats. HRR spans from rest (60 where unknown) to the reference by the HRmax
+    shares. Null without a reference."""
+    basis, rest = col(basis), F.coalesce(_some(col(rest).cast("double")), F.lit(DEFAULT_HR_REST))
     cut = lambda c: c.cast("int")
     by_share = lambda name, side, z: cut(reference * HR_ZONES[name][side][z])
     reserve = lambda side, z: cut(rest + (reference - rest) * HR_ZONES["HRmax"][side][z])
@@ -249,14 +251,22 @@ def _first_zone(tests: Iterable[Column], last: int) -> Column:
 
 
 def hr_zone(hr: Column, bounds: list[tuple[Column, Column]]) -> Column:
-    """The first zone whose high is at or above the heart rate; below and beyond the zones count to the first and last."""
-    return F.when(hr.isNotNull(), _first_zone([hr <= high for _, high in bounds[:-1]], len(bounds)))
+    """The first zone whose high is at or above the heart rate; below and beyond the zones count to the first and last.
+    Null without a heart rate or without bounds."""
+    return F.when(hr.isNotNull() & bounds[-1][1].isNotNull(), _first_zone([hr <= high for _, high in bounds[:-1]], len(bounds)))
 
 
 def power_zone_bounds(ftp: Value) -> list[Column]:
     return [(col(ftp) * k).cast("int") for k in POWER_ZONE_CUTS]
 
 
+def power_zone_watts(ftp: Value) -> Column:
+    """Low and high watts of the seven zones, as an array of structs; the last is open and ends at twice the threshold."""
+    cuts = [c.cast("double") for c in power_zone_bounds(ftp)]
+    ends = zip([F.lit(0.0), *cuts], [*cuts, col(ftp).cast("double") * 2])
+    return F.array(*[F.struct(F.lit(z).alias("zone"), low.alias("low_w"), high.alias("high_w")) for z, (low, high) in enumerate(ends, 1)])
+
+
 def power_zone(power: Column, ftp: Value) -> Column:
     """The first zone whose bound is above the power; negative and impossible power has none."""
     cuts = power_zone_bounds(ftp)
@@ -322,13 +332,14 @@ def basic_stats(records: DataFrame) -> DataFrame:
     return records.groupBy(KEY).agg(F.avg(HR).alias("hr_avg"), F.max(HR).alias("hr_max"), F.avg(POWER).alias("power_avg"), F.max(POWER).alias("power_max"), share(HR).alias("hr_missing_pct"), share(POWER).alias("power_missing_pct"))
 
 
-def workout_metrics(records: DataFrame, params: AthleteParams) -> DataFrame:
-    """One wide row per workout; params.ftp must be a number or the same in a workout.
+def dealt(records: DataFrame) -> DataFrame:
+    """Records with all channels, dealt by workout and sorted by time once. Persist these before `workout_metrics`, and
+    unpersist them after use: its families then need no scan, shuffle or sort of their own."""
+    return with_channels(records).select(KEY, TIME, *CHANNELS).repartition(KEY).sortWithinPartitions(KEY, TIME)
+
 
-    Records are scanned, dealt by workout and sorted by time once, and kept so (in memory, else on the executors' disks;
-    lost parts are made again) for all families, which then need no scan, shuffle or sort of their own. Whoever has used
-    the result may free them by `spark.catalog.clearCache()`."""
-    own = with_channels(records).select(KEY, TIME, *CHANNELS).repartition(KEY).sortWithinPartitions(KEY, TIME).persist()
+def workout_metrics(own: DataFrame, params: AthleteParams) -> DataFrame:
+    """One wide row per workout of `dealt` records; params.ftp must be a number or the same in a workout."""
     stats = channel_stats(own).join(normalized_power(own), KEY, "left")
     parts = [load(stats, params.ftp), data_quality(own), zone_seconds(own, params), variability(own), durability(own), surges(own, params.ftp), efficiency(own), hr_power_lag(own), elevation(own)]
     peaks = peak_power(own)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +13,17 @@ HARD_SEC, LONG_SEC = 300, 3600
 SHORT_SEC, DECOUPLED_PCT = 600, 5.0
 
 
+def _power_sec(*zones: int) -> Column:
+    """Seconds in these power zones; an unknown zone has none."""
+    return reduce(add, [F.coalesce(f"pwr_z{z}_sec", F.lit(0)) for z in zones])
+
+
 def low_aerobic_sec() -> Column:
-    return F.col("pwr_z1_sec") + F.col("pwr_z2_sec")
+    return _power_sec(1, 2)
 
 
 def intensity_sec() -> Column:
-    return F.col("pwr_z4_sec") + F.col("pwr_z5_sec") + F.col("pwr_z6_sec") + F.col("pwr_z7_sec")
+    return _power_sec(4, 5, 6, 7)
 
 
 def is_hard() -> Column:
@@ -37,17 +45,37 @@ def week_key(time: Column) -> Column:
 
 
 def weekly(workouts: DataFrame, tz: str = "UTC") -> DataFrame:
-    """Per athlete and week: counts, minutes, and the optional sums, null where no workout has the measure."""
-    minutes = lambda c, name: F.round(F.sum(c) / 60, 2).alias(name)
+    """Per athlete and week: counts, minutes (0 where no workout has any), and the optional sums of distance, elevation and
+    decoupling, null where no workout has the measure."""
+    minutes = lambda c, name: F.round(F.coalesce(F.sum(c), F.lit(0)) / 60, 2).alias(name)
     known = workouts.where("start_time_utc is not null").withColumn("week_start", week_start(F.col("start_time_utc"), tz))
     return known.groupBy("athlete_id", "week_start").agg(
         F.count("*").alias("workout_count"), minutes("duration_sec", "total_duration_min"),
-        F.round(F.sum("distance_m") / 1000, 2).alias("total_distance_km"), F.round(F.sum("elevation_gain_m"), 1).alias("total_elevation_m"),
+        F.round(F.sum("distance_m") / 1000, 2).alias("total_distance_km"), F.round(F.sum("elevation_gain_m"), 2).alias("total_elevation_m"),
         minutes("hr_z2_sec", "hr_z2_min"), minutes("pwr_z2_sec", "pwr_z2_min"), minutes(low_aerobic_sec(), "low_aerobic_min"), minutes(intensity_sec(), "intensity_min"),
         F.round(F.avg("decoupling_pct"), 2).alias("avg_decoupling_pct"), F.count_if(is_hard()).alias("hard_days"), F.count_if(is_long()).alias("long_days"),
     )
 
 
+def parsed_starts(rows: DataFrame, text: str = "start_time_utc") -> DataFrame:
+    """Rows whose start is ISO text: it becomes a timestamp, and `start_status` says ok, missing or invalid (null then)."""
+    raw = F.trim(F.col(text).cast("string"))
+    start = F.try_to_timestamp(F.regexp_replace(raw, "[Zz]$", "+00:00"))
+    status = F.when(F.coalesce(raw, F.lit("")) == "", "missing").when(start.isNull(), "invalid").otherwise("ok")
+    return rows.withColumn("start_status", status).withColumn(text, start)
+
+
+def skipped_starts(parsed: DataFrame) -> DataFrame:
+    """Per athlete how many workouts a rollup leaves out for want of a start, and how many it counts."""
+    count = lambda s: F.count_if(F.col("start_status") == s)
+    return parsed.groupBy("athlete_id").agg(count("ok").alias("with_start"), count("missing").alias("missing_start"), count("invalid").alias("invalid_start"))
+
+
+def by_id(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of a key, one at most: the filter goes to the scan, which stops at the first."""
+    return rows.where(F.col(key) == F.lit(value)).limit(1)
+
+
 def local_week_bounds(now: Column, tz: str, back: int = 1) -> tuple[Column, Column]:
     """First and last second of the local week `back` weeks ago, as instants."""
     monday = F.date_trunc("week", F.from_utc_timestamp(now, tz)) - F.make_interval(weeks=F.lit(back))

@@ -8,11 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tempora.params import Value, col
 
-
-def ordered(by: str | list[str], order: str | list[str]) -> WindowSpec:
-    return Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*([order] if isinstance(order, str) else order))
+def ordered(by: str | list[str], order: str | Column | list[str]) -> WindowSpec:
+    return Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*(order if isinstance(order, list) else [order]))
 
 
 def trailing_mean(value: Column, window: WindowSpec, rows: int) -> Column:
@@ -63,7 +61,8 @@ def bridge_gaps(df: DataFrame, flag: str, by: str, order: str, most: int) -> Dat
     w = ordered(by, order)
     on = F.coalesce(F.col(flag), F.lit(False))
     marked = df.withColumn("_rn", F.row_number().over(w)).withColumn("_last", F.max(F.when(on, F.col("_rn"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("_next", F.min(F.when(on, F.col("_rn"))).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = ordered(by, F.desc("_rn"))  # a running minimum from the end: a frame to the end would be summed anew for each row
+    marked = marked.withColumn("_next", F.min(F.when(on, F.col("_rn"))).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     gap = F.col("_next") - F.col("_last") - 1
     return marked.withColumn(flag, on | F.coalesce(gap <= most, F.lit(False))).drop("_rn", "_last", "_next")
 
@@ -103,12 +102,12 @@ def resample(df: DataFrame, by: str, time: str, mean: list[str], last: list[str]
     return full.select(by, F.col("_bin").cast("double").alias(time), *mean, *[forward_fill(F.col(c), w).alias(c) for c in last], *[F.coalesce(c, F.array().cast("array<double>")).alias(c) for c in concat or []])
 
 
-def require_regular(df: DataFrame, by: str, time: str, mean: list[str], last: list[str]) -> DataFrame:
-    """Groups of one row a second as they are, the others resampled; irregular groups need not stop a job."""
+def require_regular(df: DataFrame, by: str, time: str, mean: list[str], last: list[str], strict: bool = False) -> DataFrame:
+    """Groups of one row a second as they are, the others resampled; or, if strict, an error for the first that is irregular."""
     checked = is_regular(df, by, time)
+    if strict:
+        why = F.concat(F.lit("records are not at one row a second: "), F.col(by).cast("string"))
+        fine = checked.withColumn("regular", F.when(F.col("regular"), True).otherwise(F.raise_error(why).cast("boolean")))
+        return df.join(fine.where("regular"), by, "left_semi").select(by, time, *mean, *last)
     fine = df.join(checked.where("regular"), by, "left_semi").select(by, time, *mean, *last)
     return fine.unionByName(resample(df.join(checked.where("not regular"), by, "left_semi"), by, time, mean, last))
-
-
-def cumulative(df: DataFrame, value: str, by: str, order: str, name: str, start: Value = 0.0) -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)) + col(start))

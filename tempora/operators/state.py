@@ -15,23 +15,28 @@ def workout_tss(table_value: Column, computed: Column) -> Column:
     return F.coalesce(table_value, computed)
 
 
-def daily_tss(workouts: DataFrame) -> DataFrame:
-    known = workouts.where("tss is not null and start_time_utc is not null")
+def daily_tss(workouts: DataFrame, computed: DataFrame | None = None) -> DataFrame:
+    """Per athlete and day the workouts' load; where the table has none, that of `computed` (workout_id, tss) if given."""
+    rows = workouts
+    if computed is not None:
+        other = computed.select(F.col("workout_id").alias("_id"), F.col("tss").alias("_tss"))
+        rows = rows.join(other, F.col("workout_id") == F.col("_id"), "left").withColumn("tss", workout_tss(F.col("tss"), F.col("_tss")))
+    known = rows.where("tss is not null and start_time_utc is not null")
     return known.groupBy("athlete_id", F.to_date("start_time_utc").alias("day")).agg(F.sum("tss").alias("tss"))
 
 
-def rolling_at(workouts: DataFrame, day: str) -> DataFrame:
+def rolling_at(workouts: DataFrame, day: str, computed: DataFrame | None = None) -> DataFrame:
     """Both sums for one date: workouts from 7 (28) days before it to the day itself."""
     d = F.lit(day).cast("date")
-    daily = daily_tss(workouts).where(F.col("day").between(F.date_sub(d, LONG), d))
+    daily = daily_tss(workouts, computed).where(F.col("day").between(F.date_sub(d, LONG), d))
     total = lambda n: F.coalesce(F.sum(F.when(F.col("day") >= F.date_sub(d, n), F.col("tss"))), F.lit(0.0))
     return daily.groupBy("athlete_id").agg(total(SHORT).alias("tss_7d"), total(LONG).alias("tss_28d"))
 
 
-def rolling(workouts: DataFrame, first: str, last: str) -> DataFrame:
+def rolling(workouts: DataFrame, first: str, last: str, computed: DataFrame | None = None) -> DataFrame:
     """Both sums for each day of a range and each athlete with workouts in reach; the spine starts 28 days earlier."""
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
-    daily = daily_tss(workouts).where(F.col("day").between(F.date_sub(lo, LONG), hi))
+    daily = daily_tss(workouts, computed).where(F.col("day").between(F.date_sub(lo, LONG), hi))
     spine = daily.select("athlete_id").distinct().select("athlete_id", F.explode(F.sequence(F.date_sub(lo, LONG), hi)).alias("day"))
     full = spine.join(daily, ["athlete_id", "day"], "left").withColumn("tss", F.coalesce("tss", F.lit(0.0)))
     w = Window.partitionBy("athlete_id").orderBy("day")
@@ -52,8 +57,8 @@ def readiness(hrv: Column, fatigue: Column) -> Column:
     return F.when(hrv.isNotNull() & (fatigue > 0), both)
 
 
-def training_state(workouts: DataFrame, physiometrics: DataFrame, first: str, last: str) -> DataFrame:
-    """Per athlete and day: load, the newest known body metrics of that day, and readiness."""
-    days = load_components(rolling(workouts, first, last))
+def training_state(workouts: DataFrame, physiometrics: DataFrame, first: str, last: str, computed: DataFrame | None = None) -> DataFrame:
+    """Per athlete and day: load, the newest known body metrics of that day, and readiness. `computed` as in daily_tss."""
+    days = load_components(rolling(workouts, first, last, computed))
     known = metrics_as_of(days, physiometrics, "athlete_id", "day", ["hrv_ln_rmssd", "resting_hr_bpm", "weight_kg"])
     return known.withColumn("readiness", F.round(readiness(F.col("hrv_ln_rmssd"), F.col("fatigue")), 2))

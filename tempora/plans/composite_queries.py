@@ -96,11 +96,11 @@ def s1_pushed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 300 END, CASE WHEN o_orderkey % 3 = 0 THEN 210 END, 250)::DOUBLE AS ftp FROM orders WHERE o_orderkey % 300 <> 0")
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 300 > 0 THEN o_orderkey % 300 END, CASE WHEN o_orderkey % 3 = 0 THEN 210 END, 250)::DOUBLE AS ftp FROM orders")
 def m5_ftp_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     ftp = resolve_ftp(F.when(k % 4 == 1, k % 300).otherwise(F.lit(0)), F.when(k % 3 == 0, 210))
-    return table(spark, sf_dir, "orders").where("o_orderkey % 300 <> 0").select("o_orderkey", ftp.alias("ftp"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", ftp.alias("ftp"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 155.0 ELSE 165.0 END ELSE 190.0 END::DOUBLE AS reference, CASE WHEN o_orderkey % 2 = 0 THEN 'coggan' ELSE 'karvonen' END AS model FROM orders")
@@ -150,15 +150,23 @@ def r8_timezones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", home.alias("home"), canonical.alias("canonical"))
 
 
-_ZONES = ["UTC", "Europe/Paris", "Asia/Kolkata", "America/New_York", "America/Denver"]
-_OFFSETS = " ".join(f"WHEN date_diff('minute', ts, ts AT TIME ZONE 'UTC' AT TIME ZONE '{z}') = offset_min THEN '{z}'" for z in ["America/Denver", *_ZONES])
+#: The order of preference, for the SQL.
+_CITIES = """America/New_York America/Toronto America/Montreal America/Chicago America/Mexico_City America/Winnipeg America/Denver America/Edmonton America/Los_Angeles America/Vancouver
+America/Anchorage Pacific/Honolulu Europe/London Europe/Paris Europe/Berlin Europe/Madrid Europe/Rome Europe/Amsterdam Asia/Tokyo Asia/Shanghai Asia/Hong_Kong Asia/Singapore Asia/Dubai
+Asia/Seoul Asia/Taipei Australia/Sydney Australia/Melbourne Pacific/Auckland America/Sao_Paulo America/Buenos_Aires America/Santiago Africa/Cairo Africa/Johannesburg""".split()
+_MINUTES = "date_diff('minute', {0}, {0} AT TIME ZONE 'UTC' AT TIME ZONE name)"
 
 
-@query(f"WITH e AS (SELECT event_id, ts + to_days((event_id % 300)::INTEGER) AS ts, [0, 60, 120, 330, -300, -240, -420, 15][event_id % 8 + 1] AS offset_min FROM events) SELECT event_id, CASE {_OFFSETS} END AS zone FROM e")
+@query(f"""WITH e AS (SELECT event_id, ts + to_days((event_id % 300)::INTEGER) AS ts, [0, 60, 120, 330, -300, -240, -420, 15][event_id % 8 + 1] AS offset_min FROM events),
+z AS (SELECT name, {_MINUTES.format("TIMESTAMP '2024-01-15 12:00:00'")} <> {_MINUTES.format("TIMESTAMP '2024-07-15 12:00:00'")} AS summer, coalesce(list_position({_CITIES}, name), 99) AS city, length(name) - length(replace(name, '/', '')) AS depth
+  FROM pg_timezone_names() WHERE name LIKE '%/%' AND name NOT LIKE 'Etc/%' AND name NOT LIKE 'SystemV/%'),
+t AS (SELECT DISTINCT ts, offset_min FROM e),
+f AS (SELECT ts, offset_min, name, row_number() OVER (PARTITION BY ts, offset_min ORDER BY name <> 'America/Denver', NOT summer, city, depth, name) AS rn FROM t, z WHERE {_MINUTES.format('ts')} = offset_min)
+SELECT event_id, name AS zone FROM e LEFT JOIN f ON e.ts = f.ts AND e.offset_min = f.offset_min AND rn = 1""")
 def f6_zone_of_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_add("DAY", (F.col("event_id") % 300).cast("int"), F.col("ts"))
     offset = F.element_at(F.array(*[F.lit(m) for m in (0, 60, 120, 330, -300, -240, -420, 15)]), (F.col("event_id") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", zones.zone_for(at, offset, F.lit("America/Denver"), _ZONES).alias("zone"))
+    return table(spark, sf_dir, "events").select("event_id", zones.zone_for(at, offset, F.lit("America/Denver")).alias("zone"))
 
 
 @query(f"WITH {WORKOUTS_SQL} SELECT workout_id, round(distance_m / 1000 / (duration_sec / 3600), 9) AS kmh FROM workouts WHERE duration_sec > 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import metrics as m
 from tempora.operators import sequence as s
-from tempora.params import CURVE_SECONDS, PEAK_SECONDS, AthleteParams
+from tempora.params import PEAK_SECONDS, AthleteParams
 from tempora.sources.views import RECORDS_SQL, USER_RECORDS_SQL, records, records_by_user
 
 #: Values that give every metric something to find in the test tables.
@@ -87,12 +87,12 @@ def _peaks_sql(widths: list[int]) -> str:
     return f"{_SUMS}, l AS (SELECT workout_id, {lags} FROM c WINDOW w AS (PARTITION BY workout_id ORDER BY rn)), peaks AS (SELECT workout_id, " + ", ".join(f"round(max(w{n}), 1) AS peak_{n}" for n in widths) + " FROM l GROUP BY workout_id)"
 
 
-@query(f"WITH {RECORDS_SQL}, {_peaks_sql(PEAK_SECONDS)} SELECT * FROM peaks")
+@query(f"WITH {RECORDS_SQL}, {_peaks_sql([5, 30, 180, 300, 480, 1200, 3600])} SELECT * FROM peaks")
 def m6_peak_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.peak_power(records(spark, sf_dir))
 
 
-@query(f"WITH {RECORDS_SQL}, {_peaks_sql(CURVE_SECONDS)} SELECT workout_id, replace(name, 'peak_', '')::INTEGER AS duration_sec, power FROM (UNPIVOT peaks ON COLUMNS(* EXCLUDE workout_id) INTO NAME name VALUE power)")
+@query(f"WITH {RECORDS_SQL}, {_peaks_sql([5, 10, 15, 20, 30, 45, 60, 90, 120, 180, 240, 300, 420, 600, 900, 1200, 1800, 2400, 3600])} SELECT workout_id, replace(name, 'peak_', '')::INTEGER AS duration_sec, power FROM (UNPIVOT peaks ON COLUMNS(* EXCLUDE workout_id) INTO NAME name VALUE power)")
 def m7_power_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.power_curve(records(spark, sf_dir))
 
@@ -303,7 +303,7 @@ def w4_outer_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def d13_workout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide row of all families; each family has its own SQL above."""
-    return m.workout_metrics(records(spark, sf_dir), PARAMS)
+    return m.workout_metrics(m.dealt(records(spark, sf_dir)).persist(), PARAMS)  # whoever runs it frees it
 
 
 @query(f"""WITH {RECORDS_SQL}, {_NP} SELECT workout_id, max(elapsed_sec) AS duration_sec, round(avg(power_watts), 1) AS power_avg, any_value(normalized_power) AS normalized_power FROM records JOIN np USING (workout_id) GROUP BY workout_id""")

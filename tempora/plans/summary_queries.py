@@ -32,8 +32,8 @@ def query(sql: str | None):
 _INTENSITY = "(pwr_z4_sec + pwr_z5_sec + pwr_z6_sec + pwr_z7_sec)"
 _HARD, _LONG = f"{_INTENSITY} > 300", "greatest(hr_z2_sec, pwr_z2_sec) > 3600"
 _WEEK_COLUMNS = f"""count(*) AS workout_count, round(sum(duration_sec) / 60, 2) AS total_duration_min, round(sum(distance_m) / 1000, 2) AS total_distance_km,
-  round(sum(elevation_gain_m), 1) AS total_elevation_m, round(sum(hr_z2_sec) / 60, 2) AS hr_z2_min, round(sum(pwr_z2_sec) / 60, 2) AS pwr_z2_min,
-  round(sum(pwr_z1_sec + pwr_z2_sec) / 60, 2) AS low_aerobic_min, round(sum({_INTENSITY}) / 60, 2) AS intensity_min, round(avg(decoupling_pct), 2) AS avg_decoupling_pct,
+  round(sum(elevation_gain_m), 2) AS total_elevation_m, round(coalesce(sum(hr_z2_sec), 0) / 60, 2) AS hr_z2_min, round(coalesce(sum(pwr_z2_sec), 0) / 60, 2) AS pwr_z2_min,
+  round(coalesce(sum(pwr_z1_sec + pwr_z2_sec), 0) / 60, 2) AS low_aerobic_min, round(sum({_INTENSITY}) / 60, 2) AS intensity_min, round(avg(decoupling_pct), 2) AS avg_decoupling_pct,
   count(*) FILTER ({_HARD}) AS hard_days, count(*) FILTER ({_LONG}) AS long_days"""
 _WEEKLY = f"weekly AS (SELECT athlete_id, date_trunc('week', start_time_utc)::TIMESTAMP AS week_start, {_WEEK_COLUMNS} FROM workouts GROUP BY ALL)"
 
@@ -129,30 +129,31 @@ def a26_overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.overall_status(parts, "athlete_id", "status")
 
 
-@query(f"""WITH {PHYSIOMETRICS_SQL}, w AS (SELECT event_id AS workout_id, user_id AS athlete_id, ts AS start_time_utc FROM events WHERE event_id % 10 = 3),
+@query(f"""WITH {PHYSIOMETRICS_SQL}, w AS (SELECT event_id AS workout_id, user_id AS athlete_id, ts AS start_time_utc FROM events),
 c AS (SELECT w.*, p.effective_date, p.updated_at_utc, p.row_key, p.ftp_watts, p.lthr_bpm, p.data_source IN ('manual', 'chatgpt') AS own, p.effective_date <= w.start_time_utc::DATE AS before FROM w LEFT JOIN physiometrics p ON w.athlete_id = p.athlete_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY workout_id ORDER BY (own AND before) DESC, before DESC, effective_date DESC, updated_at_utc DESC, row_key DESC) AS rn FROM c)
 SELECT workout_id, athlete_id, start_time_utc, effective_date, ftp_watts, lthr_bpm FROM r WHERE rn = 1""")
 def j1_baselines_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "events").where("event_id % 10 = 3").select(F.col("event_id").alias("workout_id"), F.col("user_id").alias("athlete_id"), F.col("ts").alias("start_time_utc"))
+    w = table(spark, sf_dir, "events").select(F.col("event_id").alias("workout_id"), F.col("user_id").alias("athlete_id"), F.col("ts").alias("start_time_utc"))
     return lookup.preferred_as_of(w, physiometrics(spark, sf_dir), "athlete_id", "start_time_utc", ["manual", "chatgpt"], ["ftp_watts", "lthr_bpm"])
 
 
-@query(f"""WITH {PHYSIOMETRICS_SQL}, w AS (SELECT event_id AS workout_id, user_id AS athlete_id, ts AS start_time_utc FROM events WHERE event_id % 10 = 3),
+@query(f"""WITH {PHYSIOMETRICS_SQL}, w AS (SELECT event_id AS workout_id, user_id AS athlete_id, ts AS start_time_utc FROM events),
 p AS (SELECT athlete_id, updated_at_utc, weight_kg FROM physiometrics WHERE weight_kg IS NOT NULL)
 SELECT workout_id, w.athlete_id, start_time_utc, weight_kg FROM w ASOF LEFT JOIN p ON w.athlete_id = p.athlete_id AND w.start_time_utc >= p.updated_at_utc""")
 def j2_snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "events").where("event_id % 10 = 3").select(F.col("event_id").alias("workout_id"), F.col("user_id").alias("athlete_id"), F.col("ts").alias("start_time_utc"))
+    w = table(spark, sf_dir, "events").select(F.col("event_id").alias("workout_id"), F.col("user_id").alias("athlete_id"), F.col("ts").alias("start_time_utc"))
     return lookup.as_of(w, physiometrics(spark, sf_dir).where("weight_kg is not null"), "athlete_id", "start_time_utc", "updated_at_utc", ["row_key"], ["weight_kg"])
 
 
-_AS_OF_METRICS = ", ".join(f"(SELECT arg_max({m}, (effective_date, updated_at_utc, row_key)) FROM physiometrics p WHERE p.athlete_id = d.athlete_id AND p.effective_date <= d.day AND {m} IS NOT NULL) AS {m}" for m in METRICS)
+_RUNNING = ", ".join(f"last_value({m} IGNORE NULLS) OVER w AS {m}" for m in METRICS)
 
 
-@query(f"WITH {PHYSIOMETRICS_SQL}, d AS (SELECT DISTINCT athlete_id, effective_date AS day FROM physiometrics WHERE athlete_id % 5 = 0) SELECT athlete_id, day, {_AS_OF_METRICS} FROM d")
+@query(f"""WITH {PHYSIOMETRICS_SQL}, l AS (SELECT athlete_id, effective_date AS day, row_number() OVER (PARTITION BY athlete_id, effective_date ORDER BY updated_at_utc DESC, row_key DESC) AS rn, {_RUNNING}
+FROM physiometrics WINDOW w AS (PARTITION BY athlete_id ORDER BY effective_date, updated_at_utc, row_key ROWS UNBOUNDED PRECEDING)) SELECT * EXCLUDE rn FROM l WHERE rn = 1""")
 def j3_metrics_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = physiometrics(spark, sf_dir)
-    days = p.where("athlete_id % 5 = 0").select("athlete_id", F.col("effective_date").alias("day")).distinct()
+    days = p.select("athlete_id", F.col("effective_date").alias("day")).distinct()
     return lookup.metrics_as_of(days, p, "athlete_id", "day", METRICS)
 
 
@@ -205,7 +206,7 @@ def j13_change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.changed(items, ledger, "item", ["ctag", "sha", "etag"]).select("item", "unchanged")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS workout_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS position, l_linenumber - 1 AS message_index, l_quantity AS minutes FROM lineitem WHERE l_orderkey % 3 = 0),
+@query("""WITH l AS (SELECT l_orderkey AS workout_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS position, l_linenumber - 1 AS message_index, l_quantity AS minutes FROM lineitem),
 p AS (SELECT *, row_number() OVER (PARTITION BY workout_id ORDER BY position) - 1 AS pos FROM l WHERE true),
 r AS (SELECT *, row_number() OVER (PARTITION BY workout_id ORDER BY message_index <> 2, position) AS rn FROM p WHERE message_index = 2 OR pos = 2)
 SELECT workout_id, message_index, minutes FROM r WHERE rn = 1""")
@@ -213,7 +214,7 @@ def j14_lap_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    laps = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("workout_id"), F.row_number().over(order).alias("position"), (F.col("l_linenumber") - 1).alias("message_index"), F.col("l_quantity").alias("minutes"))
+    laps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("workout_id"), F.row_number().over(order).alias("position"), (F.col("l_linenumber") - 1).alias("message_index"), F.col("l_quantity").alias("minutes"))
     return lookup.lap(laps, "workout_id", 2).select("workout_id", "message_index", "minutes")
 
 

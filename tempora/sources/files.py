@@ -47,8 +47,10 @@ def read_payloads(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
-def read_config(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A small JSON document of settings as nested dicts, for `params_from`; empty if it has no rows."""
+    row = spark.read.option("multiLine", True).json(path).first()
+    return row.asDict(recursive=True) if row else {}
 
 
 def write_payloads(rows: DataFrame, path: str) -> None:

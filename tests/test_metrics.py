@@ -107,6 +107,6 @@ def test_ftp_and_hr_reference(spark):
 
 def test_empty_and_absent_channels(spark):
     bare = spark.createDataFrame([], "workout_id string, elapsed_sec double")
-    assert m.workout_metrics(bare, AthleteParams()).count() == 0
-    row = one(m.workout_metrics(spark.createDataFrame([("w", 0.0), ("w", 1.0)], "workout_id string, elapsed_sec double"), AthleteParams()))
+    assert m.workout_metrics(m.dealt(bare), AthleteParams()).count() == 0
+    row = one(m.workout_metrics(m.dealt(spark.createDataFrame([("w", 0.0), ("w", 1.0)], "workout_id string, elapsed_sec double")), AthleteParams()))
     assert (row.normalized_power, row.tss, row.hr_zone_total_sec, row.surge_count) == (None, None, 0, 0)

@@ -56,7 +56,7 @@ class _Model:
         w1, w2 = (np.clip(256 * h // t, 0, 224) for h, t in zip(self.hits, self.tries))
         second = w2[None, :] + 0 * w1[:, None]
         first = np.minimum(w1[:, None] * (256 - second) // 256, 248 - second)
-        self.w = np.stack([256 - first - second, first << _UNIT, second << _UNIT]).reshape(3, 16).astype(np.int32)
+        self.w = (256 - first - second + (first << 9) + (second << 18)).reshape(16).astype(np.int32)  # three of 9 bits each
 
     def look(self) -> None:
         """The slots, predictions and weights of the next step."""
@@ -67,8 +67,8 @@ class _Model:
         self.e1, self.e2 = self.follows[0][s1], self.follows[1][s2]
         self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
         self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        k = self.c1 * 4 + self.c2
-        self.w0, self.w1, self.w2 = self.w[0][k], self.w[1][k], self.w[2][k]
+        w = self.w[self.c1 * 4 + self.c2]
+        self.w0, self.w1, self.w2 = w & 511, (w >> 9 & 511) << _UNIT, w >> 18 << _UNIT
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = self.cum[ids]

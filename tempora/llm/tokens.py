@@ -19,14 +19,17 @@ _LETTERS_MARKS = r"^(?P<w>[ \n]?\pL+)(?P<t>[!-&(-/:-@\[-`{-~]*)$"
 #: Words in one call of the library: long calls take it more time a word.
 _TOGETHER = 64
 #: Bytes of texts whose words are looked up together.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 20 << 20
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The segments (starts, lengths) of flat, in the order of at, one after another."""
     own = lengths[at]
-    place = np.repeat(starts[at] - (np.cumsum(own) - own), own)
-    return flat[place + np.arange(len(place))]
+    ends = np.cumsum(own)
+    kind = np.int32 if max(len(flat), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+    place = np.repeat((starts[at] - (ends - own)).astype(kind), own)
+    place += np.arange(len(place), dtype=kind)
+    return flat[place]
 
 
 class Encoder:
@@ -36,16 +39,18 @@ class Encoder:
     blank-separated words one after another; a word of letters and marks after them splits once more. So the different
     words of many texts are found by Arrow, encoded by the library, many in one call, and put together by numpy. A text
     with other characters, with the string of an added token or, where spaces count, with white space at its ends or
-    next to white space goes to the library whole. Nothing is kept from one call to the next."""
+    next to white space goes to the library whole. From one call to the next at most `limit` words and their ids are kept,
+    as flat arrays of some 10 MB."""
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.lib, self.keeps_space = Tokenizer.from_file(path), keeps_space
+        self.lib, self.keeps_space, self.limit = Tokenizer.from_file(path), keeps_space, limit
+        self.known = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
         self.lowers = "Lowercase" in repr(self.lib.normalizer)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.plain = f"^{_PLAIN}+(?:[ \n]{_PLAIN}+)*$" if keeps_space else f"^(?:[ \n]|{_PLAIN})*$"
+        self.plain = f"^[ \n]?{_PLAIN}+$" if keeps_space else f"^{_PLAIN}*$"
         # tokens that only the first place of a word can have (space kept), or only the last
         vocabulary = self.lib.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
@@ -57,34 +62,29 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another (a null text has none), and where each one's begin, and the end."""
         texts = texts.fill_null("")
-        plain = pc.match_substring_regex(texts, self.plain)
-        for content in self.added:
-            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, content)))
-        parts: list[np.ndarray | None] = [None] * len(texts)
-        plain = plain.to_numpy(zero_copy_only=False)
-        ids, ends = self._apart(texts.filter(pa.array(plain)))
-        for k, lo, hi in zip(np.flatnonzero(plain).tolist(), ends.tolist(), ends[1:].tolist()):
-            parts[k] = ids[lo:hi]
-        odd = np.flatnonzero(~plain)
-        for k, own in zip(odd.tolist(), self.whole(texts.take(pa.array(odd)).to_pylist())):
-            parts[k] = own
-        lengths = np.array([len(p) for p in parts], np.int64)
-        return np.concatenate([np.zeros(0, "<u4"), *parts]), np.r_[0, np.cumsum(lengths)]
-
-    def _apart(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.keeps_space:  # each word but a text's first has the white space before it
             words = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n"), "\x00")
         else:
             words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        found = words.flatten().dictionary_encode()
-        flat, starts, lengths = self._learn(found.dictionary)
-        at = found.indices.to_numpy()
-        ends = np.r_[0, np.cumsum(lengths[at])]
         first = np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy())]
-        return _gather(flat, starts, lengths, at), ends[first]
+        found = words.flatten().dictionary_encode()
+        plain, at = pc.match_substring_regex(found.dictionary, self.plain).to_numpy(zero_copy_only=False), found.indices.to_numpy()
+        whole = np.add.reduceat(~plain[at], first[:-1]) > 0 if len(texts) else np.zeros(0, bool)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(whole & (pc.binary_length(texts).to_numpy() > 0))
+        flat, starts, lengths = self._learn(found.dictionary, plain)
+        ids, ends = _gather(flat, starts, lengths, at), np.r_[0, np.cumsum(lengths[at])][first]
+        if not len(odd):
+            return ids, ends
+        parts = [ids[lo:hi] for lo, hi in zip(ends.tolist(), ends[1:].tolist())]
+        for k, own in zip(odd.tolist(), self.whole(texts.take(pa.array(odd)).to_pylist())):
+            parts[k] = own
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
 
-    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of different words: flat, starts, lengths."""
+    def _learn(self, words: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different words: flat, starts, lengths. Words that aren't plain get none: their texts go whole."""
+        words = pc.if_else(pa.array(plain), words, "")
         split = pc.extract_regex(words, _LETTERS_MARKS)
         matched = split.is_valid()
         letters, tails = pc.struct_field(split, "w"), pc.struct_field(split, "t")
@@ -104,6 +104,23 @@ class Encoder:
         return _gather(flat, starts, lengths, both.ravel()), np.cumsum(own) - own, own
 
     def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of words of one kind, those that earlier calls had from memory."""
+        at = pc.index_in(words, value_set=self.known[0]) if len(self.known[0]) else pa.nulls(len(words), pa.int32())
+        fresh = words.filter(at.is_null())
+        ids, lengths = self._encoded(fresh)
+        had, flat, own = self.known
+        flat, own = np.concatenate([flat, ids]), np.r_[own, lengths]
+        at = at.to_numpy(zero_copy_only=False).astype(np.float64)
+        at[np.isnan(at)] = len(had) + np.arange(len(fresh))
+        at = at.astype(np.int64)
+        starts = np.cumsum(own) - own
+        self.known = pa.concat_arrays([had, fresh]), flat, own
+        if len(own) > self.limit:  # the half that was learnt last stays
+            old = len(own) - self.limit // 2
+            self.known = pa.concat_arrays([self.known[0].slice(old)]), flat[starts[old] :].copy(), own[old:].copy()
+        return _gather(flat, starts, own, at), own[at]
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and lengths of words that begin (space kept) or end with one token of `edge` each and hold no other."""
         n = len(words)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(0, n, _TOGETHER), n].astype(np.int32)), words)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,11 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is set."""
+    Without that setting there is a temporary folder where driver and tasks are one process, and an error elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tempora-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -40,10 +42,12 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
 
 def write_bytes(uri: str, data: bytes) -> None:
-    """Write one file of the shared store from a task: under another name first, then renamed."""
+    """Write one file of the shared store from a task: under another name first, then renamed.
+
+    Through pyarrow, which knows the schemes file, hdfs, s3 (also as s3a), gs and abfs."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
     if isinstance(store, fs.LocalFileSystem):
         os.makedirs(os.path.dirname(path), exist_ok=True)
     with store.open_output_stream(f"{path}.part") as out:
@@ -91,6 +95,22 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, spre
     return out.withColumn(name, (F.col("_r") + F.col("_base")).cast("long")).drop("_b", "_b2", "_r", "_base", *[f"_g{i}" for i in range(len(group))])
 
 
+#: A key is hot if it has more than one in HOT_KEYS of all rows, so there are fewer hot keys than that.
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of rows with a table of one row per key, whose column `size` counts the key's rows.
+
+    Hot keys (fewer than HOT_KEYS of them) are broadcast, so that no task gets all rows of one; the other keys, none of
+    which is hot, are shuffled. Give both as stored tables: they are read twice."""
+    n = table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.coalesce(F.col(size) * HOT_KEYS > n, F.lit(False))
+    few = F.broadcast(table.where(hot))
+    rest = rows.join(few.select(key), key, "left_anti").join(table.where(~hot), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def merge_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union the pairs into labels (each points at a smaller or equal index); give pairs that span the same components."""
     keep_i, keep_j = [], []

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, batch, components, grouped, materialize, merge_labels
+from .common import arrow, batch, components, grouped, join_hot, materialize, merge_labels
 
 #: Bytes of texts whose fingerprints are taken together.
 GROUP_BYTES = 8 << 20
+#: Tasks that compare pairs of tiles, at most.
+TASKS = 20_000
 _LOW = np.uint64(0x0101010101010101)
 
 
@@ -112,13 +114,16 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, tile_rows: int = 65_536)
     count = F.create_map(*[F.lit(x) for p, k in tiles.items() for x in (p, k)])
     t = t.withColumn("_k", F.pmod(F.xxhash64("fp"), count[F.col("_p")]).cast("int"))
     packed = materialize(t.groupBy("_p", "_k").agg(F.collect_list("fp").alias("fps")), "tiles")
-    # the partners of a tile: all tiles of its bit count from itself on, and all of up to radius more bits
-    partner = packed.select("_p", "_k").withColumn("_q", F.explode(F.sequence(F.col("_p"), F.col("_p") + radius))).where(F.col("_q").isin(list(tiles)))
-    partner = partner.withColumn("_j", F.explode(F.sequence(F.when(F.col("_p") == F.col("_q"), F.col("_k")).otherwise(F.lit(0)), count[F.col("_q")].cast("int") - 1)))
-    left = packed.select(F.col("_p").alias("p"), F.col("_k").alias("k"), F.col("fps").alias("x"))
-    right = packed.select(F.col("_p").alias("q"), F.col("_k").alias("j"), F.col("fps").alias("y"))
-    pairs = partner.repartition("_p", "_k", "_q", "_j").join(left, (F.col("_p") == F.col("p")) & (F.col("_k") == F.col("k"))).join(right, (F.col("_q") == F.col("q")) & (F.col("_j") == F.col("j")))
-    spread = pairs.select("x", "y", F.xxhash64("p", "k", "q", "j").alias("_s")).repartition(F.col("_s")).select("x", "y")
+    # a pair of tiles is a key: the first of the pair goes to all tiles of its bit count from itself on and of up to radius
+    # more bits, the second to all that have it as second, so that each tile is sent once to each pair
+    both, last = F.col("_p") == F.col("_q"), lambda c: count[F.col(c)].cast("int") - 1
+    one = packed.withColumn("_q", F.explode(F.sequence("_p", F.col("_p") + radius))).where(F.col("_q").isin(list(tiles)))
+    one = one.withColumn("_j", F.explode(F.sequence(F.when(both, F.col("_k")).otherwise(0), last("_q")))).withColumnRenamed("fps", "x")
+    other = packed.select(F.col("_p").alias("_q"), F.col("_k").alias("_j"), F.col("fps").alias("y")).withColumn("_p", F.explode(F.sequence(F.col("_q") - radius, F.col("_q")))).where(F.col("_p").isin(list(tiles)))
+    other = other.withColumn("_k", F.explode(F.sequence(F.lit(0), F.when(both, F.col("_j")).otherwise(last("_p")))))
+    pairs = sum(k * (k + 1) // 2 + sum(k * tiles.get(p + r, 0) for r in range(1, radius + 1)) for p, k in tiles.items())
+    key, parts = ["_p", "_k", "_q", "_j"], min(pairs, TASKS)
+    spread = one.repartition(parts, *key).join(other.repartition(parts, *key).hint("shuffle_hash"), key).select("x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow("a long, b long")
@@ -139,12 +144,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, key: str |
     that has other doc_ids; repeated rows are repeated; no documents give no rows. With `key`, a binary column of docs, this
     and component are returned too: component differs where groups differ, whatever their doc_ids."""
     marked = materialize(fingerprints(docs, words, key=key), "fingerprints")
-    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_rows")), "distinct")
     found = components(fingerprint_links(fps.select("fp"), radius), "simhash")
-    joined = fps.join(found, fps["fp"] == found["id"], "left").select("fp", "least", F.coalesce("component", "fp").alias("_c"))
-    named = joined.groupBy("_c").agg(F.min("least").alias("component_id"))
-    names = materialize(joined.select("fp", "_c").join(named, "_c").select("fp", "component_id", F.col("_c").alias("component")), "names")
-    return marked.join(names, "fp").select("doc_id", "fp", "component_id", *(["component", key] if key else []))
+    joined = materialize(fps.join(found, fps["fp"] == found["id"], "left").select("fp", "least", "_rows", F.coalesce("component", "fp").alias("component")), "joined")
+    named = materialize(joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("_fps")), "named")
+    names = materialize(join_hot(joined.drop("least"), named, "component", "_fps").drop("_fps"), "names")
+    return join_hot(marked, names, "fp", "_rows").select("doc_id", "fp", "component_id", *(["component", key] if key else []))
 
 
 def hex64(fp: str) -> F.Column:

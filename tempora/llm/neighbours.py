@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, batch, components, materialize, merge_labels
+from .common import arrow, batch, components, join_hot, materialize, merge_labels
 
 #: Rows of a bucket or tile that one numpy comparison takes at most (about).
 GROUP, TILE = 256, 512
@@ -324,14 +324,21 @@ def _bridge(threshold: float):
     return rows
 
 
-def bridges(lists: DataFrame, classes: DataFrame, found: DataFrame, k: int, threshold: float) -> DataFrame:
+def in_components(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """component, cid, copies, unit, pivot (that of the class that names the component) of each class in a component, stored."""
+    own = materialize(classes.select("cid", "copies", "unit").join(found.select(F.col("id").alias("cid"), "component"), "cid"), "placed")
+    sizes = own.groupBy("component").agg(F.count("*").alias("size"))
+    pivots = materialize(sizes.join(classes.select(F.col("cid").alias("component"), F.col("unit").alias("pivot")), "component"), "pivots")
+    return materialize(join_hot(own, pivots, "component", "size").select("component", "cid", "copies", "unit", "pivot"), "placed")
+
+
+def bridges(lists: DataFrame, placed: DataFrame, k: int, threshold: float) -> DataFrame:
     """Links (a, b) between components that full lists can hide: both ends have k nearer links of their own.
 
     A link to a class whose list still ends below the threshold is in that list. So only classes of saturated lists are
     compared, and of these only the components whose balls about their pivots come within the threshold's angle."""
     full = lists.where((F.size("near") >= k) & (F.element_at("near", -1)["d"] <= SLACK - threshold)).select(F.col("u").alias("cid"))
-    pivots = classes.select(F.col("cid").alias("component"), F.col("unit").alias("pivot"))
-    members = classes.select("cid", "unit").join(full, "cid").join(found.select(F.col("id").alias("cid"), "component"), "cid").join(pivots, "component")
+    members = placed.select("component", "cid", "unit", "pivot").join(full, "cid")
     members = members.select("component", "cid", "unit", "pivot").mapInArrow(_angles("angle"), "component long, cid long, unit binary, pivot binary, angle double")
     members = materialize(members, "saturated")
     balls = members.groupBy("component").agg(F.first("pivot").alias("pivot"), F.max("angle").alias("radius"), F.count("*").alias("size")).withColumn("dims", F.length("pivot"))
@@ -341,7 +348,7 @@ def bridges(lists: DataFrame, classes: DataFrame, found: DataFrame, k: int, thre
     later = dealt.select("dims", F.col("i").alias("j"), F.col("one").alias("other"))
     near = dealt.withColumn("j", F.explode(F.sequence("i", F.col("n") - 1))).join(later, ["dims", "j"])
     near = materialize(near.select("one", "other").mapInArrow(_meeting(threshold), "a long, b long").distinct(), "meeting")
-    tiled = members.join(balls.select("component", F.ceil(F.col("size") / TILE).alias("n")), "component")
+    tiled = join_hot(members.drop("pivot", "angle"), balls.select("component", "size"), "component", "size").withColumn("n", F.ceil(F.col("size") / TILE))
     tiles = tiled.groupBy("component", F.pmod(F.xxhash64("cid"), "n").alias("tile")).agg(F.collect_list(F.struct("cid", "unit")).alias("members"))
     one, other = (tiles.select(F.col("component").alias(c), F.col("members").alias(name)) for c, name in (("a", "one"), ("b", "other")))
     return near.join(one, "a").join(other, "b").select("one", "other").mapInArrow(_bridge(threshold), "a long, b long")
@@ -374,21 +381,19 @@ def _tile_links(threshold: float):
     return rows
 
 
-def enlarge(classes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+def enlarge(placed: DataFrame, threshold: float) -> DataFrame:
     """component, cid, links: of each class in a component the vectors of other classes that it links with."""
-    pivots = classes.select(F.col("cid").alias("component"), F.col("unit").alias("pivot"))
-    members = classes.join(found.select(F.col("id").alias("cid"), "component"), "cid").join(pivots, "component")
-    members = materialize(members.select("component", "cid", "copies", "unit", "pivot").mapInArrow(_radius(threshold), "component long, cid long, copies long, unit binary, core boolean"), "members")
+    members = materialize(placed.select("component", "cid", "copies", "unit", "pivot").mapInArrow(_radius(threshold), "component long, cid long, copies long, unit binary, core boolean"), "members")
     sizes = members.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("core_copies"), F.count("*").alias("size"), F.count_if(~F.col("core")).alias("n_outer"))
     sizes = materialize(sizes, "sizes")
-    tiled = members.join(sizes.where("n_outer > 0"), "component")
+    tiled = join_hot(members, sizes.select("component", "size", F.col("n_outer")), "component", "size").where("n_outer > 0")
     tiles, outer_tiles = F.ceil(F.col("size") / TILE), F.ceil(F.col("n_outer") / TILE)
     row = F.struct("cid", "copies", "unit", "core")
     a = tiled.where("not core").groupBy("component", F.pmod(F.xxhash64("cid"), outer_tiles).alias("i"), tiles.alias("n")).agg(F.collect_list(F.struct("cid", "copies", "unit")).alias("outer"))
     b = tiled.groupBy("component", F.pmod(F.xxhash64("cid"), tiles).alias("j")).agg(F.collect_list(row).alias("members"))
     pairs = a.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).join(b, ["component", "j"])
     outer = pairs.select("outer", "members").mapInArrow(_tile_links(threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("outer_links"))
-    own = members.join(sizes.select("component", "core_copies"), "component").join(outer, "cid", "left")
+    own = join_hot(members.drop("unit"), sizes.select("component", "core_copies", "size"), "component", "size").join(outer, "cid", "left")
     inner = F.when(F.col("core"), F.col("core_copies") - F.col("copies")).otherwise(0)
     return own.select("component", "cid", (inner + F.coalesce("outer_links", F.lit(0))).cast("long").alias("links"))
 
@@ -425,15 +430,15 @@ def recall(classes: DataFrame, links: DataFrame, threshold: float, k: int = 8, s
     return min((float(r["share"]) for r in shares), default=1.0)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 8, tables: int = 8, rounds: int = 3, target: float = 0.995, attempts: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 8, tables: int = 8, rounds: int = 12, target: float = 0.995, attempts: int = 3) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     n_links counts the other rows whose cosine reaches the threshold (in double precision), component_id is the smallest
     vec_id reachable by links, kept says whether that is the row's own. Vectors that are null, empty or zero, or hold
     null, NaN or infinite components, link with nothing, nor do vectors of different lengths. Rows of a null vec_id link
     but never name a component, and aren't kept; repeated rows link with each other; no rows give no rows. Other columns
-    are ignored. More tables than `tables` are taken where a pair at the threshold needs them; RuntimeError if the audit
-    stays below `target`."""
+    are ignored. More tables than `tables` are taken where a pair at the threshold needs them; refinement ends when a round
+    changes few lists, after `rounds` at most; RuntimeError if the audit stays below `target`."""
     spark = vectors.sparkSession
     rows = materialize(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_units, "vec_id long, unit binary"), "units")
     classes = rows.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
@@ -445,11 +450,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 8, tabl
         edges = threshold_edges(met, classes, threshold)
         edges = known = materialize(edges if known is None else edges.union(known).distinct(), "edges")
         found = components(edges, "near")
-        hidden = materialize(bridges(lists, classes, found, k, threshold), "bridges")
+        placed = in_components(classes, found)
+        hidden = materialize(bridges(lists, placed, k, threshold), "bridges")
         if not hidden.isEmpty():
             known = edges.union(hidden)
-            found = components(known, "near")
-        linked = materialize(enlarge(classes, found, threshold), "links")
+            placed = in_components(classes, components(known, "near"))
+        linked = materialize(enlarge(placed, threshold), "links")
         got = recall(classes, linked.select("cid", "links"), threshold, lengths)
         _LOG.info("recall %.4f with lists of %d and %d tables", got, k, tables)
         if got >= target:
@@ -458,8 +464,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 8, tabl
     else:
         raise RuntimeError(f"near-duplicate recall {got:.4f} is below {target:.4f} after {attempts} attempts")
     named = classes.select("unit", "least", "copies", "cid").join(linked, "cid", "left")
-    least = named.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
-    named = named.join(least, "component", "left").select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id"))
-    named = materialize(named, "named")
-    out = rows.join(named, "unit", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("unit").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = materialize(named.withColumn("component", F.coalesce("component", "cid")), "named")  # a class without links is its own
+    least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "least")
+    named = join_hot(named, least, "component", "size").select("unit", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = join_hot(rows.where("unit is not null"), materialize(named, "named"), "unit", "copies").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = out.union(rows.where("unit is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

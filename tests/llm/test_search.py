@@ -85,9 +85,9 @@ def test_bridges_between_saturated_components(spark, monkeypatch, tile):
     group = {i: [j for j in ids if j // 40 == i // 40 and j != i] for i in ids}
     near = lambda i: sorted((-float(unit[i] @ unit[j]), j) for j in group[i])[:8]
     lists = spark.createDataFrame([(i, near(i)) for i in ids], "u long, near array<struct<d: double, w: long>>")
-    classes = spark.createDataFrame([(i, bytearray(unit[i].tobytes())) for i in ids], "cid long, unit binary")
+    classes = spark.createDataFrame([(i, 1, bytearray(unit[i].tobytes())) for i in ids], "cid long, copies long, unit binary")
     found = spark.createDataFrame([(i, i // 40 * 40) for i in ids], "id long, component long")
-    got = neighbours.bridges(lists, classes, found, 8, 0.9).collect()
+    got = neighbours.bridges(lists, neighbours.in_components(classes, found), 8, 0.9).collect()
     assert got and all(r.a < 40 <= r.b < 80 and unit[r.a] @ unit[r.b] >= 0.9 for r in got)
 
 

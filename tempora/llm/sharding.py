@@ -2,7 +2,7 @@
 
 Records are ordered by (hash of the text, row number). A size-weighted sample of a bounded expected size gives quantile
 boundaries that cut this order into many more ranges than shards; a group of equal texts stays in one range unless it
-alone has half a shard's bytes. The exact bytes of every range are counted, overfull ranges are subdivided by
+alone has, by count, more bytes than a shard's equal share. The exact bytes of every range are counted, overfull ranges are subdivided by
 samples of their own, and whole ranges go to shards, largest first to the emptiest. Texts are never shuffled."""
 
 from __future__ import annotations
@@ -49,21 +49,29 @@ def _draw(rows: DataFrame, total: int, expected: int, turn: int) -> pd.DataFrame
     return drawn.select("key", "row", F.greatest(F.col("size").cast("double"), F.lit(max(1, total) / expected)).alias("weight")).toPandas().sort_values(["key", "row"], ignore_index=True)
 
 
-def _quantiles(sample: pd.DataFrame, parts: int, divisible: float) -> list[tuple[int, int]]:
-    """Up to parts - 1 boundaries; at the start of a group of equal texts unless it has `divisible` bytes."""
+def _quantiles(sample: pd.DataFrame, parts: int, divisible: set[int]) -> list[tuple[int, int]]:
+    """Up to parts - 1 boundaries; at the start of a group of equal texts unless its key is divisible."""
     if not len(sample) or parts < 2:
         return []
     w = sample["weight"].to_numpy()
     cum, share = np.cumsum(w), w.sum() / parts
-    heavy = sample.groupby("key")["weight"].sum()
     at = np.searchsorted(cum, share * np.arange(1, parts), "left")
     out = []
     for k in np.unique(np.minimum(at, len(sample) - 1)):
         key, row = int(sample["key"][k]), int(sample["row"][k])
-        out.append((key, row) if heavy[key] > divisible else (key, -1))
+        out.append((key, row) if key in divisible else (key, -1))
     return out
 
 
+def _oversize(rows: DataFrame, sample: pd.DataFrame, share: float) -> set[int]:
+    """The keys whose groups have more bytes than `share`, by count. The sample only names whom to count: with tens of
+    thousands of draws, a group of a whole share never shows less than half of it."""
+    heavy = sample.groupby("key")["weight"].sum()
+    suspects = [int(k) for k in heavy.index[heavy > share / 2]]  # fewer than two for each shard
+    counted = rows.where(F.col("key").isin(suspects)).groupBy("key").agg(F.sum("size").alias("s")).where(F.col("s") > share)
+    return {r["key"] for r in counted.collect()} if suspects else set()
+
+
 def assign(sizes: dict[int, int], shards: int) -> dict[int, int]:
     """Ranges to shards: largest first, to the shard with the fewest bytes."""
     heap, out = [(0, s) for s in range(shards)], {}
@@ -77,14 +85,15 @@ def assign(sizes: dict[int, int], shards: int) -> dict[int, int]:
 def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 48, sample: int = 60_000, rounds: int = 4) -> DataFrame:
     """Every row of docs (doc_id, text) to a shard: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard).
 
-    Equal texts share a shard, unless their group has half a shard's bytes or more: such a hot group is divided, as
+    Equal texts share a shard, unless their group has more bytes than a shard's equal share: such a hot group is divided, as
     sizes come first. Null texts have no bytes; repeated rows and ties are told apart by row number; no documents give no rows. The sample
     and the ranges are bounded by parameters, whatever the number of documents."""
     rows = materialize(records(docs), "records")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     wanted = shards * ranges_per_shard
-    most, divisible = 1.5 * total / wanted, total / shards / 2
-    splits = sorted(set(_quantiles(_draw(rows, total, sample, 0), wanted, divisible)))
+    most, first = 1.5 * total / wanted, _draw(rows, total, sample, 0)
+    divisible = _oversize(rows, first, total / shards)
+    splits = sorted(set(_quantiles(first, wanted, divisible)))
     for turn in range(1, rounds + 1):
         at = _position(np.array(splits or np.zeros((0, 2)), np.int64).reshape(-1, 2))
         placed = rows.withColumn("part", at("key", "row"))

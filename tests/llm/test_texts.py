@@ -46,7 +46,7 @@ def test_simhash_groups(spark, tile):
     rng = np.random.default_rng(0)
     vocabulary = [f"w{i}" for i in range(400)]
     long_texts = [" ".join(rng.choice(vocabulary, 400)) for _ in range(12)]
-    texts = TEXTS[:14] + long_texts + [" ".join(t.split()[:-1] + ["other"]) for t in long_texts]
+    texts = TEXTS + long_texts + [" ".join(t.split()[:-1] + ["other"]) for t in long_texts]
     df = docs(spark, [*texts, "null id", texts[5]], [*range(len(texts)), None, 5])
     rows = [(i, fingerprint(t)) for i, t in [*enumerate(texts), (None, "null id"), (5, texts[5])]]
     n = len(rows)
@@ -81,7 +81,7 @@ def test_no_documents(spark):
 
 def test_shards_are_even_and_gapless(spark):
     rng = np.random.default_rng(1)
-    texts = TEXTS[:14] + ["x" * int(k) for k in rng.pareto(1.2, 3000) * 40 % 3000] + ["hot text"] * 1500
+    texts = TEXTS[:14] + ["x" * int(k) for k in rng.pareto(1.2, 3000) * 40 % 3000] + ["hot text"] * 4000 + ["warm text"] * 1600
     df = docs(spark, [*texts, "null id", texts[5]], [*range(len(texts)), None, 5])
     got = sharding.shard(df, 8, ranges_per_shard=24, sample=4000).collect()
     assert len(got) == len(texts) + 2
@@ -90,14 +90,22 @@ def test_shards_are_even_and_gapless(spark):
     for s in range(8):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
-    by_id = {r.doc_id: r for r in got}
-    for i in (0, 1, 5, 13):
-        raw = (texts[i] or "").encode()
-        assert (by_id[i]["size"], by_id[i].text_crc32) == (len(raw) + 16, zlib.crc32(raw))
-    together = {}
+    raw = [(i, (t or "").encode()) for i, t in [*enumerate(texts), (None, "null id"), (5, texts[5])]]
+    assert sorted([(r.doc_id, r["size"], r.text_crc32) for r in got], key=str) == sorted([(i, len(t) + 16, zlib.crc32(t)) for i, t in raw], key=str)
+    bytes_of, shards_of = {}, {}
     for r in got:
-        together.setdefault(r.text_crc32, set()).add(r.shard)
-    assert len(together[zlib.crc32(b"same text")]) == 1
+        bytes_of[r.text_crc32] = bytes_of.get(r.text_crc32, 0) + r["size"]
+        shards_of.setdefault(r.text_crc32, set()).add(r.shard)
+    share = sum(bytes_of.values()) / 8
+    assert bytes_of[zlib.crc32(b"hot text")] > share > bytes_of[zlib.crc32(b"warm text")] > share / 2
+    assert {t for t, s in shards_of.items() if len(s) > 1} == {zlib.crc32(b"hot text")}
+
+
+def test_a_long_text_takes_a_shard(spark):
+    got = sharding.shard(docs(spark, [LONG, *TEXTS[:14]] + ["short"] * 20), 3).collect()
+    own = next(r for r in got if r.doc_id == 0)
+    assert len(got) == 35 and own["size"] == len(LONG) + 16
+    assert sum(r["size"] for r in got if r.shard == own.shard) - own["size"] <= sum(r["size"] for r in got) / 100
 
 
 def judge_plainly(url, rules):
@@ -139,15 +147,16 @@ MIXED = ["it's don't we'll", "a\n\nb", "x.\ny", "ÀÉ ßẞ İ", "1,234.5 (x) -y
 
 @pytest.mark.parametrize("name,keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder_equals_the_library(monkeypatch, name, keeps):
-    plain, own = plain_ids(name), tokens.Encoder(tokenizer(name), keeps)
+    plain, own = plain_ids(name), tokens.Encoder(tokenizer(name), keeps, limit=300)
     rng = np.random.default_rng(8)
     marks = list("aBcé ß1.,'\n-¿ ")
     drawn = ["".join(rng.choice(marks, int(n))) for n in rng.integers(0, 40, 2000)]
     texts = [*TEXTS, *SPECIAL, *MIXED, *drawn]
-    for together in (64, 3):
+    for together, some in ((64, texts), (3, texts[::-1]), (64, texts[:300])):
         monkeypatch.setattr(tokens, "_TOGETHER", together)
-        ids, ends = own.encode(pa.array(texts, pa.string()))
-        for t, lo, hi in zip(texts, ends, ends[1:]):
+        ids, ends = own.encode(pa.array(some, pa.string()))
+        assert len(ends) == len(some) + 1
+        for t, lo, hi in zip(some, ends, ends[1:]):
             assert ids[lo:hi].tobytes() == plain(t), t
     assert plain(SPECIAL[0]) == np.array({True: [64, 275, 220, 50256, 269]}.get(keeps) or own.lib.encode(SPECIAL[0], add_special_tokens=False).ids, "<u4").tobytes()
     assert [x.tolist() for x in own.encode(pa.array([], pa.string()))] == [[], [0]]

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
-#: Turns rendered into one row; longer conversations have several parts, so no row holds an unbounded conversation.
+#: Turns rendered into one row.
 PART_TURNS = 512
 _MOD = 1 << 40
 
@@ -41,21 +41,22 @@ def turns(conversations: DataFrame, bucket: int = 1024) -> DataFrame:
 
 
 def collapse(all_turns: DataFrame) -> DataFrame:
-    """The conv_ids to keep: maximal conversations, once each."""
+    """The conv_ids to keep, with n_turns: maximal conversations, once each. all_turns is a stored table."""
     whole = all_turns.groupBy("conv_id").agg(F.max(F.struct("pos", "h1", "h2")).alias("w")).select("conv_id", "w.*")
     single = whole.groupBy("pos", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
-    ends = whole.select("conv_id", F.col("pos").alias("last"))
-    inner = all_turns.join(ends, "conv_id").where("pos < last").select("pos", "h1", "h2").distinct()
+    ends = materialize(whole.select("conv_id", F.col("pos").alias("last")), "ends")
+    inner = join_hot(all_turns.select("conv_id", "pos", "h1", "h2"), ends, "conv_id", "last").where("pos < last").select("pos", "h1", "h2").distinct()
     return single.join(inner, ["pos", "h1", "h2"], "left_anti").select("conv_id", F.col("pos").alias("n_turns"))
 
 
-def render(conversations: DataFrame, start: str = "<|{role}|>\n", end: str = "<|end|>\n") -> DataFrame:
+def render(conversations: DataFrame, start: str = "<|{role}|>\n", end: str = "<|end|>\n", part_turns: int = PART_TURNS) -> DataFrame:
     """Rendered maximal conversations: conv_id, part (from 0), n_turns, text; parts of one conversation join in order.
 
+    A part has part_turns turns, so that no row holds an unbounded conversation; shorter conversations are part 0 alone.
     Rows of null conv_id belong to no conversation and are left out; repeated turns are turns; no turns give no rows."""
     t = materialize(turns(conversations), "turns")
-    kept = t.select("conv_id", "pos", "role", "text").join(collapse(t), "conv_id")
+    kept = join_hot(t.select("conv_id", "pos", "role", "text"), materialize(collapse(t), "kept"), "conv_id", "n_turns")
     opening, closing = start.split("{role}")
     line = F.concat(F.lit(opening), F.col("role"), F.lit(closing), F.col("text"), F.lit("\n" + end))
-    parts = kept.groupBy("conv_id", "n_turns", F.floor((F.col("pos") - 1) / PART_TURNS).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
+    parts = kept.groupBy("conv_id", "n_turns", F.floor((F.col("pos") - 1) / part_turns).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
     return parts.select("conv_id", "part", "n_turns", F.concat_ws("", F.transform("lines", lambda x: x["line"])).alias("text"))

@@ -1,8 +1,8 @@
 """Operator 9: mixing sources to target weights by Poisson replication, in DataFrame functions only.
 
 A source's repetition rate is its target share over its actual share. Each row draws its count from the Poisson
-distribution of that mean, inverted at a uniform number hashed from the seed and the row's doc_id, is exploded by its
-count, and all copies are shuffled globally by a hash."""
+distribution of that mean, inverted at a uniform number hashed from the seed, the row's doc_id and its text, is exploded by
+its count, and all copies are shuffled globally by a hash."""
 
 from __future__ import annotations
 
@@ -15,8 +15,9 @@ from .common import materialize
 _STEP = 16.0
 #: Counts at which the inverse stops: beyond them a draw of mean _STEP has less than 1e-15 of its weight.
 _MOST = 80
-#: Sources up to this number are broadcast (under 1 MB).
-BROADCAST_SOURCES = 10_000
+#: Sources up to this number are broadcast (81 doubles each, under 1 MB); of more, those that have more than one in so many
+#: of all rows are.
+BROADCAST_SOURCES = 1000
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -36,9 +37,9 @@ def thresholds(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(_MOST)), first, add, lambda acc: acc["c"])
 
 
-def rates(docs: DataFrame, weights: dict[str, float], rest: float, size: float) -> tuple[DataFrame, int]:
+def rates(docs: DataFrame, weights: dict[str, float], rest: float, size: float) -> tuple[DataFrame, int, int]:
     """A table of sources, each with its rows and mean repetitions (target share times `size` times all rows, over its
-    rows), and how many sources there are.
+    rows); how many rows and how many sources there are.
 
     Sources without a weight share `rest` equally; a null source is a source. Weights are normalised over the sources
     that exist, so absent ones leave no gap; if all are zero, nothing is repeated."""
@@ -51,25 +52,31 @@ def rates(docs: DataFrame, weights: dict[str, float], rest: float, size: float)
     whole = sure + (float(rest) if free else 0.0)
     share = F.coalesce("_w", F.lit(float(rest) / free)) if free else F.col("_w")
     mean = share / F.lit(whole) * F.lit(float(size)) * F.lit(rows) / F.col("_rows") if whole else F.lit(0.0)
-    return table.select("_source", "_rows", mean.alias("_mean")), sources
+    return table.select("_source", "_rows", mean.alias("_mean")), rows, sources
 
 
 def mix(docs: DataFrame, weights: dict[str, float], rest: float, size: float = 1.0, seed: int = 9) -> DataFrame:
     """All columns of docs, and copy (1, 2, ...), shuffle_key: each row as often as it is drawn, in hashed order.
 
-    Rows of equal doc_id draw alike. A weight of zero drops its source, as the target asks; no documents give no rows.
+    Rows of equal doc_id and text are one document and draw alike, whatever else differs. A weight of zero drops its source, as the target asks; no documents give no rows.
     Columns of docs named copy or shuffle_key give way to these; all others are returned as they are, whatever their
     names."""
-    table, sources = rates(docs, weights, rest, size)
+    table, rows, sources = rates(docs, weights, rest, size)
     table = table.withColumn("_draws", F.greatest(F.lit(1), F.ceil(F.col("_mean") / _STEP)).cast("int"))
-    table = table.withColumn("_cdf", thresholds(F.col("_mean") / F.col("_draws"))).select("_source", "_draws", "_cdf")
+    table = table.withColumn("_cdf", thresholds(F.col("_mean") / F.col("_draws"))).select("_source", "_rows", "_draws", "_cdf")
     columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"))
-    joined = whole.join(F.broadcast(table) if sources <= BROADCAST_SOURCES else table, F.col("_doc.source").eqNullSafe(F.col("_source")))
+    met = lambda rates_: F.col("_doc.source").eqNullSafe(rates_["_source"])
+    if sources <= BROADCAST_SOURCES:
+        joined = whole.join(F.broadcast(table), met(table))
+    else:  # rows of a large source stay where they are, only those of small ones are dealt by source
+        large, small = table.where(F.col("_rows") * BROADCAST_SOURCES > rows), table.where(F.col("_rows") * BROADCAST_SOURCES <= rows)
+        joined = whole.join(F.broadcast(large), met(large)).union(whole.join(F.broadcast(large), met(large), "left_anti").join(small, met(small)))
     # a uniform number is hashed once per draw: it is bound before the filter that compares it
-    draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda k: uniform(seed, F.col("_doc.doc_id"), k))
+    draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda k: uniform(seed, F.col("_doc.doc_id"), F.col("_text"), k))
     count = F.aggregate("_u", F.lit(0), lambda acc, u: acc + F.size(F.filter("_cdf", lambda c: c <= u)))
-    drawn = joined.withColumn("_u", draws).withColumn("_n", count).where("_n > 0").select("_doc", "_n")
+    text = F.md5(F.coalesce(F.col("_doc.text"), F.lit("")).cast("binary")) if "text" in columns else F.lit("")
+    drawn = joined.withColumn("_text", text).withColumn("_u", draws).withColumn("_n", count).where("_n > 0").select("_doc", "_n")
     copies = drawn.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
     order = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
     out = copies.select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns], "copy", order.alias("shuffle_key"))

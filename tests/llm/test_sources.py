@@ -9,7 +9,7 @@ import sys
 
 import pytest
 
-from tempora.llm import chat, mixing
+from tempora.llm import chat, mixing, urlfilter
 from tempora.llm.common import components
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -42,11 +42,42 @@ def test_no_conversations(spark):
     assert chat.render(conversations(spark, {})).count() == 0
 
 
-def draw(doc_id, mean, seed):
+def test_null_and_repeated_turns(spark):
+    """Null turn numbers come first, equal ones by role and text; equal turns are turns."""
+    long = "long " * 200_000
+    extra = [(1, None, "user", "b", 1, "x"), (1, None, "user", "a", 1, "x"), (1, 5, "user", "z", 1, "x"), (1, 5, "assistant", long, 1, "x"), (1, 5, "assistant", long, 1, "x")]
+    extra += [(2, 0, "user", "a", 1, "x"), (2, 1, "user", "b", 1, "x"), (3, 0, "user", "a", 1, "x"), (3, 1, "user", "b", 1, "x"), (3, 2, "assistant", long, 1, "x")]
+    got = {r.conv_id: (r.n_turns, r.text) for r in chat.render(conversations(spark, {}, extra)).collect()}
+    line = lambda role, text: f"<|{role}|>\n{text}\n<|end|>\n"
+    assert got == {1: (5, line("user", "a") + line("user", "b") + 2 * line("assistant", long) + line("user", "z"))}
+
+
+def test_urls_with_many_rules_have_no_hot_task(spark, monkeypatch):
+    """The shuffled way, with a host that a third of the pages have, gives what the broadcast one does."""
+    rules = spark.createDataFrame([(f"h{i}.org", f"/{'x' * (i % 9)}", "block") for i in range(60)] + [("org", "/", "allow"), ("hot.org", "/a/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, "http://hot.org/a/b" if i % 3 == 0 else f"http://w.h{i % 70}.org/xxxx{i}") for i in range(300)], "page_id long, url string")
+    plain = sorted(map(tuple, urlfilter.judge(pages, rules).collect()), key=str)
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 3)
+    assert sorted(map(tuple, urlfilter.judge(pages, rules).collect()), key=str) == plain
+    assert {v for i, *_, v in plain if i % 3 == 0} == {"block"}
+
+
+def test_hot_keys_join_as_others_do(spark, monkeypatch):
+    from tempora.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = spark.createDataFrame([(k % 20 if k % 2 else 99, k) for k in range(400)], "k long, v long")
+    table = rows.groupBy("k").count().withColumnRenamed("k", "k")
+    got = common.join_hot(rows, table.where("k <> 7"), "k", "count")
+    assert sorted(map(tuple, got.select("k", "v", "count").collect())) == sorted(map(tuple, rows.join(table, "k").where("k <> 7").select("k", "v", "count").collect()))
+    assert got.count() == 380
+
+
+def draw(doc_id, text, mean, seed):
     draws = max(1, math.ceil(mean / 16))
     m, n = mean / draws, 0
     for k in range(1, draws + 1):
-        u = int(hashlib.md5(f"{seed}:{'' if doc_id is None else doc_id}:{k}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        u = int(hashlib.md5(f"{seed}:{'' if doc_id is None else doc_id}:{hashlib.md5(text.encode()).hexdigest()}:{k}".encode()).hexdigest()[:13], 16) / (1 << 52)
         p = c = math.exp(-m)
         steps = 0
         while c <= u and steps <= 80:
@@ -58,7 +89,9 @@ def draw(doc_id, mean, seed):
 
 
 @pytest.mark.parametrize("weights,rest,size", [({"a": 0.5, "b": 0.0}, 0.5, 1.0), ({}, 1.0, 3.0), ({"c": 0.9}, 0.1, 40.0), ({"a": 0.0}, 0.0, 1.0)])
-def test_poisson_counts(spark, weights, rest, size):
+@pytest.mark.parametrize("broadcast", [1000, 3])
+def test_poisson_counts(spark, monkeypatch, weights, rest, size, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     rows = [(i if i != 7 else None, f"t{i}", None, s, None, i, "n", "u") for i, s in enumerate("a" * 150 + "b" * 30 + "c" * 15)] + [(500, "n", None, None, 1, 2, "n", "u"), (3, "again", "x", "a", 1, 2, "n", "u")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy long, _n string, _source string")
     got = mixing.mix(df, weights, rest, size, 9)
@@ -75,7 +108,7 @@ def test_poisson_counts(spark, weights, rest, size):
     want = {}
     for r in rows:
         share = weights[r[3]] if r[3] in weights else rest / len(free)
-        n = draw(r[0], share / whole * size * len(rows) / number[r[3]], 9) if whole else 0
+        n = draw(r[0], r[1], share / whole * size * len(rows) / number[r[3]], 9) if whole else 0
         if n:
             want[r[1]] = n
     assert counts == want

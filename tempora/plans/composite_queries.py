@@ -247,3 +247,30 @@ def p1_named_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("a"))
     return complete(rows, ["event_id"], ["event_id", "a", "absent"]).withColumn("absent", numbers.number(F.col("absent").cast("string")))
+
+
+@query(f"""WITH {WORKOUTS_SQL}, w AS (SELECT workout_id AS k, athlete_id, start_time_utc, CASE WHEN workout_id % 3 = 0 THEN 'running' END AS sport, CASE WHEN workout_id % 4 <> 0 THEN duration_sec END AS duration_sec, distance_m FROM workouts),
+s AS (SELECT k, CASE WHEN k % 2 = 0 THEN 'Indoor_Cycling' WHEN k % 11 = 1 THEN 'lap_swimming' END AS sub_sport, CASE WHEN k % 7 = 0 THEN ' Morning ' END AS workout_name, CASE k % 6 WHEN 0 THEN true WHEN 1 THEN false END AS is_indoor,
+  (k % 2) * 500.0::DOUBLE AS distance_m, (k % 9)::DOUBLE AS elevation_gain_m, CASE WHEN k % 8 = 0 THEN 300 ELSE 0 END AS calories_kcal FROM w WHERE k % 5 <> 0),
+j AS (SELECT w.*, s.* EXCLUDE (k, distance_m), s.distance_m AS d, coalesce(w.sport, CASE WHEN lower(sub_sport) LIKE '%cycling%' THEN 'cycling' WHEN lower(sub_sport) LIKE '%swim%' THEN 'swimming' ELSE 'unknown' END) AS sp, coalesce(nullif(w.duration_sec, 0), 0) AS du FROM w LEFT JOIN s ON w.k = s.k)
+SELECT k AS workout_id, sp AS sport, sub_sport, coalesce(trim(workout_name), upper(sp[1]) || sp[2:] || ' - ' || strftime(start_time_utc, '%b %d, %Y')) AS workout_name, coalesce(is_indoor, coalesce(d, 0) > 100 AND coalesce(elevation_gain_m, 0) < 5) AS is_indoor,
+  start_time_utc, du AS duration_sec, coalesce(nullif(d, 0), distance_m) AS distance_m, elevation_gain_m, coalesce(nullif(calories_kcal, 0), trunc(du / 60 * CASE WHEN sp = 'running' THEN 15 ELSE 10 END))::BIGINT AS calories_kcal FROM j""")
+def p6_base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, null = F.col("workout_id"), F.lit(None)
+    w = workouts(spark, sf_dir).select("workout_id", "athlete_id", "start_time_utc", F.when(k % 3 == 0, "running").alias("sport"), F.when(k % 4 != 0, F.col("duration_sec")).alias("duration_sec"), "distance_m")
+    session = w.where(k % 5 != 0).select(
+        "workout_id", null.cast("string").alias("sport"), F.when(k % 2 == 0, "Indoor_Cycling").when(k % 11 == 1, "lap_swimming").alias("sub_sport"), F.when(k % 7 == 0, " Morning ").alias("workout_name"), F.when(k % 6 == 0, True).when(k % 6 == 1, False).alias("is_indoor"),
+        null.cast("timestamp").alias("start_time_utc"), null.cast("double").alias("duration_sec"), null.cast("double").alias("moving_time_sec"), ((k % 2) * 500.0).alias("distance_m"), (k % 9).cast("double").alias("elevation_gain_m"), F.when(k % 8 == 0, 300).otherwise(0).alias("calories_kcal"),
+    )
+    return composites.base_rows(w, session).drop("athlete_id", "moving_time_sec")
+
+
+@query("""WITH w AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'Known' WHEN o_orderkey % 3 = 1 THEN ' ' END AS model, o_orderkey % 30 AS product, CASE WHEN o_orderkey % 7 <> 0 THEN 'Watch' || o_orderkey % 5 END AS said FROM orders),
+j AS (SELECT k, CASE WHEN model = 'Known' THEN model END AS model, CASE WHEN k % 4 <> 0 THEN coalesce(n_name, said) END AS found FROM w LEFT JOIN nation ON product = n_nationkey)
+SELECT k AS workout_id, coalesce(model, found) AS device_model, model IS NULL AND found IS NOT NULL AS filled FROM j""")
+def x5_device_model_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    w = o.select(k.alias("workout_id"), F.when(k % 3 == 0, "Known").when(k % 3 == 1, " ").alias("device_model"))
+    metadata = o.where(k % 4 != 0).select(k.alias("workout_id"), F.lit(1).alias("manufacturer"), (k % 30).alias("product"), F.when(k % 7 != 0, F.concat(F.lit("Watch"), (k % 5).cast("string"))).alias("product_name"))
+    products = table(spark, sf_dir, "nation").select(F.lit(1).alias("manufacturer"), F.col("n_nationkey").alias("product"), F.col("n_name").alias("name"))
+    return composites.backfilled_device_model(w, metadata, products)

@@ -5,11 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.functions import text
 from tempora.operators import lookup, metrics, rollups
 from tempora.operators.sequence import resample
 from tempora.params import AthleteParams, resolve_ftp
 
 
+def backfilled_device_model(workouts: DataFrame, metadata: DataFrame, products: DataFrame, key: str = "workout_id") -> DataFrame:
+    """Workouts whose device_model is missing (null or blank) take that of their metadata (key, manufacturer, product,
+    product_name): the product's name in `products` (manufacturer, product, name), else product_name as it stands.
+
+    One row per workout, with `device_model` and `filled`; models that are there stay."""
+    known = metadata.select(F.col(key).alias("_key"), "manufacturer", "product", F.col("product_name").alias("_said"))
+    names = products.select(F.col("manufacturer").alias("_m"), F.col("product").alias("_p"), F.col("name").alias("_name"))
+    own = workouts.join(known, F.col(key) == F.col("_key"), "left").join(names, (F.col("manufacturer") == F.col("_m")) & (F.col("product") == F.col("_p")), "left")
+    there, found = F.when(F.trim("device_model") != "", F.col("device_model")), F.coalesce("_name", F.when(F.trim("_said") != "", F.col("_said")))
+    out = own.withColumn("filled", there.isNull() & found.isNotNull()).withColumn("device_model", F.coalesce(there, found))
+    return out.select(*workouts.columns, "filled")
+
+
+def base_rows(workouts: DataFrame, session: DataFrame, key: str = "workout_id") -> DataFrame:
+    """The base row of each workout: its own fields first, then those of its session, then what can be inferred.
+
+    session has key, sport, sub_sport, workout_name, is_indoor, start_time_utc, duration_sec, moving_time_sec, distance_m,
+    elevation_gain_m, calories_kcal; zero counts as unknown in durations, distances and calories."""
+    some = lambda c: F.when(F.col(c) != 0, F.col(c))
+    w, s = workouts.select(*[F.col(c).alias(f"w_{c}") for c in workouts.columns]), session.select(*[F.col(c).alias(f"s_{c}") for c in session.columns])
+    sub = F.lower("s_sub_sport")
+    guess = F.when(sub.rlike("cycling|bike"), "cycling").when(sub.contains("run"), "running").when(sub.contains("swim"), "swimming").otherwise("unknown")
+    sport, start = F.coalesce(text.some(F.col("w_sport")), text.some(F.col("s_sport")), guess), F.coalesce("w_start_time_utc", "s_start_time_utc")
+    named = F.concat(F.initcap(sport), F.coalesce(F.date_format(start, "' - 'MMM dd, yyyy"), F.lit(" Workout")))
+    duration = F.coalesce(some("w_duration_sec"), some("s_duration_sec"), F.lit(0.0))
+    indoor = F.coalesce(F.col("s_is_indoor"), text.inferred_indoor(F.coalesce("s_distance_m", F.lit(0.0)), F.col("s_elevation_gain_m")))
+    return w.join(s, F.col(f"w_{key}") == F.col(f"s_{key}"), "left").select(
+        F.col(f"w_{key}").alias(key), F.col("w_athlete_id").alias("athlete_id"), sport.alias("sport"), F.col("s_sub_sport").alias("sub_sport"), F.coalesce(text.some(F.col("s_workout_name")), named).alias("workout_name"), indoor.alias("is_indoor"),
+        start.alias("start_time_utc"), duration.alias("duration_sec"), some("s_moving_time_sec").alias("moving_time_sec"), F.coalesce(some("s_distance_m"), F.col("w_distance_m")).alias("distance_m"), F.col("s_elevation_gain_m").alias("elevation_gain_m"),
+        F.coalesce(some("s_calories_kcal"), text.estimated_calories(sport, duration)).cast("long").alias("calories_kcal"),
+    )
+
+
 def clamp(value: int, low: int, high: int) -> int:
     return max(low, min(int(value), high))
 

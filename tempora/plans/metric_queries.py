@@ -199,6 +199,23 @@ def m20_zones_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.zone_seconds(records(spark, sf_dir), AthleteParams(ftp=FTP, hr_max=HR_MAX, hr_rest=HR_REST, basis="HRR"))
 
 
+_HR_CUTS["no rest"] = [f"trunc(60 + ({HR_MAX} - 60)::DOUBLE * {k}::DOUBLE)" for k in (0.6, 0.7, 0.8, 0.9)]
+
+
+@query(_zones_sql("no rest"))
+def m20_zones_without_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.zone_seconds(records(spark, sf_dir), AthleteParams(ftp=FTP, hr_max=HR_MAX, basis="HRR"))
+
+
+@query("""WITH f AS (SELECT o_orderkey, (150 + o_orderkey % 200)::DOUBLE AS ftp FROM orders),
+c AS (SELECT o_orderkey, ftp, [0, trunc(ftp * 0.55::DOUBLE), trunc(ftp * 0.75::DOUBLE), trunc(ftp * 0.90::DOUBLE), trunc(ftp * 1.05::DOUBLE), trunc(ftp * 1.20::DOUBLE), trunc(ftp * 1.50::DOUBLE), ftp * 2] AS b FROM f)
+SELECT o_orderkey, z::INTEGER AS zone, b[z]::DOUBLE AS low_w, b[z + 1]::DOUBLE AS high_w FROM c, (SELECT unnest(range(1, 8)) AS z)""")
+def m22_power_zone_watts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ftp = (150 + F.col("o_orderkey") % 200).cast("double")
+    zones = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.explode(m.power_zone_watts(ftp)).alias("z"))
+    return zones.select("o_orderkey", "z.zone", "z.low_w", "z.high_w")
+
+
 @query(f"""WITH {RECORDS_SQL}, {_RUNS.format(flag=f'power_watts >= 0.9 * {FTP}', source='(SELECT *, row_number() OVER (PARTITION BY workout_id ORDER BY elapsed_sec) - 1 AS rn FROM records)')},
 r AS (SELECT workout_id, max(rn) AS e, min(elapsed_sec) AS start_sec, max(elapsed_sec) AS end_sec, round(avg(power_watts), 1) AS avg_power, round(max(power_watts), 1) AS peak_power FROM g WHERE f GROUP BY workout_id, g HAVING count(*) >= {INTERVAL_LEAST}),
 a AS (SELECT r.workout_id, e, CASE WHEN count(*) >= 2 AND count(heart_rate_bpm) = count(*) THEN round(regr_slope(heart_rate_bpm, rn), 4) END AS recovery_hr_slope FROM r JOIN g ON r.workout_id = g.workout_id AND rn BETWEEN e + 1 AND e + 10 GROUP BY r.workout_id, e)
@@ -300,9 +317,19 @@ def w4_outer_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(m.KEY, m.TIME, F.when(F.col("rn") <= quarter, 1).when(F.col("rn") > F.col("n") - quarter, 4).alias("quarter"))
 
 
-@query(None)
+def _wide_sql() -> str:
+    """The families' own SQL, joined; a lag only where heart rate is known wherever power is."""
+    missing = SQL["a2_missing_pct"].replace(USER_RECORDS_SQL, RECORDS_SQL)
+    lag = f"""WITH {RECORDS_SQL}, k AS (SELECT workout_id FROM records WHERE power_watts IS NOT NULL GROUP BY workout_id HAVING count(heart_rate_bpm) = count(*))
+SELECT * FROM ({SQL["m18_hr_power_lag"]}) SEMI JOIN k USING (workout_id)"""
+    load = f"SELECT * EXCLUDE (power_avg, duration_sec) FROM ({SQL['m2_training_load']})"
+    parts = [load, missing, *[SQL[n] for n in ("a4_zone_seconds", "a5_variation", "m16_durability", "m12_surges", "m15_efficiency")], lag, *[SQL[n] for n in ("m19_elevation", "m6_peak_power", "m9_envelopes")]]
+    return f"SELECT * FROM ({SQL['a1_channel_stats']})" + "".join(f" LEFT JOIN ({p}) USING (workout_id)" for p in parts)
+
+
+@query(_wide_sql())
 def d13_workout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide row of all families; each family has its own SQL above."""
+    """The wide row of all families."""
     return m.workout_metrics(m.dealt(records(spark, sf_dir)).persist(), PARAMS)  # whoever runs it frees it
 
 

@@ -115,6 +115,21 @@ def o1_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.listing(workouts(spark, sf_dir), "1998-01-01", "1998-03-31", "1-URGENT", 50).select("workout_id", "athlete_id", "start_time_utc", "sport")
 
 
+@query("""SELECT o_custkey AS athlete_id, count(*) FILTER (o_orderkey % 7 > 2) AS with_start, count(*) FILTER (o_orderkey % 7 IN (0, 1)) AS missing_start, count(*) FILTER (o_orderkey % 7 = 2) AS invalid_start
+FROM orders GROUP BY o_custkey""")
+def p11_start_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts as text: without any, empty, malformed and with or without a zone."""
+    k, good = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(k % 7 == 0, None).when(k % 7 == 1, " ").when(k % 7 == 2, "2024-13-45Tmorning").when(k % 7 == 3, F.concat(good, F.lit("Z"))).when(k % 7 == 4, F.concat(good, F.lit("+02:00"))).otherwise(good)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("athlete_id"), text.alias("start_time_utc"))
+    return rollups.skipped_starts(rollups.parsed_starts(rows))
+
+
+@query(f"WITH {WORKOUTS_SQL} SELECT workout_id, athlete_id, sport FROM workouts WHERE workout_id = 7")
+def o5_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.by_id(workouts(spark, sf_dir), "workout_id", 7).select("workout_id", "athlete_id", "sport")
+
+
 @query(f"WITH {WORKOUTS_SQL} SELECT DISTINCT athlete_id::VARCHAR AS athlete_id FROM workouts WHERE athlete_id IS NOT NULL")
 def a18_athletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.athletes(workouts(spark, sf_dir))
@@ -280,6 +295,13 @@ def a16_daily_tss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.daily_tss(workouts(spark, sf_dir))
 
 
+@query(f"WITH {WORKOUTS_SQL} SELECT athlete_id, start_time_utc::DATE AS day, sum(coalesce(tss, CASE WHEN workout_id % 8 = 0 THEN 50 END)) AS tss FROM workouts WHERE tss IS NOT NULL OR workout_id % 8 = 0 GROUP BY ALL")
+def r12_computed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workout without a load in the table takes its computed one, if it has one."""
+    w = workouts(spark, sf_dir)
+    return state.daily_tss(w, w.where("workout_id % 8 = 0").select("workout_id", F.lit(50.0).alias("tss")))
+
+
 @query(f"""WITH {WORKOUTS_SQL} SELECT athlete_id, coalesce(sum(tss) FILTER (start_time_utc::DATE >= DATE '{LAST}' - 7), 0.0) AS tss_7d, sum(tss) AS tss_28d FROM workouts
 WHERE tss IS NOT NULL AND start_time_utc::DATE BETWEEN DATE '{LAST}' - 28 AND DATE '{LAST}' GROUP BY athlete_id""")
 def a17_rolling_tss(spark: SparkSession, sf_dir: str) -> DataFrame:

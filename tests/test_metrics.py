@@ -1,5 +1,6 @@
 """Behaviour on small hand-made workouts."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,42 @@ def test_empty_and_absent_channels(spark):
     assert m.workout_metrics(m.dealt(bare), AthleteParams()).count() == 0
     row = one(m.workout_metrics(m.dealt(spark.createDataFrame([("w", 0.0), ("w", 1.0)], "workout_id string, elapsed_sec double")), AthleteParams()))
     assert (row.normalized_power, row.tss, row.hr_zone_total_sec, row.surge_count) == (None, None, 0, 0)
+
+
+def test_reserve_zones_without_a_resting_rate_take_sixty(spark):
+    df = spark.createDataFrame([("w", float(i), hr) for i, hr in enumerate([100.0, 150.0, 160.0, 180.0, None])], "workout_id string, elapsed_sec double, heart_rate_bpm double")
+    seconds = lambda p: [one(m.zone_seconds(m.with_channels(df), p))[f"hr_z{z}_sec"] for z in range(1, 6)]
+    assert seconds(AthleteParams(hr_max=190.0, basis="HRR")) == seconds(AthleteParams(hr_max=190.0, hr_rest=60.0, basis="HRR")) == [1, 1, 1, 0, 1]
+    empty = spark.createDataFrame([("w", 0.0, None)], "workout_id string, elapsed_sec double, heart_rate_bpm double")
+    assert one(m.zone_seconds(m.with_channels(empty), AthleteParams(basis="HRR"))).hr_zone_total_sec == 0
+
+
+def test_bridged_gaps_against_a_loop(spark):
+    rng = np.random.default_rng(2)
+    flags = [[None, False, True][k] for k in rng.integers(0, 3, 400)]
+    df = spark.createDataFrame([("w", float(i), f) for i, f in enumerate(flags)], "workout_id string, elapsed_sec double, up boolean")
+    got = [r.up for r in s.bridge_gaps(df, "up", "workout_id", "elapsed_sec", 2).orderBy("elapsed_sec").collect()]
+    on, want = [i for i, f in enumerate(flags) if f], [bool(f) for f in flags]
+    for a, b in zip(on, on[1:]):
+        if b - a - 1 <= 2:
+            want[a:b] = [True] * (b - a)
+    assert got == want
+
+
+def test_strict_records_are_an_error(spark):
+    df = spark.createDataFrame([("a", float(t), 1.0) for t in range(3)] + [("b", t, 1.0) for t in (0.0, 2.0)], "workout_id string, elapsed_sec double, power_watts double")
+    assert s.require_regular(df.where("workout_id = 'a'"), "workout_id", "elapsed_sec", ["power_watts"], [], strict=True).count() == 3
+    with pytest.raises(Exception, match="one row a second: b"):
+        s.require_regular(df, "workout_id", "elapsed_sec", ["power_watts"], [], strict=True).collect()
+
+
+def test_parameters_of_a_configuration(spark, tmp_path):
+    import json
+
+    from tempora.params import params_from
+    from tempora.sources.files import read_config
+
+    path = tmp_path / "settings.json"
+    path.write_text(json.dumps({"power": {"ftp_watts": 301}, "heart_rate": {"basis": "LTHR", "lthr_bpm": 171, "hr_max_bpm": None}}))
+    assert params_from(read_config(spark, f"file://{path}")) == AthleteParams(ftp=301, lthr=171, basis="LTHR")
+    assert params_from({"ftp_watts": 200}) == AthleteParams(ftp=200) and params_from({}) == AthleteParams()

@@ -6,7 +6,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.functions import dates, numbers, text
+from tempora.functions import dates, numbers, text, zones
 from tempora.operators import lookup, quality, resolve, rollups, state
 from tempora.sources import files, ledger
 
@@ -112,3 +112,25 @@ def test_contract(spark):
     rows = [(1, "file_id", "Activity", 0, t, None, None, None), (1, "session", None, 0, t, 10.0, 9.0, None), (1, "record", None, 0, t, None, None, None), (1, "activity", None, 0, t, None, 10.5, 1), (2, "record", None, 0, t, None, None, None), (2, "record", None, 1, t - dt.timedelta(1), None, None, None)]
     got = {r.file: r.violations for r in quality.contract_violations(spark.createDataFrame(rows, schema), "file").collect()}
     assert got == {2: ["one_file_id", "session_missing", "record_order"]}
+
+
+def test_weeks_without_zones_have_zero_minutes(spark):
+    zones = ", ".join(f"{k}_z{z}_sec long" for k, n in (("hr", 5), ("pwr", 7)) for z in range(1, n + 1))
+    rows = [(1, dt.datetime(2026, 2, 10), None, None, 10.0 / 3, None, *[None] * 12), (1, dt.datetime(2026, 2, 11), 60.0, None, 1.0, None, *[None] * 11, 400)]
+    w = spark.createDataFrame(rows, f"athlete_id int, start_time_utc timestamp, duration_sec double, distance_m double, elevation_gain_m double, decoupling_pct double, {zones}")
+    got = rollups.weekly(w).collect()[0]
+    assert (got.workout_count, got.total_duration_min, got.hr_z2_min, got.pwr_z2_min, got.low_aerobic_min) == (2, 1.0, 0.0, 0.0, 0.0)
+    assert (got.total_elevation_m, got.intensity_min, got.hard_days, got.long_days, got.total_distance_km) == (4.33, 6.67, 1, 0, None)
+
+
+@pytest.mark.parametrize("day,minutes,zone", [("2026-07-15", -420, "America/Los_Angeles"), ("2026-01-15", 0, "Europe/London"), ("2026-01-15", -300, "America/New_York"), ("2026-07-15", -240, "America/New_York"), ("2026-01-15", 540, "Asia/Tokyo"), ("2026-01-15", -180, "America/Santiago"), ("2026-01-15", 17, None)])
+def test_zone_of_an_offset_by_rule(spark, day, minutes, zone):
+    df = spark.createDataFrame([(dt.datetime.fromisoformat(day), minutes)], "t timestamp, m int")
+    assert df.select(zones.zone_for(F.col("t"), F.col("m"), F.lit("Asia/Kolkata")).alias("z")).first().z == zone
+
+
+def test_computed_load_fills_what_the_table_lacks(spark):
+    w = spark.createDataFrame([(1, 9, dt.datetime(2026, 3, 5), 30.0), (2, 9, dt.datetime(2026, 3, 5), None), (3, 9, dt.datetime(2026, 3, 6), None)], "workout_id int, athlete_id int, start_time_utc timestamp, tss double")
+    computed = spark.createDataFrame([(1, 99.0), (2, 50.0)], "workout_id int, tss double")
+    assert [(r.day.day, r.tss) for r in state.daily_tss(w, computed).orderBy("day").collect()] == [(5, 80.0)]
+    assert [r.tss for r in state.daily_tss(w).collect()] == [30.0]

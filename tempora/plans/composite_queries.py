@@ -30,14 +30,28 @@ def query(sql: str | None):
 _INTENSITY = "(pwr_z4_sec + pwr_z5_sec + pwr_z6_sec + pwr_z7_sec)"
 
 
-@query(f"""WITH {WORKOUTS_SQL}, w AS (SELECT * FROM workouts WHERE start_time_utc BETWEEN TIMESTAMP '1998-06-30' - INTERVAL 90 DAY AND TIMESTAMP '1998-06-30'),
+def _planning_sql(rows: str) -> str:
+    return f"""WITH {WORKOUTS_SQL}, w AS (SELECT * FROM workouts WHERE {rows} AND start_time_utc BETWEEN TIMESTAMP '1998-06-30' - INTERVAL 90 DAY AND TIMESTAMP '1998-06-30'),
 s AS (SELECT athlete_id, count(*) AS workout_count, round(sum({_INTENSITY}) / 60, 1) AS intensity_min, count(DISTINCT date_trunc('week', start_time_utc)) AS n_weeks, arg_max(workout_id, (start_time_utc, workout_id)) AS newest FROM w GROUP BY athlete_id)
-SELECT athlete_id, workout_count, intensity_min, workout_count AS n_listed, n_weeks, newest FROM s""")
-def r13_planning_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = composites.planning_context(workouts(spark, sf_dir), "1998-06-30", 90)
+SELECT athlete_id, workout_count, intensity_min, workout_count AS n_listed, n_weeks, newest FROM s"""
+
+
+def _planning(rows: DataFrame) -> DataFrame:
+    out = composites.planning_context(rows, "1998-06-30", 90)
     return out.select("athlete_id", "workout_count", "intensity_min", F.size("workouts").cast("long").alias("n_listed"), F.size("weeks").cast("long").alias("n_weeks"), F.col("workouts")[0]["workout_id"].alias("newest"))
 
 
+@query(_planning_sql("true"))
+def r13_planning_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planning(workouts(spark, sf_dir))
+
+
+@query(_planning_sql("athlete_id = 10"))
+def r13_planning_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer that one athlete asks for."""
+    return _planning(workouts(spark, sf_dir).where("athlete_id = 10"))
+
+
 @query(f"""WITH {RECORDS_SQL}, {PHYSIOMETRICS_SQL}, w AS (SELECT event_type AS workout_id, min(user_id) AS athlete_id, min(ts) AS start_time_utc FROM events GROUP BY event_type),
 c AS (SELECT w.workout_id, ftp_watts, row_number() OVER (PARTITION BY w.workout_id ORDER BY (p.data_source IN ('manual', 'chatgpt') AND p.effective_date <= w.start_time_utc::DATE) DESC, p.effective_date <= w.start_time_utc::DATE DESC, effective_date DESC, updated_at_utc DESC, row_key DESC) AS rn FROM w LEFT JOIN physiometrics p ON w.athlete_id = p.athlete_id),
 f AS (SELECT workout_id, coalesce(CASE WHEN ftp_watts > 0 THEN ftp_watts END, 30.0) AS ftp FROM c WHERE rn = 1),

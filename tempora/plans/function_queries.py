@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import dates, numbers, payloads, text
 from tempora.operators import lookup, quality
-from tempora.sources import files, ledger
+from tempora.sources import device, files, ledger
 from tempora.sources.views import WORKOUTS_SQL, table, workouts
 from tempora.streaming import landing
 
@@ -471,6 +471,24 @@ def k2_gzip_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_payloads(spark, path, "event_id long, user_id long, value double").where("_corrupt is null").drop("_corrupt")
 
 
+@query("""WITH u AS (SELECT user_id, min(floor(epoch(ts))) AS first FROM events WHERE user_id % 10 <> 7 GROUP BY user_id)
+SELECT e.user_id, event_id, floor(epoch(ts)) - first AS elapsed_sec, floor(value)::DOUBLE AS power_watts, ((event_id * 37) % 200)::DOUBLE AS heart_rate_bpm FROM events e JOIN u ON e.user_id = u.user_id""")
+def s9_device_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a device file of the binary format, checked and decoded to records; each tenth file is cut off."""
+    bytes_ = lambda c, n: F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+    seconds, power, heart = F.unix_seconds(F.col("ts").cast("timestamp")) - device.EPOCH, F.floor("value"), (F.col("event_id") * 37) % 200
+    record = F.concat(F.lit("00"), bytes_(seconds, 4), bytes_(power, 2), bytes_(heart, 1), bytes_(F.col("event_id"), 4))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(record)), "").alias("data"))
+    # a definition in big-endian order: message 20 with a time, power, heart rate and a field of its own
+    body = F.concat(F.lit("4000010014" + "04" + "FD0486" + "070284" + "030102" + "C80486"), "data")
+    size = bytes_(F.length(body) / 2, 4)
+    little = F.concat(*[F.substring(size, k, 2) for k in (7, 5, 3, 1)])
+    content = F.unhex(F.concat(F.lit("0E103408"), little, F.lit("2E4649540000"), F.when(F.col("user_id") % 10 == 7, F.lit("")).otherwise(body), F.lit("0000")))
+    decoded = device.decode(files.unpacked(rows.select(F.col("user_id").cast("string").alias("path"), content.alias("content"))))
+    kept = decoded.where("field = 'field_200'").select(F.col("path").alias("_path"), "position", F.col("value").cast("long").alias("event_id"))
+    return device.records(decoded).join(kept, (F.col("workout_id") == F.col("_path")) & (F.col("message_position") == F.col("position"))).select(F.col("workout_id").cast("long").alias("user_id"), "event_id", "elapsed_sec", "power_watts", "heart_rate_bpm")
+
+
 _EXPORTED = ("nation", "region", "customer", "supplier", "orders", "events")
 
 

@@ -325,13 +325,25 @@ def w9_rolling_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHIFTED = f"shifted AS (SELECT * REPLACE ((DATE '{FIRST}' + (effective_date - DATE '2024-01-01')::INTEGER) AS effective_date) FROM physiometrics)"
 
 
-@query(f"""WITH {WORKOUTS_SQL}, {PHYSIOMETRICS_SQL}, {_SHIFTED}, {_ROLLING},
+_STATE_SQL = f"""WITH {WORKOUTS_SQL}, {PHYSIOMETRICS_SQL}, {_SHIFTED}, {_ROLLING},
 s AS (SELECT athlete_id, day, round(fatigue, 6) AS fatigue, fatigue AS f, (SELECT arg_max(hrv_ln_rmssd, (effective_date, updated_at_utc, row_key)) FROM shifted p WHERE p.athlete_id = loads.athlete_id AND p.effective_date <= loads.day AND hrv_ln_rmssd IS NOT NULL) AS hrv_ln_rmssd FROM loads)
-SELECT athlete_id, day, fatigue, hrv_ln_rmssd, round(CASE WHEN hrv_ln_rmssd IS NOT NULL AND f > 0 THEN (least(greatest((hrv_ln_rmssd - 2.5) / 2 * 100, 0), 100) + least(greatest((2 - f) / 1.5 * 100, 0), 100)) / 2 END, 2) AS readiness FROM s""")
-def r11_training_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT athlete_id, day, fatigue, hrv_ln_rmssd, round(CASE WHEN hrv_ln_rmssd IS NOT NULL AND f > 0 THEN (least(greatest((hrv_ln_rmssd - 2.5) / 2 * 100, 0), 100) + least(greatest((2 - f) / 1.5 * 100, 0), 100)) / 2 END, 2) AS readiness FROM s"""
+
+
+def _training_state(w: DataFrame, p: DataFrame) -> DataFrame:
     shift = F.date_add(F.lit(FIRST).cast("date"), F.datediff("effective_date", F.lit("2024-01-01").cast("date")))
-    p = physiometrics(spark, sf_dir).withColumn("effective_date", shift)
-    return state.training_state(workouts(spark, sf_dir), p, FIRST, LAST).select("athlete_id", "day", F.round("fatigue", 6).alias("fatigue"), "hrv_ln_rmssd", "readiness")
+    return state.training_state(w, p.withColumn("effective_date", shift), FIRST, LAST).select("athlete_id", "day", F.round("fatigue", 6).alias("fatigue"), "hrv_ln_rmssd", "readiness")
+
+
+@query(_STATE_SQL)
+def r11_training_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _training_state(workouts(spark, sf_dir), physiometrics(spark, sf_dir))
+
+
+@query(f"SELECT * FROM ({_STATE_SQL}) WHERE athlete_id = 10")
+def r11_state_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history that one athlete asks for."""
+    return _training_state(workouts(spark, sf_dir).where("athlete_id = 10"), physiometrics(spark, sf_dir).where("athlete_id = 10"))
 
 
 @query(f"""WITH {WORKOUTS_SQL}, n AS (SELECT athlete_id, max(start_time_utc) AS now_utc FROM workouts GROUP BY athlete_id),

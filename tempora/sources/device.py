@@ -101,8 +101,9 @@ def decode(files: DataFrame) -> DataFrame:
 
 
 def records(decoded: DataFrame) -> DataFrame:
-    """The record stream of decoded files, path as workout_id; seconds count from a file's first record."""
+    """The record stream of decoded files, path as workout_id; seconds count from a file's first record, message_position is
+    the record's place among the file's messages."""
     channels = ["power_watts", "heart_rate_bpm", "cadence_rpm", "speed_mps", "distance_m", "elevation_m", "position_lat", "position_long", "temperature_c"]
     own = decoded.where("message = 'record'").groupBy(F.col("path").alias("workout_id"), "position").agg(F.max(F.when(F.col("field") == "timestamp", F.col("value"))).alias("at"), *[F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in channels])
     first = own.groupBy("workout_id").agg(F.min("at").alias("first"))
-    return own.where("at is not null").join(first, "workout_id").select("workout_id", (F.col("at") - F.col("first")).alias("elapsed_sec"), F.timestamp_seconds("at").alias("timestamp_utc"), *channels)
+    return own.where("at is not null").join(first, "workout_id").select("workout_id", (F.col("at") - F.col("first")).alias("elapsed_sec"), F.timestamp_seconds("at").alias("timestamp_utc"), F.col("position").alias("message_position"), *channels)

@@ -101,7 +101,11 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def device_files(spark: SparkSession, path: str, pattern: str = "*.fit*") -> DataFrame:
     """Device files, unpacked and checked: path, kind (plain, gzip, zip), content, error. Bad files are rows with an
     error, so that a caller sets them aside."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return unpacked(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path))
+
+
+def unpacked(files: DataFrame) -> DataFrame:
+    """As device_files, of a table of path and content."""
     return files.select("path", "content").mapInArrow(_prepare, _PREPARED)
 
 

@@ -177,7 +177,8 @@ def search(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0,
     chunks = -(-n_blocks // chunk_blocks)
     data = materialize(blocks(own, n_blocks, scale), "blocks")
     asked = blocks(own.where("is_query"), n_asked, scale)
-    first = spark.sparkContext.broadcast(data.orderBy("block").first().asDict())  # one block
+    least = data.agg(F.min("block")).first()[0]
+    first = spark.sparkContext.broadcast(data.where(F.col("block") == least).first().asDict())  # one block
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query's bar after the first block."""

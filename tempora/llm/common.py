@@ -33,12 +33,22 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Write df as Parquet to a new folder of `scratch` and read it back; and the folder, for who discards it later."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, what)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of `scratch` that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_bytes(uri: str, data: bytes) -> None:
@@ -140,12 +150,12 @@ def merge_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.n
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """Connected components of an undirected edge table (a long, b long): rows (id, component), component the smallest id.
 
-    Alternating large-star and small-star rounds; each round's edges are a table in the shared folder. Hubs are not
+    Alternating large-star and small-star rounds; each round's edges are a table in the shared folder, until the next. Hubs are not
     gathered: a round needs only the minimum of each node's neighbours, which Spark pre-aggregates before its shuffle.
     Vertices without edges are not in the result; null ends, loops and repeated edges are legal and mean nothing more."""
     spark = edges.sparkSession
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, what)
+    e, path = stored(e, what)
     seen = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -156,7 +166,9 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         small = large.join(low2, F.col("u") == F.col("n"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select(F.col("n").alias("u"), F.col("m").alias("v")))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        e = materialize(small, what)
+        e, after = stored(small, what)
+        discard(spark, path)  # a round needs only the table of the one before
+        path = after
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -71,7 +71,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, keeps_space: bool,
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id, or of none, may take several ranges
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     manifest = materialize(ordered.mapInArrow(write, _MANIFEST), "manifest")
     # one row a file, which stays small: a file holds millions of ids
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)

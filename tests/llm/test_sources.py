@@ -6,6 +6,7 @@ import math
 import os
 import subprocess
 import sys
+import zlib
 
 import pytest
 
@@ -144,6 +145,59 @@ def test_pipeline_stages(spark):
     assert sorted(map(tuple, p.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(map(tuple, packed.drop("sequence_id", "offset").collect()))
 
 
+@tables
+def test_stages_against_brute_force(spark):
+    """The near-duplicate, mixing and packing stages in plain Python, on what the stage before kept."""
+    import corpus_pipeline as p
+    from tempora.llm import queries
+
+    from .test_texts import fingerprint, plain_ids
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 4000")
+    rows = docs.collect()
+    prints = [fingerprint(r.text) for r in rows]
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                if label[i] != label[j] and (prints[i] ^ prints[j]).bit_count() <= 3:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    first = {}
+    for r, c in zip(rows, label):
+        first[c] = min(first.get(c, r.doc_id), r.doc_id)
+    single = p.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in single) == sorted(first.values()) and len(single) < len(rows)
+    docs = spark.createDataFrame(single, docs.schema)
+    mixed = p.mix_sources(spark, docs, SF).collect()
+    number = {}
+    for r in single:
+        number[r.source] = number.get(r.source, 0) + 1
+    free = [s for s in number if s not in queries.MIX_WEIGHTS]
+    whole = sum(w for s, w in queries.MIX_WEIGHTS.items() if s in number) + (queries.MIX_REST if free else 0)
+    want = []
+    for r in single:
+        share = queries.MIX_WEIGHTS.get(r.source, queries.MIX_REST / max(1, len(free)))
+        want += [r.doc_id] * draw(r.doc_id, r.text or "", share / whole * queries.MIX_SIZE * len(single) / number[r.source], queries.MIX_SEED)
+    assert sorted(r.doc_id for r in mixed) == sorted(want)
+    packed = p.pack_sequences(spark, spark.createDataFrame(mixed, docs.schema), SF).collect()
+    plain, pieces = plain_ids("word_bpe_49k.json"), []
+    for r in mixed:
+        ids = plain(r.text) + bytes(4)
+        pieces += [(r.doc_id, k, at // 4, len(ids[at : at + 8192]) // 4, zlib.crc32(ids[at : at + 8192])) for k, at in enumerate(range(0, len(ids), 8192))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == sorted(pieces)
+    places = {}
+    for r in packed:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in places.values():
+        ends = [0, *[o + n for o, n in sorted(parts)]]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+    total = sum(n for *_, n, _ in pieces)
+    assert len(places) <= -(-total // 2048) * 1.01 + 1
+
+
 @tables
 @pytest.mark.parametrize("empty", [True, False])
 def test_stages_take_odd_documents(spark, empty):

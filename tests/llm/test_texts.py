@@ -257,6 +257,27 @@ def test_plan_places_every_piece_once():
     assert max(fill.values()) <= 2048 and len(fill) <= 1.005 * best_fit_decreasing(histogram, 2048)
 
 
+def test_a_thousand_pieces_are_rounded_in_groups():
+    rng = np.random.default_rng(6)
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(rng.integers(1, 2049, 1000), return_counts=True))}
+    large = sum(c for n, c in histogram.items() if n > 1000)
+    grouped = packing.grouping(histogram, 1000, 48)
+    assert len(grouped) <= 48 and all(sum(c for _, c in parts) >= large // 48 for top, parts in grouped.items() if top != min(grouped))
+    assert any(n < top for top, parts in grouped.items() for n, _ in parts) and all(n <= top for top, parts in grouped.items() for n, _ in parts)
+    fill = {}
+    for n, _, k, first, _ in packing.plan(histogram, 2048, 1000, 48):
+        for s in range(first, first + k):
+            fill[s] = fill.get(s, 0) + n
+    assert max(fill.values()) <= 2048 and len(fill) <= 1.01 * best_fit_decreasing(histogram, 2048)
+
+
+def test_configurations_are_the_optimum_of_a_small_program():
+    """Sizes 6, 5, 4 in room 10: pairs of 5, and 6 with 4; what is left of 4s stands in pairs."""
+    got = packing.configurations([6, 5, 4], [30, 21, 50], 10)
+    assert abs(sum(t for _, t in got) - (30 + 10.5 + 10)) < 1e-6
+    assert all(sum(n * k for n, k in zip([6, 5, 4], c)) <= 10 for c, _ in got)
+
+
 def test_quality_learns_and_never_sees_held_out(spark):
     rng = np.random.default_rng(5)
     good, bad = ["meadow", "river", "gently", "because", "therefore", "light"], ["buy", "click", "$$$", "free!!!", "xx", "win"]
@@ -276,3 +297,46 @@ def test_quality_learns_and_never_sees_held_out(spark):
 def test_quality_without_labels(spark):
     got = quality.classify(docs(spark), spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert len(got) == len(TEXTS) and {round(r.score, 6) for r in got} == {0.5}
+
+
+def test_word_vectors_features_and_scores_by_hand(spark):
+    """Context sums, pooling and the forward pass in plain loops over words."""
+    texts = [*TEXTS[:14], "a b a, b... c_c 12x\ty", "l'été -- über 3.5%", "  "]
+    words_of = lambda t: [xxhash.xxh32_intdigest(w) % quality.BUCKETS for blank in (t or "").split() for w in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", blank)]
+    places, signs = quality.index_vectors()
+    own, around = np.zeros((quality.BUCKETS, quality.DIMS)), np.zeros((quality.BUCKETS, quality.DIMS))
+    for b in range(quality.BUCKETS):
+        for at, sign in zip(places[b], signs[b]):
+            own[b, at] += sign
+    for t in texts:
+        words = words_of(t)
+        for i, w in enumerate(words):
+            for j in range(max(0, i - 2), min(len(words), i + 3)):
+                if j != i:
+                    for at, sign in zip(places[words[j]], signs[words[j]]):
+                        around[w, at] += sign
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    vectors = (unit(own) + unit(around)).astype(np.float32)
+    assert np.allclose(quality.word_vectors(docs(spark, texts)), vectors, atol=1e-6)
+    both = np.hstack([vectors, vectors * vectors])
+    pooled = quality.pool(pa.array(texts, pa.string()), both)
+    for t, x in zip(texts, pooled):
+        words, blanks = words_of(t), (t or "").split()
+        want = [*np.mean([both[w] for w in words], 0), len(set(blanks)) / len(blanks), np.log1p(len(words)) / 10] if words else np.zeros(quality.FEATURES)
+        assert np.allclose(x, want, atol=1e-5), t
+    rng = np.random.default_rng(3)
+    net = quality.Network().fit(rng.normal(size=(200, quality.FEATURES)), rng.integers(0, 2, 200))
+    for x in pooled.astype(np.float64):
+        hidden = [np.tanh(sum((x[i] - net.mean[i]) / net.spread[i] * net.w1[i, h] for i in range(len(x))) + net.b1[h]) for h in range(net.hidden)]
+        assert abs(net.score(x[None, :])[0] - 1 / (1 + np.exp(-(np.dot(hidden, net.w2) + net.b2) / net.temperature))) < 1e-9
+
+
+def test_token_files_roll_over_and_have_several_blocks(spark):
+    plain, end = plain_ids("byte_bpe_50k.json"), np.array([2], "<u4").tobytes()
+    texts = ["w1 w2 " * 350_000, "", None, *[f"text number {i}" for i in range(60)]]
+    folder = common.scratch(spark, "rolled")
+    manifest = common.materialize(tokenfile.write_files(docs(spark, texts), folder, tokenizer("byte_bpe_50k.json"), True, ids_per_file=100), "manifest")
+    sizes = [r.n_tokens for r in manifest.collect()]
+    assert len(sizes) >= 4 and max(sizes) > rangecoder.BLOCK and sorted(sizes)[-2] <= 100
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokenfile.read_files(spark, folder, manifest).collect()}
+    assert got == {i: (len(plain(t)) // 4 + 1, zlib.crc32(plain(t) + end)) for i, t in enumerate(texts)}

@@ -53,6 +53,16 @@ def read_config(spark: SparkSession, path: str) -> dict:
     return row.asDict(recursive=True) if row else {}
 
 
+def read_codes(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The codes of one kind out of CSV files with the columns kind, manufacturer, code, name: manufacturer, product, name.
+
+    For `code_names` (manufacturers have their own code as product) and `backfilled_device_model`; of a repeated code the
+    first name by order of text stays."""
+    rows = spark.read.option("header", True).schema("kind string, manufacturer int, code int, name string").csv(path)
+    named = rows.where((F.col("kind") == kind) & F.col("code").isNotNull())
+    return named.groupBy("manufacturer", F.col("code").alias("product")).agg(F.min("name").alias("name"))
+
+
 def write_payloads(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("compression", "gzip").json(path)
 

@@ -134,3 +134,12 @@ def test_computed_load_fills_what_the_table_lacks(spark):
     computed = spark.createDataFrame([(1, 99.0), (2, 50.0)], "workout_id int, tss double")
     assert [(r.day.day, r.tss) for r in state.daily_tss(w, computed).orderBy("day").collect()] == [(5, 80.0)]
     assert [r.tss for r in state.daily_tss(w).collect()] == [30.0]
+
+
+def test_code_tables_come_from_files(spark, tmp_path):
+    (tmp_path / "codes.csv").write_text("kind,manufacturer,code,name\nproduct,1,7,b\nproduct,1,7,a\nproduct,2,7,c\nmanufacturer,1,1,maker\nproduct,1,,none\n")
+    codes = files.read_codes(spark, f"file://{tmp_path}", "product")
+    assert sorted(map(tuple, codes.collect())) == [(1, 7, "a"), (2, 7, "c")]
+    rows = spark.createDataFrame([(7,), (8,)], "code int")
+    got = lookup.code_names(rows, codes.where("manufacturer = 1"), "code", "product", "name", "device").orderBy("code").collect()
+    assert [r.device for r in got] == ["a", "8"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Seconds of intensity over which a workout is hard, of aerobic work over which it is long (fixed values).
 HARD_SEC, LONG_SEC = 300, 3600
 SHORT_SEC, DECOUPLED_PCT = 600, 5.0
+MOST_WEEKS = 52
 
 
 def _power_sec(*zones: int) -> Column:
@@ -84,7 +85,8 @@ def local_week_bounds(now: Column, tz: str, back: int = 1) -> tuple[Column, Colu
 
 
 def week_slots(rollups: DataFrame, weeks: int) -> DataFrame:
-    """The newest `weeks` rollups of each athlete in slots 1.. (weeks_ago), empty slots marked skipped."""
+    """The newest `weeks` (1 to 52) rollups of each athlete in slots 1.. (weeks_ago), empty slots marked skipped."""
+    weeks = max(1, min(int(weeks), MOST_WEEKS))
     newest = Window.partitionBy("athlete_id").orderBy(F.desc("week_start"))
     placed = rollups.withColumn("weeks_ago", F.row_number().over(newest)).where(F.col("weeks_ago") <= weeks)
     slots = rollups.select("athlete_id").distinct().select("athlete_id", F.explode(F.sequence(F.lit(1), F.lit(weeks))).alias("weeks_ago"))

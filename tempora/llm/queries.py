@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neighbours, packing, quality, sharding, simhash, tokenfile, topk, urlfilter
+from . import chat, divergence, mixing, negatives, neighbours, packing, pieces, quality, sharding, simhash, tokenfile, topk, urlfilter
 from .common import table
 
 SHARDS = 40
 QUERY_EVERY, TOP = 50, 5
+ANCHOR_EVERY, POSITIVES, NEGATIVES = 100, 5, 5
+#: Every so many a vec_id has the next of so many labels.
+OTHER_LABEL_EVERY, LABELS = 7, 10
+#: Documents of a language that hold a term at least, and terms that a group reports at most.
+TERM_DOCS, TOP_TERMS = 3, 200
 #: A document of at least this score is predicted to be good.
 KEPT_SCORE = 0.3
 #: host, path, verdict
@@ -68,6 +73,20 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=PACK_END, size=PACK_SIZE)
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), TERM_DOCS, TOP_TERMS)
+
+
+def piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
+
+
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    other = F.when(F.col("vec_id") % OTHER_LABEL_EVERY == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", other), F.col("vec_id") % ANCHOR_EVERY == 0, POSITIVES, NEGATIVES)
+
+
 QUERIES = {
     "op1_quality_classifier": quality_classifier,
     "op2_sampled_shards": sampled_shards,
@@ -79,6 +98,9 @@ QUERIES = {
     "op8_chat_snapshots": chat_snapshots,
     "op9_source_mix": source_mix,
     "op10_best_fit_packing": best_fit_packing,
+    "op11_source_divergence": source_divergence,
+    "op12_piece_ids": piece_ids,
+    "op13_hard_negatives": hard_negatives,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -157,4 +179,52 @@ counted AS (
   FROM tries GROUP BY rn),
 copies AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INTEGER AS copy FROM counted WHERE n > 0)
 SELECT *, md5('order {MIX_SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key FROM copies""",
+    "op11_source_divergence": rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+tokens AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM tokens GROUP BY lang, term HAVING count(DISTINCT d) >= {TERM_DOCS}),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(t.total, 0) + v)::HUGEINT) AS p,
+    (1 + (1000000000::HUGEINT * (k.n + 1)) // (langs.total + v)::HUGEINT) AS lang_p
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs ON g.lang = langs.lang
+    LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term
+    LEFT JOIN totals t ON g.lang = t.lang AND g.source = t.source),
+summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - lang_p) * (p - lang_p) // lang_p)::BIGINT AS value
+  FROM cells WHERE n > 0 AND p > lang_p),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {TOP_TERMS}""",
+    "op13_hard_negatives": f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % {OTHER_LABEL_EVERY} = 0 THEN (label + 1) % {LABELS} ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % {ANCHOR_EVERY} = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES})
+SELECT p.anchor_id, positive_id, positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= {NEGATIVES}""",
 }

@@ -40,7 +40,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 def buckets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The buckets of all texts' words; where each text's begin, and the end; and of what stands between blanks a number
     for each different thing, and where each text's begin. A thing is looked up once for all texts; nothing is kept."""
-    lists = pc.utf8_split_whitespace(texts.fill_null(""))
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts.fill_null("")))  # of a blank text one empty thing without words
     found = lists.flatten().dictionary_encode()
     known, lengths = _hashed(found.dictionary)
     at = found.indices.to_numpy().astype(np.int64)

@@ -172,13 +172,12 @@ cdf AS (
   SELECT source, draws, m, k + 1, p * m / (k + 1), c + p * m / (k + 1) FROM cdf WHERE k < 80),
 lists AS (SELECT source, any_value(draws) AS draws, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
 tries AS (
-  SELECT d.*, cs, unnest(range(1, draws + 1)) AS j FROM (SELECT *, row_number() OVER () AS rn FROM documents) d JOIN lists ON d.source IS NOT DISTINCT FROM lists.source),
+  SELECT d.*, md5(coalesce(text, '')) AS hashed, cs, unnest(range(1, draws + 1)) AS j FROM documents d JOIN lists ON d.source IS NOT DISTINCT FROM lists.source),
 counted AS (
-  SELECT rn, any_value(doc_id) AS doc_id, any_value(text) AS text, any_value(lang) AS lang, any_value(source) AS source, any_value(n_chars) AS n_chars,
-    sum(len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)))::BIGINT AS n
-  FROM tries GROUP BY rn),
-copies AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INTEGER AS copy FROM counted WHERE n > 0)
-SELECT *, md5('order {MIX_SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key FROM copies""",
+  SELECT * EXCLUDE (cs), len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || hashed || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)) AS n
+  FROM tries),
+copies AS (SELECT doc_id, text, lang, source, n_chars, hashed, (j - 1) * 80 + unnest(range(1, n + 1)) AS copy FROM counted WHERE n > 0)
+SELECT * EXCLUDE (hashed), md5('order {MIX_SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || hashed || ':' || copy) AS shuffle_key FROM copies""",
     "op11_source_divergence": rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,

@@ -9,6 +9,7 @@ import sys
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tempora.llm import chat, mixing, urlfilter
 from tempora.llm.common import components
@@ -93,6 +94,7 @@ def draw(doc_id, text, mean, seed):
 @pytest.mark.parametrize("broadcast", [1000, 3])
 def test_poisson_counts(spark, monkeypatch, weights, rest, size, broadcast):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    monkeypatch.setattr(mixing, "_BLOCK", broadcast)
     rows = [(i if i != 7 else None, f"t{i}", None, s, None, i, "n", "u") for i, s in enumerate("a" * 150 + "b" * 30 + "c" * 15)] + [(500, "n", None, None, 1, 2, "n", "u"), (3, "again", "x", "a", 1, 2, "n", "u")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy long, _n string, _source string")
     got = mixing.mix(df, weights, rest, size, 9)
@@ -115,6 +117,15 @@ def test_poisson_counts(spark, monkeypatch, weights, rest, size, broadcast):
     assert counts == want
 
 
+def test_rows_without_ids_are_spread_and_rare_sources_repeat(spark):
+    df = spark.createDataFrame([(None, f"text {i}" if i % 2 else "x" * i, "a") for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.mix(df, {}, 1.0, 2.0).select("shuffle_key", "copy", F.spark_partition_id().alias("at")).collect()
+    assert len({r.shuffle_key for r in got}) == len(got) and len({r.at for r in got}) == 4
+    one = mixing.mix(df.where("text = 'text 7'"), {"a": 1.0}, 0.0, 1_000_000.0)
+    n, different, least, most = one.agg(F.count("*"), F.countDistinct("copy"), F.min("copy"), F.max("copy")).first()
+    assert n == different and abs(n - 1_000_000) < 6_000 and least == 1 and most > 80 * 62_000
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty, {"a": 1.0}, 0.0).count() == 0

@@ -119,8 +119,8 @@ def test_poisson_counts(spark, monkeypatch, weights, rest, size, broadcast):
 
 def test_rows_without_ids_are_spread_and_rare_sources_repeat(spark):
     df = spark.createDataFrame([(None, f"text {i}" if i % 2 else "x" * i, "a") for i in range(300)], "doc_id long, text string, source string")
-    got = mixing.mix(df, {}, 1.0, 2.0).select("shuffle_key", "copy", F.spark_partition_id().alias("at")).collect()
-    assert len({r.shuffle_key for r in got}) == len(got) and len({r.at for r in got}) == 4
+    got = mixing.mix(df, {}, 1.0, 2.0).collect()
+    assert len({r.shuffle_key for r in got}) == len(got) > 400  # a key for each copy: none keeps rows without ids together
     one = mixing.mix(df.where("text = 'text 7'"), {"a": 1.0}, 0.0, 1_000_000.0)
     n, different, least, most = one.agg(F.count("*"), F.countDistinct("copy"), F.min("copy"), F.max("copy")).first()
     assert n == different and abs(n - 1_000_000) < 6_000 and least == 1 and most > 80 * 62_000

@@ -164,10 +164,13 @@ def r8_timezones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", home.alias("home"), canonical.alias("canonical"))
 
 
-#: The order of preference, for the SQL.
-_CITIES = """America/New_York America/Toronto America/Montreal America/Chicago America/Mexico_City America/Winnipeg America/Denver America/Edmonton America/Los_Angeles America/Vancouver
-America/Anchorage Pacific/Honolulu Europe/London Europe/Paris Europe/Berlin Europe/Madrid Europe/Rome Europe/Amsterdam Asia/Tokyo Asia/Shanghai Asia/Hong_Kong Asia/Singapore Asia/Dubai
-Asia/Seoul Asia/Taipei Australia/Sydney Australia/Melbourne Pacific/Auckland America/Sao_Paulo America/Buenos_Aires America/Santiago Africa/Cairo Africa/Johannesburg""".split()
+#: The order of preference among cities, stated once more for the SQL.
+_CITIES = [
+    "America/New_York", "America/Toronto", "America/Montreal", "America/Chicago", "America/Mexico_City", "America/Winnipeg", "America/Denver", "America/Edmonton",
+    "America/Los_Angeles", "America/Vancouver", "America/Anchorage", "Pacific/Honolulu", "Europe/London", "Europe/Paris", "Europe/Berlin", "Europe/Madrid",
+    "Europe/Rome", "Europe/Amsterdam", "Asia/Tokyo", "Asia/Shanghai", "Asia/Hong_Kong", "Asia/Singapore", "Asia/Dubai", "Asia/Seoul", "Asia/Taipei",
+    "Australia/Sydney", "Australia/Melbourne", "Pacific/Auckland", "America/Sao_Paulo", "America/Buenos_Aires", "America/Santiago", "Africa/Cairo", "Africa/Johannesburg",
+]
 _MINUTES = "date_diff('minute', {0}, {0} AT TIME ZONE 'UTC' AT TIME ZONE name)"
 
 
@@ -180,7 +183,7 @@ SELECT event_id, name AS zone FROM e LEFT JOIN f ON e.ts = f.ts AND e.offset_min
 def f6_zone_of_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_add("DAY", (F.col("event_id") % 300).cast("int"), F.col("ts"))
     offset = F.element_at(F.array(*[F.lit(m) for m in (0, 60, 120, 330, -300, -240, -420, 15)]), (F.col("event_id") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", zones.zone_for(at, offset, F.lit("America/Denver")).alias("zone"))
+    return zones.with_zone(table(spark, sf_dir, "events"), at, offset, F.lit("America/Denver")).select("event_id", "zone")
 
 
 @query(f"WITH {WORKOUTS_SQL} SELECT workout_id, round(distance_m / 1000 / (duration_sec / 3600), 9) AS kmh FROM workouts WHERE duration_sec > 0")
@@ -206,6 +209,26 @@ def x2_timezone_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composites.to_update(rows, "tz", F.when(F.col("c_custkey") % 3 == 0, "Europe/Paris").otherwise("UTC"))
 
 
+@query(f"""WITH e AS (SELECT o_orderkey AS workout_id, o_orderdate + to_hours(o_orderkey % 24) AS ts, [60, 120, -300, -240, -420, -360][o_orderkey % 6 + 1] AS offset_min,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'Asia/Tokyo' END AS recorded, CASE WHEN o_orderkey % 7 = 0 THEN 'Europe/Paris' WHEN o_orderkey % 4 = 0 THEN 'America/Denver' END AS tz FROM orders),
+z AS (SELECT name, coalesce(list_position({_CITIES}, name), 99) AS city, length(name) - length(replace(name, '/', '')) AS depth FROM pg_timezone_names() WHERE name LIKE '%/%' AND name NOT LIKE 'Etc/%' AND name NOT LIKE 'SystemV/%'),
+y AS (SELECT name, city, depth, year, {_MINUTES.format("make_timestamp(year, 1, 15, 12, 0, 0)")} <> {_MINUTES.format("make_timestamp(year, 7, 15, 12, 0, 0)")} AS summer FROM z, (SELECT DISTINCT year(ts) AS year FROM e)),
+t AS (SELECT DISTINCT ts, offset_min FROM e),
+f AS (SELECT ts, offset_min, name, row_number() OVER (PARTITION BY ts, offset_min ORDER BY name <> 'America/Denver', NOT summer, city, depth, name) AS rn FROM t JOIN y ON year(ts) = year AND {_MINUTES.format('ts')} = offset_min),
+n AS (SELECT workout_id, tz, coalesce(recorded, name, 'America/Denver') AS new_tz FROM e LEFT JOIN f ON e.ts = f.ts AND e.offset_min = f.offset_min AND rn = 1)
+SELECT workout_id, new_tz AS tz FROM n WHERE tz IS DISTINCT FROM new_tz""")
+def x2_inferred_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every workout's zone from its recorded one or its offset at the start; those whose stored zone is another."""
+    k = F.col("o_orderkey")
+    at = F.timestamp_add("HOUR", (k % 24).cast("int"), F.col("o_orderdate"))
+    offset = F.element_at(F.array(*[F.lit(m) for m in (60, 120, -300, -240, -420, -360)]), (k % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("workout_id"), at.alias("start_time_utc"), offset.alias("offset_min"), F.when(k % 9 == 0, "Asia/Tokyo").alias("recorded"),
+        F.when(k % 7 == 0, "Europe/Paris").when(k % 4 == 0, "America/Denver").alias("tz"),
+    )
+    return composites.zones_to_update(rows, F.lit("America/Denver")).select("workout_id", "tz")
+
+
 @query("SELECT o_orderkey AS workout_id, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END) AS enrichment FROM orders")
 def x3_enrichment_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")

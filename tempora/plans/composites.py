@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.functions import text
-from tempora.operators import lookup, metrics, rollups
+from tempora.functions import text, zones
+from tempora.operators import lookup, metrics, resolve, rollups
 from tempora.operators.sequence import resample
 from tempora.params import AthleteParams, resolve_ftp
 
@@ -126,6 +126,14 @@ def to_update(rows: DataFrame, column: str, value: Column) -> DataFrame:
     return rows.withColumn("_new", value).where(~F.col(column).eqNullSafe(F.col("_new"))).withColumn(column, F.col("_new")).drop("_new")
 
 
+def zones_to_update(workouts: DataFrame, home: Column) -> DataFrame:
+    """Workouts (start_time_utc, offset_min, recorded, tz) whose stored tz is not what follows from the rest, with that: the
+    recorded zone, else the one inferred from the offset at the start (the home zone if it has it), else the home zone."""
+    inferred = zones.with_zone(workouts, F.col("start_time_utc"), F.col("offset_min"), home, "_inferred")
+    zone = resolve.canonical_timezone(F.lit(False), home, F.col("recorded"), F.col("_inferred"))
+    return to_update(inferred, "tz", zone).drop("_inferred")
+
+
 def key_differences(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     """Keys that one of two environments' responses has and the other lacks."""
     a, b = (d.select(by, F.explode(F.json_object_keys("body")).alias("key")).distinct() for d in (left, right))

@@ -1,6 +1,9 @@
 """The device-file decoder on files written here."""
 
+import random
 import struct
+from datetime import datetime, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
@@ -50,6 +53,32 @@ def test_files_become_records(spark, tmp_path):
 
 
 def test_zone_of_an_offset_knows_summer_time(spark):
-    at = [F.lit(f"2026-{m}-15 12:00:00").cast("timestamp") for m in ("01", "07")]
-    row = spark.range(1).select(*[zones.zone_for(t, F.lit(o), F.lit("America/New_York")).alias(f"z{i}") for i, (t, o) in enumerate([(at[0], -300), (at[1], -240), (at[1], -300), (at[0], 330), (at[0], 7)])]).first()
-    assert tuple(row) == ("America/New_York", "America/New_York", "America/Chicago", "Asia/Calcutta", None)
+    rows = [("2026-01-15 12:00:00", -300), ("2026-07-15 12:00:00", -240), ("2026-07-15 12:00:00", -300), ("2026-01-15 12:00:00", 330), ("2026-01-15 12:00:00", 7), (None, 60), ("2026-01-15 12:00:00", None), ("1890-01-01 00:00:00", 0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, zone int").withColumn("t", F.col("t").cast("timestamp"))
+    found = {r.i: r.zone for r in zones.with_zone(df, F.col("t"), F.col("zone"), F.lit("America/New_York")).collect()}
+    assert list(map(found.get, range(8))) == ["America/New_York", "America/New_York", "America/Chicago", "Asia/Calcutta", None, None, None, None]
+    homes = df.withColumn("home", F.when(F.col("i") == 0, "Nowhere/Land").when(F.col("i") == 1, "America/Toronto"))
+    found = {r.i: r.z for r in zones.with_zone(homes, F.col("t"), F.col("zone"), F.col("home"), "z").collect()}
+    assert [found[0], found[1]] == ["America/New_York", "America/Toronto"]
+    few = zones.with_zone(df, F.col("t"), F.col("zone"), None, "z", ["America/Bogota", "America/New_York"])
+    assert {r.i: r.z for r in few.collect()} == {0: "America/Bogota", 1: "America/New_York", 2: "America/Bogota"} | dict.fromkeys(range(3, 8))
+
+
+def test_intervals_cover_and_agree_with_the_database():
+    """Cut at random instants, offsets and best zones equal what the database and the rule say then."""
+    rng = random.Random(3)
+    for zone in ("Europe/London", "America/Sao_Paulo", "Africa/Casablanca", "Asia/Kathmandu", "Australia/Lord_Howe", "Antarctica/Troll"):
+        spans = zones.intervals(zone)
+        assert spans[0][0] == zones._epoch(zones.FIRST_YEAR) and spans[-1][1] == zones._epoch(zones.LAST_YEAR)
+        assert all(a[1] == b[0] and a[2] != b[2] for a, b in zip(spans, spans[1:]))
+        for t in [x for lo, hi, _ in spans for x in (lo, hi - 1)] + [rng.randrange(spans[0][0], spans[-1][1]) for _ in range(300)]:
+            assert zones.offset_of(zone, t) == datetime.fromtimestamp(t, ZoneInfo(zone)).utcoffset().total_seconds()
+    order = {z: i for i, (z, named) in enumerate(zones.preference()) if named}
+    best = zones.best_zones()
+    for minutes, lo, hi, zone in rng.sample(best, 40):
+        t = rng.randrange(lo, hi)
+        fit = [z for z in order if datetime.fromtimestamp(t, ZoneInfo(z)).utcoffset().total_seconds() == minutes * 60]
+        year = datetime.fromtimestamp(t, timezone.utc).year
+        want = min(fit, key=lambda z: (not zones.has_summer_time(z, year), order[z]), default=None)
+        assert want is None or datetime.fromtimestamp(t, ZoneInfo(zone)).utcoffset() == datetime.fromtimestamp(t, ZoneInfo(want)).utcoffset()
+        assert want is None or zone == want or zones.intervals(zone) == zones.intervals(want)

@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Years whose instants have an answer, the last one not counted.
-FIRST_YEAR, LAST_YEAR = 1970, 2041
+FIRST_YEAR, LAST_YEAR = 1980, 2041
 #: Seconds of a time bucket, and between two looks for a change of a zone's offset.
-_BUCKET, _LOOK = 366 * 86_400, 7 * 86_400
+_BUCKET, _LOOK = 366 * 86_400, 10 * 86_400
 
 #: Fixed order of preference: the first of these that fits wins, then the rest by name.
 MAJOR_CITIES = [

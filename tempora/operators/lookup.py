@@ -1,44 +1,35 @@
 """Joins in time: as-of lookups, nearest rows, near-duplicate intervals, and lookups with fallbacks.
 
-An as-of join is a union of both sides, ordered by time within a key, that carries the last right row forward: one
-shuffle and one sort, whatever the number of right rows a left row could match."""
+An as-of join is a union of both sides, ordered by time within a key and a block of time, that carries the last right
+row forward, into later blocks as well (`blocks.carried`): one shuffle and one sort of rows, whatever the number of right
+rows a left row could match, and no key in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.blocks import carried
+
 
 def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, ties: list[str], columns: list[str], fallback: bool = False, day_end: bool = False) -> DataFrame:
     """left with the columns of the right row of the same key at or before left_time (the latest; ties by `ties`).
 
     With fallback a left row without an earlier right row gets the latest of all, even a later one. day_end: right_time
     is a date that holds for the whole day of left_time. Null times of either side match nothing; no left row is lost."""
-    times = F.to_date(left_time) if day_end else F.col(left_time)
-    keys = [F.col(c) for c in ties]
-    kind = dict(right.dtypes)
-    l = left.select(F.col(by).alias("_by"), times.alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(kind[c]).alias(f"_k{i}") for i, c in enumerate(ties)], F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_right"))  # noqa: E741
-    r = right.where(F.col(right_time).isNotNull()).select(F.col(by).alias("_by"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.struct(*columns).alias("_right"))
-    order = Window.partitionBy("_by").orderBy("_t", "_side", *[f"_k{i}" for i in range(len(ties))])
-    found = F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    both = l.unionByName(r).withColumn("_found", F.when(F.col("_t").isNotNull(), found))
-    if fallback:
-        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        both = both.withColumn("_found", F.coalesce("_found", F.last("_right", ignorenulls=True).over(whole)))
-    return both.where("_side = 1").select("_left.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
+    found = carried(left, right, by, left_time, right_time, ties, {"_found": F.struct(*columns)}, ["_found"] if fallback else [], day_end)
+    return found.select("_left.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 
 def preferred_as_of(workouts: DataFrame, rows: DataFrame, by: str, time: str, sources: list[str], columns: list[str]) -> DataFrame:
     """The configuration in effect on a workout's day: rows of the given sources first, else any; else the latest of all.
 
     rows: effective_date, updated_at_utc, row_key, data_source; ties go to the later update, then the greater row key."""
-    ties = ["updated_at_utc", "row_key"]
-    mine = workouts.select(*workouts.columns)
-    tagged = rows.withColumn("_configured", F.struct("effective_date", *columns))
-    best = as_of(mine, tagged.where(F.col("data_source").isin(sources)), by, time, "effective_date", ties, ["_configured"], day_end=True).withColumnRenamed("_configured", "_own")
-    any_ = as_of(best, tagged, by, time, "effective_date", ties, ["_configured"], fallback=True, day_end=True)
-    chosen = F.coalesce("_own", "_configured")
-    return any_.select(*workouts.columns, chosen["effective_date"].alias("effective_date"), *[chosen[c].alias(c) for c in columns])
+    row = F.struct("effective_date", *columns)
+    values = {"_own": F.when(F.col("data_source").isin(sources), row), "_any": row}
+    found = carried(workouts, rows, by, time, "effective_date", ["updated_at_utc", "row_key"], values, ["_any"], day_end=True)
+    chosen = F.coalesce("_own", "_any")
+    return found.select("_left.*", chosen["effective_date"].alias("effective_date"), *[chosen[c].alias(c) for c in columns])
 
 
 def long_metrics(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -49,11 +40,8 @@ def long_metrics(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFr
 
 def metrics_as_of(days: DataFrame, rows: DataFrame, by: str, day: str, metrics: list[str]) -> DataFrame:
     """days with each metric's latest value at or before the day, whatever row it comes from."""
-    w = Window.partitionBy(by).orderBy("_t", "_side", "updated_at_utc", "row_key").rowsBetween(Window.unboundedPreceding, 0)
-    l = days.select(F.col(by), F.col(day).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("timestamp").alias("updated_at_utc"), F.lit(None).cast("string").alias("row_key"), F.struct(*days.columns).alias("_left"), *[F.lit(None).cast("double").alias(m) for m in metrics])  # noqa: E741
-    r = rows.where("effective_date is not null").select(F.col(by), F.col("effective_date").alias("_t"), F.lit(0).alias("_side"), "updated_at_utc", "row_key", F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    filled = l.unionByName(r).select("_side", "_left", *[F.last(m, ignorenulls=True).over(w).alias(m) for m in metrics])
-    return filled.where("_side = 1").select("_left.*", *metrics)
+    found = carried(days, rows, by, day, "effective_date", ["updated_at_utc", "row_key"], {m: F.col(m).cast("double") for m in metrics})
+    return found.select("_left.*", *metrics)
 
 
 def nearest(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, tolerance: float, columns: list[str]) -> DataFrame:

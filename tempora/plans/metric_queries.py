@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempora.operators import blocks
 from tempora.operators import metrics as m
 from tempora.operators import sequence as s
 from tempora.params import PEAK_SECONDS, AthleteParams
-from tempora.sources.views import RECORDS_SQL, USER_RECORDS_SQL, records, records_by_user
+from tempora.sources.views import RECORDS_SQL, USER_RECORDS_SQL, records, records_by_user, table
 
 #: Values that give every metric something to find in the test tables.
 FTP, HR_MAX, HR_REST, LTHR = 30.0, 180.0, 60.0, 150.0
@@ -339,3 +340,36 @@ def p7_nested_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = m.channel_stats(r).join(m.normalized_power(r), m.KEY, "left")
     families = {"session": ["duration_sec", "distance_m"], "power": ["power_avg", "power_max", "normalized_power"]}
     return m.flat(m.nested(wide, families), families).select(m.KEY, "duration_sec", "power_avg", "normalized_power")
+
+
+#: One athlete with all events as one stream; its readings in order of time.
+_STREAM = "s AS (SELECT 'all' AS athlete_id, event_id, ts, CASE WHEN event_id % 17 <> 0 THEN value END AS value, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn FROM events)"
+_LONG_PEAKS = [1, 60, 1200, 3600]
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("value")
+    return table(spark, sf_dir, "events").select(F.lit("all").alias("athlete_id"), "event_id", "ts", value)
+
+
+@query(f"""WITH {_STREAM}, v AS (SELECT *, row_number() OVER w AS n FROM s WHERE value IS NOT NULL WINDOW w AS (ORDER BY ts, event_id)),
+m AS (SELECT {", ".join(f"CASE WHEN n >= {w} THEN avg(value) OVER (ORDER BY ts, event_id ROWS {w - 1} PRECEDING) END AS a{w}" for w in _LONG_PEAKS)} FROM v)
+SELECT 'all' AS athlete_id, {", ".join(f"round(max(a{w}), 6) AS peak_{w}" for w in _LONG_PEAKS)} FROM m""")
+def w2_long_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peak means over one key that holds every row: no task has them all."""
+    out = blocks.peak_means(_stream(spark, sf_dir), "value", "athlete_id", "ts", _LONG_PEAKS, ["event_id"], span=86_400, rows=4096)
+    return out.select("athlete_id", *[F.round(f"peak_{w}", 6).alias(f"peak_{w}") for w in _LONG_PEAKS])
+
+
+@query(f"""WITH {_STREAM}, f AS (SELECT *, coalesce(value >= 20, false) AS f FROM s), g AS (SELECT *, rn - row_number() OVER (PARTITION BY f ORDER BY ts, event_id) AS g FROM f)
+SELECT 'all' AS athlete_id, min(rn) AS run_start, max(rn) AS run_end, count(*) AS run_rows, max(value) AS best FROM g WHERE f GROUP BY g HAVING count(*) >= 3""")
+def w5_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs in one key that holds every row."""
+    found = blocks.runs(_stream(spark, sf_dir), F.col("value") >= 20, "athlete_id", "ts", ["event_id"], [F.max("value").alias("best")], 3, span=86_400)
+    return found.select("athlete_id", *[F.col(c).cast("long").alias(c) for c in ("run_start", "run_end", "run_rows")], "best")
+
+
+@query(f"""WITH {_STREAM} SELECT event_id, round(sum(value) OVER (ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW), 4) AS load_7d FROM s""")
+def w9_event_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load of the seven days before each reading, in one key that holds every row."""
+    return blocks.rolling_sum(_stream(spark, sf_dir), "value", "athlete_id", "ts", 604_800, "load_7d").select("event_id", F.round("load_7d", 4).alias("load_7d"))

@@ -61,14 +61,23 @@ def nearest(left: DataFrame, right: DataFrame, by: str, left_time: str, right_ti
 def near_duplicate_pairs(rows: DataFrame, by: str, time: str, key: str, duration: str, seconds: int = 600, slack: float = 180.0) -> DataFrame:
     """Pairs (key_a < key_b) of a group that start within `seconds` and last alike within `slack` (or unknown).
 
-    A row meets its own bucket of `seconds` and the next one on an equality, so the join is hashed and not nested."""
+    Rows meet on an equality of cells, `seconds` wide and `slack` long: a row looks into its own and the next cell of time
+    and into three of duration. So most rows that meet are pairs, however many start together; a row of unknown duration
+    is alike to all that start with it and meets them by time alone."""
     t = F.unix_timestamp(time)
-    a = rows.select(F.col(by).alias("_by"), F.col(key).alias("key_a"), t.alias("_ta"), F.col(duration).alias("_da"), F.explode(F.array(F.floor(t / seconds), F.floor(t / seconds) + 1)).alias("_b"))
-    b = rows.select(F.col(by).alias("_by"), F.col(key).alias("key_b"), t.alias("_tb"), F.col(duration).alias("_db"), F.floor(t / seconds).alias("_b"))
-    later = (F.col("_tb") > F.col("_ta")) | ((F.col("_tb") == F.col("_ta")) & (F.col("key_b") > F.col("key_a")))
-    met = a.join(b, ["_by", "_b"]).where(later & (F.col("_tb") - F.col("_ta") <= seconds))
+    own = rows.select(F.col(by).alias("_by"), F.col(key).alias("_key"), t.alias("_t"), F.col(duration).alias("_d"), F.floor(t / seconds).alias("_cell"))
+    own = own.withColumn("_span", F.floor(F.col("_d") / slack) if slack else F.col("_d"))
+    a = own.select("_by", F.col("_key").alias("_ka"), F.col("_t").alias("_ta"), F.col("_d").alias("_da"), "_span", F.explode(F.array(F.col("_cell"), F.col("_cell") + 1)).alias("_cell"))
+    b = own.select("_by", F.col("_key").alias("_kb"), F.col("_t").alias("_tb"), F.col("_d").alias("_db"), "_span", "_cell")
+    known_a, known_b = a.where("_da is not null"), b.where("_db is not null")
+    spans = F.explode(F.array(*[F.col("_span") + k for k in (-1, 0, 1)])) if slack else F.col("_span")
+    met = known_a.withColumn("_span", spans).join(known_b, ["_by", "_cell", "_span"])
+    met = met.unionByName(a.where("_da is null").drop("_span").join(b.drop("_span"), ["_by", "_cell"]), allowMissingColumns=True)
+    met = met.unionByName(known_a.drop("_span").join(b.where("_db is null").drop("_span"), ["_by", "_cell"]), allowMissingColumns=True)
+    later = (F.col("_tb") > F.col("_ta")) | ((F.col("_tb") == F.col("_ta")) & (F.col("_kb") > F.col("_ka")))
     alike = F.coalesce(F.abs(F.col("_da") - F.col("_db")) <= slack, F.lit(True))
-    return met.where(alike).select(F.col("_by").alias(by), F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+    found = met.where(later & (F.col("_tb") - F.col("_ta") <= seconds) & alike)
+    return found.select(F.col("_by").alias(by), F.least("_ka", "_kb").alias("key_a"), F.greatest("_ka", "_kb").alias("key_b")).distinct()
 
 
 def missing_days(expected: DataFrame, present: DataFrame, by: str, day: str) -> DataFrame:

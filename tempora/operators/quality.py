@@ -59,11 +59,6 @@ def compare_totals(persisted: DataFrame, expected: DataFrame, keys: list[str], v
     return a.join(b, keys, "full_outer").withColumn("status", status)
 
 
-def spread(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Count, least, exact median and greatest of non-null values."""
-    return rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("non_null"), F.min(value).alias("least"), F.median(value).alias("median"), F.max(value).alias("greatest"))
-
-
 def contract_violations(messages: DataFrame, by: str, slack: float = 2.0) -> DataFrame:
     """Files that break the message contract, with what they break, as an array; message rows have
     name, kind, position, timestamp, total_elapsed_time, total_timer_time and num_sessions."""

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tempora.operators.selection import spread
+
 
 def ordered(by: str | list[str], order: str | Column | list[str]) -> WindowSpec:
     return Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*(order if isinstance(order, list) else [order]))
@@ -102,12 +104,24 @@ def resample(df: DataFrame, by: str, time: str, mean: list[str], last: list[str]
     return full.select(by, F.col("_bin").cast("double").alias(time), *mean, *[forward_fill(F.col(c), w).alias(c) for c in last], *[F.coalesce(c, F.array().cast("array<double>")).alias(c) for c in concat or []])
 
 
+def irregular(df: DataFrame, by: str, time: str) -> DataFrame:
+    """Groups not at one row a second: by, rows, and median, least and greatest interval in seconds (3 decimals)."""
+    gaps = df.where(F.col(time).isNotNull()).select(by, difference(F.col(time), ordered(by, time)).alias("_gap")).where("_gap is not null")
+    bad = gaps.groupBy(by).agg(F.bool_and(F.abs(F.col("_gap") - 1) <= 0.01).alias("_ok")).where("not _ok").select(by)
+    found = spread(gaps.join(bad, by, "left_semi"), by, "_gap")
+    names = {"median": "median_interval_sec", "least": "min_interval_sec", "greatest": "max_interval_sec"}
+    return found.select(by, (F.col("non_null") + 1).alias("rows"), *[F.round(c, 3).alias(n) for c, n in names.items()])
+
+
 def require_regular(df: DataFrame, by: str, time: str, mean: list[str], last: list[str], strict: bool = False) -> DataFrame:
-    """Groups of one row a second as they are, the others resampled; or, if strict, an error for the first that is irregular."""
+    """Groups of one row a second as they are, the others resampled; or, if strict, a ValueError that names the first
+    irregular group and its intervals."""
     checked = is_regular(df, by, time)
     if strict:
-        why = F.concat(F.lit("records are not at one row a second: "), F.col(by).cast("string"))
-        fine = checked.withColumn("regular", F.when(F.col("regular"), True).otherwise(F.raise_error(why).cast("boolean")))
-        return df.join(fine.where("regular"), by, "left_semi").select(by, time, *mean, *last)
+        bad = checked.where("not regular").select(F.min(by)).first()[0]
+        if bad is not None:
+            why = irregular(df.where(F.col(by) == bad), by, time).first().asDict()
+            raise ValueError(f"records are not at one row a second: {why.pop(by)} ({', '.join(f'{k}={v}' for k, v in why.items())}); resample them or leave strict mode")
+        return df.select(by, time, *mean, *last)
     fine = df.join(checked.where("regular"), by, "left_semi").select(by, time, *mean, *last)
     return fine.unionByName(resample(df.join(checked.where("not regular"), by, "left_semi"), by, time, mean, last))

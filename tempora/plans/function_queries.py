@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import dates, numbers, payloads, text
-from tempora.operators import lookup, quality
+from tempora.operators import lookup, quality, selection, sequence
 from tempora.sources import device, files, ledger
 from tempora.sources.views import WORKOUTS_SQL, table, workouts
-from tempora.streaming import landing
+from tempora.streaming import items, landing
 
 Q: dict = {}
 SQL: dict = {}
@@ -30,14 +29,7 @@ def query(sql: str | None):
     return put
 
 
-def _shared(spark: SparkSession, what: str) -> str:
-    """A new folder that executors and driver share; on one machine alone a temporary one, where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tempora-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+_shared = files.shared
 
 
 # --- dates -----------------------------------------------------------------------------------------------------------
@@ -281,7 +273,21 @@ def j16_weekly_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WORKOUTS_SQL} SELECT sport, count(*) AS non_null, min(distance_m) AS least, median(distance_m) AS median, max(distance_m) AS greatest FROM workouts WHERE distance_m IS NOT NULL GROUP BY sport")
 def a31_distance_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.spread(workouts(spark, sf_dir), "sport", "distance_m")
+    return selection.spread(workouts(spark, sf_dir), "sport", "distance_m")
+
+
+@query("""WITH g AS (SELECT user_id, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)
+SELECT user_id, count(gap) + 1 AS rows, round(median(gap), 3) AS median_interval_sec, round(min(gap), 3) AS min_interval_sec, round(max(gap), 3) AS max_interval_sec FROM g WHERE gap IS NOT NULL GROUP BY user_id HAVING bool_or(abs(gap - 1) > 0.01)""")
+def t3_irregular_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strict mode reports of each group that is not at one row a second."""
+    e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros("ts") / 1e6).alias("t"))
+    return sequence.irregular(e, "user_id", "t")
+
+
+@query("""SELECT 'all' AS "all", count(*) AS non_null, min(l_extendedprice) AS least, median(l_extendedprice) AS median, max(l_extendedprice) AS greatest FROM lineitem""")
+def a31_spread_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One group that holds every row."""
+    return selection.spread(table(spark, sf_dir, "lineitem").withColumn("all", F.lit("all")), "all", "l_extendedprice")
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -548,3 +554,30 @@ SELECT user_id, min(ts) AS session_from, max(ts) + INTERVAL 6 HOUR AS session_to
 def t7_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of the session operator that the stream uses."""
     return landing.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "6 hours", "1 day")
+
+
+#: An item's deliveries: some bad, some without payload; a good payload says the same each time.
+_DELIVERIES = """CASE WHEN event_id % 7 < 3 THEN NULL WHEN event_id % 5 < 3 AND event_id % 12 < 9 THEN CASE WHEN event_id % 2 = 0 THEN 'no JSON' ELSE '{"value":null}' END
+  ELSE '{"value":' || ((event_id // 3) % 1000) || '}' END"""
+
+
+@query(f"""WITH d AS (SELECT 'item' || (event_id // 3) AS item, ts, {_DELIVERIES} AS payload, {_DELIVERIES} LIKE '{{"value":_%' AND {_DELIVERIES} NOT LIKE '%null%' AS good FROM events),
+s AS (SELECT item, coalesce(bool_or(good), false) AS good, count(*) FILTER (payload IS NOT NULL) AS bad, max(payload) FILTER (good) AS payload, max(ts) AS last FROM d GROUP BY item)
+SELECT item, CASE WHEN good THEN 'processed' WHEN bad > 0 THEN 'failed' WHEN epoch_ms(last) + 864000000 <= (SELECT max(epoch_ms(ts)) - 86400000 FROM events) THEN 'failed' ELSE 'fetched' END AS status, payload FROM s""")
+def t8_item_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries of items, some repeated, in three files one after another through the state machine: each item's last state."""
+    path = _shared(spark, "items")
+    k = F.col("event_id")
+    bad = F.when(k % 2 == 0, "no JSON").otherwise('{"value":null}')
+    payload = F.when(k % 7 < 3, F.lit(None)).when((k % 5 < 3) & (k % 12 < 9), bad).otherwise(F.concat(F.lit('{"value":'), F.floor(k / 3) % 1000, F.lit("}")))
+    sent = table(spark, sf_dir, "events").select(F.concat(F.lit("item"), F.floor(k / 3)).alias("item"), payload.alias("payload"), F.col("ts").alias("at"))
+    lo, hi = sent.agg(F.min("at"), F.max("at")).first()
+    third = F.floor((F.unix_seconds("at") - F.lit(int(lo.timestamp()))) * 3 / F.lit(int((hi - lo).total_seconds()) + 1))
+    for k_ in range(3):
+        sent.where(third == k_).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    session = items.session_with_timers(spark)
+    stream = session.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    moves = items.item_states(stream, items.required("value"), "1 day", timedelta(days=10), timedelta(days=3650))
+    items.ingest_items(moves, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    found = items.current_states(spark, f"{path}/out")
+    return found.select("item", "status", F.when(F.col("status") == "processed", F.col("payload")).alias("payload"))

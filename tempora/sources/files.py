@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import io
+import tempfile
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -25,6 +27,24 @@ UNPACKED_MOST = 256 << 20
 _PREPARED = "path string, kind string, content binary, error string"
 
 
+
+def shared(spark: SparkSession, what: str) -> str:
+    """A new folder that executors and driver share; on one machine alone a temporary one, where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tempora-")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to a new shared folder and read back: lineage ends there and lost executors lose nothing."""
+    path = shared(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_records(records: DataFrame, path: str, files_per_partition: int = 1) -> None:
     """Replace the months that records hold, and no others; a month is dealt by a hash of its workouts."""
     months = records.withColumn("month", F.date_format("timestamp_utc", "yyyy-MM"))

@@ -136,7 +136,7 @@ def test_bridged_gaps_against_a_loop(spark):
 def test_strict_records_are_an_error(spark):
     df = spark.createDataFrame([("a", float(t), 1.0) for t in range(3)] + [("b", t, 1.0) for t in (0.0, 2.0)], "workout_id string, elapsed_sec double, power_watts double")
     assert s.require_regular(df.where("workout_id = 'a'"), "workout_id", "elapsed_sec", ["power_watts"], [], strict=True).count() == 3
-    with pytest.raises(Exception, match="one row a second: b"):
+    with pytest.raises(ValueError, match="one row a second: b"):
         s.require_regular(df, "workout_id", "elapsed_sec", ["power_watts"], [], strict=True).collect()
 
 

@@ -11,7 +11,7 @@ from tempora.functions import dates, numbers, payloads, text
 from tempora.operators import lookup, quality, selection, sequence
 from tempora.sources import device, files, ledger
 from tempora.sources.views import WORKOUTS_SQL, table, workouts
-from tempora.streaming import items, landing
+from tempora.streaming import items, landing, listing, upkeep
 
 Q: dict = {}
 SQL: dict = {}
@@ -581,3 +581,55 @@ def t8_item_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     items.ingest_items(moves, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     found = items.current_states(spark, f"{path}/out")
     return found.select("item", "status", F.when(F.col("status") == "processed", F.col("payload")).alias("payload"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, value, event_id % 13 = 0 AS deleted FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+SELECT user_id::VARCHAR AS item, event_id::VARCHAR AS tag FROM r WHERE NOT deleted""")
+def s11_delta_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder's listing in four generations: the first by its full listing, then two that expired (a re-list), then a change."""
+    folder, target = _shared(spark, "listing"), _shared(spark, "listed")
+    e = table(spark, sf_dir, "events")
+    most = e.agg(F.max("event_id")).first()[0] + 1
+    e = e.withColumn("generation", F.floor(F.col("event_id") * 4 / most))
+    item = [F.col("user_id").cast("string").alias("item"), F.col("event_id").cast("string").alias("tag"), (F.col("event_id") % 13 == 0).alias("deleted")]
+
+    def run(generation: int, full: bool) -> None:
+        seen = e.where(F.col("generation") <= generation if full else F.col("generation") == generation)
+        rows = ledger.latest(seen.select("user_id", "event_id"), ["user_id"], [F.col("event_id")]).select(*item)
+        rows.where("not deleted" if full else "true").write.json(f"{folder}/{'full' if full else 'changes'}/generation={generation}")
+        listing.follow(listing.listing_stream(spark, folder), f"{target}/state", f"{target}/checkpoint").awaitTermination()
+
+    for generation, full in ((0, True), (2, True), (3, False)):
+        run(generation, full)
+    return listing.current_items(spark, f"{target}/state").select("item", "tag")
+
+
+#: Workouts in three files out of order: each tenth is corrected later, each seventeenth withdrawn.
+_KEPT_UP = "w AS (SELECT * FROM workouts WHERE workout_id % 17 <> 0)"
+
+
+def _kept_up(spark: SparkSession, sf_dir: str) -> upkeep.Upkeep:
+    path = _shared(spark, "upkeep")
+    k, w = F.col("workout_id"), workouts(spark, sf_dir)
+    final = w.withColumn("version", F.lit(2)).withColumn("deleted", k % 17 == 0)
+    early = w.where((k % 10 == 0) | (k % 17 == 0)).withColumn("version", F.lit(1)).withColumn("deleted", F.lit(False)).withColumn("tss", F.coalesce("tss", F.lit(5.0)) + 100).withColumn("duration_sec", F.lit(60.0))
+    sent = (early, final.where((k % 3 == 1) | (k % 17 == 0)), final.where((k % 3 != 1) & (k % 17 != 0)))
+    for part in sent:
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(final.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    upkeep.keep_up(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return upkeep.Upkeep(f"{path}/out")
+
+
+@query(f"""WITH {WORKOUTS_SQL}, {_KEPT_UP} SELECT athlete_id, date_trunc('week', start_time_utc)::TIMESTAMP AS week_start, count(*) AS workout_count, round(sum(duration_sec) / 60, 2) AS total_duration_min FROM w GROUP BY ALL""")
+def t11_weekly_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly rollups after three out-of-order batches, of which each recomputed only the weeks it touched."""
+    return _kept_up(spark, sf_dir).weekly(spark).select("athlete_id", "week_start", "workout_count", "total_duration_min")
+
+
+@query(f"""WITH {WORKOUTS_SQL}, {_KEPT_UP}, d AS (SELECT athlete_id, start_time_utc::DATE AS of_, sum(tss) AS tss FROM w WHERE tss IS NOT NULL GROUP BY ALL),
+x AS (SELECT athlete_id, of_, tss, of_ + unnest(range(0, 29))::INTEGER AS day FROM d)
+SELECT athlete_id, day, coalesce(sum(tss) FILTER (day = of_), 0.0) AS tss, coalesce(sum(tss) FILTER (day - of_ <= 7), 0.0) AS tss_7d, sum(tss) AS tss_28d FROM x GROUP BY ALL""")
+def t11_load_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling loads after the same batches: a row marks its day and the 28 after it."""
+    return _kept_up(spark, sf_dir).loads(spark).select("athlete_id", "day", "tss", "tss_7d", "tss_28d")

@@ -5,7 +5,10 @@ result if and only if each adjacent pair is: merging starts alike on both sides
 So pieces are taken from the left, the longest match first (found for all places by an Aho-Corasick automaton); a piece
 stays if merging it together with the one before gives just these two, else its next shorter prefix is tried. Where no
 prefix fits, the place is marked in a bitfield of failed positions and the piece before is shortened; a marked place is
-never reached again, so each is left once. Each different word of a group of texts is encoded once."""
+never reached again, so each is left once.
+
+Texts are cut where no piece of the model holds the two characters side by side (before most blanks, around line ends,
+between most letters and marks); each different part of a group of texts is encoded once."""
 
 from __future__ import annotations
 
@@ -47,7 +50,7 @@ class Pieces:
         normal = [(p.piece.replace(_BLANK, " "), i, p.score) for i, p in enumerate(model.pieces) if p.type == 1]
         self.ids, self.score = {t: i for t, i, _ in normal}, {t: s for t, _, s in normal}
         self.bytes = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.splits = not any(a != " " and b == " " for t, _, _ in normal for a, b in zip(t, t[1:]))  # no piece goes on after a word
+        self.joined = self._joined()
         self.automaton = ahocorasick.Automaton()
         for t in self.ids:
             self.automaton.add_word(t, len(t))
@@ -56,6 +59,17 @@ class Pieces:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.shorter: dict[str, int] = {}
 
+    def _joined(self) -> np.ndarray:
+        """Whether some piece may hold two bytes side by side: where none does, nothing is ever merged across.
+
+        Characters beyond ASCII are not told apart; inside a character bytes stay together."""
+        inside = {(min(ord(a), 128), min(ord(b), 128)) for t in self.ids for a, b in zip(t, t[1:])}
+        out = np.zeros((256, 256), bool)
+        for a, b in inside:
+            out[a if a < 128 else slice(128, 256), b if b < 128 else slice(192, 256)] = True
+        out[:, 128:192] = True  # bytes that go on with a character
+        return out
+
     def merged(self, text: str) -> list[str]:
         """A short text by the model's own rule: the pair of the best score, the leftmost of equals, until there is none."""
         parts, score = list(text), self.score
@@ -136,15 +150,13 @@ class Pieces:
         data = np.frombuffer(texts.buffers()[2], np.uint8)[lo:hi] if hi > lo else np.zeros(0, np.uint8)
         begins = np.zeros(len(data), bool)
         begins[(ends[:-1] - lo)[np.diff(ends) > 0]] = True
-        if self.splits:
-            blank = data == 32
-            begins[1:] |= blank[1:] & ~blank[:-1]
+        begins[1:] |= ~self.joined[data[:-1], data[1:]]
         places = np.r_[np.flatnonzero(begins), len(data)].astype(np.int32)
         words = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data)).dictionary_encode()
         lists = list(map(self.word_ids, words.dictionary.to_pylist()))
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         flat, at = np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum())), words.indices.to_numpy()
-        first = np.searchsorted(places[:-1], ends - lo)  # the words of a text begin at or after its own begin
+        first = np.searchsorted(places[:-1], ends - lo)  # the parts of a text begin at or after its own begin
         return _gather(flat, np.cumsum(lengths) - lengths, lengths, at), np.r_[0, np.cumsum(lengths[at])][first]
 
 
@@ -163,7 +175,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     each row of docs (doc_id, text), whole texts, one row for each row.
 
     Null and empty texts have the end id alone and decode to an empty text; rows of equal or null doc_id stay apart;
-    other columns are ignored; no documents give no rows. A very long text without blanks is one word and takes time in
+    other columns are ignored; no documents give no rows. A very long text that is one part (letters without blanks) takes time in
     proportion to its length. Models other than BPE with byte fallback and identity normalisation are a ValueError."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 

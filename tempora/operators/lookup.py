@@ -86,6 +86,11 @@ def missing_days(expected: DataFrame, present: DataFrame, by: str, day: str) ->
     return spine.join(present.select(by, day).distinct(), [by, day], "left_anti")
 
 
+def not_stored(days: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """days (keys: athlete, day, perhaps source) without those that are stored already."""
+    return days.join(stored.select(*keys).distinct(), keys, "left_anti")
+
+
 def unprocessed(items: DataFrame, ledger: DataFrame, key: str, done: list[str]) -> DataFrame:
     """items whose key the ledger doesn't have in a status of `done`."""
     return items.join(ledger.where(F.col("status").isin(done)).select(key).distinct(), key, "left_anti")

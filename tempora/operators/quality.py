@@ -124,11 +124,29 @@ def environment(gps: Column, indoor: Column, sub_sport: Column, name: Column) ->
     return F.struct(virtual.alias("virtual"), inside.alias("indoor"), outside.alias("outdoor"), confidence.alias("confidence"))
 
 
+#: What a caller may ask for.
+STATUSES = ("active", "resolved", "archived", "all")
+
+
 def visible(items: DataFrame, status: str | None = None) -> DataFrame:
-    """Items of a status; all but archived by default, everything for `all`."""
-    if status == "all":
-        return items
-    return items.where(F.col("status") == status) if status else items.where(F.coalesce("status", F.lit("active")) != "archived")
+    """Items of a status; all but archived by default (none or an empty one asked for), everything for `all`.
+
+    Any other status is a ValueError."""
+    if not status:
+        return items.where(F.coalesce("status", F.lit("active")) != "archived")
+    if status not in STATUSES:
+        raise ValueError(f"status must be one of {', '.join(STATUSES)}")
+    return items if status == "all" else items.where(F.col("status") == status)
+
+
+def owned(rows: DataFrame, athlete: object, by: str = "athlete_id") -> DataFrame:
+    """Rows of the athlete who asks; rows without an owner are nobody's."""
+    return rows.where(F.col(by) == F.lit(athlete))
+
+
+def from_watches(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose device is a watch by its name."""
+    return rows.where(F.lower(F.coalesce(name, F.lit(""))).contains("watch"))
 
 
 def by_priority(items: DataFrame, limit: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from tempora.operators.lookup import metrics_as_of
 
 #: Days that a sum looks back, the day itself not counted; the divisors are the nominal 7 and 28.
 SHORT, LONG = 7, 28
+#: Days of a history at most (fixed value).
+MOST_DAYS = 90
 
 
 def workout_tss(table_value: Column, computed: Column) -> Column:
@@ -62,3 +66,10 @@ def training_state(workouts: DataFrame, physiometrics: DataFrame, first: str, la
     days = load_components(rolling(workouts, first, last, computed))
     known = metrics_as_of(days, physiometrics, "athlete_id", "day", ["hrv_ln_rmssd", "resting_hr_bpm", "weight_kg"])
     return known.withColumn("readiness", F.round(readiness(F.col("hrv_ln_rmssd"), F.col("fatigue")), 2))
+
+
+def history(workouts: DataFrame, physiometrics: DataFrame, until: str, days: int, computed: DataFrame | None = None) -> DataFrame:
+    """The training state of the last `days` days (1 to MOST_DAYS) up to a date."""
+    last = date.fromisoformat(until)
+    first = last - timedelta(days=max(1, min(int(days), MOST_DAYS)) - 1)
+    return training_state(workouts, physiometrics, first.isoformat(), last.isoformat(), computed)

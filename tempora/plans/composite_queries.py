@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import dates, numbers, zones
-from tempora.operators import metrics, resolve, rollups
+from tempora.operators import lookup, metrics, quality, resolve, rollups
 from tempora.params import AthleteParams, resolve_ftp
 from tempora.plans import composites
-from tempora.sources.views import PHYSIOMETRICS_SQL, RECORDS_SQL, WORKOUTS_SQL, physiometrics, records, table, workouts
+from tempora.sources import clustered, files, ledger, rewrite
+from tempora.sources.views import PHYSIOMETRICS_SQL, RECORDS_SQL, USER_RECORDS_SQL, WORKOUTS_SQL, physiometrics, records, records_by_user, table, workouts
 
 Q: dict = {}
 SQL: dict = {}
@@ -49,7 +50,7 @@ def r13_planning_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_planning_sql("athlete_id = 10"))
 def r13_planning_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer that one athlete asks for."""
-    return _planning(workouts(spark, sf_dir).where("athlete_id = 10"))
+    return _planning(workouts(spark, sf_dir, 10))
 
 
 @query(f"""WITH {RECORDS_SQL}, {PHYSIOMETRICS_SQL}, w AS (SELECT event_type AS workout_id, min(user_id) AS athlete_id, min(ts) AS start_time_utc FROM events GROUP BY event_type),
@@ -110,6 +111,26 @@ def s1_pushed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
 
 
+@query(f"WITH {WORKOUTS_SQL} SELECT athlete_id, date_trunc('week', start_time_utc)::TIMESTAMP AS week_start, count(*) AS workout_count, round(sum(duration_sec) / 60, 2) AS total_duration_min FROM workouts WHERE athlete_id = 10 GROUP BY ALL")
+def s13_clustered_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One athlete's weeks out of clustered summaries, of which a few row groups are read."""
+    path = files.shared(spark, "clustered")
+    clustered.write_clustered(workouts(spark, sf_dir), path, "athlete_id", ["start_time_utc", "workout_id"], 4)
+    return rollups.weekly(clustered.of_one(spark, path, "athlete_id", 10)).select("athlete_id", "week_start", "workout_count", "total_duration_min")
+
+
+@query(f"WITH {WORKOUTS_SQL}, w AS (SELECT athlete_id, count(*) AS n FROM workouts GROUP BY athlete_id) SELECT workout_id, athlete_id, c_nationkey, n FROM workouts JOIN customer ON athlete_id = c_custkey JOIN w USING (athlete_id)")
+def s13_bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries and athletes in equal buckets: joined and counted by athlete without a shuffle."""
+    own = workouts(spark, sf_dir).select("workout_id", "athlete_id")
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("athlete_id"), "c_nationkey")
+    tables = {}
+    for name, rows, order in (("workouts", own, ["workout_id"]), ("athletes", people, [])):
+        path = files.shared(spark, f"bucketed-{name}")
+        tables[name] = clustered.write_bucketed(rows, path.rpartition("/")[2].replace("-", "_"), path, "athlete_id", 8, order)
+    return clustered.with_counts(tables["workouts"], tables["athletes"], "athlete_id").select("workout_id", "athlete_id", "c_nationkey", "n")
+
+
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 300 > 0 THEN o_orderkey % 300 END, CASE WHEN o_orderkey % 3 = 0 THEN 210 END, 250)::DOUBLE AS ftp FROM orders")
 def m5_ftp_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -203,6 +224,24 @@ def x1_elevation_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composites.backfilled(holes, raw, ["elevation_m"], 1.0)
 
 
+@query(f"""WITH {USER_RECORDS_SQL}, s AS (SELECT workout_id, CASE WHEN event_id % 5 <> 0 THEN elevation_m END AS had, elevation_m, event_id % 3 = 0 AND workout_id::BIGINT % 4 <> 1 AS raw FROM records)
+SELECT workout_id, count(had) AS before, count(coalesce(had, CASE WHEN raw THEN elevation_m END)) AS after, count(had) < count(coalesce(had, CASE WHEN raw THEN elevation_m END)) AS improved, count(coalesce(had, CASE WHEN raw THEN elevation_m END)) AS stored, 0::BIGINT AS again
+FROM s GROUP BY workout_id HAVING count(had) < count(*)""")
+def x1_conditional_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored records with holes, filled where raw ones are near: improved workouts are rewritten, and a second run finds
+    none to improve."""
+    path, r = files.shared(spark, "records"), records_by_user(spark, sf_dir)
+    month = F.date_format("timestamp_utc", "yyyy-MM").alias("month")
+    holes = r.select("workout_id", "elapsed_sec", F.when(F.col("event_id") % 5 != 0, F.col("elevation_m")).alias("elevation_m"), month)
+    holes.write.partitionBy("month").parquet(path)
+    raw = r.where((F.col("event_id") % 3 == 0) & (F.col("workout_id").cast("long") % 4 != 1)).select("workout_id", (F.col("elapsed_sec") + 0.25).alias("elapsed_sec"), "elevation_m")
+    fill = lambda rows: composites.backfilled(rows, raw, ["elevation_m"], 0.5)
+    first, second = (rewrite.rewrite_improved(spark, path, fill, ["elevation_m"]) for _ in range(2))
+    per = first.groupBy("workout_id").agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.bool_or("improved").alias("improved"))
+    stored = spark.read.parquet(path).groupBy(F.col("workout_id").cast("string").alias("workout_id")).agg(F.count("elevation_m").alias("stored"))
+    return per.join(stored, "workout_id").withColumn("again", F.lit(second.where("improved").count()).cast("long"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Europe/Paris' ELSE 'UTC' END AS tz FROM customer WHERE CASE WHEN c_custkey % 2 = 0 THEN 'UTC' END IS DISTINCT FROM CASE WHEN c_custkey % 3 = 0 THEN 'Europe/Paris' ELSE 'UTC' END")
 def x2_timezone_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "UTC").alias("tz"))
@@ -311,3 +350,48 @@ def x5_device_model_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     metadata = o.where(k % 4 != 0).select(k.alias("workout_id"), F.lit(1).alias("manufacturer"), (k % 30).alias("product"), F.when(k % 7 != 0, F.concat(F.lit("Watch"), (k % 5).cast("string"))).alias("product_name"))
     products = table(spark, sf_dir, "nation").select(F.lit(1).alias("manufacturer"), F.col("n_nationkey").alias("product"), F.col("n_name").alias("name"))
     return composites.backfilled_device_model(w, metadata, products)
+
+
+@query("""WITH w AS (SELECT o_orderkey AS workout_id, o_custkey AS athlete_id, CASE WHEN o_orderkey % 3 = 0 THEN 'ing' || o_orderkey % 500 WHEN o_orderkey % 3 = 1 THEN ' ' END AS ingestion_id, CASE WHEN o_orderkey % 5 <> 0 THEN 'item' || o_orderkey END AS source_item_id, o_orderdate AS ingested_at_utc, CASE WHEN o_orderkey % 2 = 0 THEN 'v0' END AS ingest_version FROM orders),
+k AS (SELECT *, coalesce(CASE WHEN trim(ingestion_id) <> '' THEN ingestion_id END, source_item_id) AS ingestion_key FROM w),
+n AS (SELECT * FROM k WHERE ingestion_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY athlete_id, ingestion_key ORDER BY ingested_at_utc DESC, workout_id DESC) = 1),
+l AS (SELECT o_custkey AS athlete_id, 'item' || o_orderkey AS ingestion_key, CASE WHEN o_orderkey % 4 = 0 THEN 'failed' END AS status, o_orderkey % 6 AS retry_count FROM orders WHERE o_orderkey % 7 = 0)
+SELECT n.athlete_id, n.ingestion_key, coalesce(l.status, 'ingested') AS status, coalesce(l.retry_count, 0) AS retry_count, workout_id, coalesce(ingest_version, 'v9') AS ingest_version FROM n LEFT JOIN l ON n.athlete_id = l.athlete_id AND n.ingestion_key = l.ingestion_key""")
+def x5_ledger_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows of workouts that have none, and what existing rows lack."""
+    k, o, none = F.col("o_orderkey"), table(spark, sf_dir, "orders"), F.lit(None).cast("string")
+    text_ = lambda what, n: F.concat(F.lit(what), n.cast("string"))
+    w = o.select(
+        k.alias("workout_id"), F.col("o_custkey").alias("athlete_id"), F.when(k % 3 == 0, text_("ing", k % 500)).when(k % 3 == 1, " ").alias("ingestion_id"), F.when(k % 5 != 0, text_("item", k)).alias("source_item_id"),
+        none.alias("file_sha256"), none.alias("source_file_name"), none.alias("source_etag"), none.alias("source_ctag"), F.col("o_orderdate").alias("ingested_at_utc"), F.when(k % 2 == 0, "v0").alias("ingest_version"),
+    )
+    known = o.where(k % 7 == 0).select(F.col("o_custkey").alias("athlete_id"), text_("item", k).alias("ingestion_key"), F.when(k % 4 == 0, "failed").alias("status"), (k % 6).alias("retry_count"))
+    out = ledger.ledger_backfill(w, known, "v9", F.lit("2026-01-01").cast("timestamp"))
+    return out.select("athlete_id", "ingestion_key", "status", "retry_count", "workout_id", "ingest_version")
+
+
+@query("SELECT user_id AS athlete_id, ts::DATE AS day FROM events WHERE event_id % 2 = 0 GROUP BY ALL EXCEPT SELECT user_id, ts::DATE FROM events WHERE event_id % 3 = 0")
+def j11_days_not_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("athlete_id"), F.to_date("ts").alias("day"))
+    return lookup.not_stored(days.where("event_id % 2 = 0").select("athlete_id", "day").distinct(), days.where("event_id % 3 = 0"), ["athlete_id", "day"])
+
+
+@query(f"WITH {WORKOUTS_SQL} SELECT workout_id, sport FROM workouts WHERE athlete_id = 10")
+def p14_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.owned(workouts(spark, sf_dir), 10).select("workout_id", "sport")
+
+
+@query("WITH d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Apple Watch' WHEN 1 THEN 'iPhone' WHEN 2 THEN 'Smartwatch ' || o_orderkey END AS device FROM orders) SELECT o_orderkey, device FROM d WHERE lower(device) LIKE '%watch%'")
+def p19_from_watches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    device_ = F.when(k % 4 == 0, "Apple Watch").when(k % 4 == 1, "iPhone").when(k % 4 == 2, F.concat(F.lit("Smartwatch "), k.cast("string")))
+    return quality.from_watches(table(spark, sf_dir, "orders").select("o_orderkey", device_.alias("device")), "device")
+
+
+@query("""WITH i AS (SELECT o_orderkey AS item_id, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'archived' ELSE 'resolved' END AS status FROM orders)
+SELECT item_id, status, 'resolved' AS asked FROM i WHERE status = 'resolved' UNION ALL SELECT item_id, status, 'all' FROM i UNION ALL SELECT item_id, status, 'none' FROM i WHERE status <> 'archived'""")
+def p13_status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "archived").otherwise("resolved")
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), status.alias("status"))
+    asked = [quality.visible(items, s).withColumn("asked", F.lit(s or "none")) for s in ("resolved", "all", None)]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])

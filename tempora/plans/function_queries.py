@@ -321,6 +321,27 @@ def a19_field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("message", "field", "count", F.array_join("units", ",").alias("units"), F.array_join("samples", ",").alias("samples"))
 
 
+@query("""WITH e AS (SELECT user_id, 'dev_' || CASE WHEN user_id % 2 = 0 THEN 'strain' ELSE 'torque' END AS field, CASE WHEN user_id % 3 = 0 THEN 'kN' ELSE 'Nm' END AS units, event_id % 1000 AS raw,
+  row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id % 1000) AS position FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY user_id, position) AS rn FROM e)
+SELECT 'record' AS message, field, count(*) AS count, array_to_string(list_sort(list(DISTINCT units)), ',') AS units, array_to_string(list(round(raw / 10 - 2, 3)::VARCHAR ORDER BY rn) FILTER (rn <= 3), ',') AS samples FROM r GROUP BY field""")
+def a19_developer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a device file with a field of its own, described in the file: name, units, scale by user."""
+    bytes_ = lambda c, n: F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+    user, raw = F.col("user_id"), F.col("event_id") % 1000
+    record = F.concat(F.lit("00"), bytes_(F.unix_seconds(F.col("ts").cast("timestamp")) - device.EPOCH, 4), bytes_(raw, 2))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(record)), "").alias("data"))
+    # big-endian: message 206 with index, number, base type, name, units, scale and offset; then message 20 with a time and the field
+    described = F.concat(F.lit("41000100CE07" + "000102" + "010102" + "020102" + "030807" + "080407" + "060102" + "070101" + "01" + "00" + "05" + "84"), F.when(user % 2 == 0, F.lit("73747261696E0000")).otherwise(F.lit("746F727175650000")), F.when(user % 3 == 0, F.lit("6B4E0000")).otherwise(F.lit("4E6D0000")), F.lit("0A02"))
+    body = F.concat(described, F.lit("6000010014" + "01" + "FD0486" + "01" + "050200"), "data")
+    size = bytes_(F.length(body) / 2, 4)
+    content = F.unhex(F.concat(F.lit("0E103408"), *[F.substring(size, k, 2) for k in (7, 5, 3, 1)], F.lit("2E4649540000"), body, F.lit("0000")))
+    fields = device.developer_fields(device.decode(rows.select(F.col("user_id").cast("string").alias("path"), content.alias("content"))))
+    placed = fields.withColumn("position", F.struct(F.col("path").cast("long").alias("file"), "position")).withColumn("value", F.round(F.col("value").cast("double"), 3).cast("string"))
+    out = quality.field_summary(placed, ["message", "field"])
+    return out.select("message", "field", "count", F.array_join("units", ",").alias("units"), F.array_join("samples", ",").alias("samples"))
+
+
 @query("SELECT event_type AS name, count(*) AS messages FROM events GROUP BY event_type")
 def a20_message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("messages"))

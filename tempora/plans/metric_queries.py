@@ -331,7 +331,7 @@ SELECT * FROM ({SQL["m18_hr_power_lag"]}) SEMI JOIN k USING (workout_id)"""
 @query(_wide_sql())
 def d13_workout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide row of all families."""
-    return m.workout_metrics(m.dealt(records(spark, sf_dir)).persist(), PARAMS)  # whoever runs it frees it
+    return m.workout_metrics(m.dealt(records(spark, sf_dir)), PARAMS)
 
 
 @query(f"""WITH {RECORDS_SQL}, {_NP} SELECT workout_id, max(elapsed_sec) AS duration_sec, round(avg(power_watts), 1) AS power_avg, any_value(normalized_power) AS normalized_power FROM records JOIN np USING (workout_id) GROUP BY workout_id""")

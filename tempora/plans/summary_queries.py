@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -330,6 +332,10 @@ s AS (SELECT athlete_id, day, round(fatigue, 6) AS fatigue, fatigue AS f, (SELEC
 SELECT athlete_id, day, fatigue, hrv_ln_rmssd, round(CASE WHEN hrv_ln_rmssd IS NOT NULL AND f > 0 THEN (least(greatest((hrv_ln_rmssd - 2.5) / 2 * 100, 0), 100) + least(greatest((2 - f) / 1.5 * 100, 0), 100)) / 2 END, 2) AS readiness FROM s"""
 
 
+#: The first of the ninety days that end with LAST.
+_CLAMPED = (date.fromisoformat(LAST) - timedelta(days=89)).isoformat()
+
+
 def _training_state(w: DataFrame, p: DataFrame) -> DataFrame:
     shift = F.date_add(F.lit(FIRST).cast("date"), F.datediff("effective_date", F.lit("2024-01-01").cast("date")))
     return state.training_state(w, p.withColumn("effective_date", shift), FIRST, LAST).select("athlete_id", "day", F.round("fatigue", 6).alias("fatigue"), "hrv_ln_rmssd", "readiness")
@@ -343,7 +349,15 @@ def r11_training_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT * FROM ({_STATE_SQL}) WHERE athlete_id = 10")
 def r11_state_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history that one athlete asks for."""
-    return _training_state(workouts(spark, sf_dir).where("athlete_id = 10"), physiometrics(spark, sf_dir).where("athlete_id = 10"))
+    return _training_state(workouts(spark, sf_dir, 10), physiometrics(spark, sf_dir).where("athlete_id = 10"))
+
+
+@query(f"SELECT athlete_id, day, fatigue, readiness FROM ({_STATE_SQL.replace(FIRST, _CLAMPED)})")
+def p22_state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of a thousand days asked for: ninety are given."""
+    shift = F.date_add(F.lit(_CLAMPED).cast("date"), F.datediff("effective_date", F.lit("2024-01-01").cast("date")))
+    p = physiometrics(spark, sf_dir).withColumn("effective_date", shift)
+    return state.history(workouts(spark, sf_dir), p, LAST, 1000).select("athlete_id", "day", F.round("fatigue", 6).alias("fatigue"), "readiness")
 
 
 @query(f"""WITH {WORKOUTS_SQL}, n AS (SELECT athlete_id, max(start_time_utc) AS now_utc FROM workouts GROUP BY athlete_id),

@@ -56,3 +56,23 @@ def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def complete(rows: DataFrame, required: list[str], allowed: list[str]) -> DataFrame:
     """Rows with all required fields, cut to the allowed ones; absent optional ones are null."""
     return rows.dropna(subset=required).select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in allowed])
+
+
+#: What an ingested workout's ledger row has besides its key, athlete_id and workout_id.
+LEDGER = ("source_file_name", "source_etag", "source_ctag", "file_sha256", "ingest_version")
+
+
+def ledger_backfill(workouts: DataFrame, ledger: DataFrame, version: str, now: Column) -> DataFrame:
+    """The ledger rows of workouts that were ingested before there was a ledger: what a row has stays, what it lacks comes
+    from its workout.
+
+    A workout's key is its ingestion_id, else source_item_id, else file_sha256; without key, athlete or workout_id it has no
+    row. Of several workouts of a key the newest ingested counts, of equals the greater workout_id."""
+    key = F.coalesce(*[F.when(F.trim(c) != "", F.col(c)) for c in ("ingestion_id", "source_item_id", "file_sha256")])
+    own = workouts.withColumn("ingestion_key", key).where("ingestion_key is not null and athlete_id is not null and workout_id is not null")
+    own = latest(own, ["athlete_id", "ingestion_key"], [F.col("ingested_at_utc"), F.col("workout_id")])
+    at = F.coalesce("ingested_at_utc", now)
+    made = own.select("athlete_id", "ingestion_key", F.lit("ingested").alias("status"), at.alias("first_seen_at_utc"), at.alias("last_attempt_at_utc"), at.alias("ingested_at_utc"), F.lit(0).alias("retry_count"), "workout_id", *[F.coalesce(c, F.lit(version)).alias(c) if c == "ingest_version" else F.col(c) for c in LEDGER])
+    known = ledger.select("athlete_id", "ingestion_key", F.struct(*[c for c in ledger.columns if c not in ("athlete_id", "ingestion_key")]).alias("_old"))
+    pick = [F.coalesce(f"_old.{c}", c).alias(c) if c in ledger.columns else F.col(c) for c in made.columns if c not in ("athlete_id", "ingestion_key")]
+    return made.join(known, ["athlete_id", "ingestion_key"], "left").select("athlete_id", "ingestion_key", *pick)

@@ -47,9 +47,13 @@ def records_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _channels(table(spark, sf_dir, "events"), "user_id")
 
 
-def workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workout summaries: an order is a workout of its customer, its lines give seconds in zones."""
+def workouts(spark: SparkSession, sf_dir: str, athlete: int | None = None) -> DataFrame:
+    """Workout summaries: an order is a workout of its customer, its lines give seconds in zones. With an athlete only its
+    own: lines of other orders go before they are aggregated."""
     o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    if athlete is not None:
+        o = o.where(F.col("o_custkey") == athlete)
+        line = line.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     number = F.col("l_linenumber")
     zones = line.groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("minutes"),

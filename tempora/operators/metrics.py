@@ -72,6 +72,14 @@ def channel_stats(records: DataFrame) -> DataFrame:
     return records.groupBy(KEY).agg(*stats, F.max(TIME).alias("duration_sec"), F.max("distance_m").alias("distance_m"), F.count("*").alias("n_records"))
 
 
+def passthrough(records: DataFrame, metadata: DataFrame) -> DataFrame:
+    """What is handed on as it is: start_time_utc (as stated, else the first record's), calories_kcal as stated, and the mean
+    (2 decimals) and greatest speed of the records. metadata: a row a workout at most."""
+    own = records.groupBy(KEY).agg(F.min("timestamp_utc").alias("_first"), F.round(F.avg("speed_mps"), 2).alias("avg_speed_mps"), F.max("speed_mps").alias("max_speed_mps"))
+    said = metadata.select(KEY, F.col("start_time_utc").alias("_said"), "calories_kcal")
+    return own.join(said, KEY, "left").select(KEY, F.coalesce("_said", "_first").alias("start_time_utc"), "calories_kcal", "avg_speed_mps", "max_speed_mps")
+
+
 def missing_pct(samples: Column, duration: Column) -> Column:
     """Share of the duration without a sample, 0 to 100; null without samples or duration."""
     share = (1 - samples / duration) * 100
@@ -334,7 +342,8 @@ def basic_stats(records: DataFrame) -> DataFrame:
 
 def dealt(records: DataFrame) -> DataFrame:
     """Records with all channels, dealt by workout and sorted by time once. Persist these before `workout_metrics`, and
-    unpersist them after use: its families then need no scan, shuffle or sort of their own."""
+    unpersist them after use: its families then need no scan, shuffle or sort of their own. Or write them in buckets of the
+    workout (`sources.clustered.write_bucketed`), which outlives executors."""
     return with_channels(records).select(KEY, TIME, *CHANNELS).repartition(KEY).sortWithinPartitions(KEY, TIME)
 
 

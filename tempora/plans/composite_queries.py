@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import dates, numbers, zones
 from tempora.operators import lookup, metrics, quality, resolve, rollups
-from tempora.params import AthleteParams, resolve_ftp
+from tempora.params import AthleteParams, params_from, resolve_ftp
 from tempora.plans import composites
 from tempora.sources import clustered, files, ledger, rewrite
 from tempora.sources.views import PHYSIOMETRICS_SQL, RECORDS_SQL, USER_RECORDS_SQL, WORKOUTS_SQL, physiometrics, records, records_by_user, table, workouts
@@ -376,6 +378,19 @@ def j11_days_not_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.not_stored(days.where("event_id % 2 = 0").select("athlete_id", "day").distinct(), days.where("event_id % 3 = 0"), ["athlete_id", "day"])
 
 
+@query("""WITH c AS (SELECT max(c_custkey) % 100 + 200 AS ftp, max(s_suppkey) % 50 + 130 AS lthr FROM customer, supplier)
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 300 > 0 THEN o_orderkey % 300 ELSE ftp END::DOUBLE AS ftp, lthr::DOUBLE AS lthr, 'LTHR' AS basis FROM orders, c""")
+def s8_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration document, stored and read back: its parameters where a workout has none of its own."""
+    path = files.shared(spark, "config")
+    most = lambda t, c: table(spark, sf_dir, t).agg(F.max(c)).first()[0]
+    body = {"power": {"ftp_watts": most("customer", "c_custkey") % 100 + 200}, "heart_rate": {"lthr_bpm": most("supplier", "s_suppkey") % 50 + 130, "basis": "LTHR"}}
+    spark.createDataFrame([(json.dumps(body, indent=1),)], "value string").coalesce(1).write.text(path)
+    params = params_from(files.read_config(spark, path))
+    own = F.when(F.col("o_orderkey") % 4 == 1, F.col("o_orderkey") % 300)
+    return table(spark, sf_dir, "orders").select("o_orderkey", resolve_ftp(own, params.ftp).alias("ftp"), F.lit(float(params.lthr)).alias("lthr"), F.lit(params.basis).alias("basis"))
+
+
 @query(f"WITH {WORKOUTS_SQL} SELECT workout_id, sport FROM workouts WHERE athlete_id = 10")
 def p14_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.owned(workouts(spark, sf_dir), 10).select("workout_id", "sport")

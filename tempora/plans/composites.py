@@ -66,10 +66,9 @@ def workout_detail(workouts: DataFrame, stream: DataFrame, physiometrics: DataFr
     """One row per workout: its metrics under the baselines in effect, and its laps as a list. Workouts without records
     keep their row."""
     based = lookup.preferred_as_of(workouts, physiometrics, "athlete_id", "start_time_utc", ["manual", "chatgpt"], ["ftp_watts", "lthr_bpm"])
-    ftp = stream.join(based.select("workout_id", resolve_ftp(F.col("ftp_watts"), params.ftp).alias("ftp")), "workout_id")
-    shaped = metrics.with_channels(ftp)
+    shaped = metrics.with_channels(stream)
     power = metrics.channel_stats(shaped).join(metrics.normalized_power(shaped), "workout_id", "left")
-    ftps = ftp.groupBy("workout_id").agg(F.max("ftp").alias("ftp"))
+    ftps = based.select("workout_id", resolve_ftp(F.col("ftp_watts"), params.ftp).alias("ftp"))  # once a workout, not a record
     loads = metrics.load(power.join(ftps, "workout_id"), F.col("ftp"))
     listed = laps.groupBy("workout_id").agg(F.array_sort(F.collect_list(F.struct("position", "minutes"))).alias("laps"))
     return based.join(loads, "workout_id", "left").join(listed, "workout_id", "left")

@@ -9,6 +9,8 @@ from tempora.operators import blocks
 from tempora.operators import metrics as m
 from tempora.operators import sequence as s
 from tempora.params import PEAK_SECONDS, AthleteParams
+from tempora.sources.clustered import write_bucketed
+from tempora.sources.files import shared
 from tempora.sources.views import RECORDS_SQL, USER_RECORDS_SQL, records, records_by_user, table
 
 #: Values that give every metric something to find in the test tables.
@@ -328,18 +330,47 @@ SELECT * FROM ({SQL["m18_hr_power_lag"]}) SEMI JOIN k USING (workout_id)"""
     return f"SELECT * FROM ({SQL['a1_channel_stats']})" + "".join(f" LEFT JOIN ({p}) USING (workout_id)" for p in parts)
 
 
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All families of records that are dealt by workout once, in buckets of a stored table: no family shuffles them."""
+    path = shared(spark, "dealt")
+    own = m.with_channels(records(spark, sf_dir)).select(m.KEY, m.TIME, *m.CHANNELS)
+    return m.workout_metrics(write_bucketed(own, path.rpartition("/")[2].replace("-", "_"), path, m.KEY, 8, [m.TIME]), PARAMS)
+
+
 @query(_wide_sql())
 def d13_workout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide row of all families."""
-    return m.workout_metrics(m.dealt(records(spark, sf_dir)), PARAMS)
+    return _wide(spark, sf_dir)
+
 
+_FAMILY_COLUMNS = [c for columns in m.FAMILIES.values() for c in columns]
 
-@query(f"""WITH {RECORDS_SQL}, {_NP} SELECT workout_id, max(elapsed_sec) AS duration_sec, round(avg(power_watts), 1) AS power_avg, any_value(normalized_power) AS normalized_power FROM records JOIN np USING (workout_id) GROUP BY workout_id""")
+
+@query(f"SELECT workout_id, {', '.join(_FAMILY_COLUMNS)} FROM ({_wide_sql()})")
 def p7_nested_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
-    wide = m.channel_stats(r).join(m.normalized_power(r), m.KEY, "left")
-    families = {"session": ["duration_sec", "distance_m"], "power": ["power_avg", "power_max", "normalized_power"]}
-    return m.flat(m.nested(wide, families), families).select(m.KEY, "duration_sec", "power_avg", "normalized_power")
+    """All families as nested columns, and flat again."""
+    return m.flat(m.nested(_wide(spark, sf_dir))).select(m.KEY, *_FAMILY_COLUMNS)
+
+
+@query(f"""WITH {USER_RECORDS_SQL}, s AS (SELECT workout_id, min(timestamp_utc) AS first, round(avg(speed_mps), 2) AS speed_avg, max(speed_mps) AS speed_max FROM records GROUP BY workout_id)
+SELECT workout_id, CASE WHEN workout_id::BIGINT % 3 = 0 THEN TIMESTAMP '2024-02-02' ELSE first END AS start_time_utc, CASE WHEN workout_id::BIGINT % 4 = 0 THEN 300.0 END::DOUBLE AS calories_kcal, speed_avg AS avg_speed_mps, speed_max AS max_speed_mps FROM s""")
+def m28_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, k = records_by_user(spark, sf_dir), F.col("workout_id").cast("long")
+    known = r.select("workout_id").distinct().where(k % 12 != 1)
+    metadata = known.select("workout_id", F.when(k % 3 == 0, F.lit("2024-02-02").cast("timestamp")).alias("start_time_utc"), F.when(k % 4 == 0, 300.0).alias("calories_kcal"))
+    return m.passthrough(r, metadata)
+
+
+_CLIMB_RUNS = SQL["m27_climbs"].partition("SELECT workout_id, count(*) AS duration")[0]
+_POSITIONS = {"position_lat": "(event_id % 170 - 85) / 1.7::DOUBLE", "position_long": "(event_id % 350 - 175) / 1.3::DOUBLE"}
+
+
+@query(_CLIMB_RUNS + "SELECT workout_id, min(elapsed_sec) AS start_sec, " + ", ".join(f"round({f}({sql}, elapsed_sec), 6) AS {side}_{c}" for side, f in (("start", "arg_min"), ("end", "arg_max")) for c, sql in _POSITIONS.items()) + " FROM g WHERE f GROUP BY workout_id, g HAVING count(*) >= 5")
+def f33_climb_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where climbs begin and end: positions pass through as they are."""
+    k = F.col("event_id")
+    placed = records(spark, sf_dir).withColumn("position_lat", (k % 170 - 85) / 1.7).withColumn("position_long", (k % 350 - 175) / 1.3)
+    return m.climbs(placed, gap=1, rows=5).select(m.KEY, "start_sec", *[f"{side}_{c}" for side in ("start", "end") for c in _POSITIONS])
 
 
 #: One athlete with all events as one stream; its readings in order of time.

@@ -1,5 +1,7 @@
 """Operators 1, 2, 3, 5, 7 and 10 against brute force, with odd texts."""
 
+import math
+import random
 import re
 import zlib
 
@@ -7,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tempora.llm import common, packing, quality, rangecoder, sharding, simhash, tokenfile, tokens, urlfilter
 from tempora.llm.queries import URL_RULES, tokenizer
@@ -101,6 +104,69 @@ def test_shards_are_even_and_gapless(spark):
     assert {t for t, s in shards_of.items() if len(s) > 1} == {zlib.crc32(b"hot text")}
 
 
+def plain_shards(rows, shards, ranges, sample, rounds):
+    """The operator's steps in plain loops over rows of (doc_id, key, row, size, hash of each turn)."""
+    total, wanted = sum(r[3] for r in rows), shards * ranges
+    share, most = total / shards, 1.5 * total / wanted
+
+    def draw(own, size, expected, turn):
+        return sorted((k, r, max(float(s), max(1, size) / expected)) for _, k, r, s, *h in own if h[turn] % (1 << 30) / (1 << 30) < s * (expected / max(1, size)))
+
+    def quantiles(drawn, parts):
+        out, step = set(), np.array([w for *_, w in drawn]).sum() / parts if drawn else 0
+        for i in range(1, parts if drawn else 1):
+            seen = 0.0
+            for key, row, w in drawn:
+                seen += w
+                if seen >= step * i or (key, row, w) == drawn[-1]:
+                    out.add((key, row if bytes_of[key] > share else -1))
+                    break
+        return out
+
+    bytes_of = {}
+    for _, k, _, s, *_ in rows:
+        bytes_of[k] = bytes_of.get(k, 0) + s
+    splits = quantiles(draw(rows, total, sample, 0), wanted)
+    for turn in range(1, rounds + 1):
+        parts = {}
+        for r in rows:
+            parts.setdefault(sum(split <= (r[1], r[2]) for split in splits), []).append(r)
+        sizes = {p: sum(r[3] for r in own) for p, own in parts.items()}
+        over = {p for p, own in parts.items() if sizes[p] > most and len(own) > 1}
+        if not over or turn == rounds:
+            break
+        drawn = draw([r for p in over for r in parts[p]], sum(sizes[p] for p in over), min(sample, 200 * len(over) + 1000), turn)
+        more = set()
+        for p in over:
+            own = {(r[1], r[2]) for r in parts[p]}
+            more |= quantiles([d for d in drawn if d[:2] in own], math.ceil(sizes[p] / (total / wanted)))
+        if more <= splits:
+            break
+        splits |= more
+    load, shard_of = [0] * shards, {}
+    for p in sorted(parts, key=lambda p: (-sizes[p], p)):
+        emptiest = min(range(shards), key=lambda s: (load[s], s))
+        load[emptiest] += sizes[p]
+        shard_of.update({r[0]: emptiest for r in parts[p]})
+    return shard_of, len(splits)
+
+
+@pytest.mark.parametrize("shards,ranges,sample", [(5, 4, 40), (3, 10, 400), (7, 1, 30)])
+def test_shards_by_plain_loops(spark, shards, ranges, sample):
+    """Splitters, subdivision and assignment; a group of equal texts over a share is divided, a smaller one is not."""
+    rng = random.Random(shards)
+    texts = ["x" * rng.randint(0, 400) + str(k) for k in range(260)] + ["hot text " * 20] * 240 + ["a pair"] * 9 + [None] * 5 + ["y" * 30_000]
+    rng.shuffle(texts)
+    df = docs(spark, texts)
+    rows = sharding.records(df)
+    seen = [tuple(r) for r in rows.select("doc_id", "key", "row", "size", *[F.xxhash64("key", "row", F.lit(t)) for t in range(4)]).collect()]
+    want, splits = plain_shards(seen, shards, ranges, sample, 4)
+    got = {r.doc_id: r.shard for r in sharding.shard(df, shards, ranges_per_shard=ranges, sample=sample).collect()}
+    assert got == want and splits > 0
+    assert len({got[i] for i, t in enumerate(texts) if t == "a pair"}) == 1
+    assert ranges == 1 or len({got[i] for i, t in enumerate(texts) if t and t.startswith("hot")}) > 1
+
+
 def test_a_long_text_takes_a_shard(spark):
     got = sharding.shard(docs(spark, [LONG, *TEXTS[:14]] + ["short"] * 20), 3).collect()
     own = next(r for r in got if r.doc_id == 0)

@@ -29,7 +29,10 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash group stays, that of the smallest doc_id (null is the last) and then of the least MD5."""
+    """One row of each SimHash group stays, that of the smallest doc_id (null is the last) and then of the least MD5.
+
+    Of rows with that doc_id and text the least of the other columns stays. Null and empty texts have fingerprint zero and
+    are one group; no documents give none."""
     rows, key = keyed(docs)
     found = simhash.near_duplicates(rows, key="_key").groupBy("component", F.col("doc_id").alias("_id"), "_key").agg(F.count("*").alias("_rows"))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key", "_rows")).alias("_first")).select("_first.*")
@@ -37,16 +40,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # hashed, not sorted: the side of texts passes by the small side
     kept, own = docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["_id"]) & (key == ids["_key"])), [docs[c] for c in docs.columns]
     single, repeated = kept.where(ids["_rows"] == 1).select(own), kept.where(ids["_rows"] > 1).select(own)
-    return single.union(repeated.dropDuplicates(["doc_id", "text"]))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = repeated.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_rest"))  # the same whenever it is read again
+    return single.union(least.select(*[F.col(f"_rest.`{c}`") if c in rest else F.col(f"`{c}`") for c in docs.columns]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight draws it, in hashed order."""
+    """Each document as often as its source's target weight draws it, dealt and sorted by hash.
+
+    A null source is a source; rows of equal doc_id and text draw alike; no documents give none."""
     return mixing.mix(docs, MIX_WEIGHTS, MIX_REST, MIX_SIZE, MIX_SEED).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences for training: which piece of which document goes where."""
+    """Token sequences for training: which piece of which document goes where.
+
+    A null or empty text is its end token; copies of a document and rows without doc_id are packed each by itself."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), end_id=PACK_END, size=PACK_SIZE)
 
 

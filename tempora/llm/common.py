@@ -150,8 +150,9 @@ def merge_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.n
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """Connected components of an undirected edge table (a long, b long): rows (id, component), component the smallest id.
 
-    Alternating large-star and small-star rounds; each round's edges are a table in the shared folder, until the next. Hubs are not
-    gathered: a round needs only the minimum of each node's neighbours, which Spark pre-aggregates before its shuffle.
+    Alternating large-star and small-star rounds; each round's edges are a table in the shared folder, until the next. A
+    round needs only the minimum of each node's neighbours, which Spark pre-aggregates before its shuffle; the join with it
+    deals a hub's rows to one partition, which adaptive execution splits when it is large. Nothing is gathered.
     Vertices without edges are not in the result; null ends, loops and repeated edges are legal and mean nothing more."""
     spark = edges.sparkSession
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()

@@ -593,7 +593,7 @@ def t8_item_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.when(k % 7 < 3, F.lit(None)).when((k % 5 < 3) & (k % 12 < 9), bad).otherwise(F.concat(F.lit('{"value":'), F.floor(k / 3) % 1000, F.lit("}")))
     sent = table(spark, sf_dir, "events").select(F.concat(F.lit("item"), F.floor(k / 3)).alias("item"), payload.alias("payload"), F.col("ts").alias("at"))
     lo, hi = sent.agg(F.min("at"), F.max("at")).first()
-    third = F.floor((F.unix_seconds("at") - F.lit(int(lo.timestamp()))) * 3 / F.lit(int((hi - lo).total_seconds()) + 1))
+    third = F.least(F.lit(2), F.floor((F.unix_seconds("at") - F.lit(int(lo.timestamp()))) * 3 / F.lit(int((hi - lo).total_seconds()) + 1)))
     for k_ in range(3):
         sent.where(third == k_).coalesce(1).write.mode("append").parquet(f"{path}/in")
     session = items.session_with_timers(spark)

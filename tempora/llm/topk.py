@@ -1,12 +1,13 @@
 """Operator 6: exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Vectors become whole numbers and are dealt to blocks of bounded size, queries likewise. For a block of vectors every
-dimension is a sorted list; all queries of a block read each list from the end their sign favours, a stretch at a time.
-What is read of a vector gives a lower bound of its score (unread parts at their list's end) and an upper bound (unread
-parts at the value read last). The bar of a query is its k-th score so far, at first its k-th lower bound: reading stops
-when few enough vectors, read or not, can still reach it, and those scores are resolved exactly. A task carries its
-queries' bars from block to block, and a first block that all queries read gives every task a bar to begin with. Each
-block meets each block of queries once, by an equi-join; no pair of single rows is ever a row."""
+dimension is a sorted list, stored with the block. A query reads the lists from the end its sign favours, a stretch at a
+time, first all of its lists and then those that lower the bounds most. An entry that is read adds to its vector's lower
+bound (unread parts at their list's end), once; the upper bound has unread parts at the value read last. The bar of a query
+is its k-th score so far, at first its k-th lower bound: reading stops when few enough vectors, read or not, can still reach
+it, and those scores are resolved exactly. A task carries its queries' bars from block to block, and a first block that all
+queries read gives every task a bar to begin with. Each block meets each block of queries once, by an equi-join; no pair of
+single rows is ever a row."""
 
 from __future__ import annotations
 
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow, batch, materialize
 
-#: Shares of each list that are read at a look at the bounds.
-LOOKS = (1 / 4, 1 / 2, 5 / 8, 3 / 4, 1)
+#: Share of each list that is read before the first look at the bounds.
+FIRST = 1 / 16
 #: Components from here on are refused: bounds of their products could overflow a double.
 LARGEST = 1e150
-_BLOCK = "block long, n long, dims long, ids binary, known binary, rows binary, x binary"
+_BLOCK = "block long, n long, dims long, ids binary, known binary, rows binary, lists binary, x binary"
 _FOUND = "query_row long, query_id long, vec_id long, row long, score long"
 _LONG = 1 << 63
 
@@ -49,7 +50,7 @@ def blocks(vectors: DataFrame, count: int, scale: float) -> DataFrame:
             for k in range(b.num_rows):
                 own = b.column("members")[k].values
                 ids, x = own.field("vec_id"), _numbers(own.field("embedding"), scale)
-                yield batch({"block": [b.column("block")[k].as_py()], "n": [len(x)], "dims": [x.shape[1]], "ids": [ids.fill_null(0).to_numpy().astype("<i8").tobytes()], "known": [ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], "rows": [own.field("row").to_numpy().astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()]}, schema)
+                yield batch({"block": [b.column("block")[k].as_py()], "n": [len(x)], "dims": [x.shape[1]], "ids": [ids.fill_null(0).to_numpy().astype("<i8").tobytes()], "known": [ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], "rows": [own.field("row").to_numpy().astype("<i8").tobytes()], "lists": [np.argsort(x, 0).T.astype("<i4").tobytes()], "x": [x.astype("<f8").tobytes()]}, schema)
 
     return members.mapInArrow(packed, _BLOCK)
 
@@ -61,49 +62,57 @@ class Block:
         self.x = np.frombuffer(row["x"], "<f8").reshape(row["n"], row["dims"])
         self.ids, self.rows = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["rows"], "<i8")
         self.known = np.frombuffer(row["known"], np.uint8) == 1
-
-    def widened(self, dims: int) -> np.ndarray:
-        """Its vectors with at least `dims` components."""
-        n, d = self.x.shape
-        return self.x if d >= dims else np.hstack([self.x, np.zeros((n, dims - d))])
-
-
-def candidates(x: np.ndarray, q: np.ndarray, bar: np.ndarray, skip: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) that hold all whose product reaches the query's bar and, of these, the k best of each query.
-
-    bar is raised to the k-th lower bound where it is -inf. skip[i] is the vector that query i may not have, or -1."""
-    n, d = x.shape
-    values = np.sort(x, axis=0)
-    low_end, high_end = values[0], values[-1]
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    slack = (np.abs(q) @ np.maximum(np.abs(low_end), np.abs(high_end))) * (d + 4) * 2.0**-51  # sums of doubles err by less
-    active = np.flatnonzero(up @ high_end + down @ low_end + slack >= bar)  # nothing read yet
-    got_q, got_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for share in LOOKS:
-        if not len(active):
-            break
-        read = max(1, int(n * share))
-        from_top, from_bottom = values[n - read], values[read - 1]
-        a, b = up[active], down[active]
-        high = a @ np.maximum(x, from_top).T + b @ np.minimum(x, from_bottom).T
-        own = np.flatnonzero(skip[active] >= 0)
-        high[own, skip[active][own]] = -np.inf
-        open_ = np.flatnonzero(np.isneginf(bar[active]))
-        if len(open_) and n > k + 1:
-            low = a[open_] @ np.where(x >= from_top, x, low_end).T + b[open_] @ np.where(x <= from_bottom, x, high_end).T
-            low[np.isneginf(high[open_])] = -np.inf
-            least = np.partition(low, n - k, axis=1)[:, n - k] - slack[active][open_]
-        else:
-            least = bar[active][open_]
-        reach = bar[active].copy()
-        reach[open_] = least
-        may = (high >= (reach - slack[active])[:, None]) & (high > -np.inf)
-        done = (may.sum(1) <= max(4 * k, n // 64)) | (read == n)
-        i, j = np.nonzero(may[done])
-        got_q.append(active[done][i])
-        got_x.append(j)
-        active = active[~done]
-    return np.concatenate(got_q), np.concatenate(got_x)
+        self.order = np.frombuffer(row["lists"], "<i4").reshape(row["dims"], row["n"]).astype(np.int64)
+        self.values = np.take_along_axis(self.x.T, self.order, 1)
+        self.place = np.ascontiguousarray(np.argsort(self.order, 1).T, np.int32)  # of a vector in each list
+
+
+def candidates(block: Block, q: np.ndarray, bar: float, skip: int, k: int) -> tuple[np.ndarray, int]:
+    """Vectors of the block that hold all whose product with q reaches the bar and, of these, the k best; and how many
+    entries of lists were read to find them.
+
+    The bar is the k-th lower bound where it is -inf. `skip` is the vector that may not be found, or -1.
+
+    Lists whose weight is zero are not read. Every other list is first read to FIRST of its length; then, until few
+    vectors are left, those lists go on by half their depth whose bound fell most per entry in their last stretch."""
+    n = len(block.x)
+    used = np.flatnonzero(q[: block.x.shape[1]])
+    w = q[used]
+    near = w * np.where(w > 0, block.values[used, -1], block.values[used, 0])  # what a list gives at most, and at least
+    least = w * np.where(w > 0, block.values[used, 0], block.values[used, -1])
+    slack = np.maximum(np.abs(near), np.abs(least)).sum() * (len(used) + 4) * 2.0**-49  # sums of doubles err by less
+    if near.sum() + slack < bar:  # nothing read yet
+        return np.zeros(0, np.int64), 0
+    depth, head, rate = np.zeros(len(used), np.int64), near.copy(), np.zeros(len(used))
+    above = np.zeros(n)  # of each vector, by how much what was read of it exceeds the least of these lists
+    gap, first, end = np.zeros(block.x.shape[1]), *np.zeros((2, block.x.shape[1]), np.int32)
+    may, few = np.arange(n), max(4 * k, n // 64)
+    going, to = np.arange(len(used)), np.full(len(used), max(1, int(n * FIRST)))  # lists that are read on, and how far
+    while len(going):
+        # lists ascend: the entries from `depth` to `to`, counted from the end that the sign of the weight favours
+        spans = [slice(n - t, n - f) if up else slice(f, t) for up, f, t in zip(w[going] > 0, depth[going], to)]
+        rows = np.concatenate([block.order[l, span] for l, span in zip(used[going], spans)])
+        values = np.concatenate([block.values[l, span] for l, span in zip(used[going], spans)])
+        lengths = to - depth[going]
+        above += np.bincount(rows, values * np.repeat(w[going], lengths) - np.repeat(least[going], lengths), n)
+        last = w[going] * np.where(w[going] > 0, block.values[used[going], n - to], block.values[used[going], to - 1])
+        rate[going] = (head[going] - last) / lengths
+        head[going], depth[going] = last, to
+        reach = bar
+        if np.isneginf(bar) and n > k + 1:
+            own = np.delete(above, skip) if skip >= 0 else above
+            reach = least.sum() + np.partition(own, len(own) - k)[len(own) - k] - slack
+        if head.sum() + slack < reach or np.count_nonzero(above) >= n - few:  # else too many unread ones can still reach it
+            place = block.place[may] if len(may) < n else block.place
+            gap[used], first[used], end[used] = head - least, np.where(w > 0, n - depth, 0), np.where(w > 0, n, depth)
+            seen = (place >= first) & (place < end)
+            may = may[head.sum() + above[may] - seen.astype(np.float64) @ gap >= reach - slack]
+            if len(may) <= few:
+                break
+        left = np.flatnonzero(depth < n)
+        going = left[rate[left] >= rate[left].max(initial=0) / 4]
+        to = np.minimum(depth + np.maximum(1, depth // 2), n)[going]
+    return may[may != skip], int(depth.sum())
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -125,12 +134,13 @@ class Best:
         self.at, self.score, self.ids, self.rows, self.known = none, none, none, none, none == 1
 
     def meet(self, block: Block) -> None:
-        dims = max(1, block.x.shape[1], self.queries.x.shape[1])
-        x, q = block.widened(dims), self.queries.widened(dims)
+        dims = min(block.x.shape[1], self.queries.x.shape[1])  # further components meet zeros
+        x, q = block.x[:, :dims], self.queries.x[:, :dims]
         order = np.argsort(block.rows)
         place = np.minimum(np.searchsorted(block.rows[order], self.queries.rows), len(order) - 1)
         skip = np.where(block.rows[order][place] == self.queries.rows, order[place], -1)
-        i, j = candidates(x, q, self.bar, skip, self.k)
+        found = [candidates(block, q[i], self.bar[i], skip[i], self.k)[0] for i in range(len(q))]
+        i, j = np.repeat(np.arange(len(q)), [len(f) for f in found]), np.concatenate(found)
         scores = [_exact(x[j[lo : lo + 65_536]], q[i[lo : lo + 65_536]]) for lo in range(0, len(i), 65_536)]
         self.add(i, np.concatenate([np.zeros(0, np.int64), *scores]), block.ids[j], block.rows[j], block.known[j])
 

@@ -181,19 +181,46 @@ def test_top_products_of_large_components(spark, kind):
         topk.search(far, F.lit(True)).collect()
 
 
+def block_of(x):
+    n, d = x.shape
+    number = lambda v: np.asarray(v, "<i8").tobytes()
+    return topk.Block({"n": n, "dims": d, "ids": number(range(n)), "known": bytes([1] * n), "rows": number(range(n)), "lists": np.argsort(x, 0).T.astype("<i4").tobytes(), "x": x.astype("<f8").tobytes()})
+
+
+def best_of(x, q, skip, bar, k=5):
+    score = x @ q
+    return {v for v in sorted(range(len(x)), key=lambda v: -score[v]) if v != skip and score[v] >= bar} if bar > -np.inf else set(np.argsort(-np.where(np.arange(len(x)) == skip, -np.inf, score))[:k].tolist())
+
+
 def test_bounds_stop_early_without_losing_any():
+    """One list decides: less than half of the entries of the lists are read, and of lists without weight none."""
     rng = np.random.default_rng(3)
     x = rng.integers(-40, 40, (3000, 16)).astype(np.float64)
-    x[:, 0] = rng.permutation(3000)  # one list decides
-    q = np.array([[50.0] + [1.0] * 15, [-50.0] + [1.0] * 15, [0.0] * 16])
-    for bar in (-np.inf, 1e5):
-        i, j = topk.candidates(x, q, np.full(3, bar), np.array([7, -1, 3]), 5)
-        for row in range(2):
-            score = x @ q[row]
-            score[7 if row == 0 else 3000 :][:1] = -(1 << 60)
-            best = [v for v in np.argsort(-score)[:5] if score[v] >= bar]
-            assert set(best) <= set(j[i == row].tolist())
-            assert (i == row).sum() < 1500 and not (row == 0 and 7 in j[i == row])
-        assert ((i == 2).sum() == 2999) == (bar < 0)
-    i, j = topk.candidates(x, q, np.full(3, 1e9), np.full(3, -1), 5)
-    assert not len(i)
+    x[:, 0] = rng.permutation(3000)
+    block = block_of(x)
+    for q, skip in ((np.array([50.0] + [1.0] * 15), 7), (np.array([-50.0] + [1.0] * 15), -1), (np.array([50.0] + [0.0] * 15), -1)):
+        for bar in (-np.inf, np.sort(x @ q)[-5]):
+            found, reads = topk.candidates(block, q, bar, skip, 5)
+            assert best_of(x, q, skip, bar) <= set(found.tolist()) and skip not in found
+            assert len(found) <= 60 and reads < x.size / 2 and reads <= 3000 * np.count_nonzero(q)
+    none = np.zeros(16)
+    assert len(topk.candidates(block, none, -np.inf, 3, 5)[0]) == 2999 and topk.candidates(block, none, -np.inf, 3, 5)[1] == 0
+    assert topk.candidates(block, none, 1.0, -1, 5)[1] == 0 == topk.candidates(block, np.ones(16), 1e9, -1, 5)[1]
+
+
+@pytest.mark.parametrize("d", [1, 5, 40])
+def test_candidates_hold_the_best_whatever_decides(d):
+    """Lists with ties, constant lists and weights of any size; a query's own dimensions may be fewer than the block's."""
+    rng = np.random.default_rng(d)
+    for _ in range(30):
+        n = int(rng.integers(1, 400))
+        x = np.floor(rng.normal(size=(n, d)) * rng.choice([0, 1, 30, 1e4], d))
+        q = np.floor(rng.normal(size=int(rng.integers(1, d + 1))) * rng.choice([0, 2, 500]))
+        skip = int(rng.integers(-1, n))
+        score = x[:, : len(q)] @ q
+        kth = np.sort(np.delete(score, skip) if skip >= 0 else score)[::-1][:5]
+        for bar in (-np.inf, *kth[4:], 1.0):
+            found, reads = topk.candidates(block_of(x), q, bar, skip, 5)
+            floor = max(bar, kth[-1]) if len(kth) == 5 and bar == -np.inf else bar
+            want = {v for v in range(n) if v != skip and score[v] >= floor}
+            assert want <= set(found.tolist()) and skip not in found and reads <= x.size

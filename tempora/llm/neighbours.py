@@ -1,16 +1,18 @@
 """Operator 4: near-duplicate embeddings by NN-descent.
 
-Equal directions form one class. Classes start with a few neighbours from random-hyperplane buckets; then, round by
-round, the neighbours of a class are compared with one another and better ones enter their lists. Pairs of the threshold
-are edges, confirmed in double precision, and edges make components. Lists of fixed length saturate in dense groups, so
-the edges are more than the lists' pairs: every bucket and every local join gives a spanning forest of all its links,
-and components whose saturated lists could meet, by the angle of their pivots and their radii, are compared in tiles.
+Equal directions form one class. Classes start with the neighbours that a few tables of random-hyperplane buckets give them,
+whatever their number; then, round by round, the neighbours of a class (and those that have it as neighbour) are compared with
+one another and better ones enter their lists. Only lists with a member of the last round are compared again. Pairs of the
+threshold are edges, confirmed in double precision, and edges make components. Lists of fixed length saturate in dense
+groups, so the edges are more than the lists' pairs: every bucket and every local join gives a spanning forest of all its
+links, and components whose saturated lists could meet, by the angle of their pivots and their radii, are compared in tiles.
 Within a component every list is enlarged to the whole component: members within half the threshold's angle of the
 component's pivot link with one another by the triangle inequality and are only counted, the others are compared with
-all members in tiles. The number of tables grows with that of classes, so that a lone pair at the threshold shares a
-bucket with the chance asked for; parts of a large bucket are compared with one another. Recall is audited on a bounded
-sample of classes against all, as the share of linked classes whose count is complete, small groups on their own; if it
-is short, longer lists and more buckets add to what is found, and after the last attempt the job fails."""
+all members in tiles. Recall is audited on a bounded sample of classes against all, drawn by strata (dense and small
+groups, classes with a neighbour just below the threshold, the rest) and weighed by their sizes, as the share of linked
+classes whose count is complete, small groups on their own. If it is short, the lists go on from where they are with twice
+the length and as many more buckets; what is still short after the last attempt is compared exactly, in tiles of all classes,
+which costs the square of their number."""
 
 from __future__ import annotations
 
@@ -26,8 +28,10 @@ from .common import arrow, batch, components, join_hot, materialize, merge_label
 
 #: Rows of a bucket or tile that one numpy comparison takes at most (about).
 GROUP, TILE = 256, 512
-#: Classes whose links the audit counts by brute force.
+#: Classes whose links the audit counts by brute force, at most; a stratum gives a quarter.
 AUDITED = 1024
+#: Refinement ends with the round that changes a smaller share of all list entries than this.
+SETTLED = 0.005
 #: near says whether the pair may enter u's list; the others only connect.
 _CANDIDATES = "u long, w long, s double, near boolean"
 #: Single precision differs from double by less than this.
@@ -220,8 +224,8 @@ def _pack_near(k: int):
 
 
 def _nearest(candidates: DataFrame, k: int) -> DataFrame:
-    """u and near: its k nearest of different candidates, as structs (d, w) of minus similarity and id."""
-    return candidates.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), "w"))), 1, k).alias("near"))
+    """u and near: its k nearest of different candidates, as structs (d, w, born) of minus similarity, id and round."""
+    return candidates.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), "w", "born"))), 1, k).alias("near"))
 
 
 def _links(candidates: DataFrame, threshold: float) -> DataFrame:
@@ -233,15 +237,11 @@ def plane_bits(n: int) -> int:
     return int(np.clip(np.ceil(np.log2(max(1, n) / 64)), 0, 40))
 
 
-def enough_tables(n: int, threshold: float, target: float) -> int:
-    """Tables in which a pair at the threshold shares one bucket at least with the chance `target`."""
-    together = (1 - np.arccos(threshold) / np.pi) ** plane_bits(n)
-    return 1 if together >= 1 else int(np.ceil(np.log1p(-target) / np.log1p(-together)))
+def graph(classes: DataFrame, n: int, k: int, tables: int, rounds: int, seed: int, threshold: float, had: DataFrame | None = None, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The neighbour graph of classes (cid, unit): u, near; and pairs (a, b) to confirm: all that were met and connect.
 
-
-def graph(classes: DataFrame, n: int, k: int, tables: int, rounds: int, seed: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The neighbour graph of classes (cid, unit): u, near; and pairs (a, b) to confirm: all that were met and connect."""
-    bits = plane_bits(n)
+    `had` is a graph to go on from, beside the buckets. With bits = 0 a table is one bucket, so that all classes are compared."""
+    bits = plane_bits(n) if bits is None else bits
     keyed = classes.select("cid", "unit").mapInArrow(_buckets(tables, bits, seed), "t int, dims int, code long, cid long, v binary")
     keyed = materialize(keyed, "buckets")
     key = ["t", "dims", "code"]
@@ -250,23 +250,28 @@ def graph(classes: DataFrame, n: int, k: int, tables: int, rounds: int, seed: in
     whole = keyed.join(large, key, "left_anti").groupBy(*key).agg(F.collect_list(F.struct("cid", "v")).alias("members"))
     found = whole.select("members").mapInArrow(_start(keep, threshold), _CANDIDATES).union(_large_buckets(keyed, large, key, keep, threshold))
     found = materialize(found, "candidates")
-    lists, met = materialize(_nearest(found.where("near"), k), "graph"), _links(found, threshold)
+    begin = found.where("near").select("u", "w", "s")
+    if had is not None:
+        begin = begin.union(had.select("u", F.explode("near").alias("x")).select("u", "x.w", -F.col("x.d")))
+    lists, met = materialize(_nearest(begin.withColumn("born", F.lit(0)), k), "graph"), _links(found, threshold)
     v = keyed.where("t = 0").select(F.col("cid").alias("m"), "v")
-    for _ in range(rounds):
-        forward = lists.select("u", F.explode("near.w").alias("w"))
+    for born in range(1, rounds + 1):
+        forward = lists.select("u", F.explode("near").alias("x")).select("u", "x.w", "x.born")
+        fresh = forward.where(F.col("born") == born - 1)  # a list none of whose members is new has nothing new to compare
+        touched = fresh.select(F.col("u").alias("p")).union(fresh.select("w")).distinct()
         fan_in = forward.groupBy("w").count().where(F.col("count") > 4 * k).select("w", F.ceil(F.col("count") / (4 * k)).alias("parts"))
         # a class's list: its neighbours and itself, and those that have it as neighbour, in parts where they are many
         backward = forward.join(fan_in, "w", "left").select(F.col("w").alias("p"), F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).alias("part"), F.col("u").alias("m"))
         zero = F.lit(0).cast("long").alias("part")
         all_lists = forward.select(F.col("u").alias("p"), zero, F.col("w").alias("m")).union(lists.select(F.col("u").alias("p"), zero, F.col("u").alias("m"))).union(backward).distinct()
         about = lists.select("u", "near").mapInArrow(_pack_near(k), "u long, near binary, last double").withColumnRenamed("u", "m").join(v, "m")
-        joined = all_lists.join(about, "m").groupBy("p", "part").agg(F.collect_list(F.struct("m", "last", "near", "v")).alias("members"))
+        joined = all_lists.join(touched, "p", "left_semi").join(about, "m").groupBy("p", "part").agg(F.collect_list(F.struct("m", "last", "near", "v")).alias("members"))
         new = materialize(joined.select("members").mapInArrow(_local_join(threshold), _CANDIDATES), "candidates")
         met = met.union(_links(new, threshold))
-        new = new.where("near").drop("near")
-        known = lists.select("u", F.explode("near").alias("x")).select("u", F.col("x.w").alias("w"), (-F.col("x.d")).alias("s"))
+        new = new.where("near").select("u", "w", "s").withColumn("born", F.lit(born))
+        known = lists.select("u", F.explode("near").alias("x")).select("u", "x.w", (-F.col("x.d")).alias("s"), "x.born")
         lists = materialize(_nearest(known.union(new), k), "graph")
-        if new.count() < 0.002 * n * k:
+        if lists.agg(F.coalesce(F.sum(F.size(F.filter("near", lambda x: x["born"] == born))), F.lit(0))).first()[0] <= SETTLED * n * k:
             break
     return lists, met
 
@@ -398,12 +403,28 @@ def enlarge(placed: DataFrame, threshold: float) -> DataFrame:
     return own.select("component", "cid", (inner + F.coalesce("outer_links", F.lit(0))).cast("long").alias("links"))
 
 
-def recall(classes: DataFrame, links: DataFrame, threshold: float, k: int = 8, sample: int = AUDITED) -> float:
-    """Share of the sampled classes (those of the smallest hashes of their ids) that link with others and whose links are
-    all counted, by comparison with all classes: the lesser of the shares among those that link with at most k other
-    classes and among the rest, so that dense groups don't hide what small ones lack."""
-    chosen = classes.select("cid", "unit").orderBy(F.xxhash64("cid"), "cid").limit(sample).toPandas()  # `sample` vectors
-    ids, units = chosen["cid"].to_numpy(np.int64), [bytes(u) for u in chosen["unit"]]
+def _strata(classes: DataFrame, links: DataFrame, lists: DataFrame | None, threshold: float, k: int) -> DataFrame:
+    """cid, copies, unit, links and the stratum of each class: many links, few, a known neighbour just below the threshold, or none of these."""
+    own = classes.select("cid", "copies", "unit").join(links, "cid", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    best = F.lit(None).cast("double")
+    if lists is not None:
+        own, best = own.join(lists.select(F.col("u").alias("cid"), (-F.col("near")[0]["d"]).alias("best")), "cid", "left"), F.col("best")
+    stratum = F.when(F.col("links") > k, 0).when(F.col("links") > 0, 1).when(best >= threshold - 0.1, 2).otherwise(3)
+    return own.select("cid", "copies", "unit", "links", stratum.alias("stratum"))
+
+
+def recall(classes: DataFrame, links: DataFrame, threshold: float, k: int = 8, sample: int = AUDITED, lists: DataFrame | None = None) -> float | None:
+    """Share of the classes that link with others and whose links are all counted, estimated by comparing a sample with all
+    classes: the lesser of the shares among those that link with at most k other classes and among the rest, so that dense
+    groups don't hide what small ones lack. None if no sampled class links.
+
+    A quarter of the sample comes from each stratum of `_strata` (those of the smallest hashes of their ids), and a
+    sampled class counts for as many as its stratum has for one in the sample."""
+    own = materialize(_strata(classes, links, lists, threshold, k), "strata")
+    sizes = {r["stratum"]: r["count"] for r in own.groupBy("stratum").count().collect()}  # four rows
+    picked = [own.where(F.col("stratum") == h).orderBy(F.xxhash64("cid"), "cid").limit(max(1, sample // 4)).select("cid", "unit", "stratum").toPandas() for h in sorted(sizes)]  # `sample` vectors
+    ids, units = np.concatenate([np.zeros(0, np.int64), *[p["cid"].to_numpy(np.int64) for p in picked]]), [bytes(u) for p in picked for u in p["unit"]]
+    weight = {int(p["stratum"].iloc[0]): sizes[p["stratum"].iloc[0]] / len(p) for p in picked}
     asked = classes.sparkSession.sparkContext.broadcast((ids, units))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,45 +445,48 @@ def recall(classes: DataFrame, links: DataFrame, threshold: float, k: int = 8, s
         yield batch({"cid": ids, "links": total, "others": others}, arrow("cid long, links long, others long"))
 
     true = classes.select("unit", "copies").mapInArrow(count, "cid long, links long, others long").groupBy("cid").agg(F.sum("links").alias("true"), (F.sum("others") - 1).alias("others"))
-    both = true.join(classes.select("cid", "copies"), "cid").join(links, "cid", "left").where("others > 0")
-    complete = F.coalesce("links", F.lit(0)) + F.col("copies") >= F.col("true")
-    shares = both.groupBy((F.col("others") <= k).alias("small")).agg(F.avg(complete.cast("double")).alias("share")).collect()  # two rows
-    return min((float(r["share"]) for r in shares), default=1.0)
+    both = true.join(own.select("cid", "copies", "links", "stratum"), "cid").where("others > 0").select("stratum", (F.col("others") <= k).alias("small"), (F.col("links") + F.col("copies") >= F.col("true")).alias("complete"))
+    linked, complete = {}, {}
+    for r in both.collect():  # one row a sampled class
+        linked[r["small"]] = linked.get(r["small"], 0) + weight[r["stratum"]]
+        complete[r["small"]] = complete.get(r["small"], 0) + weight[r["stratum"]] * r["complete"]
+    return min((complete[small] / linked[small] for small in linked), default=None)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 8, tables: int = 8, rounds: int = 12, target: float = 0.995, attempts: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 16, tables: int = 4, rounds: int = 12, target: float = 0.995, attempts: int = 3) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     n_links counts the other rows whose cosine reaches the threshold (in double precision), component_id is the smallest
     vec_id reachable by links, kept says whether that is the row's own. Vectors that are null, empty or zero, or hold
     null, NaN or infinite components, link with nothing, nor do vectors of different lengths. Rows of a null vec_id link
     but never name a component, and aren't kept; repeated rows link with each other; no rows give no rows. Other columns
-    are ignored. More tables than `tables` are taken where a pair at the threshold needs them; refinement ends when a round
-    changes few lists, after `rounds` at most; RuntimeError if the audit stays below `target`."""
+    are ignored. Refinement ends when a round changes few lists, after `rounds` at most; where the audit is below `target`,
+    `k` and `tables` double and refinement goes on, and after `attempts` all classes are compared exactly."""
     spark = vectors.sparkSession
     rows = materialize(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_units, "vec_id long, unit binary"), "units")
     classes = rows.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    n, known, lengths = classes.count(), None, k
-    tables = max(tables, enough_tables(n, threshold, target))
-    for attempt in range(1, attempts + 1):
-        lists, met = graph(classes, n, k, tables, rounds, attempt, threshold)
+    n, known, lists, lengths = classes.count(), None, None, k
+    for attempt in range(1, attempts + 2):
+        exact = attempt > attempts
+        lists, met = graph(classes, n, k, 1, 0, attempt, threshold, bits=0) if exact else graph(classes, n, k, tables, rounds, attempt, threshold, lists)
         edges = threshold_edges(met, classes, threshold)
         edges = known = materialize(edges if known is None else edges.union(known).distinct(), "edges")
-        found = components(edges, "near")
-        placed = in_components(classes, found)
-        hidden = materialize(bridges(lists, placed, k, threshold), "bridges")
-        if not hidden.isEmpty():
-            known = edges.union(hidden)
-            placed = in_components(classes, components(known, "near"))
+        placed = in_components(classes, components(edges, "near"))
+        if not exact:
+            hidden = materialize(bridges(lists, placed, k, threshold), "bridges")
+            if not hidden.isEmpty():
+                known = edges.union(hidden)
+                placed = in_components(classes, components(known, "near"))
         linked = materialize(enlarge(placed, threshold), "links")
-        got = recall(classes, linked.select("cid", "links"), threshold, lengths)
-        _LOG.info("recall %.4f with lists of %d and %d tables", got, k, tables)
-        if got >= target:
+        if exact:
+            _LOG.warning("recall was short of %.4f: all classes were compared", target)
+            break
+        got = recall(classes, linked.select("cid", "links"), threshold, lengths, lists=lists)
+        _LOG.info("recall %s with lists of %d and %d tables", "unmeasured, no sampled class links" if got is None else f"{got:.4f}", k, tables)
+        if got is None or got >= target:
             break
         k, tables = 2 * k, 2 * tables
-    else:
-        raise RuntimeError(f"near-duplicate recall {got:.4f} is below {target:.4f} after {attempts} attempts")
     named = classes.select("unit", "least", "copies", "cid").join(linked, "cid", "left")
     named = materialize(named.withColumn("component", F.coalesce("component", "cid")), "named")  # a class without links is its own
     least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "least")

@@ -106,16 +106,58 @@ def test_audit_counts_small_groups_on_their_own(spark):
     assert neighbours.recall(classes, links(lambda i: i >= 100), 0.9) < 0.6
 
 
-def test_short_recall_fails(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "recall", lambda *_: 0.5)
-    with pytest.raises(RuntimeError):
-        neighbours.near_duplicates(table(spark, odd_vectors()), 0.9, attempts=1)
+def lone_pairs(seed=6, n=3000, pairs=200, d=64):
+    """Loose vectors, the first of them in pairs just above the threshold: only their neighbours' neighbours lead to them."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    for i in range(0, 2 * pairs, 2):
+        a = x[i] / np.linalg.norm(x[i])
+        other = rng.normal(size=d)
+        other -= other @ a * a
+        c = 0.901 + 0.03 * rng.random()
+        x[i + 1] = c * a + np.sqrt(1 - c * c) * other / np.linalg.norm(other)
+    return [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+
+
+def test_rounds_find_what_the_buckets_miss(spark, caplog):
+    """The buckets miss a twentieth of the pairs and more; with rounds, all are found at the first attempt."""
+    rows = lone_pairs()
+    units = [np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)) for _, v in rows]
+    classes = spark.createDataFrame([(i, bytearray(u.tobytes())) for i, u in enumerate(units)], "cid long, unit binary").repartition(8)
+    lists = neighbours.graph(classes, len(rows), 16, 4, 0, 1, 0.9)[0].collect()
+    near = {r.u: {y.w for y in r.near} for r in lists}
+    assert sum(i + 1 in near.get(i, ()) for i in range(0, 400, 2)) <= 190
+    with caplog.at_level("INFO", neighbours.__name__):
+        got = neighbours.near_duplicates(table(spark, rows), 0.9).collect()
+    assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got], key=str) == sorted([(i, int(i < 400), i - i % 2 if i < 400 else i) for i in range(len(rows))], key=str)
+    assert [r.args[1:] for r in caplog.records if r.args and len(r.args) == 3] == [(16, 4)]
+
+
+@pytest.mark.parametrize("group", [256, 20])
+def test_short_recall_ends_in_exact_comparison(spark, monkeypatch, group):
+    """Lists that find next to nothing, an audit that is never content: all classes are compared."""
+    monkeypatch.setattr(neighbours, "GROUP", group)
+    monkeypatch.setattr(neighbours, "recall", lambda *_, **__: 0.5)
+    monkeypatch.setattr(neighbours, "plane_bits", lambda n: 30)
+    rows = odd_vectors() + [(300, [1.0, 0.0]), (301, [1.0, 0.1]), (302, [0.0, 1.0])]  # of another length
+    got = neighbours.near_duplicates(table(spark, rows), 0.9, tables=1, rounds=0, attempts=1).collect()
+    assert [r.n_links for r in got if r.vec_id in (300, 301, 302)].count(1) == 2
+    assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got if (r.vec_id or 0) < 300], key=str) == brute_links(rows[:-3], 0.9)
 
 
-def test_tables_grow_with_classes():
-    p = 1 - np.arccos(0.9) / np.pi
-    for n in (10, 10_000, 1_000_000, 10_000_000):
-        assert 1 - (1 - p ** neighbours.plane_bits(n)) ** neighbours.enough_tables(n, 0.9, 0.995) >= 0.995 - 1e-12
+def test_audit_weighs_strata(spark):
+    """Of 4,000 classes two in a thousand link, a sample by chance would hardly meet them; half of these are missed."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 48))
+    x[1:8:2] = x[0:8:2] + rng.normal(scale=0.02, size=(4, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(i, 1, bytearray(v.tobytes())) for i, v in enumerate(x)], "cid long, copies long, unit binary")
+    links = spark.createDataFrame([(i, 1) for i in range(4)], "cid long, links long")
+    best = lambda i: float(x[i] @ x[i ^ 1]) if i < 4 else 0.85 if i < 8 else 0.4
+    lists = spark.createDataFrame([(i, [(-best(i), i ^ 1, 0)]) for i in range(4000)], "u long, near array<struct<d: double, w: long, born: int>>")
+    assert neighbours.recall(classes, links, 0.9, lists=lists) == 0.5
+    none = classes.where("cid >= 8")
+    assert neighbours.recall(none, links.where("false"), 0.9, lists=lists) is None
 
 
 def test_parts_of_a_large_bucket_meet(spark, monkeypatch):

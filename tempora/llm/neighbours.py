@@ -31,7 +31,7 @@ GROUP, TILE = 256, 512
 #: Classes whose links the audit counts by brute force, at most; a stratum gives a quarter.
 AUDITED = 1024
 #: Refinement ends with the round that changes a smaller share of all list entries than this.
-SETTLED = 0.005
+SETTLED = 0.05
 #: near says whether the pair may enter u's list; the others only connect.
 _CANDIDATES = "u long, w long, s double, near boolean"
 #: Single precision differs from double by less than this.

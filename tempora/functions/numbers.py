@@ -12,6 +12,14 @@ def number(value: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """value to `digits` decimals, halves away from zero, as SQL engines round doubles: scaled, rounded and scaled back.
+
+    So a mean of 26.85 that its sum's last bit leaves at 26.849999999999998 is 26.9. From 1e15 on nothing is left to round."""
+    x = F.col(value) if isinstance(value, str) else value
+    return F.when(F.abs(x) < 1e15, F.round(x * 10.0**digits) / 10.0**digits).otherwise(x)
+
+
 def speed_mps(value: Column, unit: Column) -> Column:
     return F.when(F.lower(unit).isin("km/h", "kmh", "kph"), value / 3.6).otherwise(value)
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tempora.functions.numbers import rounded
 from tempora.operators.sequence import bridge_gaps, centered_sum, difference, ordered, peak_means, runs, trailing_mean
 from tempora.params import (
     CLIMB_GAP,
@@ -64,7 +65,7 @@ def channel_stats(records: DataFrame) -> DataFrame:
     """Mean, least, greatest and number of values per channel, duration, moving time and distance."""
     digits = {HR: ("hr", 1), POWER: ("power", 1), "cadence_rpm": ("cadence", 1), "speed_mps": ("speed", 2)}
     stats = [f(c, n, d) for c, (n, d) in digits.items() for f in (
-        lambda c, n, d: F.round(F.avg(c), d).alias(f"{n}_avg"),
+        lambda c, n, d: rounded(F.avg(c), d).alias(f"{n}_avg"),
         lambda c, n, d: F.max(c).alias(f"{n}_max"),
         lambda c, n, d: F.min(c).alias(f"{n}_min"),
         lambda c, n, d: F.count(c).alias(f"{n}_samples"),
@@ -75,7 +76,7 @@ def channel_stats(records: DataFrame) -> DataFrame:
 def passthrough(records: DataFrame, metadata: DataFrame) -> DataFrame:
     """What is handed on as it is: start_time_utc (as stated, else the first record's), calories_kcal as stated, and the mean
     (2 decimals) and greatest speed of the records. metadata: a row a workout at most."""
-    own = records.groupBy(KEY).agg(F.min("timestamp_utc").alias("_first"), F.round(F.avg("speed_mps"), 2).alias("avg_speed_mps"), F.max("speed_mps").alias("max_speed_mps"))
+    own = records.groupBy(KEY).agg(F.min("timestamp_utc").alias("_first"), rounded(F.avg("speed_mps"), 2).alias("avg_speed_mps"), F.max("speed_mps").alias("max_speed_mps"))
     said = metadata.select(KEY, F.col("start_time_utc").alias("_said"), "calories_kcal")
     return own.join(said, KEY, "left").select(KEY, F.coalesce("_said", "_first").alias("start_time_utc"), "calories_kcal", "avg_speed_mps", "max_speed_mps")
 
@@ -83,7 +84,7 @@ def passthrough(records: DataFrame, metadata: DataFrame) -> DataFrame:
 def missing_pct(samples: Column, duration: Column) -> Column:
     """Share of the duration without a sample, 0 to 100; null without samples or duration."""
     share = (1 - samples / duration) * 100
-    return F.when((duration > 0) & (samples > 0), F.round(F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0)), 1))
+    return F.when((duration > 0) & (samples > 0), rounded(F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0)), 1))
 
 
 def data_quality(records: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def capabilities(records: DataFrame) -> DataFrame:
 
 def _fourth_root_mean(smooth: Column) -> Column:
     mean = F.pow(F.avg(F.pow(smooth, F.lit(4.0))), F.lit(0.25))
-    return F.when(mean > 0, F.round(mean, 1))
+    return F.when(mean > 0, rounded(mean, 1))
 
 
 def normalized_power(records: DataFrame, rows: int = NP_ROWS) -> DataFrame:
@@ -111,15 +112,15 @@ def normalized_power(records: DataFrame, rows: int = NP_ROWS) -> DataFrame:
 def load(stats: DataFrame, ftp: Value) -> DataFrame:
     """Variability index, intensity factor, training stress and pacing from normalized_power, power_avg, duration_sec."""
     np_, avg = _some(F.col("normalized_power")), _some(F.col("power_avg"))
-    out = stats.withColumn("variability_index", F.round(np_ / avg, 2)).withColumn("intensity_factor", F.round(np_ / _some(col(ftp)), 3))
+    out = stats.withColumn("variability_index", rounded(np_ / avg, 2)).withColumn("intensity_factor", rounded(np_ / _some(col(ftp)), 3))
     intensity = F.col("intensity_factor")
-    out = out.withColumn("tss", F.round(_some(F.col("duration_sec")) / 3600 * intensity * intensity * 100, 1))
-    return out.withColumn("pacing_evenness", F.round(1 / _some(F.col("variability_index")), 3))
+    out = out.withColumn("tss", rounded(_some(F.col("duration_sec")) / 3600 * intensity * intensity * 100, 1))
+    return out.withColumn("pacing_evenness", rounded(1 / _some(F.col("variability_index")), 3))
 
 
 def peak_power(records: DataFrame, widths: list[int] | None = None) -> DataFrame:
     found = peak_means(records, POWER, KEY, TIME, widths or PEAK_SECONDS)
-    return found.select(KEY, *[F.round(c, 1).alias(c) for c in found.columns if c != KEY])
+    return found.select(KEY, *[rounded(c, 1).alias(c) for c in found.columns if c != KEY])
 
 
 def power_curve(records: DataFrame, widths: list[int] | None = None) -> DataFrame:
@@ -144,15 +145,15 @@ def envelopes(peaks: DataFrame, ftp: Value) -> DataFrame:
     p = lambda n: F.col(f"peak_{n}")
     return peaks.select(
         KEY,
-        F.round((0.6 * p(5) + 0.4 * p(30)) / share, 3).alias("sprint_envelope"),
-        F.round((p(180) + p(300) + p(480)) / 3 / share, 3).alias("vo2_envelope"),
-        F.round((p(1200) + p(3600)) / 2 / share, 3).alias("threshold_envelope"),
+        rounded((0.6 * p(5) + 0.4 * p(30)) / share, 3).alias("sprint_envelope"),
+        rounded((p(180) + p(300) + p(480)) / 3 / share, 3).alias("vo2_envelope"),
+        rounded((p(1200) + p(3600)) / 2 / share, 3).alias("threshold_envelope"),
     )
 
 
 def variability(records: DataFrame) -> DataFrame:
     """Coefficients of variation of power and cadence (sample deviation); null unless the mean is positive."""
-    cv = lambda c: F.round(F.when(F.avg(c) > 0, F.stddev_samp(c) / F.avg(c)), 3)
+    cv = lambda c: rounded(F.when(F.avg(c) > 0, F.stddev_samp(c) / F.avg(c)), 3)
     return records.groupBy(KEY).agg(cv(POWER).alias("power_cv"), cv("cadence_rpm").alias("cadence_cv"))
 
 
@@ -164,7 +165,7 @@ def durability(records: DataFrame) -> DataFrame:
     placed = own.select(KEY, TIME, POWER, "_d", F.row_number().over(w).alias("_rn"), F.count("*").over(whole).alias("_n"))
     quarter = F.floor(F.col("_n") / 4)
     first, last = F.avg(F.when(F.col("_rn") <= quarter, F.col(POWER))), F.avg(F.when(F.col("_rn") > F.col("_n") - quarter, F.col(POWER)))
-    return placed.groupBy(KEY).agg(F.round(F.regr_slope(POWER, TIME), 5).alias("durability_slope"), F.round((last - first) / _some(F.max("_d")), 6).alias("fatigue_rate"))
+    return placed.groupBy(KEY).agg(rounded(F.regr_slope(POWER, TIME), 5).alias("durability_slope"), rounded((last - first) / _some(F.max("_d")), 6).alias("fatigue_rate"))
 
 
 def surges(records: DataFrame, ftp: Value, share: float = SURGE_SHARE, rows: int = SURGE_ROWS) -> DataFrame:
@@ -172,7 +173,7 @@ def surges(records: DataFrame, ftp: Value, share: float = SURGE_SHARE, rows: int
     own = records.where(F.col(POWER).isNotNull())
     found = runs(own, F.col(POWER) > share * col(ftp), KEY, TIME, least=rows).groupBy(KEY).agg(F.count("*").alias("_n"))
     out = records.groupBy(KEY).agg(F.max(TIME).alias("_d")).join(found, KEY, "left").withColumn("surge_count", F.coalesce("_n", F.lit(0)).cast("long"))
-    return out.select(KEY, "surge_count", F.round(F.when(F.col("surge_count") > 0, F.col("surge_count") / (_some(F.col("_d")) / 3600)), 3).alias("surge_density"))
+    return out.select(KEY, "surge_count", rounded(F.when(F.col("surge_count") > 0, F.col("surge_count") / (_some(F.col("_d")) / 3600)), 3).alias("surge_density"))
 
 
 def efficiency(records: DataFrame, seconds: int = EFFICIENCY_SECONDS, rows: int = EFFICIENCY_ROWS) -> DataFrame:
@@ -199,8 +200,8 @@ def efficiency(records: DataFrame, seconds: int = EFFICIENCY_SECONDS, rows: int
     both = power.join(heart, KEY).where("np is not null and np1 is not null and np2 is not null and h > 0 and h1 > 0 and h2 > 0")
     ef1, ef2 = F.col("np1") / F.col("h1"), F.col("np2") / F.col("h2")
     return both.select(
-        KEY, F.round(ef1, 3).alias("ef_first_half"), F.round(ef2, 3).alias("ef_second_half"), F.round(F.col("np") / F.col("h"), 3).alias("ef_overall"),
-        F.round(F.col("h2") - F.col("h1"), 1).alias("hr_drift_bpm"), F.round((ef1 / ef2 - 1) * 100, 2).alias("decoupling_pct"),
+        KEY, rounded(ef1, 3).alias("ef_first_half"), rounded(ef2, 3).alias("ef_second_half"), rounded(F.col("np") / F.col("h"), 3).alias("ef_overall"),
+        rounded(F.col("h2") - F.col("h1"), 1).alias("hr_drift_bpm"), rounded((ef1 / ef2 - 1) * 100, 2).alias("decoupling_pct"),
     )
 
 
@@ -225,7 +226,7 @@ def hr_power_lag(records: DataFrame, reach: int = LAG_ROWS) -> DataFrame:
 
 def elevation(records: DataFrame) -> DataFrame:
     own = records.where(F.col("elevation_m").isNotNull()).select(KEY, difference(F.col("elevation_m"), by_time()).alias("_step"))
-    total = lambda c: F.round(F.when(F.count("*") >= 2, F.sum(c)), 1)
+    total = lambda c: rounded(F.when(F.count("*") >= 2, F.sum(c)), 1)
     return own.groupBy(KEY).agg(total(F.greatest("_step", F.lit(0.0))).alias("elevation_gain_m"), total(F.greatest(-F.col("_step"), F.lit(0.0))).alias("elevation_loss_m"))
 
 
@@ -296,14 +297,14 @@ def zone_seconds(records: DataFrame, params: AthleteParams) -> DataFrame:
 
 def intervals(records: DataFrame, ftp: Value, share: float = INTERVAL_SHARE, rows: int = INTERVAL_ROWS, recovery: int = RECOVERY_ROWS) -> DataFrame:
     """Efforts of at least `rows` rows at share * ftp or more, with the slope of heart rate in the rows after each."""
-    agg = [F.min(TIME).alias("_s"), F.max(TIME).alias("_e"), F.round(F.avg(POWER), 1).alias("avg_power"), F.round(F.max(POWER), 1).alias("peak_power")]
+    agg = [F.min(TIME).alias("_s"), F.max(TIME).alias("_e"), rounded(F.avg(POWER), 1).alias("avg_power"), rounded(F.max(POWER), 1).alias("peak_power")]
     found = runs(records.select(KEY, TIME, POWER), F.col(POWER) >= share * col(ftp), KEY, TIME, agg, rows)
     numbered = records.select(KEY, HR, (F.row_number().over(by_time()) - 1).alias("_rn"), F.count("*").over(Window.partitionBy(KEY)).alias("_n"))
     after = found.select(KEY, "run_end", F.explode(F.sequence(F.col("run_end") + 1, F.col("run_end") + recovery)).alias("_rn")).join(numbered, [KEY, "_rn"])
     # a heart rate that is missing leaves no slope, as would a single row
-    slope = after.groupBy(KEY, "run_end").agg(F.when((F.count("*") >= 2) & (F.count(HR) == F.count("*")), F.round(F.regr_slope(F.col(HR), F.col("_rn")), 4)).alias("recovery_hr_slope"))
+    slope = after.groupBy(KEY, "run_end").agg(F.when((F.count("*") >= 2) & (F.count(HR) == F.count("*")), rounded(F.regr_slope(F.col(HR), F.col("_rn")), 4)).alias("recovery_hr_slope"))
     out = found.join(slope, [KEY, "run_end"], "left")
-    return out.select(KEY, F.round("_s", 1).alias("start_sec"), F.round("_e", 1).alias("end_sec"), F.round(F.col("_e") - F.col("_s") + 1).cast("long").alias("duration_sec"), "avg_power", "peak_power", "recovery_hr_slope")
+    return out.select(KEY, rounded("_s", 1).alias("start_sec"), rounded("_e", 1).alias("end_sec"), F.round(F.col("_e") - F.col("_s") + 1).cast("long").alias("duration_sec"), "avg_power", "peak_power", "recovery_hr_slope")
 
 
 def grades(records: DataFrame, window: int = CLIMB_WINDOW) -> DataFrame:
@@ -326,11 +327,11 @@ def climbs(records: DataFrame, grade: float = CLIMB_GRADE, window: int = CLIMB_W
     agg += [(first if side == "start" else last)(c).alias(f"{side}_{c}") for side, c in places]
     found = runs(marked, F.col("_up"), KEY, TIME, agg, rows)
     return found.select(
-        KEY, F.col("run_rows").alias("duration"), F.round(F.col("_g") * 100, 2).alias("avg_grade"), F.round("_p", 1).alias("avg_power"),
-        F.round(F.when(F.col("_h") > 0, F.col("_p") / F.col("_h")), 3).alias("efficiency_factor"),
-        F.round("_s", 1).alias("start_sec"), F.round("_e", 1).alias("end_sec"), "start_time_utc", "end_time_utc",
-        F.round("_sd", 1).alias("start_distance_m"), F.round("_ed", 1).alias("end_distance_m"),
-        *[F.round(f"{side}_{c}", 6).alias(f"{side}_{c}") for side, c in places],
+        KEY, F.col("run_rows").alias("duration"), rounded(F.col("_g") * 100, 2).alias("avg_grade"), rounded("_p", 1).alias("avg_power"),
+        rounded(F.when(F.col("_h") > 0, F.col("_p") / F.col("_h")), 3).alias("efficiency_factor"),
+        rounded("_s", 1).alias("start_sec"), rounded("_e", 1).alias("end_sec"), "start_time_utc", "end_time_utc",
+        rounded("_sd", 1).alias("start_distance_m"), rounded("_ed", 1).alias("end_distance_m"),
+        *[rounded(f"{side}_{c}", 6).alias(f"{side}_{c}") for side, c in places],
     )
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tempora.functions.numbers import rounded
 from tempora.operators import metrics as m
 from tempora.operators import sequence as s
 from tempora.params import AthleteParams, resolve_ftp
@@ -150,3 +151,14 @@ def test_parameters_of_a_configuration(spark, tmp_path):
     path.write_text(json.dumps({"power": {"ftp_watts": 301}, "heart_rate": {"basis": "LTHR", "lthr_bpm": 171, "hr_max_bpm": None}}))
     assert params_from(read_config(spark, f"file://{path}")) == AthleteParams(ftp=301, lthr=171, basis="LTHR")
     assert params_from({"ftp_watts": 200}) == AthleteParams(ftp=200) and params_from({}) == AthleteParams()
+
+
+def test_means_on_a_half_round_up_whatever_the_last_bit(spark):
+    """Powers whose sum is 161.1 and whose mean, 26.85, comes out as 26.849999999999998."""
+    power = [7.58, 42.52, 38.42, 13.5, 25.28, 33.8]
+    assert sum(power) / 6 < 26.85
+    w = workout(spark, power + [1.0] * 2, [100] * 8, elevation_m=[k / 4 for k in range(8)], distance_m=[2.0 * k for k in range(8)])
+    assert one(m.climbs(w.where("elapsed_sec < 7"), gap=1, rows=5)).avg_power == 26.9
+    assert one(m.channel_stats(w.where("elapsed_sec < 6"))).power_avg == 26.9
+    r = one(spark.range(1).select(rounded(F.lit(-26.849999999999998), 1).alias("a"), rounded(F.lit(float("nan")), 1).alias("b"), rounded(F.lit(1e300), 6).alias("c"), rounded(F.lit(None).cast("double"), 1).alias("d"), rounded(F.lit(float("-inf")), 2).alias("e")))
+    assert (r.a, r.b != r.b, r.c, r.d, r.e) == (-26.9, True, 1e300, None, float("-inf"))

@@ -95,13 +95,22 @@ def peak_means(df: DataFrame, value: str, by: str, time: str, widths: list[int],
 def rolling_sum(df: DataFrame, value: str, by: str, time: str, seconds: int, name: str) -> DataFrame:
     """df with the sum of value over the rows of the key in the `seconds` before each row's time, that time included.
 
-    Blocks are as long as the window, and see the block before; rows of equal time are all counted. Times are whole
-    seconds or are cut to them; a row without a time has no sum."""
+    Rows are summed a second first, so a block, as long as the window, has at most `seconds` of them whatever the rows.
+    A window is the end of one block and the start of the next: two running sums, one from each side, give both, and no
+    second is summed anew for each row. Rows of equal time are all counted. Times are whole seconds or are cut to them; a
+    row without a time has no sum."""
     kind = df.schema[time].dataType
     at = F.unix_seconds(F.col(time).cast("timestamp")) if isinstance(kind, (DateType, TimestampType, TimestampNTZType)) else F.floor(time)
-    own = F.floor(F.col("_at") / seconds)
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(by).alias("_by"), at.alias("_at"), F.col(value).alias("_v"))
-    seen = rows.select("*", own.alias("_own"), F.explode(F.when(own.isNull(), F.array(own)).otherwise(F.array(own, own + 1))).alias("_block"))
-    w = Window.partitionBy("_by", "_block").orderBy("_at").rangeBetween(-seconds, Window.currentRow)
-    out = seen.select("_row", "_own", "_block", "_at", F.when(F.col("_at").isNotNull(), F.sum("_v").over(w)).alias(name))
-    return out.where("_own <=> _block").select("_row.*", name)
+    own = F.floor(F.col("_at") / seconds)
+    per = rows.where("_at is not null").groupBy("_by", "_at").agg(F.sum("_v").alias("_v"))
+    # a second leaves the window `seconds` after it, in the block after its own
+    both = F.array(F.struct(own.alias("block"), F.col("_at").alias("at"), F.lit(True).alias("here")), F.struct((own + 1).alias("block"), (F.col("_at") + seconds).alias("at"), F.lit(False).alias("here")))
+    seen = per.select("_by", "_v", F.explode(both).alias("_s")).select("_by", "_v", "_s.*")
+    w = Window.partitionBy("_by", "block")
+    came = F.sum(F.when(F.col("here"), F.col("_v"))).over(w.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    stays = F.sum(F.when(~F.col("here"), F.col("_v"))).over(w.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = seen.select("_by", "here", F.col("at").alias("_at"), came.alias("_came"), stays.alias("_stays")).where("here")
+    total = F.when(F.col("_came").isNull() | F.col("_stays").isNull(), F.coalesce("_came", "_stays")).otherwise(F.col("_came") + F.col("_stays"))
+    found = sums.select(F.col("_by").alias("_sby"), F.col("_at").alias("_sat"), total.alias(name))
+    return rows.join(found, F.col("_by").eqNullSafe(F.col("_sby")) & (F.col("_at") == F.col("_sat")), "left").select("_row.*", name)

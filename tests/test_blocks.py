@@ -83,6 +83,16 @@ def test_rolling_sums_over_time(spark):
         assert got[i] is None if not near else math.isclose(got[i], sum(near), abs_tol=1e-6)
 
 
+def test_rolling_sums_cost_no_window_for_each_row(spark):
+    """All frames begin at an end of their block, and a block's rows are its seconds, however many rows they have."""
+    many = spark.range(60_000).select(F.lit(None).cast("string").alias("k"), (F.col("id") % 300 / 2).alias("t"), F.col("id").alias("i"), F.lit(0.25).alias("v"))
+    out = blocks.rolling_sum(many, "v", "k", "t", 60, "s")
+    frames = re.findall(r"specifiedwindowframe\(([^)]*\)?)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert frames and all(f.startswith("RangeFrame, unboundedpreceding") for f in frames)
+    assert out.count() == 60_000
+    assert all(r.s == 0.25 * 400 * min(int(r.t) + 1, 61) for r in out.select("t", "s").distinct().collect())
+
+
 @pytest.mark.parametrize("span", [5, 1000, 1e7])
 @pytest.mark.parametrize("fallback", [False, True])
 def test_values_are_carried_over_blocks(spark, span, fallback):

@@ -63,14 +63,15 @@ class Upkeep:
         newest.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(base)  # few files a month, a hot one in several
         schema = rows.select("*", F.lit(0).cast("long").alias("batch")).schema
         new = spark.read.schema(rows.schema).parquet(base).drop("month")
+        # athletes, weeks and days grow with the tables, and a size by files knows nothing of days to come: they meet by sorted merges
         weeks = [r.week for r in new.select("week").distinct().collect()]  # a row a calendar week
         marked_weeks = new.select("athlete_id", F.col("week").cast("timestamp").alias("week_start")).distinct()
         rollup = rollups.weekly(self._base(spark, weeks, schema))
-        self._write(marked_weeks.join(rollup, WEEK, "left"), "weekly", number)
+        self._write(marked_weeks.join(rollup.hint("merge"), WEEK, "left"), "weekly", number)
         reach = sorted({w + timedelta(days=7 * k) for w in weeks for k in range(-(LONG // 7) - 1, LONG // 7 + 2)})
         marked_days = new.select("athlete_id", F.explode(F.sequence(F.to_date("start_time_utc"), F.date_add(F.to_date("start_time_utc"), LONG))).alias("day")).distinct()
-        near = self._base(spark, reach, schema).join(new.select("athlete_id").distinct(), "athlete_id", "left_semi")
-        self._write(marked_days.join(loads(daily_loads(near)), DAY, "left"), "loads", number)
+        near = self._base(spark, reach, schema).join(new.select("athlete_id").distinct().hint("merge"), "athlete_id", "left_semi")
+        self._write(marked_days.join(loads(daily_loads(near)).hint("merge"), DAY, "left"), "loads", number)
 
     def _write(self, df: DataFrame, name: str, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")

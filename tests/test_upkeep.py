@@ -129,3 +129,16 @@ def test_a_gap_without_a_full_listing_is_an_error(spark, tmp_path):
         reader.partitions(reader.initialOffset(), reader.latestOffset())
     assert reader.partitions({"generation": 1}, {"generation": 1}) == []
     assert listing.ListingReader(f"file://{tmp_path}/nothing", False).latestOffset() == {"generation": -1}
+
+
+def test_nothing_that_grows_is_broadcast(spark, tmp_path, monkeypatch):
+    """A few KB of workouts stand for 29 days each: no size by files may send them to the driver."""
+    plans, write = [], upkeep.Upkeep._write
+
+    def seen(self, df, name, number):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(self, df, name, number)
+
+    monkeypatch.setattr(upkeep.Upkeep, "_write", seen)
+    upkeep.Upkeep(f"file://{tmp_path}").apply(spark.createDataFrame(batches()[0], SCHEMA), 0)
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)

@@ -47,14 +47,15 @@ def metrics_as_of(days: DataFrame, rows: DataFrame, by: str, day: str, metrics:
 def nearest(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, tolerance: float, columns: list[str]) -> DataFrame:
     """left with the columns of the right row nearest in time within `tolerance` seconds (the earlier of two equally near).
 
-    Times are seconds. Both sides meet in buckets of twice the tolerance, so a left row looks into two of them."""
+    Times are seconds. Both sides meet in buckets of twice the tolerance, so a left row looks into two of them. Both may be streams
+    that take little room in files: they meet by sorted merges, none is broadcast."""
     span = 2 * tolerance
     l = left.withColumn("_id", F.struct(by, left_time)).withColumn("_bucket", F.explode(F.array_distinct(F.array(F.floor((F.col(left_time) - tolerance) / span), F.floor((F.col(left_time) + tolerance) / span)))))  # noqa: E741
     r = right.select(F.col(by).alias("_rby"), F.col(right_time).alias("_rt"), F.floor(F.col(right_time) / span).alias("_rb"), F.struct(*columns).alias("_right"))
     near = F.abs(F.col("_rt") - F.col(left_time))
-    met = l.join(r, (F.col(by) == F.col("_rby")) & (F.col("_bucket") == F.col("_rb")) & (near <= tolerance))
+    met = l.hint("merge").join(r.hint("merge"), (F.col(by) == F.col("_rby")) & (F.col("_bucket") == F.col("_rb")) & (near <= tolerance))
     best = met.groupBy("_id").agg(F.min_by("_right", F.struct(near, "_rt")).alias("_best"))
-    out = left.withColumn("_id", F.struct(by, left_time)).join(best, "_id", "left")
+    out = left.withColumn("_id", F.struct(by, left_time)).join(best.hint("merge"), "_id", "left")
     return out.select(*left.columns, *[F.col(f"_best.{c}").alias(c) for c in columns])
 
 

@@ -241,7 +241,7 @@ def x1_conditional_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = (rewrite.rewrite_improved(spark, path, fill, ["elevation_m"]) for _ in range(2))
     per = first.groupBy("workout_id").agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.bool_or("improved").alias("improved"))
     stored = spark.read.parquet(path).groupBy(F.col("workout_id").cast("string").alias("workout_id")).agg(F.count("elevation_m").alias("stored"))
-    return per.join(stored, "workout_id").withColumn("again", F.lit(second.where("improved").count()).cast("long"))
+    return per.join(stored.hint("merge"), "workout_id").withColumn("again", F.lit(second.where("improved").count()).cast("long"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Europe/Paris' ELSE 'UTC' END AS tz FROM customer WHERE CASE WHEN c_custkey % 2 = 0 THEN 'UTC' END IS DISTINCT FROM CASE WHEN c_custkey % 3 = 0 THEN 'Europe/Paris' ELSE 'UTC' END")

@@ -111,7 +111,7 @@ def backfilled(stream: DataFrame, raw: DataFrame, columns: list[str], tolerance:
     """stream with null columns taken from the raw row nearest in time, where one is within the tolerance."""
     found = lookup.nearest(stream.select("workout_id", "elapsed_sec").distinct(), raw.withColumnRenamed("elapsed_sec", "_raw"), "workout_id", "elapsed_sec", "_raw", tolerance, columns)
     near = found.select("workout_id", "elapsed_sec", *[F.col(c).alias(f"_{c}") for c in columns])
-    return stream.join(near, ["workout_id", "elapsed_sec"], "left").select(*[F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in stream.columns])
+    return stream.join(near.hint("merge"), ["workout_id", "elapsed_sec"], "left").select(*[F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in stream.columns])
 
 
 def daily_baseline(first: str, last: str, value: float, athletes: DataFrame) -> DataFrame:

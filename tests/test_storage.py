@@ -78,6 +78,18 @@ def test_only_improved_partitions_are_rewritten(spark, tmp_path):
     assert second.where("improved").count() == 0 and stamps(f"{tmp_path}/r") == after
 
 
+def test_streams_in_small_files_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Records that files hold in a few KB meet others, and the keys of holes their rows, by sorted merges."""
+    plans, put = [], rewrite.stored
+    monkeypatch.setattr(rewrite, "stored", lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or put(df, what))
+    rows = spark.range(40).select(F.lit("a").alias("workout_id"), F.col("id").cast("double").alias("elapsed_sec"), F.when(F.col("id") % 5 != 0, 1.0).alias("elevation_m"), F.lit("2026-01").alias("month"))
+    rows.write.partitionBy("month").parquet(f"{tmp_path}/r")
+    raw = rows.where("elevation_m is null").select("workout_id", "elapsed_sec", F.lit(2.0).alias("elevation_m"))
+    found = rewrite.rewrite_improved(spark, f"file://{tmp_path}/r", lambda df: composites.backfilled(df, raw, ["elevation_m"], 0.5), ["elevation_m"])
+    assert [tuple(r) for r in found.collect()] == [("2026-01", "a", 32, 40, True)]
+    assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
+
+
 def described(index, number, base, name, units, scale=0xFF, offset=0x7F):
     head = definition(1, 206, [(0, 1, 2), (1, 1, 2), (2, 1, 2), (3, 8, 7), (8, 4, 7), (6, 1, 2), (7, 1, 1)])
     return head + bytes([1, index, number, base]) + struct.pack("<8s4sBb", name, units, scale, offset)

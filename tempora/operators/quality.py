@@ -83,10 +83,13 @@ def contract_violations(messages: DataFrame, by: str, slack: float = 2.0) -> Dat
 
 def field_summary(fields: DataFrame, keys: list[str], samples: int = 3) -> DataFrame:
     """Per key the number of fields, their units (sorted) and the first values by position. A bounded top-n per key:
-    values are numbered first, so no list of all values is built."""
-    order = Window.partitionBy(*keys).orderBy("position")
-    first = fields.withColumn("_rn", F.row_number().over(order))
-    return first.groupBy(*keys).agg(F.count("*").alias("count"), F.array_sort(F.collect_set("units")).alias("units"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_rn") <= samples, F.struct("_rn", "value")))), lambda x: x["value"]).alias("samples"))
+    values are numbered within the part of a key that one task has read, so no task holds a key and no list all values."""
+    own = fields.withColumn("_part", F.spark_partition_id())
+    order = Window.partitionBy(*keys, "_part").orderBy("position")
+    kept = F.collect_list(F.when(F.col("_rn") <= samples, F.struct("position", "value")))
+    parts = own.withColumn("_rn", F.row_number().over(order)).groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.collect_set("units").alias("_units"), kept.alias("_first"))
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("_first"))), 1, samples)
+    return parts.groupBy(*keys).agg(F.sum("_n").alias("count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_units")))).alias("units"), F.transform(first, lambda x: x["value"]).alias("samples"))
 
 
 def key_presence(payloads: DataFrame, kind: str, payload: str) -> DataFrame:

@@ -315,8 +315,8 @@ def p20_file_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT l_returnflag AS message, l_linestatus AS field, l_shipdate AS u, l_quantity, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS position, ['W', 'bpm', 'm'][l_linenumber % 3 + 1] AS units FROM lineitem)
 SELECT message, field, count(*) AS count, array_to_string(list_sort(list(DISTINCT units)), ',') AS units, array_to_string(list(l_quantity::INTEGER ORDER BY position) FILTER (position <= 3), ',') AS samples FROM f GROUP BY ALL""")
 def a19_field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("l_returnflag", "l_linestatus").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    fields = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("message"), F.col("l_linestatus").alias("field"), F.row_number().over(order).alias("position"), _pick(["W", "bpm", "m"], F.col("l_linenumber")).alias("units"), F.col("l_quantity").cast("int").cast("string").alias("value"))
+    position = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    fields = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("message"), F.col("l_linestatus").alias("field"), position.alias("position"), _pick(["W", "bpm", "m"], F.col("l_linenumber")).alias("units"), F.col("l_quantity").cast("int").cast("string").alias("value"))
     out = quality.field_summary(fields, ["message", "field"])
     return out.select("message", "field", "count", F.array_join("units", ",").alias("units"), F.array_join("samples", ",").alias("samples"))
 

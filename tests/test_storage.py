@@ -90,6 +90,16 @@ def test_streams_in_small_files_are_not_broadcast(spark, tmp_path, monkeypatch):
     assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
 
 
+def test_field_summaries_hold_no_key_in_one_task(spark):
+    """Samples are the first of all tasks' parts; values are numbered within a part."""
+    k = F.col("id")
+    fields = spark.range(0, 1000, 1, 8).select(F.when(k % 2 == 0, "m").alias("message"), (k * 7919 % 1000).alias("position"), F.element_at(F.array(F.lit("W"), F.lit(None), F.lit("bpm")), (k % 3 + 1).cast("int")).alias("units"), F.when(k * 7919 % 1000 != 2, (k * 7919 % 1000).cast("string")).alias("value"))
+    out = quality.field_summary(fields, ["message"])
+    got = {r.message: (r["count"], r.units, r.samples) for r in out.collect()}
+    assert got == {"m": (500, ["W", "bpm"], ["0", None, "4"]), None: (500, ["W", "bpm"], ["1", "3", "5"])}
+    assert "windowspecdefinition(message#" in out._jdf.queryExecution().optimizedPlan().toString() and "_part#" in out._jdf.queryExecution().optimizedPlan().toString().partition("windowspecdefinition(")[2].partition(")")[0]
+
+
 def described(index, number, base, name, units, scale=0xFF, offset=0x7F):
     head = definition(1, 206, [(0, 1, 2), (1, 1, 2), (2, 1, 2), (3, 8, 7), (8, 4, 7), (6, 1, 2), (7, 1, 1)])
     return head + bytes([1, index, number, base]) + struct.pack("<8s4sBb", name, units, scale, offset)

@@ -46,9 +46,10 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def write_records(records: DataFrame, path: str, files_per_partition: int = 1) -> None:
-    """Replace the months that records hold, and no others; a month is dealt by a hash of its workouts."""
-    months = records.withColumn("month", F.date_format("timestamp_utc", "yyyy-MM"))
-    spread = months.repartition("month", F.pmod(F.xxhash64("workout_id"), F.lit(files_per_partition))).sortWithinPartitions("workout_id", "elapsed_sec")
+    """Replace the months that records hold, and no others; a month is dealt by a hash of its workouts, and what is still
+    large for a task is split further, whatever the workouts' sizes."""
+    months = records.withColumn("month", F.date_format("timestamp_utc", "yyyy-MM")).withColumn("_deal", F.pmod(F.xxhash64("workout_id"), F.lit(files_per_partition)))
+    spread = months.hint("rebalance", "month", "_deal").drop("_deal").sortWithinPartitions("month", "workout_id", "elapsed_sec")
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 

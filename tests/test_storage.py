@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import lookup, quality, state
 from tempora.plans import composites
-from tempora.sources import clustered, device, ledger, rewrite
+from tempora.sources import clustered, device, files, ledger, rewrite
 
 from .test_device import definition, file_of
 
@@ -90,6 +90,18 @@ def test_streams_in_small_files_are_not_broadcast(spark, tmp_path, monkeypatch):
     assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
 
 
+def test_a_month_of_one_workout_is_more_than_one_task(spark, tmp_path):
+    rows = spark.range(60_000).select(F.lit("a").alias("athlete_id"), F.lit("w").alias("workout_id"), F.timestamp_seconds(1_704_067_200 + F.col("id")).alias("timestamp_utc"), F.col("id").cast("double").alias("elapsed_sec"), F.rand(1).alias("power_watts"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        files.write_records(rows, f"{tmp_path}/r")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    found = [pq.read_table(f).column("elapsed_sec").to_pylist() for f in glob.glob(f"{tmp_path}/r/month=2024-01/*.parquet")]
+    assert len(found) > 1 and all(f == sorted(f) for f in found)
+    assert sorted(x for f in found for x in f) == [float(k) for k in range(60_000)]
+
+
 def test_field_summaries_hold_no_key_in_one_task(spark):
     """Samples are the first of all tasks' parts; values are numbered within a part."""
     k = F.col("id")

@@ -625,7 +625,7 @@ def s11_delta_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.current_items(spark, f"{target}/state").select("item", "tag")
 
 
-#: Workouts in three files out of order: each tenth is corrected later, each seventeenth withdrawn.
+#: Workouts in three deliveries out of order: each tenth is corrected later, each seventeenth withdrawn.
 _KEPT_UP = "w AS (SELECT * FROM workouts WHERE workout_id % 17 <> 0)"
 
 
@@ -635,10 +635,10 @@ def _kept_up(spark: SparkSession, sf_dir: str) -> upkeep.Upkeep:
     final = w.withColumn("version", F.lit(2)).withColumn("deleted", k % 17 == 0)
     early = w.where((k % 10 == 0) | (k % 17 == 0)).withColumn("version", F.lit(1)).withColumn("deleted", F.lit(False)).withColumn("tss", F.coalesce("tss", F.lit(5.0)) + 100).withColumn("duration_sec", F.lit(60.0))
     sent = (early, final.where((k % 3 == 1) | (k % 17 == 0)), final.where((k % 3 != 1) & (k % 17 != 0)))
-    for part in sent:
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(final.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    upkeep.keep_up(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    for part in sent:  # a run takes the files of its part as one batch
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(final.schema).parquet(f"{path}/in")
+        upkeep.keep_up(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return upkeep.Upkeep(f"{path}/out")
 
 

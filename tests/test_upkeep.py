@@ -142,3 +142,15 @@ def test_nothing_that_grows_is_broadcast(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(upkeep.Upkeep, "_write", seen)
     upkeep.Upkeep(f"file://{tmp_path}").apply(spark.createDataFrame(batches()[0], SCHEMA), 0)
     assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_deliveries_are_written_by_many_tasks(spark, monkeypatch):
+    """No part of the tables is gathered in one task on its way to the stream."""
+    from tempora.plans import function_queries
+
+    def refused(*_):
+        raise AssertionError("gathered in one task")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", refused)
+    for name in ("t11_weekly_upkeep",):
+        assert function_queries.Q[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1

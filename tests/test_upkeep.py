@@ -152,5 +152,5 @@ def test_deliveries_are_written_by_many_tasks(spark, monkeypatch):
         raise AssertionError("gathered in one task")
 
     monkeypatch.setattr(type(spark.range(1)), "coalesce", refused)
-    for name in ("t11_weekly_upkeep",):
+    for name in ("t11_weekly_upkeep", "t8_item_states"):
         assert function_queries.Q[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1

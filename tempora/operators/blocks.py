@@ -8,6 +8,8 @@ is a row, a month of body metrics some hundred."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
@@ -19,10 +21,10 @@ ROWS = 1 << 16
 
 
 def block_of(df: DataFrame, time: str, span: float) -> Column:
-    """The block of a time, which is a date, a timestamp or a number of seconds; null of a null one."""
+    """The block of a time, which is a date, a timestamp or a number of seconds; null of a null one, NaN is the last."""
     kind = df.schema[time].dataType
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6 if isinstance(kind, (DateType, TimestampType, TimestampNTZType)) else F.col(time)
-    return F.floor(seconds / span)
+    return F.floor(F.nanvl(seconds / span, F.lit(float("inf"))))
 
 
 def carried(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, ties: list[str], values: dict[str, Column], latest: list[str] | None = None, day_end: bool = False, span: float = SPARSE) -> DataFrame:
@@ -56,18 +58,32 @@ def carried(left: DataFrame, right: DataFrame, by: str, left_time: str, right_ti
     return rows.select("_side", "_left", *found).where("_side = 1").drop("_side")
 
 
-def running(df: DataFrame, by: str, time: str, sums: dict[str, Column], ties: list[str] | None = None, span: float = DENSE) -> DataFrame:
+def running(df: DataFrame, by: str, time: str, sums: dict[str, Column], ties: list[str] | None = None, span: float = DENSE, whole: dict[str, tuple[Callable, Column]] | None = None) -> DataFrame:
     """df with running sums (this row's value counted, nulls as 0) along each key in order of time and ties.
 
-    Rows without a time come first, as in an ascending window."""
-    rows = df.withColumn("_block", block_of(df, time, span)).select("_block", F.col(by).alias("_by"), F.col(time).alias("_t"), *[F.col(t).alias(f"_k{i}") for i, t in enumerate(ties or [])], F.struct(*df.columns).alias("_row"), *[F.coalesce(c, F.lit(0)).alias(n) for n, c in sums.items()])
-    totals = rows.groupBy("_by", "_block").agg(*[F.sum(n).alias(n) for n in sums])
-    before = Window.partitionBy("_by").orderBy(F.asc_nulls_first("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    first = totals.select("_by", "_block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
-    both = rows.unionByName(first, allowMissingColumns=True)
+    Rows without a time come first, as in an ascending window. `whole` names aggregates of all rows of the key, which each
+    row gets as well: a function that aggregates its own results, as F.sum or F.max, and what it is of."""
+    whole = whole or {}
+    rows = df.withColumn("_block", block_of(df, time, span)).select("_block", F.col(by).alias("_by"), F.col(time).alias("_t"), *[F.col(t).alias(f"_k{i}") for i, t in enumerate(ties or [])], F.struct(*df.columns).alias("_row"), *[F.coalesce(c, F.lit(0)).alias(n) for n, c in sums.items()], *[c.alias(n) for n, (_, c) in whole.items()])
+    totals = rows.groupBy("_by", "_block").agg(*[F.sum(n).alias(n) for n in sums], *[f(n).alias(n) for n, (f, _) in whole.items()])
+    order = Window.partitionBy("_by").orderBy(F.asc_nulls_first("_block"))
+    before, all_ = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = totals.select("_by", "_block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums], *[f(n).over(all_).alias(n) for n, (f, _) in whole.items()])
+    both = rows.drop(*whole).unionByName(first, allowMissingColumns=True)
     keys = [f"_k{i}" for i in range(len(ties or []))]
     within = Window.partitionBy("_by", "_block").orderBy(F.col("_row").isNotNull(), "_t", *keys).rowsBetween(Window.unboundedPreceding, 0)
-    return both.select("_row", *[F.sum(n).over(within).alias(n) for n in sums]).where("_row is not null").select("_row.*", *sums)
+    found = both.select("_row", *[F.sum(n).over(within).alias(n) for n in sums], *[F.first(n).over(within).alias(n) for n in whole])
+    return found.where("_row is not null").select("_row.*", *sums, *whole)
+
+
+def overlapping(df: DataFrame, number: str, before: int, after: int = 0, rows: int = ROWS) -> DataFrame:
+    """df, whose rows are numbered from 1 in each key, in blocks of numbers (`_block`): a block has its own rows (`_own`),
+    the `before` rows ahead of them and the `after` rows behind. So windows of that reach see within a key and block what
+    they would see in the whole key."""
+    size = max(rows, before, after)
+    own, place = F.floor((F.col(number) - 1) / size), (F.col(number) - 1) % size
+    seen = F.array_compact(F.array(own, F.when(place >= size - before, own + 1), F.when(place < after, own - 1)))
+    return df.select("*", F.explode(seen).alias("_block")).withColumn("_own", own == F.col("_block"))
 
 
 def runs(df: DataFrame, flag: Column, by: str, time: str, ties: list[str] | None = None, carry: list[Column] | None = None, least: int = 1, span: float = DENSE) -> DataFrame:
@@ -82,14 +98,19 @@ def runs(df: DataFrame, flag: Column, by: str, time: str, ties: list[str] | None
 def peak_means(df: DataFrame, value: str, by: str, time: str, widths: list[int], ties: list[str] | None = None, name: str = "peak_{}", span: float = DENSE, rows: int = ROWS) -> DataFrame:
     """As `sequence.peak_means`, for keys of any length: the highest mean of each width in consecutive non-null rows.
 
-    A window's sum is the difference of two running sums; blocks of rows see the block before as well."""
-    size = max(rows, *widths)
-    sums = running(df.where(F.col(value).isNotNull()), by, time, {"_rn": F.lit(1), "_sum": F.col(value)}, ties, span).select(by, "_rn", "_sum")
-    own = F.floor((F.col("_rn") - 1) / size)
-    seen = sums.select("*", own.alias("_own"), F.explode(F.array(own, own + 1)).alias("_block"))
-    w = Window.partitionBy(by, "_block").orderBy("_rn")
-    lags = seen.select(by, "_rn", "_sum", "_own", "_block", *[F.lag("_sum", n, 0.0).over(w).alias(f"_before_{n}") for n in widths]).where("_own = _block")
-    return lags.groupBy(by).agg(*[F.max(F.when(F.col("_rn") >= n, (F.col("_sum") - F.col(f"_before_{n}")) / n)).alias(name.format(n)) for n in widths])
+    Rows are numbered in blocks of time and dealt anew in blocks of rows."""
+    numbered = running(df.where(F.col(value).isNotNull()), by, time, {"_rn": F.lit(1)}, ties, span)
+    return numbered_peaks(numbered, value, by, "_rn", widths, name, rows)
+
+
+def numbered_peaks(df: DataFrame, value: str, by: str, number: str, widths: list[int], name: str = "peak_{}", rows: int = ROWS) -> DataFrame:
+    """The same of rows that are numbered from 1 in each key. A window's sum is the difference of two running sums of a
+    block, which starts with as many rows of the one before as the widest window has."""
+    seen = overlapping(df.select(by, number, value), number, max(widths), rows=rows)
+    w = Window.partitionBy(by, "_block").orderBy(number)
+    sums = seen.withColumn("_sum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lags = sums.select(by, number, "_own", "_sum", *[F.lag("_sum", n, 0.0).over(w).alias(f"_before_{n}") for n in widths]).where("_own")
+    return lags.groupBy(by).agg(*[F.max(F.when(F.col(number) >= n, (F.col("_sum") - F.col(f"_before_{n}")) / n)).alias(name.format(n)) for n in widths])
 
 
 def rolling_sum(df: DataFrame, value: str, by: str, time: str, seconds: int, name: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Per-workout metrics over a canonical record stream (workout_id, elapsed_sec and channels).
 
-Each family gives one row per workout; `workout_metrics` joins them. All of them partition by workout_id, so records
-that are dealt by it once are neither shuffled nor sorted anew between families. A channel that is missing or null in
-all rows gives null metrics. Thresholds are AthleteParams: numbers, or columns of the records."""
+Each family gives one row per workout; `workout_metrics` joins them. Its families number the records in blocks of time
+(`placed`) and look at them in blocks of rows, so no task has to hold a workout; intervals, grades and climbs still take a
+workout as one task's window. A channel that is missing or null in all rows gives null metrics. Thresholds are AthleteParams: numbers, or columns of the records."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tempora.functions.numbers import rounded
-from tempora.operators.sequence import bridge_gaps, centered_sum, difference, ordered, peak_means, runs, trailing_mean
+from tempora.operators import blocks
+from tempora.operators.blocks import overlapping
+from tempora.operators.sequence import bridge_gaps, centered_sum, difference, ordered, runs, trailing_mean
 from tempora.params import (
     CLIMB_GAP,
     CLIMB_GRADE,
@@ -56,6 +58,29 @@ def with_channels(records: DataFrame) -> DataFrame:
     return out
 
 
+#: Channels whose values are counted along a workout.
+COUNTS = {"_p": POWER, "_h": HR, "_e": "elevation_m"}
+#: What is known of the whole of it: values of power and heart rate, power without a time, timed power without a heart
+#: rate, the last time, the highest heart rate.
+WHOLE = ["_np", "_nh", "_untimed", "_beatless", "_end", "_top_hr"]
+
+
+def placed(records: DataFrame, names: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Records (all columns, or KEY, TIME and those of keep) with these COUNTS up to each row and facts of the WHOLE
+    workout; all of them without names. What is there already is taken as it is."""
+    names = names or [*COUNTS, *WHOLE]
+    own = records.select(KEY, TIME, *keep, *[n for n in names if n in records.columns]) if keep is not None else records
+    power, timed, hr = F.col(POWER).isNotNull(), F.col(TIME).isNotNull(), F.col(HR).isNotNull()
+    one = lambda c: F.when(c, 1).otherwise(0)
+    whole = {
+        "_np": (F.sum, one(power)), "_nh": (F.sum, one(hr)), "_untimed": (F.sum, one(power & ~timed)),
+        "_beatless": (F.sum, one(power & timed & ~hr)), "_end": (F.max, F.col(TIME)), "_top_hr": (F.max, F.col(HR)),
+    }
+    missing = [n for n in names if n not in records.columns]
+    counts = {n: one(F.col(COUNTS[n]).isNotNull()) for n in missing if n in COUNTS}
+    return blocks.running(own, KEY, TIME, counts, whole={n: whole[n] for n in missing if n in WHOLE}) if missing else own
+
+
 def _some(value: Column) -> Column:
     """Null instead of zero: what counts as absent in a ratio."""
     return F.when(value != 0, value)
@@ -104,8 +129,9 @@ def _fourth_root_mean(smooth: Column) -> Column:
 
 
 def normalized_power(records: DataFrame, rows: int = NP_ROWS) -> DataFrame:
-    own = records.where(F.col(POWER).isNotNull()).select(KEY, TIME, POWER)
-    smooth = own.select(KEY, trailing_mean(F.col(POWER), by_time(), rows).alias("_smooth"))
+    own = placed(records, ["_p"], [POWER]).where(F.col(POWER).isNotNull()).select(KEY, "_p", POWER)
+    seen = overlapping(own, "_p", rows - 1)
+    smooth = seen.select(KEY, "_own", trailing_mean(F.col(POWER), ordered([KEY, "_block"], "_p"), rows).alias("_smooth")).where("_own")
     return smooth.groupBy(KEY).agg(_fourth_root_mean(F.col("_smooth")).alias("normalized_power"))
 
 
@@ -119,8 +145,10 @@ def load(stats: DataFrame, ftp: Value) -> DataFrame:
 
 
 def peak_power(records: DataFrame, widths: list[int] | None = None) -> DataFrame:
-    found = peak_means(records, POWER, KEY, TIME, widths or PEAK_SECONDS)
-    return found.select(KEY, *[rounded(c, 1).alias(c) for c in found.columns if c != KEY])
+    own = placed(records, ["_p"], [POWER]).where(F.col(POWER).isNotNull())
+    found = blocks.numbered_peaks(own, POWER, KEY, "_p", widths or PEAK_SECONDS)
+    # a difference of running sums: its last bits go first, so that a mean of 419.45 rounds up as in the SQL
+    return found.select(KEY, *[rounded(F.round(c, 7), 1).alias(c) for c in found.columns if c != KEY])
 
 
 def power_curve(records: DataFrame, widths: list[int] | None = None) -> DataFrame:
@@ -159,19 +187,17 @@ def variability(records: DataFrame) -> DataFrame:
 
 def durability(records: DataFrame) -> DataFrame:
     """Slope of power over time, and the change from the first quarter of rows to the last one per second."""
-    w, whole = by_time(), Window.partitionBy(KEY)
-    longest = F.max(TIME).over(whole)
-    own = records.withColumn("_d", longest).where(F.col(POWER).isNotNull() & F.col(TIME).isNotNull())
-    placed = own.select(KEY, TIME, POWER, "_d", F.row_number().over(w).alias("_rn"), F.count("*").over(whole).alias("_n"))
-    quarter = F.floor(F.col("_n") / 4)
-    first, last = F.avg(F.when(F.col("_rn") <= quarter, F.col(POWER))), F.avg(F.when(F.col("_rn") > F.col("_n") - quarter, F.col(POWER)))
-    return placed.groupBy(KEY).agg(rounded(F.regr_slope(POWER, TIME), 5).alias("durability_slope"), rounded((last - first) / _some(F.max("_d")), 6).alias("fatigue_rate"))
+    own = placed(records, ["_p", "_np", "_untimed", "_end"], [POWER]).where(F.col(POWER).isNotNull() & F.col(TIME).isNotNull())
+    rn, n = F.col("_p") - F.col("_untimed"), F.col("_np") - F.col("_untimed")
+    quarter = F.floor(n / 4)
+    first, last = F.avg(F.when(rn <= quarter, F.col(POWER))), F.avg(F.when(rn > n - quarter, F.col(POWER)))
+    return own.groupBy(KEY).agg(rounded(F.regr_slope(POWER, TIME), 5).alias("durability_slope"), rounded((last - first) / _some(F.max("_end")), 6).alias("fatigue_rate"))
 
 
 def surges(records: DataFrame, ftp: Value, share: float = SURGE_SHARE, rows: int = SURGE_ROWS) -> DataFrame:
     """Runs of at least `rows` non-null rows above share * ftp, and how many an hour (null for none)."""
-    own = records.where(F.col(POWER).isNotNull())
-    found = runs(own, F.col(POWER) > share * col(ftp), KEY, TIME, least=rows).groupBy(KEY).agg(F.count("*").alias("_n"))
+    own = placed(records, ["_p"]).where(F.col(POWER).isNotNull()).select(KEY, "_p", (F.col(POWER) > share * col(ftp)).alias("_hard"))
+    found = blocks.runs(own, F.col("_hard"), KEY, "_p", least=rows, span=blocks.ROWS).groupBy(KEY).agg(F.count("*").alias("_n"))
     out = records.groupBy(KEY).agg(F.max(TIME).alias("_d")).join(found, KEY, "left").withColumn("surge_count", F.coalesce("_n", F.lit(0)).cast("long"))
     return out.select(KEY, "surge_count", rounded(F.when(F.col("surge_count") > 0, F.col("surge_count") / (_some(F.col("_d")) / 3600)), 3).alias("surge_density"))
 
@@ -181,15 +207,11 @@ def efficiency(records: DataFrame, seconds: int = EFFICIENCY_SECONDS, rows: int
 
     Non-null power and heart-rate rows are numbered on their own and cut to the shorter of the two; a half's normalized
     power starts its smoothing anew. Short workouts, or ones with too few values, have no row."""
-    whole, first_rows = Window.partitionBy(KEY), Window.partitionBy(KEY).orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = records.select(
-        KEY, TIME, POWER, HR,
-        F.count(POWER).over(first_rows).alias("_p"), F.count(HR).over(first_rows).alias("_h"),
-        F.least(F.count(POWER).over(whole), F.count(HR).over(whole)).alias("_n"), F.max(TIME).over(whole).alias("_d"),
-    ).where((F.col("_n") >= rows) & (F.col("_d") >= seconds))
+    numbered = placed(records, ["_p", "_h", "_np", "_nh", "_end"], [POWER, HR]).withColumn("_n", F.least("_np", "_nh")).where((F.col("_n") >= rows) & (F.col("_end") >= seconds))
     mid = F.floor(F.col("_n") / 2)
-    p = numbered.where(F.col(POWER).isNotNull() & (F.col("_p") <= F.col("_n"))).withColumn("_late", F.col("_p") > mid)
-    smooth = p.select(KEY, "_late", trailing_mean(F.col(POWER), by_time(), NP_ROWS).alias("_all"), trailing_mean(F.col(POWER), ordered([KEY, "_late"], TIME), NP_ROWS).alias("_half"))
+    p = numbered.where(F.col(POWER).isNotNull() & (F.col("_p") <= F.col("_n"))).select(KEY, "_p", POWER, (F.col("_p") > mid).alias("_late"))
+    mean = lambda by: trailing_mean(F.col(POWER), ordered([KEY, "_block", *by], "_p"), NP_ROWS)
+    smooth = overlapping(p, "_p", NP_ROWS - 1).select(KEY, "_late", "_own", mean([]).alias("_all"), mean(["_late"]).alias("_half")).where("_own")
     power = smooth.groupBy(KEY).agg(
         _fourth_root_mean(F.col("_all")).alias("np"),
         _fourth_root_mean(F.when(~F.col("_late"), F.col("_half"))).alias("np1"),
@@ -208,15 +230,14 @@ def efficiency(records: DataFrame, seconds: int = EFFICIENCY_SECONDS, rows: int
 def hr_power_lag(records: DataFrame, reach: int = LAG_ROWS) -> DataFrame:
     """The shift of heart rate, in rows from -reach to reach, that correlates best with power; the first of equal ones.
 
-    A shift of lag pairs power of a row with the heart rate lag rows before it. All shifts come from one sorted window;
-    they become rows only inside the task, where their sums per workout and shift are kept. Null below 10 rows, where a
+    A shift of lag pairs power of a row with the heart rate lag rows before it. All shifts come from one sorted window of
+    a block; they become rows only inside the task, where their sums per workout and shift are kept. Null below 10 rows, where a
     row with power has no heart rate, or where no shift has a correlation."""
-    whole = Window.partitionBy(KEY)
-    own = records.where(F.col(POWER).isNotNull() & F.col(TIME).isNotNull()).select(KEY, TIME, POWER, HR)
-    fit = own.withColumn("_ok", (F.count("*").over(whole) >= 10) & (F.count(HR).over(whole) == F.count("*").over(whole)))
+    own = placed(records, ["_p", "_np", "_untimed", "_beatless"], [POWER, HR]).where(F.col(POWER).isNotNull() & F.col(TIME).isNotNull())
+    fit = own.where((F.col("_np") - F.col("_untimed") >= 10) & (F.col("_beatless") == 0)).select(KEY, POWER, HR, (F.col("_p") - F.col("_untimed")).alias("_rn"))
     # of row n the heart rates from row n - reach to n + reach, as far as there are rows
-    near = F.collect_list(HR).over(by_time().rowsBetween(-reach, reach))
-    moved = fit.where("_ok").select(KEY, POWER, F.row_number().over(by_time()).alias("_rn"), near.alias("_near"))
+    near = F.collect_list(HR).over(ordered([KEY, "_block"], "_rn").rowsBetween(-reach, reach))
+    moved = overlapping(fit, "_rn", reach, reach).select(KEY, POWER, "_rn", "_own", near.alias("_near")).where("_own")
     pairs = moved.select(KEY, POWER, F.least(F.col("_rn") - 1, F.lit(reach)).alias("_before"), F.posexplode("_near").alias("_i", "_hr")).withColumn("_lag", F.col("_before") - F.col("_i"))
     c = F.try_divide(F.covar_pop(POWER, "_hr"), F.stddev_pop(POWER) * F.stddev_pop("_hr"))
     scored = pairs.groupBy(KEY, "_lag").agg(c.alias("_c")).where("_c is not null")
@@ -225,7 +246,8 @@ def hr_power_lag(records: DataFrame, reach: int = LAG_ROWS) -> DataFrame:
 
 
 def elevation(records: DataFrame) -> DataFrame:
-    own = records.where(F.col("elevation_m").isNotNull()).select(KEY, difference(F.col("elevation_m"), by_time()).alias("_step"))
+    own = placed(records, ["_e"], ["elevation_m"]).where(F.col("elevation_m").isNotNull()).select(KEY, "_e", "elevation_m")
+    own = overlapping(own, "_e", 1).select(KEY, "_own", difference(F.col("elevation_m"), ordered([KEY, "_block"], "_e")).alias("_step")).where("_own")
     total = lambda c: rounded(F.when(F.count("*") >= 2, F.sum(c)), 1)
     return own.groupBy(KEY).agg(total(F.greatest("_step", F.lit(0.0))).alias("elevation_gain_m"), total(F.greatest(-F.col("_step"), F.lit(0.0))).alias("elevation_loss_m"))
 
@@ -284,9 +306,8 @@ def power_zone(power: Column, ftp: Value) -> Column:
 
 def zone_seconds(records: DataFrame, params: AthleteParams) -> DataFrame:
     """Rows in each of five heart-rate and seven power zones, totals, low aerobic (1, 2) and intensity (4 and up)."""
-    observed = F.max(HR).over(Window.partitionBy(KEY))
-    bounds = hr_zone_bounds(F.coalesce(hr_reference(params), observed), params.basis, params.hr_rest)
-    zoned = records.select(KEY, hr_zone(F.col(HR), bounds).alias("_h"), power_zone(F.col(POWER), params.ftp).alias("_p"))
+    bounds = hr_zone_bounds(F.coalesce(hr_reference(params), F.col("_top_hr")), params.basis, params.hr_rest)
+    zoned = placed(records, ["_top_hr"]).select(KEY, hr_zone(F.col(HR), bounds).alias("_h"), power_zone(F.col(POWER), params.ftp).alias("_p"))
     count = lambda c, zs, name: F.count_if(F.col(c).isin(zs)).alias(name)
     return zoned.groupBy(KEY).agg(
         *[count("_h", [z], f"hr_z{z}_sec") for z in range(1, 6)], F.count("_h").alias("hr_zone_total_sec"),
@@ -342,10 +363,9 @@ def basic_stats(records: DataFrame) -> DataFrame:
 
 
 def dealt(records: DataFrame) -> DataFrame:
-    """Records with all channels, dealt by workout and sorted by time once. Persist these before `workout_metrics`, and
-    unpersist them after use: its families then need no scan, shuffle or sort of their own. Or write them in buckets of the
-    workout (`sources.clustered.write_bucketed`), which outlives executors."""
-    return with_channels(records).select(KEY, TIME, *CHANNELS).repartition(KEY).sortWithinPartitions(KEY, TIME)
+    """Records with all channels, `placed`. Store these, or persist and later unpersist them, before `workout_metrics`: its
+    families then need not number them anew."""
+    return placed(with_channels(records).select(KEY, TIME, *CHANNELS))
 
 
 def workout_metrics(own: DataFrame, params: AthleteParams) -> DataFrame:

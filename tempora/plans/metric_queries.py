@@ -9,8 +9,7 @@ from tempora.operators import blocks
 from tempora.operators import metrics as m
 from tempora.operators import sequence as s
 from tempora.params import PEAK_SECONDS, AthleteParams
-from tempora.sources.clustered import write_bucketed
-from tempora.sources.files import shared
+from tempora.sources.files import stored
 from tempora.sources.views import RECORDS_SQL, USER_RECORDS_SQL, records, records_by_user, table
 
 #: Values that give every metric something to find in the test tables.
@@ -331,10 +330,8 @@ SELECT * FROM ({SQL["m18_hr_power_lag"]}) SEMI JOIN k USING (workout_id)"""
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All families of records that are dealt by workout once, in buckets of a stored table: no family shuffles them."""
-    path = shared(spark, "dealt")
-    own = m.with_channels(records(spark, sf_dir)).select(m.KEY, m.TIME, *m.CHANNELS)
-    return m.workout_metrics(write_bucketed(own, path.rpartition("/")[2].replace("-", "_"), path, m.KEY, 8, [m.TIME]), PARAMS)
+    """All families of records that are numbered and stored once: no family numbers them anew."""
+    return m.workout_metrics(stored(m.dealt(records(spark, sf_dir)), "dealt"), PARAMS)
 
 
 @query(_wide_sql())

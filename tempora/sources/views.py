@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.blocks import running
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
@@ -17,34 +19,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in df.dtypes])
 
 
-def _channels(events: DataFrame, workout: str) -> DataFrame:
+def _channels(events: DataFrame, workout: str, long: bool) -> DataFrame:
+    """long: workouts are numbered in blocks of time, no task holds one; else one is a task's window."""
     # named before it is windowed, so that windows and joins by workout find the rows dealt as they need them
     events = events.withColumn("workout_id", F.col(workout).cast("string"))
-    own = Window.partitionBy("workout_id").orderBy("ts", "event_id")
-    k = F.get_json_object("props", "$.k").cast("double")
-    speed = 2.0 + (F.col("event_id") % 7) * 0.5
-    return events.select(
+    k, speed = F.get_json_object("props", "$.k").cast("double"), 2.0 + (F.col("event_id") % 7) * 0.5
+    if long:
+        rows = running(events.select("workout_id", "ts", "event_id", "value", k.alias("k")), "workout_id", "ts", {"_rn": F.lit(1), "_distance": speed}, ["event_id"])
+        number, distance, k = F.col("_rn"), F.col("_distance"), F.col("k")
+    else:
+        own = Window.partitionBy("workout_id").orderBy("ts", "event_id")
+        rows, number, distance = events, F.row_number().over(own), F.sum(speed).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(
         "workout_id",
-        (F.row_number().over(own) - 1).cast("double").alias("elapsed_sec"),
+        (number - 1).cast("double").alias("elapsed_sec"),
         F.col("ts").alias("timestamp_utc"),
         "event_id",
         F.when(F.col("event_id") % 23 != 0, F.col("value")).alias("power_watts"),
         F.when(k % 19 != 0, 80 + k).alias("heart_rate_bpm"),
         (70 + F.col("event_id") % 31).cast("double").alias("cadence_rpm"),
         speed.alias("speed_mps"),
-        F.sum(speed).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("distance_m"),
+        distance.alias("distance_m"),
         (100 + (F.col("event_id") * 37 % 41) * 0.25).alias("elevation_m"),
     )
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical record stream: workout_id, elapsed_sec, timestamp_utc, event_id and the channels."""
-    return _channels(table(spark, sf_dir, "events"), "event_type")
+    return _channels(table(spark, sf_dir, "events"), "event_type", True)
 
 
 def records_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shorter workouts, one per user, in the order of their events."""
-    return _channels(table(spark, sf_dir, "events"), "user_id")
+    return _channels(table(spark, sf_dir, "events"), "user_id", False)
 
 
 def workouts(spark: SparkSession, sf_dir: str, athlete: int | None = None) -> DataFrame:

@@ -162,3 +162,26 @@ def test_means_on_a_half_round_up_whatever_the_last_bit(spark):
     assert one(m.channel_stats(w.where("elapsed_sec < 6"))).power_avg == 26.9
     r = one(spark.range(1).select(rounded(F.lit(-26.849999999999998), 1).alias("a"), rounded(F.lit(float("nan")), 1).alias("b"), rounded(F.lit(1e300), 6).alias("c"), rounded(F.lit(None).cast("double"), 1).alias("d"), rounded(F.lit(float("-inf")), 2).alias("e")))
     assert (r.a, r.b != r.b, r.c, r.d, r.e) == (-26.9, True, 1e300, None, float("-inf"))
+
+
+def test_a_workout_of_many_blocks_gives_the_same_row(spark, monkeypatch):
+    """Blocks of 4,000 seconds and rows give what one block gives, and no window is over a workout's records."""
+    rng, n = np.random.default_rng(5), 9000
+    columns = {c: np.round(rng.random(n) * 300, 2).tolist() for c in ("power_watts", "heart_rate_bpm", "elevation_m")}
+    for k in rng.integers(0, n, 500):
+        columns["power_watts"][k] = columns["elevation_m"][k] = None
+    w = workout(spark, columns["power_watts"], columns["heart_rate_bpm"], elevation_m=columns["elevation_m"])
+    whole = one(m.workout_metrics(m.dealt(w), AthleteParams(ftp=200.0)))
+    running, overlapping = m.blocks.running, m.blocks.overlapping
+    monkeypatch.setattr(m.blocks, "running", lambda *a, **k: running(*a, **k) if len(a) > 5 else running(*a, span=4000, **k))
+    monkeypatch.setattr(m.blocks, "ROWS", 4000)
+    for where in (m, m.blocks):
+        monkeypatch.setattr(where, "overlapping", lambda *a, **k: overlapping(*a, **k | {"rows": 4000}))
+    parts = m.workout_metrics(m.dealt(w), AthleteParams(ftp=200.0))
+    row = one(parts)
+    for name in set(whole.asDict()) - {m.KEY}:
+        assert row[name] == (None if whole[name] is None else pytest.approx(whole[name], rel=1e-9)), name
+    assert row.hr_power_lag_sec is not None and row.peak_3600 is not None and row.surge_count > 0
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    specs = [line for line in plan.splitlines() if "Window [" in line]
+    assert specs and all("_block" in line for line in specs)

@@ -1,10 +1,10 @@
 """Operator 6: exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Vectors become whole numbers and are dealt to blocks of bounded size, queries likewise. For a block of vectors every
-dimension is a sorted list, stored with the block. A query reads the lists from the end its sign favours, a stretch at a
-time, first all of its lists and then those that lower the bounds most. An entry that is read adds to its vector's lower
-bound (unread parts at their list's end), once; the upper bound has unread parts at the value read last. The bar of a query
-is its k-th score so far, at first its k-th lower bound: reading stops when few enough vectors, read or not, can still reach
+dimension is a sorted list, stored with the block. The queries of a block read the lists together, each list from the end
+that a query's sign favours and all lists to one depth, a stretch at a time. An entry that is read counts in its vector's
+bounds with its value; what is unread counts in the upper bound as the value read last, in the lower one as the list's other
+end. The bar of a query is its k-th score so far, at first its k-th lower bound: it stops when few enough vectors can still reach
 it, and those scores are resolved exactly. A task carries its queries' bars from block to block, and a first block that all
 queries read gives every task a bar to begin with. Each block meets each block of queries once, by an equi-join; no pair of
 single rows is ever a row."""
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow, batch, materialize
 
-#: Share of each list that is read before the first look at the bounds.
-FIRST = 1 / 16
+#: Share of each list that is read before the first look at the bounds, how much further each next look is, and the
+#: queries that read together.
+FIRST, FURTHER, TOGETHER = 1 / 16, 1.5, 512
 #: Components from here on are refused: bounds of their products could overflow a double.
 LARGEST = 1e150
 _BLOCK = "block long, n long, dims long, ids binary, known binary, rows binary, lists binary, x binary"
@@ -64,55 +65,55 @@ class Block:
         self.known = np.frombuffer(row["known"], np.uint8) == 1
         self.order = np.frombuffer(row["lists"], "<i4").reshape(row["dims"], row["n"]).astype(np.int64)
         self.values = np.take_along_axis(self.x.T, self.order, 1)
-        self.place = np.ascontiguousarray(np.argsort(self.order, 1).T, np.int32)  # of a vector in each list
 
 
-def candidates(block: Block, q: np.ndarray, bar: float, skip: int, k: int) -> tuple[np.ndarray, int]:
-    """Vectors of the block that hold all whose product with q reaches the bar and, of these, the k best; and how many
-    entries of lists were read to find them.
-
-    The bar is the k-th lower bound where it is -inf. `skip` is the vector that may not be found, or -1.
-
-    Lists whose weight is zero are not read. Every other list is first read to FIRST of its length; then, until few
-    vectors are left, those lists go on by half their depth whose bound fell most per entry in their last stretch."""
-    n = len(block.x)
-    used = np.flatnonzero(q[: block.x.shape[1]])
-    w = q[used]
-    near = w * np.where(w > 0, block.values[used, -1], block.values[used, 0])  # what a list gives at most, and at least
-    least = w * np.where(w > 0, block.values[used, 0], block.values[used, -1])
-    slack = np.maximum(np.abs(near), np.abs(least)).sum() * (len(used) + 4) * 2.0**-49  # sums of doubles err by less
-    if near.sum() + slack < bar:  # nothing read yet
-        return np.zeros(0, np.int64), 0
-    depth, head, rate = np.zeros(len(used), np.int64), near.copy(), np.zeros(len(used))
-    above = np.zeros(n)  # of each vector, by how much what was read of it exceeds the least of these lists
-    gap, first, end = np.zeros(block.x.shape[1]), *np.zeros((2, block.x.shape[1]), np.int32)
-    may, few = np.arange(n), max(4 * k, n // 64)
-    going, to = np.arange(len(used)), np.full(len(used), max(1, int(n * FIRST)))  # lists that are read on, and how far
+def _read(block: Block, d: int, depth: int, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    """By how much the entries read of each of d lists exceed `top`, those of the upper end, and `bottom`, the lower end: a
+    row a list and end, a column a vector, 0 where nothing was read."""
+    n, out = len(block.x), np.zeros((2 * d, len(block.x)))
+    np.put_along_axis(out[:d], block.order[:d, n - depth :], block.values[:d, n - depth :] - top[:, None], 1)
+    np.put_along_axis(out[d:], block.order[:d, :depth], block.values[:d, :depth] - bottom[:, None], 1)
+    return out
+
+
+def candidates_of(block: Block, queries: np.ndarray, bars: np.ndarray, skips: np.ndarray, k: int) -> list[tuple[np.ndarray, int]]:
+    """For each query the vectors of the block that hold all whose product with it reaches its bar and, of these, the k
+    best; and how many entries of lists were read to find them.
+
+    The bar is the k-th lower bound where it is -inf. `skips` are the vectors that may not be found, or -1. Lists whose
+    weight is zero are not read. Every other list is first read to FIRST of its length, then to FURTHER times as much, until
+    few vectors are left."""
+    n, d = len(block.x), queries.shape[1]
+    weights, values = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]), block.values[:d]
+    lowest, highest = values[:, 0], values[:, -1]
+    least, most = weights @ np.r_[lowest, highest], weights @ np.r_[highest, lowest]
+    slack = np.abs(queries) @ np.maximum(np.abs(lowest), np.abs(highest)) * (d + 4) * 2.0**-48  # sums of doubles err by less
+    used, few, depth = np.count_nonzero(queries, 1), max(4 * k, n // 64), max(1, int(n * FIRST))
+    found = [(np.zeros(0, np.int64), 0)] * len(queries)
+    going = np.flatnonzero(most + slack >= bars)  # the others need not read
     while len(going):
-        # lists ascend: the entries from `depth` to `to`, counted from the end that the sign of the weight favours
-        spans = [slice(n - t, n - f) if up else slice(f, t) for up, f, t in zip(w[going] > 0, depth[going], to)]
-        rows = np.concatenate([block.order[l, span] for l, span in zip(used[going], spans)])
-        values = np.concatenate([block.values[l, span] for l, span in zip(used[going], spans)])
-        lengths = to - depth[going]
-        above += np.bincount(rows, values * np.repeat(w[going], lengths) - np.repeat(least[going], lengths), n)
-        last = w[going] * np.where(w[going] > 0, block.values[used[going], n - to], block.values[used[going], to - 1])
-        rate[going] = (head[going] - last) / lengths
-        head[going], depth[going] = last, to
-        reach = bar
-        if np.isneginf(bar) and n > k + 1:
-            own = np.delete(above, skip) if skip >= 0 else above
-            reach = least.sum() + np.partition(own, len(own) - k)[len(own) - k] - slack
-        if head.sum() + slack < reach or np.count_nonzero(above) >= n - few:  # else too many unread ones can still reach it
-            place = block.place[may] if len(may) < n else block.place
-            gap[used], first[used], end[used] = head - least, np.where(w > 0, n - depth, 0), np.where(w > 0, n, depth)
-            seen = (place >= first) & (place < end)
-            may = may[head.sum() + above[may] - seen.astype(np.float64) @ gap >= reach - slack]
-            if len(may) <= few:
-                break
-        left = np.flatnonzero(depth < n)
-        going = left[rate[left] >= rate[left].max(initial=0) / 4]
-        to = np.minimum(depth + np.maximum(1, depth // 2), n)[going]
-    return may[may != skip], int(depth.sum())
+        top, bottom = values[:, n - depth], values[:, depth - 1]  # read last
+        w, reach = weights[going], bars[going]
+        upper = w @ _read(block, d, depth, top, bottom)
+        upper += (w @ np.r_[top, bottom])[:, None]
+        none = np.flatnonzero(np.isneginf(reach)) if n > k + 1 else []
+        if len(none):
+            lower = w[none] @ _read(block, d, depth, lowest, highest)
+            own = skips[going[none]]
+            lower[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
+            reach[none] = least[going[none]] + np.partition(lower, n - k, 1)[:, n - k] - slack[going[none]]
+        may = upper >= (reach - slack[going])[:, None]
+        done = (np.count_nonzero(may, 1) <= few) | (depth == n)
+        for i in np.flatnonzero(done):
+            left = np.flatnonzero(may[i])
+            found[going[i]] = left[left != skips[going[i]]], int(depth * used[going[i]])
+        going, depth = going[~done], min(n, max(depth + 1, int(depth * FURTHER)))
+    return found
+
+
+def candidates(block: Block, q: np.ndarray, bar: float, skip: int, k: int) -> tuple[np.ndarray, int]:
+    """The same of one query."""
+    return candidates_of(block, q[None, : block.x.shape[1]], np.array([bar]), np.array([skip]), k)[0]
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -139,7 +140,8 @@ class Best:
         order = np.argsort(block.rows)
         place = np.minimum(np.searchsorted(block.rows[order], self.queries.rows), len(order) - 1)
         skip = np.where(block.rows[order][place] == self.queries.rows, order[place], -1)
-        found = [candidates(block, q[i], self.bar[i], skip[i], self.k)[0] for i in range(len(q))]
+        parts = [slice(lo, lo + TOGETHER) for lo in range(0, len(q), TOGETHER)]
+        found = [f for s in parts for f, _ in candidates_of(block, q[s], self.bar[s], skip[s], self.k)]
         i, j = np.repeat(np.arange(len(q)), [len(f) for f in found]), np.concatenate(found)
         scores = [_exact(x[j[lo : lo + 65_536]], q[i[lo : lo + 65_536]]) for lo in range(0, len(i), 65_536)]
         self.add(i, np.concatenate([np.zeros(0, np.int64), *scores]), block.ids[j], block.rows[j], block.known[j])

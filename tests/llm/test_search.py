@@ -266,3 +266,15 @@ def test_candidates_hold_the_best_whatever_decides(d):
             floor = max(bar, kth[-1]) if len(kth) == 5 and bar == -np.inf else bar
             want = {v for v in range(n) if v != skip and score[v] >= floor}
             assert want <= set(found.tolist()) and skip not in found and reads <= x.size
+
+
+def test_queries_of_a_block_read_its_lists_together(monkeypatch):
+    """Forty queries, some with a bar, cost as many looks as one at most twice over, not forty times as many."""
+    rng, looks, read = np.random.default_rng(11), [], topk._read
+    x, q = np.floor(rng.normal(size=(2000, 24)) * 256), np.floor(rng.normal(size=(40, 24)) * 256)
+    monkeypatch.setattr(topk, "_read", lambda *a: looks.append(1) or read(*a))
+    skips, bars = np.where(np.arange(40) % 2, np.arange(40), -1), np.where(np.arange(40) % 3, -np.inf, np.sort(x @ q.T, 0)[-5])
+    found = topk.candidates_of(block_of(x), q, bars, skips, 5)
+    assert len(looks) <= 20
+    for i, (rows, reads) in enumerate(found):
+        assert best_of(x, q[i], skips[i], bars[i]) <= set(rows.tolist()) and skips[i] not in rows and reads <= x.size

@@ -18,6 +18,8 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 SPARSE, DENSE = 30 * 86_400, 50_000
 #: Rows of a block where blocks are of rows.
 ROWS = 1 << 16
+#: Rows of a task where rows are counted first.
+TASK_ROWS = 1 << 19
 
 
 def block_of(df: DataFrame, time: str, span: float) -> Column:
@@ -27,6 +29,13 @@ def block_of(df: DataFrame, time: str, span: float) -> Column:
     return F.floor(F.nanvl(seconds / span, F.lit(float("inf"))))
 
 
+def counted_out(df: DataFrame, *keys: str) -> DataFrame:
+    """df by hash of its keys, some TASK_ROWS rows a task, whatever the rows and the session's number of partitions.
+
+    The rows are counted first, by a job of its own: store those that are dear to compute."""
+    return df.repartition(df.count() // TASK_ROWS + 1, *keys)
+
+
 def carried(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, ties: list[str], values: dict[str, Column], latest: list[str] | None = None, day_end: bool = False, span: float = SPARSE) -> DataFrame:
     """Rows of left as a struct `_left`, and per name of `values` its last non-null value among right rows of the same key
     at or before left_time (ties in time by `ties`, ascending).

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.blocks import counted_out
+
 # Fixed limits: metres, km/h, and ratios of two distances that agree.
 FAR_M, FAST_KMH, SLOW_KMH, SLOW_FROM_M = 300_000, 90, 2, 5000
 RATIO = (0.95, 1.05)
@@ -61,9 +63,15 @@ def compare_totals(persisted: DataFrame, expected: DataFrame, keys: list[str], v
 
 def contract_violations(messages: DataFrame, by: str, slack: float = 2.0) -> DataFrame:
     """Files that break the message contract, with what they break, as an array; message rows have
-    name, kind, position, timestamp, total_elapsed_time, total_timer_time and num_sessions."""
-    w = Window.partitionBy(by, "name").orderBy("position")
-    m = messages.withColumn("_back", (F.col("name") == "record") & (F.col("timestamp") < F.lag("timestamp").over(w)))
+    name, kind, position (of any type that sorts), timestamp, total_elapsed_time, total_timer_time and num_sessions.
+
+    Records of one position are in order of time. Messages are dealt once, by file, and sorted once; a task has its share
+    of them, however many there are. What only other messages have takes no room in a record."""
+    own = F.when(F.col("name") != "record", F.struct("kind", "total_elapsed_time", "total_timer_time", "num_sessions")).alias("_own")
+    w = Window.partitionBy(by, "name").orderBy("position", "timestamp")
+    dealt = counted_out(messages.select(by, "name", "position", "timestamp", own), by)
+    back = (F.col("name") == "record") & (F.col("timestamp") < F.lag("timestamp").over(w))
+    m = dealt.select(by, "name", "position", "timestamp", "_own.*", back.alias("_back"))
     of = lambda name: F.col("name") == name
     session_time = F.sum(F.when(of("session"), F.col("total_timer_time")))
     facts = m.groupBy(by).agg(

@@ -291,15 +291,16 @@ def a31_spread_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as device files: a file_id, a session and the lines as records."""
-    k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders")
+    """Orders as device files: a file_id, a session and the lines as records, whose position is what they are sorted by; the
+    date, last of it, is their time."""
+    k, o, line = F.col("o_orderkey"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    order = ["l_partkey", "l_suppkey", "l_extendedprice"]
+    first = F.struct(*[F.lit(None).cast(line.schema[c].dataType).alias(c) for c in order]).alias("position")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("total_elapsed_time", "double"), ("total_timer_time", "double"), ("num_sessions", "int"))]
-    one = o.select(k.alias("file"), F.lit("file_id").alias("name"), F.when(k % 9 == 0, "course").otherwise("activity").alias("kind"), F.lit(0).cast("long").alias("position"), F.col("o_orderdate").alias("timestamp"), *nothing)
-    session = o.where("o_orderkey % 10 <> 3").select(k.alias("file"), F.lit("session").alias("name"), F.lit(None).cast("string").alias("kind"), F.lit(0).cast("long").alias("position"), F.col("o_orderdate").alias("timestamp"), F.lit(60.0).alias("total_elapsed_time"), F.lit(50.0).alias("total_timer_time"), F.lit(None).cast("int").alias("num_sessions"))
-    activity = o.select(k.alias("file"), F.lit("activity").alias("name"), F.lit(None).cast("string").alias("kind"), F.lit(0).cast("long").alias("position"), F.col("o_orderdate").alias("timestamp"), F.lit(None).cast("double").alias("total_elapsed_time"), (50.0 + (k % 5)).alias("total_timer_time"), F.lit(1).alias("num_sessions"))
-    order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    record = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.lit("record").alias("name"), F.lit(None).cast("string").alias("kind"), F.row_number().over(order).cast("long").alias("position"), F.col("l_shipdate").alias("timestamp"), *nothing)
+    one = o.select(k.alias("file"), F.lit("file_id").alias("name"), F.when(k % 9 == 0, "course").otherwise("activity").alias("kind"), first, F.col("o_orderdate").alias("timestamp"), *nothing)
+    session = o.where("o_orderkey % 10 <> 3").select(k.alias("file"), F.lit("session").alias("name"), F.lit(None).cast("string").alias("kind"), first, F.col("o_orderdate").alias("timestamp"), F.lit(60.0).alias("total_elapsed_time"), F.lit(50.0).alias("total_timer_time"), F.lit(None).cast("int").alias("num_sessions"))
+    activity = o.select(k.alias("file"), F.lit("activity").alias("name"), F.lit(None).cast("string").alias("kind"), first, F.col("o_orderdate").alias("timestamp"), F.lit(None).cast("double").alias("total_elapsed_time"), (50.0 + (k % 5)).alias("total_timer_time"), F.lit(1).alias("num_sessions"))
+    record = line.select(F.col("l_orderkey").alias("file"), F.lit("record").alias("name"), F.lit(None).cast("string").alias("kind"), F.struct(*order).alias("position"), F.col("l_shipdate").alias("timestamp"), *nothing)
     return one.unionByName(session).unionByName(activity).unionByName(record)
 
 

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import gzip
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tempora.functions import dates, numbers, text, zones
-from tempora.operators import lookup, quality, resolve, rollups, state
+from tempora.operators import blocks, lookup, quality, resolve, rollups, state
 from tempora.sources import files, ledger
 
 
@@ -114,6 +115,21 @@ def test_contract(spark):
     assert got == {2: ["one_file_id", "session_missing", "record_order"]}
 
 
+def test_contract_of_many_files_is_many_tasks(spark, monkeypatch):
+    """Tasks follow the messages, not the session's partitions, and each message is dealt and sorted once."""
+    monkeypatch.setattr(blocks, "TASK_ROWS", 100)
+    file, back = F.floor(F.col("id") / 10), F.col("id") % 70 == 5
+    at = F.timestamp_seconds(F.col("id") - F.when(back, 3).otherwise(0))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("total_elapsed_time", "double"), ("total_timer_time", "double"), ("num_sessions", "int"))]
+    rows = spark.range(3000).select(file.alias("file"), F.lit("record").alias("name"), F.struct("id").alias("position"), at.alias("timestamp"), *nothing)
+    found = quality.contract_violations(rows, "file")
+    assert found.rdd.getNumPartitions() == 31
+    got = {r.file: "record_order" in r.violations for r in found.collect()}
+    assert got == {k: any(i % 70 == 5 for i in range(10 * k, 10 * k + 10)) for k in range(300)}
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and len(re.findall(r"\bSort \[", plan)) == 1
+
+
 def test_weeks_without_zones_have_zero_minutes(spark):
     zones = ", ".join(f"{k}_z{z}_sec long" for k, n in (("hr", 5), ("pwr", 7)) for z in range(1, n + 1))
     rows = [(1, dt.datetime(2026, 2, 10), None, None, 10.0 / 3, None, *[None] * 12), (1, dt.datetime(2026, 2, 11), 60.0, None, 1.0, None, *[None] * 11, 400)]

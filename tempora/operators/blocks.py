@@ -52,7 +52,10 @@ def carried(left: DataFrame, right: DataFrame, by: str, left_time: str, right_ti
     both = l.unionByName(r)
     both = both.withColumn("_block", block_of(both, "_t", span))
     at = F.struct("_t", *keys)
-    own = both.groupBy("_by", "_block").agg(*[F.max_by(n, F.when((F.col("_side") == 0) & F.col(n).isNotNull(), at)).alias(n) for n in values])
+    # only right rows are sorted for their last values; of left rows it takes the blocks that they are in
+    last = both.where("_side = 0").groupBy("_by", "_block").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in values])
+    seen = both.where("_side = 1").select("_by", "_block").distinct()
+    own = last.unionByName(seen, allowMissingColumns=True).groupBy("_by", "_block").agg(*[F.first(n, ignorenulls=True).alias(n) for n in values])
     order = Window.partitionBy("_by").orderBy(F.asc_nulls_first("_block"))
     before, all_ = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     newest = [F.last(n, ignorenulls=True).over(all_).alias(f"_latest_{n}") for n in latest or []]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.operators.lookup import metrics_as_of
@@ -38,14 +38,17 @@ def rolling_at(workouts: DataFrame, day: str, computed: DataFrame | None = None)
 
 
 def rolling(workouts: DataFrame, first: str, last: str, computed: DataFrame | None = None) -> DataFrame:
-    """Both sums for each day of a range and each athlete with workouts in reach; the spine starts 28 days earlier."""
+    """Both sums for each day of a range and each athlete with workouts in reach, from 28 days before it.
+
+    The days that an athlete has are gathered in one row, no longer than the calendar, and the range is spread out of it
+    where it is read: no spine is joined, sorted or shuffled."""
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
     daily = daily_tss(workouts, computed).where(F.col("day").between(F.date_sub(lo, LONG), hi))
-    spine = daily.select("athlete_id").distinct().select("athlete_id", F.explode(F.sequence(F.date_sub(lo, LONG), hi)).alias("day"))
-    full = spine.join(daily, ["athlete_id", "day"], "left").withColumn("tss", F.coalesce("tss", F.lit(0.0)))
-    w = Window.partitionBy("athlete_id").orderBy("day")
-    out = full.withColumn("tss_7d", F.sum("tss").over(w.rowsBetween(-SHORT, 0))).withColumn("tss_28d", F.sum("tss").over(w.rowsBetween(-LONG, 0)))
-    return out.where(F.col("day") >= lo)
+    own = F.when(F.col("athlete_id").isNotNull(), F.struct("day", F.col("tss").cast("double").alias("tss")))  # nobody's days are nobody's load
+    spread = daily.groupBy("athlete_id").agg(F.array_sort(F.collect_list(own)).alias("_days")).select("athlete_id", "_days", F.explode(F.sequence(lo, hi)).alias("day"))
+    reached = lambda n: F.filter("_days", lambda x: x["day"].between(F.date_sub(F.col("day"), n), F.col("day")))
+    total = lambda n: F.aggregate(reached(n), F.lit(0.0), lambda s, x: s + x["tss"])
+    return spread.select("athlete_id", "day", total(0).alias("tss"), total(SHORT).alias("tss_7d"), total(LONG).alias("tss_28d"))
 
 
 def load_components(rows: DataFrame) -> DataFrame:
@@ -63,8 +66,9 @@ def readiness(hrv: Column, fatigue: Column) -> Column:
 
 def training_state(workouts: DataFrame, physiometrics: DataFrame, first: str, last: str, computed: DataFrame | None = None) -> DataFrame:
     """Per athlete and day: load, the newest known body metrics of that day, and readiness. `computed` as in daily_tss."""
-    days = load_components(rolling(workouts, first, last, computed))
-    known = metrics_as_of(days, physiometrics, "athlete_id", "day", ["hrv_ln_rmssd", "resting_hr_bpm", "weight_kg"])
+    metrics = ["hrv_ln_rmssd", "resting_hr_bpm", "weight_kg"]
+    found = load_components(metrics_as_of(rolling(workouts, first, last, computed), physiometrics, "athlete_id", "day", metrics))
+    known = found.select(*[c for c in found.columns if c not in metrics], *metrics)
     return known.withColumn("readiness", F.round(readiness(F.col("hrv_ln_rmssd"), F.col("fatigue")), 2))
 
 

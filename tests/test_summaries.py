@@ -152,6 +152,19 @@ def test_computed_load_fills_what_the_table_lacks(spark):
     assert [r.tss for r in state.daily_tss(w).collect()] == [30.0]
 
 
+def test_rolling_sums_need_no_spine_in_a_shuffle(spark):
+    """Sums of sparse and of dense athletes and of nobody, against plain sums; no day without a workout is joined or sorted."""
+    last = dt.datetime(2026, 3, 31, 5)
+    own = {"dense": {k: float(k % 5 + 1) for k in range(60)}, "sparse": {0: 7.5, 8: 2.0, 36: 4.0}, "early": {39: 9.0, 70: 5.0}, None: {1: 3.0}}
+    rows = [(a, last - dt.timedelta(days=k), v) for a, days in own.items() for k, v in days.items()]
+    found = state.rolling(spark.createDataFrame(rows, "athlete_id string, start_time_utc timestamp, tss double"), "2026-03-20", "2026-03-31")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    got = {(r.athlete_id, r.day): (r.tss, r.tss_7d, r.tss_28d) for r in found.collect()}
+    load = lambda a, k, n: sum(own[a].get(i, 0.0) for i in range(k, k + n + 1)) if a else 0.0
+    assert got == {(a, (last - dt.timedelta(days=k)).date()): tuple(load(a, k, n) for n in (0, 7, 28)) for a in own for k in range(12)}
+
+
 def test_code_tables_come_from_files(spark, tmp_path):
     (tmp_path / "codes.csv").write_text("kind,manufacturer,code,name\nproduct,1,7,b\nproduct,1,7,a\nproduct,2,7,c\nmanufacturer,1,1,maker\nproduct,1,,none\n")
     codes = files.read_codes(spark, f"file://{tmp_path}", "product")
